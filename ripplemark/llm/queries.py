@@ -5,9 +5,11 @@ from __future__ import annotations
 from ripplemark.llm.bpe import op7_bpe
 from ripplemark.llm.decontaminate import op6_decontaminate
 from ripplemark.llm.quality import op4_quality
+from ripplemark.llm.substrings import op5_substring_dedup
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
 }
