@@ -6,12 +6,14 @@ from ripplemark.llm.bpe import op7_bpe
 from ripplemark.llm.decontaminate import op6_decontaminate
 from ripplemark.llm.quality import op4_quality
 from ripplemark.llm.substrings import op5_substring_dedup
+from ripplemark.llm.suffixes import op9_suffix_dedup
 
 QUERIES = {
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
