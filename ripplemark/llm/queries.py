@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from ripplemark.llm.bpe import op7_bpe
 from ripplemark.llm.decontaminate import op6_decontaminate
+from ripplemark.llm.language import op2_language
 from ripplemark.llm.quality import op4_quality
 from ripplemark.llm.substrings import op5_substring_dedup
 from ripplemark.llm.suffixes import op9_suffix_dedup
 
 QUERIES = {
+    "op2_language": op2_language,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
