@@ -8,6 +8,7 @@ from ripplemark.llm.language import op2_language
 from ripplemark.llm.quality import op4_quality
 from ripplemark.llm.substrings import op5_substring_dedup
 from ripplemark.llm.suffixes import op9_suffix_dedup
+from ripplemark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_language": op2_language,
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
