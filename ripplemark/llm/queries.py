@@ -6,6 +6,7 @@ from ripplemark.llm.bpe import op7_bpe
 from ripplemark.llm.decontaminate import op6_decontaminate
 from ripplemark.llm.language import op2_language
 from ripplemark.llm.quality import op4_quality
+from ripplemark.llm.secrets import op8_secrets
 from ripplemark.llm.substrings import op5_substring_dedup
 from ripplemark.llm.suffixes import op9_suffix_dedup
 from ripplemark.llm.toxicity import op10_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
