@@ -6,6 +6,7 @@ from ripplemark.llm.bpe import op7_bpe
 from ripplemark.llm.decontaminate import op6_decontaminate
 from ripplemark.llm.language import op2_language
 from ripplemark.llm.licenses import op3_licenses
+from ripplemark.llm.ngram_join import op1_ngram_join
 from ripplemark.llm.quality import op4_quality
 from ripplemark.llm.secrets import op8_secrets
 from ripplemark.llm.substrings import op5_substring_dedup
@@ -13,6 +14,7 @@ from ripplemark.llm.suffixes import op9_suffix_dedup
 from ripplemark.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language": op2_language,
     "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,

@@ -102,6 +102,25 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **how) -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced by ``mask`` (overlapping spans by one).
+
+    Texts without a match of any pattern, nulls included, pass through as they are and are not moved.
+    """
+    marked = F.coalesce(F.col(f"`{text}`").rlike("|".join(f"(?:{p})" for p in (BASE | ADDED).values())), F.lit(False))
+    found = scan(docs.where(marked), docs.columns, text=text, **how)
+    own = F.col(f"`{text}`")
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(own.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], own.substr(acc["at"] + 1, F.length(own))))
+    return docs.where(~marked).unionByName(found.withColumn(text, masked).select(*[f"`{c}`" for c in docs.columns]))
+
+
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
     """Contract query 8 over all documents; a source is a repository and its owner."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
