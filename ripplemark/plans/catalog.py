@@ -1,7 +1,453 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries of the analytics operators and the SQL each can be held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ripplemark.functions import scalars as X
+from ripplemark.operators import coverage as C
+from ripplemark.operators import graph as G
+from ripplemark.operators import history as H
+from ripplemark.operators import impact as I
+from ripplemark.operators import results as R
+from ripplemark.operators import risk as K
+from ripplemark.plans.views import AS_OF, code_file, view, with_views
+
 FLAGSHIP = "risk_map"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+MIN_COUNT = 3
+TARGET = "src/d0/f7.py"
+_AS_OF = f"TIMESTAMP '{AS_OF}'"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return keep
+
+
+class Views:
+    """The views of one folder as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._of = lambda name: view(spark, sf_dir, name)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._of(name)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- churn, co-change, ownership ---------------------------------------------------------------------------------
+
+CHURN = f"""SELECT file_path, count(*) AS commit_count, count(DISTINCT author) AS distinct_authors, CAST(sum(insertions) AS BIGINT) AS total_insertions,
+ CAST(sum(deletions) AS BIGINT) AS total_deletions, round(sum(1e0 / (1e0 + greatest((epoch_us({_AS_OF}) - epoch_us(date)) / 8.64e10, 0e0))), 6) AS churn_score
+ FROM commit_files JOIN commits ON commit_hash = hash GROUP BY file_path"""
+
+
+def _churn(v: Views) -> DataFrame:
+    return H.churn(v.commits, v.commit_files, AS_OF).drop("last_changed")
+
+
+@query(CHURN)
+def churn_file(spark, sf_dir):
+    return _churn(Views(spark, sf_dir))
+
+
+@query("SELECT file_path, strftime(max(date), '%Y-%m-%d %H:%M:%S') AS last_changed FROM commit_files JOIN commits ON commit_hash = hash GROUP BY file_path")
+def churn_last_changed(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return H.churn(v.commits, v.commit_files, AS_OF).select("file_path", "last_changed")
+
+
+@query(f"WITH c AS ({CHURN}), f AS (SELECT file_path FROM files UNION SELECT {code_file('(1000000 + r_regionkey)')} FROM region) SELECT f.file_path, coalesce(commit_count, 0) AS commit_count, coalesce(distinct_authors, 0) AS distinct_authors, coalesce(total_insertions, 0) AS total_insertions, coalesce(total_deletions, 0) AS total_deletions, coalesce(churn_score, 0e0) AS churn_score FROM f LEFT JOIN c USING (file_path)")
+def churn_all_files_left(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    more = _table(spark, sf_dir, "region").select(F.expr(code_file("(1000000 + r_regionkey)")).alias("file_path"))
+    return H.churn_all_files(v.files.union(more), _churn(v))
+
+
+@query("SELECT file_path, author, CAST(sum(line_end - line_start + 1) AS BIGINT) AS line_count, round(100 * sum(line_end - line_start + 1) / sum(sum(line_end - line_start + 1)) OVER (PARTITION BY file_path), 2) AS percentage, concat(author, '@x') AS author_email FROM blame GROUP BY file_path, author")
+def ownership(spark, sf_dir):
+    return H.ownership(Views(spark, sf_dir).blame)
+
+
+HHI = "SELECT file_path, round(sum(n * n) / (sum(n) * CAST(sum(n) AS DOUBLE)), 4) AS author_concentration FROM (SELECT file_path, author, CAST(sum(line_end - line_start + 1) AS BIGINT) AS n FROM blame GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(HHI)
+def author_hhi(spark, sf_dir):
+    return H.author_concentration(Views(spark, sf_dir).blame)
+
+
+def _pairs(commits: str, least: int) -> str:
+    return f"""SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS co_commit_count, max(a.date) AS last_ts
+ FROM (SELECT commit_hash, file_path, date, count(*) OVER (PARTITION BY commit_hash) AS n FROM commit_files JOIN {commits} ON commit_hash = hash) a
+ JOIN (SELECT commit_hash, file_path FROM commit_files) b ON a.commit_hash = b.commit_hash AND a.file_path < b.file_path WHERE n BETWEEN 2 AND 50 GROUP BY 1, 2 HAVING count(*) >= {least}"""
+
+
+@query(f"SELECT file_a, file_b, co_commit_count, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_co_commit FROM ({_pairs('commits', MIN_COUNT)})")
+def cochange_pairs(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return H.co_changes(v.commits, v.commit_files, MIN_COUNT)
+
+
+@query(f"WITH p AS ({_pairs('commits', MIN_COUNT)}) SELECT file_a AS file_path, file_b AS partner, co_commit_count FROM p WHERE file_a = '{TARGET}' UNION ALL SELECT file_b, file_a, co_commit_count FROM p WHERE file_b = '{TARGET}'")
+def cochange_partners(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    target = v.files.where(F.col("file_path") == TARGET)
+    return H.partners(H.co_changes(v.commits, v.commit_files, MIN_COUNT).drop("last_co_commit"), target, MIN_COUNT)
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS n, CASE WHEN o_orderkey <= 0 THEN 2 ELSE greatest(2, CAST(floor(log2(o_orderkey) / 2) AS INT) + 1) END AS threshold FROM orders WHERE o_orderkey < 100000")
+def coupling_threshold(spark, sf_dir):
+    n = _table(spark, sf_dir, "orders").where("o_orderkey < 100000").select(F.col("o_orderkey").alias("n"))
+    return n.select("n", X.coupling_threshold(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("threshold"))
+
+
+BOTH = "SELECT {a} AS file_path, {b} AS other FROM {t} UNION ALL SELECT {b}, {a} FROM {t}"
+COUPLING = f"""WITH p AS ({_pairs('commits', MIN_COUNT)}), q AS ({_pairs('branch_commits', 1)}),
+ cc AS (SELECT file_path, count(*) AS n FROM ({BOTH.format(a='file_a', b='file_b', t='p')}) GROUP BY 1), br AS (SELECT file_path, count(*) AS n FROM ({BOTH.format(a='file_a', b='file_b', t='q')}) GROUP BY 1),
+ im AS (SELECT file_path, count(DISTINCT other) AS n FROM ({BOTH.format(a='importer_file', b='imported_file', t='import_edges')}) GROUP BY 1),
+ u AS (SELECT f.file_path, coalesce(cc.n, 0) AS cochange_breadth, coalesce(br.n, 0) AS branch_breadth, coalesce(im.n, 0) AS import_breadth FROM files f LEFT JOIN cc USING (file_path) LEFT JOIN br USING (file_path) LEFT JOIN im USING (file_path)),
+ w AS (SELECT *, least(greatest(cochange_breadth, branch_breadth) / 10e0, 1e0) AS cochange_norm, least(import_breadth / 8e0, 1e0) AS import_norm FROM u),
+ coupled AS (SELECT *, greatest(cochange_norm, import_norm, 5e-1 * cochange_norm + 5e-1 * import_norm) AS coupling FROM w)"""
+
+
+def _coupled(v: Views) -> DataFrame:
+    pairs = H.co_changes(v.commits, v.commit_files, MIN_COUNT)
+    branch = H.co_changes(v.branch_commits, v.commit_files, 1)
+    return K.coupling(v.files, pairs, branch, G.neighbors(v.import_edges), MIN_COUNT)
+
+
+@query(COUPLING + " SELECT * FROM coupled")
+def coupling_score(spark, sf_dir):
+    return _coupled(Views(spark, sf_dir))
+
+
+@query(f"""WITH r AS (SELECT file_path, author, count(*) AS recent_commits, CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions,
+ sum(1e0 / (1e0 + greatest((epoch_us({_AS_OF}) - epoch_us(date)) / 8.64e10, 0e0))) AS raw, max(date) AS last_ts FROM commit_files JOIN commits ON commit_hash = hash WHERE file_path = '{TARGET}' GROUP BY 1, 2)
+ SELECT file_path, author, recent_commits, insertions, deletions, round(raw, 4) AS score, CAST(round((epoch_us({_AS_OF}) - epoch_us(last_ts)) / 8.64e10) AS BIGINT) AS days_since, round(100 * raw / sum(raw) OVER (PARTITION BY file_path), 2) AS percentage FROM r""")
+def reviewers(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return H.reviewers(v.commits, v.commit_files.where(F.col("file_path") == TARGET), AS_OF)
+
+
+@query(f"SELECT hash AS commit_hash, file_path, insertions, deletions, author, message, date FROM commit_files JOIN commits ON commit_hash = hash WHERE file_path = '{TARGET}'")
+def history(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return H.history(v.commits, v.commit_files, v.files.where(F.col("file_path") == TARGET)).select("commit_hash", "file_path", "insertions", "deletions", "author", "message", "date")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS j FROM events)
+ SELECT user_id, event_type, min(k) AS first_place, max(k) AS last_place, count(*) AS length FROM e GROUP BY user_id, event_type, k - j""")
+def line_merge_islands(spark, sf_dir):
+    return H.line_blocks(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+# --- test results ------------------------------------------------------------------------------------------------
+
+RATES = "SELECT test_id, count(*) AS total_runs, count(*) FILTER (WHERE NOT passed) AS failures, count(*) FILTER (WHERE NOT passed) / CAST(count(*) AS DOUBLE) AS failure_rate FROM test_results GROUP BY 1"
+CV = """SELECT test_id, least(stddev_pop(duration_ms) / avg(duration_ms), 1e0) AS duration_cv FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY recorded_at DESC, event_id DESC) AS k FROM test_results WHERE duration_ms IS NOT NULL)
+ WHERE k <= 20 GROUP BY 1 HAVING count(*) >= 3 AND avg(duration_ms) > 0"""
+
+
+@query(RATES)
+def failure_rates(spark, sf_dir):
+    return R.failure_rates(Views(spark, sf_dir).test_results)
+
+
+@query(f"SELECT test_id, round(duration_cv, 6) AS duration_cv FROM ({CV})")
+def duration_cv(spark, sf_dir):
+    return R.duration_cv(Views(spark, sf_dir).test_results, tie=["event_id"]).withColumn("duration_cv", F.round("duration_cv", 6))
+
+
+COVERING = "SELECT DISTINCT file_path, test_id FROM code_units JOIN test_edges ON id = code_id"
+INSTABILITY = f"""SELECT file_path, CASE WHEN f IS NOT NULL AND c IS NOT NULL THEN least(1e0, 65e-2 * f + 35e-2 * c) WHEN f IS NOT NULL THEN f WHEN c IS NOT NULL THEN least(c, 1e0) ELSE 0e0 END AS test_instability
+ FROM (SELECT file_path, avg(failure_rate) AS f, avg(duration_cv) AS c FROM ({COVERING}) LEFT JOIN ({RATES}) USING (test_id) LEFT JOIN ({CV}) USING (test_id) GROUP BY 1)"""
+
+
+def _instability(v: Views) -> DataFrame:
+    return R.instability(C.covering_tests(v.code_units, v.test_edges), R.failure_rates(v.test_results), R.duration_cv(v.test_results, tie=["event_id"]))
+
+
+@query(f"SELECT file_path, round(test_instability, 6) AS test_instability FROM ({INSTABILITY})")
+def instability(spark, sf_dir):
+    return _instability(Views(spark, sf_dir)).withColumn("test_instability", F.round("test_instability", 6))
+
+
+@query("SELECT event_id, test_id FROM test_results WHERE test_id IN (SELECT id FROM test_units WHERE framework <> 'BUILDING')")
+def orphan_results_cleanup(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return R.without_orphans(v.test_results, v.test_units.where("framework <> 'BUILDING'"))[0].select("event_id", "test_id")
+
+
+# --- coverage, gaps, stale ---------------------------------------------------------------------------------------
+
+
+@query("SELECT edge_type, count(*) AS n FROM test_edges GROUP BY 1")
+def edge_type_counts(spark, sf_dir):
+    return C.edge_type_counts(Views(spark, sf_dir).test_edges)
+
+
+_COUNTED = ("code_units", "test_units", "test_edges", "commits", "commit_files", "blame", "import_edges", "test_results", "static_imports")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _COUNTED))
+def table_stats(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.table_counts({t: getattr(v, t) for t in _COUNTED})
+
+
+@query("SELECT count(*) AS total_edges, count(*) FILTER (WHERE edge_type = 'call') AS call_edges, count(*) FILTER (WHERE edge_type = 'import') AS import_edges, count(*) FILTER (WHERE edge_type = 'dynamic_import') AS dynamic_import_edges, CAST(0 AS BIGINT) AS eval_import_edges, CAST(0 AS BIGINT) AS tainted_import_edges, round(count(*) FILTER (WHERE edge_type = 'dynamic_import') / CAST(count(*) AS DOUBLE), 4) AS unknown_shadow_ratio FROM test_edges")
+def shadow_graph(spark, sf_dir):
+    return C.shadow_graph(Views(spark, sf_dir).test_edges)
+
+
+@query(f"SELECT t.id AS test_id, u.name AS unit_name, edge_type, weight AS score FROM code_units u JOIN test_edges ON u.id = code_id JOIN test_units t ON t.id = test_id WHERE u.file_path = '{TARGET}'")
+def impacted_direct(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.direct_impact(v.code_units, v.test_edges, v.test_units, v.files.where(F.col("file_path") == TARGET)).select("test_id", "unit_name", "edge_type", "score")
+
+
+GAPS = """SELECT id, u.file_path, u.name, unit_type, line_start, line_end, coalesce(c.churn_score, 0e0) AS churn_score, coalesce(c.commit_count, 0) AS commit_count FROM code_units u
+ LEFT JOIN (SELECT CAST(l_partkey AS STRING) AS part, count(*) AS commit_count, round(sum(l_tax), 6) AS churn_score FROM lineitem WHERE l_quantity < 3 GROUP BY 1) c ON c.part = u.id
+ WHERE NOT EXISTS (SELECT 1 FROM test_edges e WHERE e.code_id = u.id) AND NOT EXISTS (SELECT 1 FROM test_units t WHERE t.file_path = u.file_path)"""
+
+
+def _untested(spark, sf_dir) -> DataFrame:
+    v = Views(spark, sf_dir)
+    units = v.code_units.withColumn("name", F.concat_ws("#", "name", "id"))
+    ids = v.code_units.select("id", "file_path", F.col("name").alias("unit_name"))
+    rows = _table(spark, sf_dir, "lineitem").where("l_quantity < 3").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").alias("commit_count"), F.round(F.sum("l_tax"), 6).alias("churn_score"))
+    churned = rows.join(ids, "id").select("file_path", F.concat_ws("#", "unit_name", "id").alias("unit_name"), "commit_count", "churn_score")
+    return C.untested_units(units, v.test_edges, v.test_units, churned).withColumn("name", F.substring_index("name", "#", 1))
+
+
+@query(GAPS)
+def test_gaps(spark, sf_dir):
+    return _untested(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({GAPS}) ORDER BY churn_score DESC, id LIMIT 25")
+def test_gaps_limited(spark, sf_dir):
+    return _untested(spark, sf_dir).orderBy(F.desc("churn_score"), "id").limit(25)
+
+
+@query(f"WITH g AS ({GAPS}), t AS (SELECT target_file_path AS file_path FROM static_imports EXCEPT SELECT file_path FROM code_units JOIN test_edges ON id = code_id), k AS (SELECT * FROM g WHERE file_path NOT IN (SELECT file_path FROM t)) SELECT id, file_path FROM k UNION ALL SELECT id, file_path FROM g WHERE NOT EXISTS (SELECT 1 FROM k)")
+def test_gaps_static(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.test_gaps(_untested(spark, sf_dir), v.static_imports, C.files_with_edges(v.code_units, v.test_edges)).select("id", "file_path")
+
+
+@query("SELECT DISTINCT file_path FROM code_units JOIN test_edges ON id = code_id")
+def files_with_edges(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.files_with_edges(v.code_units, v.test_edges)
+
+
+@query("SELECT test_id, code_id, edge_type FROM test_edges JOIN test_units t ON t.id = test_id WHERE code_id NOT IN (SELECT id FROM code_units WHERE CAST(id AS BIGINT) % 10 <> 3)")
+def stale_tests(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.stale_edges(v.code_units.where("cast(id as bigint) % 10 <> 3"), v.test_edges, v.test_units).select("test_id", "code_id", "edge_type")
+
+
+COVERAGE = """SELECT u.file_path, count(*) AS units, count(*) FILTER (WHERE e.code_id IS NOT NULL) AS tested_units, CAST(sum(lines) AS BIGINT) AS lines, CAST(coalesce(sum(lines) FILTER (WHERE e.code_id IS NOT NULL), 0) AS BIGINT) AS tested_lines,
+ CAST(coalesce(sum(e.edges), 0) AS BIGINT) AS edges, CAST(coalesce(sum(n_call), 0) AS BIGINT) AS n_call, CAST(coalesce(sum(n_dyn), 0) AS BIGINT) AS n_dynamic_import
+ FROM (SELECT *, line_end - line_start + 1 AS lines FROM code_units) u LEFT JOIN (SELECT code_id, count(*) AS edges, count(*) FILTER (WHERE edge_type = 'call') AS n_call, count(*) FILTER (WHERE edge_type = 'dynamic_import') AS n_dyn FROM test_edges GROUP BY 1) e ON e.code_id = u.id GROUP BY 1"""
+
+
+@query(f"SELECT c.*, tested_lines / CAST(lines AS DOUBLE) AS coverage, coalesce(n, 0) AS covering_tests FROM ({COVERAGE}) c LEFT JOIN (SELECT file_path, count(*) AS n FROM ({COVERING}) GROUP BY 1) USING (file_path)")
+def file_coverage(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.file_coverage(v.code_units, v.test_edges).select("file_path", "units", "tested_units", "lines", "tested_lines", "edges", "n_call", "n_dynamic_import", "coverage", "covering_tests")
+
+
+@query("SELECT file_path FROM code_units UNION SELECT file_path FROM commit_files")
+def resolvable_paths(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return C.resolvable_paths(v.code_units, v.commit_files)
+
+
+@query("SELECT file_path FROM test_units EXCEPT SELECT file_path FROM test_units WHERE file_path LIKE 'src/d3/%'")
+def working_tree_diff(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    known = v.test_units.where("file_path like 'src/d3/%'").select("file_path")
+    return v.test_units.select("file_path").distinct().join(known, "file_path", "left_anti")
+
+
+# --- import graph ------------------------------------------------------------------------------------------------
+
+UNDIRECTED = "SELECT a, b, max(confidence) AS confidence FROM (SELECT importer_file AS a, imported_file AS b, confidence FROM import_edges UNION ALL SELECT imported_file, importer_file, confidence FROM import_edges) GROUP BY 1, 2"
+
+
+@query(f"SELECT a AS file_path, b AS neighbor, confidence FROM ({UNDIRECTED})")
+def import_neighbors(spark, sf_dir):
+    return G.neighbors(Views(spark, sf_dir).import_edges)
+
+
+@query("SELECT importer_file, imported_file, max(confidence) AS confidence FROM import_edges WHERE importer_file <> imported_file GROUP BY 1, 2")
+def import_edges_max_conf(spark, sf_dir):
+    return G.merged_edges(Views(spark, sf_dir).import_edges)
+
+
+SOURCES = "SELECT file_path FROM files WHERE file_path LIKE 'src/d3/%'"
+HOPS = f"h AS (SELECT file_path, 0 AS hops FROM ({SOURCES}) UNION SELECT u.b, h.hops + 1 FROM h JOIN (SELECT a, b FROM ({UNDIRECTED}) WHERE confidence >= 1) u ON u.a = h.file_path WHERE h.hops < 6)"
+
+
+@query(f"WITH RECURSIVE {HOPS} SELECT file_path, min(hops) AS hops FROM h GROUP BY 1")
+def bfs_hops(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return G.hops(v.import_edges, v.files.where("file_path like 'src/d3/%'"), most=6)
+
+
+@query(f"WITH RECURSIVE und AS ({UNDIRECTED}), p AS (SELECT '{TARGET}' AS file_path, 1e0 AS decay, 0 AS step UNION SELECT und.b, p.decay * 88e-2 * und.confidence, p.step + 1 FROM p JOIN und ON und.a = p.file_path WHERE p.step < 4 AND p.decay >= 1e-2) SELECT file_path, round(max(decay), 9) AS decay FROM p WHERE file_path <> '{TARGET}' GROUP BY 1")
+def import_closure(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET), most=4).select("file_path", F.round("decay", 9).alias("decay"))
+
+
+@query("WITH RECURSIVE e AS (SELECT importer_file AS a, imported_file AS b FROM import_edges WHERE confidence >= 1), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS file_path, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT file_path, min(other) AS component FROM m GROUP BY 1")
+def import_cycles(spark, sf_dir):
+    return G.components(Views(spark, sf_dir).import_edges)
+
+
+# --- impact ------------------------------------------------------------------------------------------------------
+
+DIRECT = "SELECT t.id AS test_id, u.file_path, weight AS score FROM code_units u JOIN test_edges ON u.id = code_id JOIN test_units t ON t.id = test_id"
+NEAR = f"SELECT file_b AS f FROM p WHERE file_a = '{TARGET}' UNION SELECT file_a FROM p WHERE file_b = '{TARGET}'"
+
+
+@query(f"WITH p AS ({_pairs('commits', 5)}), near AS ({NEAR}) SELECT test_id, max(score) * 5e-1 AS score FROM ({DIRECT}) d JOIN near ON near.f = d.file_path GROUP BY 1")
+def impacted_cochange(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    pairs = H.co_changes(v.commits, v.commit_files, 5)
+    rows = I.cochange_impact(v.code_units, v.test_edges, v.test_units, pairs, v.files.where(F.col("file_path") == TARGET), 5)
+    return rows.groupBy("test_id").agg(F.max("score").alias("score"))
+
+
+@query(f"""WITH RECURSIVE und AS ({UNDIRECTED}), c AS (SELECT '{TARGET}' AS file_path, 1e0 AS decay, 0 AS step UNION SELECT und.b, c.decay * 88e-2 * und.confidence, c.step + 1 FROM c JOIN und ON und.a = c.file_path WHERE c.step < 5 AND c.decay >= 1e-2),
+ best AS (SELECT file_path, max(decay) AS decay FROM c WHERE file_path <> '{TARGET}' GROUP BY 1) SELECT test_id, round(max(score * decay * 45e-2), 6) AS score FROM ({DIRECT}) d JOIN best USING (file_path) GROUP BY 1""")
+def impacted_closure(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    near = G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET), most=5)
+    near = near.groupBy("file_path").agg(F.max("decay").alias("decay"))
+    rows = C.direct_impact(v.code_units, v.test_edges, v.test_units, near.select("file_path")).join(near, "file_path")
+    return rows.groupBy("test_id").agg(F.round(F.max(F.col("score") * F.col("decay") * I.CLOSURE_WEIGHT), 6).alias("score"))
+
+
+STATIC = f"SELECT concat(test_file_path, ':', test_unit_name) AS test_id, max(score) AS score FROM static_imports WHERE target_file_path = '{TARGET}' GROUP BY 1"
+NAMED = f"SELECT concat(t.file_path, ':', t.name) AS test_id, max(weight) AS score FROM code_units u JOIN test_edges ON u.id = code_id JOIN test_units t ON t.id = test_id WHERE u.file_path = '{TARGET}' GROUP BY 1"
+
+
+def _named_direct(v: Views) -> DataFrame:
+    rows = C.direct_impact(v.code_units, v.test_edges, v.test_units, v.files.where(F.col("file_path") == TARGET))
+    rows = rows.select(F.concat_ws(":", "test_file", "test_name").alias("test_id"), F.col("test_file").alias("file_path"), F.col("test_name").alias("name"), "score", F.concat(F.lit("direct "), F.col("unit_name"), F.col("edge_type")).alias("reason"), F.lit("direct").alias("source"))
+    return I.best_per_test(rows)
+
+
+@query(f"SELECT test_id, score FROM ({STATIC})")
+def static_tests(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return I.static_tests(v.static_imports, v.files.where(F.col("file_path") == TARGET)).select("test_id", "score")
+
+
+HYBRID = f"SELECT coalesce(a.test_id, b.test_id) AS test_id, CASE WHEN a.score IS NOT NULL AND b.score IS NOT NULL THEN least(1e0, a.score + 28e-2 * b.score) ELSE coalesce(a.score, b.score) END AS score, CASE WHEN a.score IS NOT NULL AND b.score IS NOT NULL THEN 'hybrid' WHEN a.score IS NOT NULL THEN 'direct' ELSE 'static_require' END AS source FROM ({NAMED}) a FULL JOIN ({STATIC}) b ON a.test_id = b.test_id"
+
+
+@query(f"SELECT test_id, round(score, 6) AS score, source FROM ({HYBRID})")
+def hybrid_merge(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    rows = I.hybrid(_named_direct(v), I.static_tests(v.static_imports, v.files.where(F.col("file_path") == TARGET)))
+    return rows.select("test_id", F.round("score", 6).alias("score"), "source")
+
+
+@query(f"WITH r AS (SELECT concat(t.file_path, ':', t.name) AS test_id, failure_rate FROM ({RATES}) x JOIN test_units t ON t.id = x.test_id) SELECT h.test_id, round(score * (1 + 5e-1 * coalesce(failure_rate, 0)), 6) AS relevance, source FROM ({HYBRID}) h LEFT JOIN r USING (test_id)")
+def suggest_tests(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    names = v.test_units.select(F.col("id").alias("test_id"), F.concat_ws(":", "file_path", "name").alias("named"))
+    rates = R.failure_rates(v.test_results).join(names, "test_id").select(F.col("named").alias("test_id"), "failure_rate")
+    rows = I.suggest(_named_direct(v), I.static_tests(v.static_imports, v.files.where(F.col("file_path") == TARGET)), rates)
+    return rows.select("test_id", F.round("relevance", 6).alias("relevance"), "source")
+
+
+_STEM = r"regexp_replace({}, '^.*/|\.[^.]*$', '', 'g')"
+_LAST = r"regexp_extract({}, '([^/]*)/[^/]*$', 1)"
+
+
+@query(f"""WITH s AS (SELECT file_path AS source_file FROM files WHERE file_path IN ('{TARGET}', 'src/d1/f1.py')), m AS (SELECT source_file, t.file_path, t.name, {_STEM.format('source_file')} AS a, {_STEM.format('t.file_path')} AS b, {_LAST.format('source_file')} AS x, {_LAST.format('t.file_path')} AS y FROM s, test_units t),
+ n AS (SELECT *, CASE WHEN a = b THEN 1e0 WHEN contains(a, b) OR contains(b, a) THEN 5e-1 ELSE 1e-1 END AS base FROM m) SELECT source_file, concat(file_path, ':', name) AS test_id, CASE WHEN x = y THEN least(1e0, base + 3e-1) ELSE base END AS relevance FROM n""")
+def fallback_suggest(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return I.fallback(v.files.where(F.col("file_path").isin(TARGET, "src/d1/f1.py")), v.test_units).select("source_file", "test_id", "relevance")
+
+
+@query()
+def impacted_all(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    pairs = H.co_changes(v.commits, v.commit_files, 5)
+    return I.impact(v.code_units, v.test_edges, v.test_units, pairs, v.import_edges, v.files.where(F.col("file_path") == TARGET), min_count=5)
+
+
+# --- risk --------------------------------------------------------------------------------------------------------
+
+TESTED = f"SELECT file_path FROM ({COVERAGE}) WHERE tested_units > 0"
+RISK = f"""{COUPLING.replace('WITH p', 'WITH RECURSIVE p')}, churned AS ({CHURN}), cov AS (SELECT c.*, tested_lines / CAST(lines AS DOUBLE) AS coverage, coalesce(n, 0) AS covering_tests FROM ({COVERAGE}) c LEFT JOIN (SELECT file_path, count(*) AS n FROM ({COVERING}) GROUP BY 1) USING (file_path)),
+ und AS ({UNDIRECTED}), hop AS (SELECT file_path, 0 AS hops FROM ({TESTED}) UNION SELECT und.b, hop.hops + 1 FROM hop JOIN und ON und.a = hop.file_path WHERE und.confidence >= 1 AND hop.hops < 4), hp AS (SELECT file_path, min(hops) AS hops FROM hop GROUP BY 1),
+ raw AS (SELECT ch.file_path, least(ch.churn_score / 5e0, 1e0) AS churn, coalesce(cp.coupling, 0e0) AS coupling, coalesce(cov.coverage, 0e0) AS coverage, coalesce(covering_tests, 0) AS covering_tests, coalesce(edges, 0) AS edges, coalesce(n_call, 0) AS n_call, coalesce(n_dynamic_import, 0) AS n_dyn, coalesce(hh.author_concentration, 1e0) AS author_concentration, coalesce(ins.test_instability, 0e0) AS ti, coalesce(hp.hops, 0) AS hops
+  FROM churned ch LEFT JOIN coupled cp USING (file_path) LEFT JOIN cov USING (file_path) LEFT JOIN ({HHI}) hh USING (file_path) LEFT JOIN ({INSTABILITY}) ins USING (file_path) LEFT JOIN hp USING (file_path)
+  WHERE ch.file_path NOT IN (SELECT file_path FROM test_units)),
+ gap AS (SELECT *, least(1e0, round_even((1 - coverage) * 20, 0) / 20) AS g FROM raw),
+ comp AS (SELECT file_path, churn, coupling, CASE WHEN hops > 0 AND g > 0 THEN g * greatest(0e0, 1e0 - 15e-2 * (greatest(0e0, 5e0 - hops) / 5)) ELSE g END AS coverage_gap, round(least(covering_tests / 5e0, 1e0), 4) AS coverage_depth, author_concentration, ti AS test_instability, round(coverage, 4) AS coverage_fraction,
+  CASE WHEN edges > 0 THEN round(n_call / CAST(edges AS DOUBLE), 4) ELSE 0e0 END AS edge_type_quality, CAST(edges - n_call AS BIGINT) AS shadow_edge_count, CAST(n_dyn AS BIGINT) AS dynamic_edge_count, least(n_dyn / 20e0, 1e0) * 15e-2 AS hidden_risk, CASE WHEN churn = 0 AND coverage = 0 THEN 5e-1 ELSE 0e0 END AS new_file_boost FROM gap),
+ risk AS (SELECT *, round(35e-2 * churn + 25e-2 * coupling + 15e-2 * coverage_gap + 1e-1 * coverage_depth + 1e-1 * author_concentration + 5e-2 * test_instability + hidden_risk + new_file_boost, 4) AS risk_score FROM comp),
+ risks AS (SELECT file_path, risk_score, round(churn, 4) AS churn, round(coupling, 4) AS coupling, round(coverage_gap, 4) AS coverage_gap, coverage_depth, round(author_concentration, 4) AS author_concentration, round(test_instability, 4) AS test_instability, coverage_fraction, edge_type_quality, shadow_edge_count, dynamic_edge_count, round(hidden_risk, 4) AS hidden_risk, new_file_boost FROM risk)"""
+
+
+def _risks(v: Views) -> DataFrame:
+    tested = C.files_with_edges(v.code_units, v.test_edges)
+    return K.components(_churn(v), _coupled(v), C.file_coverage(v.code_units, v.test_edges), H.author_concentration(v.blame), _instability(v), G.hops(v.import_edges, tested, most=4), v.test_units)
+
+
+@query(RISK + " SELECT * FROM risks")
+def risk_components(spark, sf_dir):
+    return _risks(Views(spark, sf_dir))
+
+
+_SHARES = ", ".join(f"count(DISTINCT {c}) AS n_{c}, min({c}) AS min_{c}" for c in K.WEIGHTS)
+_UNIFORM = {c: f"(CASE WHEN n_{c} <= 1 THEN 1 ELSE 0 END)" for c in K.WEIGHTS}
+_DEAD = " + ".join(f"{u} * {K.WEIGHTS[c]}e0" for c, u in _UNIFORM.items())
+_COUNT = " + ".join(_UNIFORM.values())
+_ZERO = " + ".join(f"(CASE WHEN n_{c} <= 1 AND min_{c} = 0 THEN 1 ELSE 0 END)" for c in K.WEIGHTS)
+_NEW = " + ".join(f"(1 - {u}) * ({K.WEIGHTS[c]}e0 + ({_DEAD}) * {K.WEIGHTS[c]}e0 / (1e0 - ({_DEAD}))) * {c}" for c, u in _UNIFORM.items())
+
+
+@query(RISK + f", s AS (SELECT count(*) AS files, {_SHARES} FROM risks) SELECT file_path, CASE WHEN files > 1 AND {_COUNT} < 6 AND ({_COUNT} >= 2 OR {_ZERO} > 0) THEN round({_NEW}, 4) ELSE risk_score END AS risk_score FROM risks, s")
+def risk_map_reweighted(spark, sf_dir):
+    return K.reweighted(_risks(Views(spark, sf_dir))).select("file_path", "risk_score")
+
+
+@query(RISK + " SELECT file_path, risk_score, churn, coupling, coverage_gap, author_concentration FROM risks ORDER BY risk_score DESC, file_path LIMIT 1000")
+def risk_map(spark, sf_dir):
+    return _risks(Views(spark, sf_dir)).select("file_path", "risk_score", "churn", "coupling", "coverage_gap", "author_concentration").orderBy(F.desc("risk_score"), "file_path").limit(1000)
+
+
+@query(RISK + " SELECT round(risk_score, 4) AS risk_score, count(*) AS n FROM risks GROUP BY 1 HAVING count(*) >= 3")
+def risk_meta_groups(spark, sf_dir):
+    return K.equal_groups(_risks(Views(spark, sf_dir)))
+
+
+@query(RISK + f", top AS (SELECT file_path, risk_score FROM risks ORDER BY risk_score DESC, file_path LIMIT 10), g AS (SELECT file_path, count(*) AS gaps FROM ({GAPS}) GROUP BY 1) SELECT file_path, risk_score, coalesce(gaps, 0) AS gaps FROM top LEFT JOIN g USING (file_path)")
+def triage(spark, sf_dir):
+    top = _risks(Views(spark, sf_dir)).select("file_path", "risk_score").orderBy(F.desc("risk_score"), "file_path").limit(10)
+    gaps = _untested(spark, sf_dir).join(top.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("gaps"))
+    return top.join(gaps, "file_path", "left").fillna(0, ["gaps"])
