@@ -15,7 +15,7 @@ from ripplemark.schemas import KEYS, TABLES
 
 
 def last_of_each(rows: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """The last row of each key in the given order."""
+    """The last row of each key in the order of the named columns; a column expression sorts as it says, first row first."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k")
 
@@ -80,7 +80,7 @@ class Store:
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """``rows`` as the new version of the table."""
-        schema = TABLES[table]
+        schema = self.spark.createDataFrame([], TABLES[table]).schema
         rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{table}/{version}")

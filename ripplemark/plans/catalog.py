@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplemark.functions import extract as E
 from ripplemark.functions import scalars as X
 from ripplemark.operators import coverage as C
 from ripplemark.operators import graph as G
@@ -12,7 +13,9 @@ from ripplemark.operators import history as H
 from ripplemark.operators import impact as I
 from ripplemark.operators import results as R
 from ripplemark.operators import risk as K
+from ripplemark.operators import store as S
 from ripplemark.plans.views import AS_OF, code_file, view, with_views
+from ripplemark.streaming import streams as T
 
 FLAGSHIP = "risk_map"
 QUERIES: dict = {}
@@ -451,3 +454,170 @@ def triage(spark, sf_dir):
     top = _risks(Views(spark, sf_dir)).select("file_path", "risk_score").orderBy(F.desc("risk_score"), "file_path").limit(10)
     gaps = _untested(spark, sf_dir).join(top.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("gaps"))
     return top.join(gaps, "file_path", "left").fillna(0, ["gaps"])
+
+
+# --- scalar and table functions ----------------------------------------------------------------------------------
+
+_EXTENSIONS = ("py", "js", "ts", "go", "rs", "java", "tsx", "txt", "rb")
+_PATHS = "concat('src/d', CAST(p_partkey % 7 AS STRING), '/', CASE WHEN p_partkey % 4 = 0 THEN 'test_' ELSE '' END, 'f', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 5 = 0 THEN '_test' WHEN p_partkey % 5 = 1 THEN '.test' WHEN p_partkey % 5 = 2 THEN '.spec' ELSE '' END, '.', {ext})"
+_PICK = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_EXTENSIONS)) + " END"
+PATHS = f"SELECT p_partkey, {_PATHS.format(ext=_PICK)} AS path FROM part"
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", F.expr(_PATHS.format(ext=_PICK)).alias("path"))
+
+
+@query(f"SELECT path, CASE regexp_extract(path, '\\.([^.]*)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'rb' THEN 'ruby' END AS language FROM ({PATHS})")
+def detect_language(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", X.detect_language("path").alias("language"))
+
+
+_WHENS = " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{'jest' if f == 'playwright' else f}'" for p, f in X.FRAMEWORKS)
+
+
+@query(f"SELECT path, CASE {_WHENS} END AS framework FROM (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM ({PATHS}))")
+def detect_framework(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", X.detect_framework("path").alias("framework"))
+
+
+@query(f"""WITH p AS ({PATHS}), q AS (SELECT path, concat(CASE p_partkey % 4 WHEN 0 THEN 'src' WHEN 1 THEN 'src/d1' WHEN 2 THEN 'lib/d2' ELSE 'src/d3/deep/er' END, '/t.py') AS test FROM p),
+ d AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS a, regexp_replace(test, '/[^/]*$', '') AS b FROM q), s AS (SELECT *, string_split(a, '/') AS x, string_split(b, '/') AS y FROM d),
+ n AS (SELECT *, CASE WHEN x[1] <> y[1] THEN 0 WHEN len(x) < 2 OR len(y) < 2 OR x[2] <> y[2] THEN 1 ELSE 2 END AS common, greatest(len(x), len(y)) AS deep FROM s)
+ SELECT path, test, CASE WHEN a = b THEN 1e0 WHEN common / deep >= 5e-1 THEN 8e-1 WHEN common >= 1 THEN 6e-1 ELSE 4e-1 END AS weight FROM n""")
+def proximity_weight(spark, sf_dir):
+    test = F.expr("concat(CASE p_partkey % 4 WHEN 0 THEN 'src' WHEN 1 THEN 'src/d1' WHEN 2 THEN 'lib/d2' ELSE 'src/d3/deep/er' END, '/t.py')")
+    return _paths(spark, sf_dir).select("path", test.alias("test")).select("path", "test", X.proximity_weight("test", "path").alias("weight"))
+
+
+@query(f"SELECT path, regexp_replace(path, '\\.(js|jsx|ts|tsx|mjs|cjs)$', '') AS bare FROM ({PATHS})")
+def strip_js_ext(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", X.strip_js_extension("path").alias("bare"))
+
+
+@query(f"SELECT path, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\\..*$', ''), '(_test|Test|_spec|Spec)$', ''), '^(test_|Test)', ''), '') AS stem FROM ({PATHS})")
+def test_stem(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", X.test_stem("path").alias("stem"))
+
+
+@query("SELECT a / 60e0 AS gap, least(1e0, round_even(a / 60e0 * 20, 0) / 20) AS quantized FROM (SELECT CAST(p_partkey AS INT) AS a FROM part WHERE p_partkey <= 60)")
+def quantize_gap(spark, sf_dir):
+    gap = F.col("p_partkey") / F.lit(60.0)
+    return _table(spark, sf_dir, "part").where("p_partkey <= 60").select(gap.alias("gap"), X.quantized(gap).alias("quantized"))
+
+
+_SHARDS = ["src", "src/d1", "src/d3", "lib"]
+
+
+@query(f"SELECT path, CASE WHEN path LIKE 'src/d1/%' THEN 'src/d1' WHEN path LIKE 'src/d3/%' THEN 'src/d3' ELSE 'src' END AS shard FROM ({PATHS})")
+def longest_prefix_shard(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", X.shard_of("path", _SHARDS).alias("shard"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
+def extract_hrefs(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+
+
+@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) SELECT href, min(page_id) AS page_id FROM h GROUP BY href HAVING count(DISTINCT page_id) = 1")
+def resolve_unique_names(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    return hrefs.groupBy("href").agg(F.count_distinct("page_id").alias("n"), F.min("page_id").alias("page_id")).where("n = 1").select("href", "page_id")
+
+
+@query("SELECT name, dep_type, module_path FROM (SELECT event_type AS name, CAST(user_id AS STRING) AS dep_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS module_path, row_number() OVER (PARTITION BY event_type, user_id ORDER BY (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), ts, event_id) AS k FROM events) WHERE k = 1")
+def deps_dedupe(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("dep_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("module_path"), "ts", "event_id")
+    none = F.col("module_path").isNull().cast("int")
+    return S.last_of_each(rows, ["name", "dep_type"], [none.asc(), F.col("ts").asc(), F.col("event_id").asc()]).select("name", "dep_type", "module_path")
+
+
+# --- stores ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0")
+def cdc_changed_files(spark, sf_dir):
+    now = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), X.sha256("text").alias("content_hash"))
+    before = now.where("cast(file_path as bigint) % 10 <> 0").withColumn("content_hash", F.when(F.expr("cast(file_path as bigint) % 7 = 0"), "other").otherwise(F.col("content_hash")))
+    return S.changed_files(now, before).select(F.col("file_path").cast("bigint").alias("doc_id"))
+
+
+@query("SELECT user_id, coalesce(n.event_id, -1) AS event_id, coalesce(n.event_type, 'none') AS event_type FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value > 50) WHERE k = 1) n USING (user_id)")
+def upsert_last_wins(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    old = events.select("user_id").distinct().select("user_id", F.lit(-1).cast("bigint").alias("event_id"), F.lit("none").alias("event_type"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    return S.upserted(old, events.where("value > 50").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT file_path, max(n) AS n FROM (SELECT l_suppkey AS file_path, max(l_quantity) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 UNION ALL SELECT l_suppkey, max(l_quantity) FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) GROUP BY 1")
+def upsert_max(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_path"), F.col("l_quantity").alias("n"), "l_returnflag")
+    return S.upserted_max(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["file_path"], "n")
+
+
+# Source text for the extraction functions, one file for each part.
+_PY_SOURCE = "concat('import os\\nfrom pkg.m', CAST(p_partkey % 5 AS STRING), ' import f', CAST(p_partkey AS STRING), '\\n\\nclass C', CAST(p_partkey AS STRING), ':\\n    def go(self):\\n        return f', CAST(p_partkey AS STRING), '(1)\\n\\ndef top', CAST(p_partkey AS STRING), '():\\n    return 1\\n')"
+_JS_SOURCE = "concat('import { a as b } from \"./m', CAST(p_partkey % 5 AS STRING), '\";\\nconst P = \"./x\";\\nrequire(P);\\nexport function f', CAST(p_partkey AS STRING), '(x) {\\n  if (x) { return \"}\"; }\\n}\\nclass K', CAST(p_partkey AS STRING), ' {\\n}\\n')"
+
+
+def _sources(spark, sf_dir, text: str, ext: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.concat(F.lit("s/f"), F.col("p_partkey").cast("string"), F.lit(ext)).alias("file_path"), F.expr(text).alias("content"))
+
+
+_UNIT = "SELECT concat('s/f', CAST(p_partkey AS STRING), '{ext}') AS file_path, concat('{head}', {key}, '{tail}') AS name, '{kind}' AS unit_type, {a} AS line_start, {b} AS line_end FROM part"
+_KEY = "CAST(p_partkey AS STRING)"
+
+
+@query(" UNION ALL ".join([_UNIT.format(ext=".py", head="C", key=_KEY, tail="", kind="class", a=4, b=6), _UNIT.format(ext=".py", head="C", key=_KEY, tail=".go", kind="function", a=5, b=6), _UNIT.format(ext=".py", head="top", key=_KEY, tail="", kind="function", a=8, b=9)]))
+def extract_units_py(spark, sf_dir):
+    return E.code_units(_sources(spark, sf_dir, _PY_SOURCE, ".py")).drop("id")
+
+
+@query(" UNION ALL ".join([_UNIT.format(ext=".js", head="f", key=_KEY, tail="", kind="function", a=4, b=6), _UNIT.format(ext=".js", head="K", key=_KEY, tail="", kind="class", a=7, b=8)]))
+def extract_units_js(spark, sf_dir):
+    return E.code_units(_sources(spark, sf_dir, _JS_SOURCE, ".js")).drop("id")
+
+
+@query()
+def extract_deps_js(spark, sf_dir):
+    return E.dependencies(_sources(spark, sf_dir, _JS_SOURCE, ".js"))
+
+
+@query(" UNION ALL ".join(f"SELECT concat('s/f', {_KEY}, '.py') AS file_path, {n} AS name, '{t}' AS dep_type, {m} AS module_path FROM part" for n, t, m in (("'os'", "import", "'os'"), (f"concat('f', {_KEY})", "import", "concat('pkg.m', CAST(p_partkey % 5 AS STRING))"), (f"concat('f', {_KEY})", "call", "CAST(NULL AS STRING)"))))
+def extract_deps_py(spark, sf_dir):
+    return E.dependencies(_sources(spark, sf_dir, _PY_SOURCE, ".py")).select("file_path", "name", "dep_type", "module_path")
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, df: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream has written once all its input is read."""
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def _result_stream(spark, sf_dir) -> DataFrame:
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    return events.select(F.col("user_id").cast("string").alias("test_id"), (F.col("event_type") != "error").alias("passed"), F.col("value").alias("duration_ms"), F.col("ts").cast("timestamp").alias("recorded_at"))
+
+
+@query(RATES)
+def stream_failure_rates(spark, sf_dir):
+    return _stream(spark, T.failure_rates(_result_stream(spark, sf_dir)), "stream_failure_rates", "complete")
+
+
+@query()
+def stream_activity(spark, sf_dir):
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    rows = T.activity(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return _stream(spark, rows, "stream_activity", "append").select("window.start", "event_type", "n", "total")
+
+
+@query()
+def lock_ttl(spark, sf_dir):
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    requests = events.select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("file_path"), F.col("user_id").cast("string").alias("agent_id"), F.when(F.col("event_type") == "view", "release").otherwise("acquire").alias("action"), F.lit(3_600_000).cast("bigint").alias("ttl_ms"), F.col("ts").cast("timestamp").alias("at"))
+    return _stream(spark, T.locks(requests), "lock_ttl", "append")

@@ -3,31 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
-
-def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
-
-
-TABLES: dict[str, StructType] = {
-    "code_units": _schema("id string, file_path string, name string, unit_type string, line_start int, line_end int, content_hash string, updated_at timestamp"),
-    "test_units": _schema("id string, file_path string, name string, framework string, line_start int, line_end int, content_hash string, updated_at timestamp"),
-    "test_edges": _schema("test_id string, code_id string, edge_type string, weight double"),
-    "commits": _schema("hash string, author string, author_email string, date string, message string"),
-    "commit_files": _schema("commit_hash string, file_path string, insertions bigint, deletions bigint"),
-    "blame_cache": _schema("file_path string, line_start int, line_end int, commit_hash string, author string, author_email string, date string, content_hash string"),
-    "co_changes": _schema("file_a string, file_b string, co_commit_count bigint, last_co_commit string"),
-    "branch_co_changes": _schema("file_a string, file_b string, co_commit_count bigint, last_co_commit string"),
-    "churn_stats": _schema("file_path string, unit_name string, commit_count bigint, distinct_authors bigint, total_insertions bigint, total_deletions bigint, last_changed string, churn_score double"),
-    "file_hashes": _schema("file_path string, content_hash string, updated_at timestamp, mtime double, size bigint"),
-    "import_edges": _schema("importer_file string, imported_file string, confidence double"),
-    "static_test_imports": _schema("test_file_path string, test_unit_name string, target_file_path string, gap_eligible boolean, score double"),
-    "test_results": _schema("test_id string, passed boolean, duration_ms bigint, recorded_at timestamp"),
-    "meta": _schema("key string, value string"),
-    "file_locks": _schema("file_path string, agent_id string, acquired_at double, expires_at double, purpose string"),
-    "bg_jobs": _schema("id string, kind string, status string, result_json string, error_message string, progress_pct int, created_at string, updated_at string, cancel_requested_at string, started_at string"),
-    "job_events": _schema("id bigint, job_id string, event_type string, payload_json string, created_at string"),
+#: Column names and types, as Spark reads them.
+TABLES: dict[str, str] = {
+    "code_units": "id string, file_path string, name string, unit_type string, line_start int, line_end int, content_hash string, updated_at timestamp",
+    "test_units": "id string, file_path string, name string, framework string, line_start int, line_end int, content_hash string, updated_at timestamp",
+    "test_edges": "test_id string, code_id string, edge_type string, weight double",
+    "commits": "hash string, author string, author_email string, date string, message string",
+    "commit_files": "commit_hash string, file_path string, insertions bigint, deletions bigint",
+    "blame_cache": "file_path string, line_start int, line_end int, commit_hash string, author string, author_email string, date string, content_hash string",
+    "co_changes": "file_a string, file_b string, co_commit_count bigint, last_co_commit string",
+    "branch_co_changes": "file_a string, file_b string, co_commit_count bigint, last_co_commit string",
+    "churn_stats": "file_path string, unit_name string, commit_count bigint, distinct_authors bigint, total_insertions bigint, total_deletions bigint, last_changed string, churn_score double",
+    "file_hashes": "file_path string, content_hash string, updated_at timestamp, mtime double, size bigint",
+    "import_edges": "importer_file string, imported_file string, confidence double",
+    "static_test_imports": "test_file_path string, test_unit_name string, target_file_path string, gap_eligible boolean, score double",
+    "test_results": "test_id string, passed boolean, duration_ms bigint, recorded_at timestamp",
+    "meta": "key string, value string",
+    "file_locks": "file_path string, agent_id string, acquired_at double, expires_at double, purpose string",
+    "bg_jobs": "id string, kind string, status string, result_json string, error_message string, progress_pct int, created_at string, updated_at string, cancel_requested_at string, started_at string",
+    "job_events": "id bigint, job_id string, event_type string, payload_json string, created_at string",
 }
 
 KEYS: dict[str, list[str]] = {
