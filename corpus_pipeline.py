@@ -24,7 +24,7 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, failing lines go."""
-    found = quality(docs, [c for c in docs.columns if c != "text"], clean_text=True).where("kept").withColumnRenamed("clean_text", "text")
+    found = quality(docs, [c for c in docs.columns if c != "text"], clean_text=True, prefix="_quality_").where("_quality_kept").withColumnRenamed("_quality_clean_text", "text")
     return _with_text(found.select(*docs.columns))
 
 

@@ -128,10 +128,10 @@ def judged(text: str, min_words: int = 20, max_repeat_percent: int = 30, max_los
 _KINDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "lost_chars": "long", "kept": "boolean", "clean_text": "string"}
 
 
-def quality(docs: DataFrame, columns: list[str], text: str = "text", clean_text: bool = False, **limits) -> DataFrame:
+def quality(docs: DataFrame, columns: list[str], text: str = "text", clean_text: bool = False, prefix: str = "", **limits) -> DataFrame:
     """``columns`` of ``docs`` with the metrics and verdict of every whole text (see :func:`judged` for ``limits``).
 
-    ``clean_text`` adds the text without its failing lines.  A null or empty text has no words, so it fails the base
+    ``clean_text`` adds the text without its failing lines; ``prefix`` goes before every new name.  A null or empty text has no words, so it fails the base
     rules and is not kept.  Rows are judged one by one: repeated rows get the same verdict, and an empty table gives
     an empty result.
     """
@@ -141,11 +141,11 @@ def quality(docs: DataFrame, columns: list[str], text: str = "text", clean_text:
     def rows():
         def run(texts):
             found = [judged(t, **limits) for t in texts]
-            return {n: pa.array([f[n] for f in found], arrow[_KINDS[n]]) for n in names}
+            return {prefix + n: pa.array([f[n] for f in found], arrow[_KINDS[n]]) for n in names}
 
         return run
 
-    return map_texts(docs, columns, ", ".join(f"{n} {_KINDS[n]}" for n in names), rows, text)
+    return map_texts(docs, columns, ", ".join(f"{prefix}{n} {_KINDS[n]}" for n in names), rows, text)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

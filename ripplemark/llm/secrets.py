@@ -76,8 +76,8 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
     return rows.groupBy("h").agg(F.count_distinct("r").alias("repositories"), F.count_distinct("o").alias("owners"))
 
 
-def scan(docs: DataFrame, columns: list[str], repository: str = "source", owner: str = "source", text: str = "text", max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
-    """``columns`` with ``spans``: base matches, and added matches whose value looks live, each with ``live``.
+def scan(docs: DataFrame, columns: list[str], repository: str = "source", owner: str = "source", text: str = "text", max_owners: int = 1, max_repositories: int = 3, name: str = "spans") -> DataFrame:
+    """``columns`` with ``spans`` (or another ``name``): base matches, and added matches whose value looks live, each with ``live``.
 
     Live-looking: held by at most ``max_owners`` owners and ``max_repositories`` repositories in the whole corpus.  A
     null or empty text has no spans; repeated rows each get theirs; an empty table gives none.  Texts are not shuffled:
@@ -94,7 +94,7 @@ def scan(docs: DataFrame, columns: list[str], repository: str = "source", owner:
     kept = each.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("_s"))
     out = found.select("_id", *names).join(kept, "_id", "left")
     none = F.array().cast("array<struct<kind:string,start:int,end:int,live:boolean>>")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], F.coalesce("_s", none).alias("spans"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], F.coalesce("_s", none).alias(name))
 
 
 def joined(spans: Column) -> Column:
@@ -108,7 +108,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **how) -
     Texts without a match of any pattern, nulls included, pass through as they are and are not moved.
     """
     marked = F.coalesce(F.col(f"`{text}`").rlike("|".join(f"(?:{p})" for p in (BASE | ADDED).values())), F.lit(False))
-    found = scan(docs.where(marked), docs.columns, text=text, **how)
+    found = scan(docs.where(marked), docs.columns, text=text, name="_secret_spans", **how)
     own = F.col(f"`{text}`")
 
     def step(acc: Column, s: Column) -> Column:
@@ -117,7 +117,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **how) -
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], own.substr(acc["at"] + 1, F.length(own))))
+    masked = F.aggregate("_secret_spans", zero, step, lambda acc: F.concat(acc["out"], own.substr(acc["at"] + 1, F.length(own))))
     return docs.where(~marked).unionByName(found.withColumn(text, masked).select(*[f"`{c}`" for c in docs.columns]))
 
 
