@@ -474,5 +474,5 @@ def test_units(files: DataFrame) -> DataFrame:
     marks = own.select("file_path", "framework", marked_names(content, F.col("framework")).alias("marked"))
     units = code_units(own).drop("id").join(marks, "file_path")
     last = F.element_at(F.split("name", r"\."), -1)
-    units = units.where(F.col("unit_type").isin("test_suite", "test_case") | F.array_contains("marked", last) | (is_test_name("name", "framework") & (F.col("unit_type") != "class")))
+    units = units.where(F.col("unit_type").isin("test_suite", "test_case") | F.array_contains("marked", last) | is_test_name("name", "framework"))
     return units.select(F.concat_ws(":", "file_path", "name").alias("id"), "file_path", "name", "framework", "line_start", "line_end").dropDuplicates(["id"])
