@@ -159,5 +159,5 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
     """All documents against the built-in templates: ids of the licenses found, joined by a comma, and how many."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_templates(spark), ["doc_id"])
     ids = F.array_join(F.transform("licenses", lambda x: x["template_id"]), ",")
-    least = F.round(F.array_min(F.transform("licenses", lambda x: x["containment"])), 6)
+    least = F.coalesce(F.round(F.array_min(F.transform("licenses", lambda x: x["containment"])), 6), F.lit(0.0))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), ids.alias("licenses"), least.alias("min_containment"))

@@ -24,9 +24,14 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: Signs that part the entries of a menu.
 _SEPARATORS = re.compile(r"[|<>•·»›]")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) | 1 for i in range(WINDOW)], dtype=object)
-_WEIGHTS = np.array([int(x) & 0xFFFFFFFFFFFFFFFF for x in _ODD], dtype=np.uint64)
+_WORD = re.compile(r"[^ \t\n\v\f\r]+")
+
+
+def _weights(window: int) -> np.ndarray:
+    return np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & 0xFFFFFFFFFFFFFFFF for i in range(window)], dtype=np.uint64)
+
+
+_WEIGHTS = _weights(WINDOW)
 
 
 def repeated_words(tokens: list[bytes], window: int = WINDOW) -> int:
@@ -40,7 +45,7 @@ def repeated_words(tokens: list[bytes], window: int = WINDOW) -> int:
         return 0
     spread = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     spread ^= spread >> np.uint64(29)
-    weights = _WEIGHTS if window == WINDOW else np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & 0xFFFFFFFFFFFFFFFF for i in range(window)], dtype=np.uint64)
+    weights = _WEIGHTS if window == WINDOW else _weights(window)
     h = np.zeros(n, np.uint64)
     for i in range(window):
         h += spread[i : i + n] * weights[i]
@@ -79,7 +84,7 @@ def line_fails(line: str, max_symbol_ratio: float = 0.2, menu_items: int = 3, me
     dense = len(body) - sum(body.count(c) for c in BLANKS)
     symbols = sum(body.count(c) for c in SYMBOLS)
     if symbols:
-        parts = [p.split() for p in _SEPARATORS.split(body)]
+        parts = [_WORD.findall(p) for p in _SEPARATORS.split(body)]
         parts = [p for p in parts if p]
         if len(parts) >= menu_items and sum(map(len, parts)) <= menu_words * len(parts):
             return "navigation"
