@@ -211,3 +211,18 @@ def test_project(project):
     with open(os.path.join(p.root, "app.py"), "a") as f:
         f.write("# more\n")
     assert p.update()["changed_files"] == 1 and p.diff_impact()
+
+
+def test_command_line(project, capsys):
+    import json
+
+    from ripplemark import cli
+
+    common = ["--project-dir", project.root, "--storage-dir", project.store.folder, "--json"]
+    assert cli.main([*common, "history", "app.py", "--limit", "1"], project.spark) == 0
+    assert len(json.loads(capsys.readouterr().out)["result"]) == 1
+    assert cli.main([*common, "record-result", "tests/test_app.py:test_process", "passed"], project.spark) == 0
+    assert json.loads(capsys.readouterr().out)["result"]["passed"] is True
+    assert cli.framework_of(["python", "-m", "pytest"]) == "pytest" and cli.augmented(["pytest"], "pytest", "r") == ["pytest", "-v"]
+    assert cli.main([*common, "run", "echo", "tests/test_app.py::test_process PASSED"], project.spark) == 0
+    assert json.loads(capsys.readouterr().out)["result"]["framework"] is None
