@@ -310,3 +310,23 @@ def test_toxicity_held_out(spark):
     assert cited < toxicity.PREDICTED < plain
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score(docs, none, ["doc_id"]).where("score > 0").count() == 0
+
+
+def test_sql_counterparts(spark, docs, table):
+    """The SQL gives the same as the queries on the odd table too (rows with ids, each once)."""
+    duckdb = pytest.importorskip("duckdb")
+    from ripplemark.llm import sql
+
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts_once(table))]
+    own = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    got = substrings.dedup_substrings(own, ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert counted(got.collect()) == counted(con.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({sql.OP5})").fetchall())
+    names = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept"
+    assert counted(quality.quality(own, ["doc_id"]).select(*names.split(", ")).collect()) == counted(con.sql(f"SELECT {names} FROM ({sql.OP4})").fetchall())
+
+
+def texts_once(table):
+    return [t for i, t in table if i is not None][:48]
