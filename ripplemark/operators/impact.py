@@ -12,6 +12,7 @@ from ripplemark.operators.history import partners
 
 COCHANGE_WEIGHT, CLOSURE_WEIGHT, STATIC_BLEND, FAILURE_BOOST = 0.5, 0.45, 0.28, 0.5
 HEURISTIC_WEIGHT, STEM_WEIGHT, STEM_LEAST = 0.2, 0.4, 0.5
+BROADCAST_FILES = 10_000
 #: Equal scores keep the source that comes first.
 RANKS = {"direct": 0, "co_change": 1, "import_graph": 2, "static_require": 3, "hybrid": 4, "fallback": 5, "working_tree": 6}
 
@@ -75,13 +76,14 @@ def hybrid(impacted: DataFrame, static: DataFrame) -> DataFrame:
 def fallback(files: DataFrame, tests: DataFrame) -> DataFrame:
     """Every test of every file of a (small, given) list, ranked by how the names of the two files compare.
 
-    Test names are first gathered by file, so the product is of files and test files.
+    Test names are first gathered by file, so the product is of files and test files; it is broadcast only while the
+    list is short.
     """
     stem = lambda p: F.regexp_replace(basename(p), r"(?<=.)\.[^.]*$", "")
     last = lambda p: basename(directory(p))
     own = files.select(F.col("file_path").alias("source_file")).distinct()
     by_file = tests.groupBy(F.col("file_path")).agg(F.array_sort(F.collect_list("name")).alias("names"))
-    rows = by_file.join(F.broadcast(own))
+    rows = by_file.join(F.broadcast(own) if own.count() <= BROADCAST_FILES else own)
     a, b = stem("source_file"), stem("file_path")
     base = F.when(a == b, 1.0).when(F.contains(b, a) | F.contains(a, b), 0.5).otherwise(0.1)
     near = (directory("source_file") != "") & (directory("file_path") != "") & (last("source_file") == last("file_path"))
