@@ -394,11 +394,15 @@ def fallback_suggest(spark, sf_dir):
     return I.fallback(v.files.where(F.col("file_path").isin(TARGET, "src/d1/f1.py")), v.test_units).select("source_file", "test_id", "relevance")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS ({_pairs('commits', 5)}), near AS ({NEAR}), und AS ({UNDIRECTED}), c AS (SELECT '{TARGET}' AS file_path, 1e0 AS decay, 0 AS step UNION SELECT und.b, c.decay * 88e-2 * und.confidence, c.step + 1 FROM c JOIN und ON und.a = c.file_path WHERE c.step < 32 AND c.decay >= 1e-2),
+ best AS (SELECT file_path, max(decay) AS decay FROM c WHERE file_path <> '{TARGET}' GROUP BY 1), r AS (SELECT test_id, score, 'direct' AS source, 0 AS rank FROM ({DIRECT}) WHERE file_path = '{TARGET}'
+ UNION ALL SELECT test_id, score * 5e-1, 'co_change', 1 FROM ({DIRECT}) d JOIN near ON near.f = d.file_path UNION ALL SELECT test_id, score * decay * 45e-2, 'import_graph', 2 FROM ({DIRECT}) d JOIN best USING (file_path))
+ SELECT test_id, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY score DESC, rank) AS k FROM r) WHERE k = 1""")
 def impacted_all(spark, sf_dir):
     v = Views(spark, sf_dir)
     pairs = H.co_changes(v.commits, v.commit_files, 5)
-    return I.impact(v.code_units, v.test_edges, v.test_units, pairs, v.import_edges, v.files.where(F.col("file_path") == TARGET), min_count=5)
+    rows = I.impact(v.code_units, v.test_edges, v.test_units, pairs, v.import_edges, v.files.where(F.col("file_path") == TARGET), min_count=5)
+    return rows.select("test_id", F.round("score", 6).alias("score"), "source")
 
 
 # --- risk --------------------------------------------------------------------------------------------------------
