@@ -76,14 +76,17 @@ def merge_pieces(pieces: list[bytes], model: dict) -> list[bytes]:
     merges: Merges = model["pairs"]
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-    symbols = np.array(model["bytes"], np.int64)[raw]
+    symbols = np.array(model["bytes"], np.int32)[raw]
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     symbols[starts + sizes] = -1  # parts the pieces: no pair holds it
     n = len(symbols)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     where: dict[int, list[np.ndarray]] = {}  # by rank, as a rank is a pair
     active: list[int] = []
 
+    def paired(places: np.ndarray) -> np.ndarray:
+        return symbols[places].astype(np.int64) << 32 | symbols[after[places]]
+
     def listed(pairs: np.ndarray, places: np.ndarray) -> None:
         """Adds places to the lists of their pairs; a rank whose list was empty becomes active."""
         rank = merges.ranks(pairs)
@@ -104,7 +107,8 @@ def merge_pieces(pieces: list[bytes], model: dict) -> list[bytes]:
                 where[r] = [part]
                 heapq.heappush(active, r)
 
-    listed(np.where((symbols[:-1] >= 0) & (symbols[1:] >= 0), symbols[:-1] << 32 | symbols[1:], -1), np.arange(n - 1))
+    first = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0)).astype(np.int32)
+    listed(paired(first), first)
     while active:
         rank = heapq.heappop(active)
         lists = where.pop(rank)
@@ -131,9 +135,9 @@ def merge_pieces(pieces: list[bytes], model: dict) -> list[bytes]:
         left = left[(left >= 0) & (symbols[left] >= 0)]
         right = places[symbols[third] >= 0]
         sources = np.concatenate([left, right])
-        listed(symbols[sources] << 32 | symbols[after[sources]], sources)
+        listed(paired(sources), sources)
     alive = symbols >= 0
-    flat = symbols[alive].astype(np.int32).tobytes()
+    flat = symbols[alive].tobytes()
     ends = (4 * np.cumsum(alive)[starts + sizes]).tolist()
     return [flat[i:j] for i, j in zip([0, *ends[:-1]], ends)]
 
@@ -141,7 +145,7 @@ def merge_pieces(pieces: list[bytes], model: dict) -> list[bytes]:
 class Encoder:
     """Encodes texts a batch at a time; keeps the ids of up to ``cached`` distinct parts between batches."""
 
-    def __init__(self, model: dict, cached: int = 600_000):
+    def __init__(self, model: dict, cached: int = 250_000):
         self.model, self.most = model, cached
         self.model.setdefault("pairs", Merges(model["merges"]))
         self.spaced: dict[str, bytes] = {}  # parts after a blank
@@ -163,7 +167,7 @@ class Encoder:
         self.exact.update((p, of(p)) for p in exact)
 
     def encode(self, texts: list[str]):
-        """Yields the ids of each text."""
+        """Yields the ids of each text; unseen parts of all are learned before the first."""
         if len(self.spaced) + len(self.exact) + len(self.odd) > self.most:
             for known in (self.spaced, self.exact, self.odd):
                 known.clear()
@@ -204,7 +208,7 @@ def decode(ids, model: dict) -> str:
     return b"".join(map(model["table"].__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
 
 
-def tokenize(docs: DataFrame, path: str, columns: list[str], text: str = "text", ids: bool = False, stretch: int = 16_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, columns: list[str], text: str = "text", ids: bool = False, stretch: int = 6_000_000) -> DataFrame:
     """``columns`` of ``docs`` with ``n_tokens``, the hashes of the ids and of the decoded text, and the ``ids`` if asked.
 
     ``path``: a byte-level BPE file of the tokenizers library; it is read on the driver and broadcast (its size is that

@@ -41,8 +41,8 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_texts(docs: DataFrame, columns: list[str], schema: str, rows, text: str = "text") -> DataFrame:
-    """``rows(texts) -> dict of columns`` over whole texts, batch by batch, beside the ``columns`` passed through.
+def map_texts(docs: DataFrame, columns: list[str], schema: str, rows, text: str = "text", slice_rows: int = 1500) -> DataFrame:
+    """``rows(texts) -> dict of columns`` over whole texts, in slices of a batch, beside the ``columns`` passed through.
 
     One output row for each input row, in the same partition: no shuffle.
     """
@@ -53,8 +53,10 @@ def map_texts(docs: DataFrame, columns: list[str], schema: str, rows, text: str
     def run(batches):
         run_rows = rows()
         for batch in batches:
-            out = run_rows(texts_of(batch, text))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())], names=[*names, *out])
+            for at in range(0, batch.num_rows, slice_rows):  # bounds the memory of a worker
+                part = batch.slice(at, slice_rows)
+                out = run_rows(texts_of(part, text))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())], names=[*names, *out])
 
     return docs.select(*names, text).mapInArrow(run, full)
 
