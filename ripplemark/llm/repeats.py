@@ -42,11 +42,11 @@ def packed(codes: np.ndarray, buckets: np.ndarray) -> tuple[list[int], list[byte
     return buckets[cuts[:-1]].tolist(), [codes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
-def repeated(sent: DataFrame, dtype: np.dtype, code_of, indexed: int = 0, multi: int = 0) -> DataFrame:
+def repeated(sent: DataFrame, dtype: np.dtype, code_of, indexed: int = 0, multi: int = 0, answer=None) -> DataFrame:
     """Of rows ``chunk, bucket, codes``: ``chunk, bucket, codes`` again, cut down to the codes found in two places.
 
     ``code_of(array)`` takes the flag bits off a code.  ``multi`` is the flag of a code that its chunk holds twice or
-    more.  With ``indexed`` given, one of the places must carry that flag.
+    more.  With ``indexed`` given, one of the places must carry that flag.  ``answer(array)`` makes the answers shorter.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -69,7 +69,7 @@ def repeated(sent: DataFrame, dtype: np.dtype, code_of, indexed: int = 0, multi:
         keep[order] = np.repeat(many, np.diff(np.append(starts, len(ordered))))
         ends = np.cumsum([len(p) for p in parts])
         out = [(c, p[keep[e - len(p) : e]]) for c, p, e in zip(chunks, parts, ends.tolist())]
-        out = [(c, p.tobytes()) for c, p in out if len(p)]
+        out = [(c, (answer(p) if answer else p).tobytes()) for c, p in out if len(p)]
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"chunk": pa.array([c for c, _ in out], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "codes": pa.array([p for _, p in out], pa.binary())})
 

@@ -6,8 +6,8 @@ of its places, so the block meets the other place's rolling window: both places
 looking at every ``window``-word string around it; those that start in two places join up to the maximal exact repeats.
 
 Blocks and windows meet as codes (see :mod:`repeats`): documents are dealt into chunks once, 4 bytes a word go out for
-the anchors and 16 bytes for each distinct window around an anchor.  Windows are compared by 127 bits of two
-independent polynomial hashes of the words' 128-bit digests.
+the anchors and 12 bytes for each distinct window around an anchor; answers take 8.  Windows are compared by 95 bits of
+two independent polynomial hashes of the words' 128-bit digests, within buckets dealt by other bits.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from ripplemark.llm.repeats import bucket_count, chunked, packed, repeated
 
 WINDOW = 35
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_STRONG = np.dtype([("high", "<u8"), ("low", "<u8")])
+_STRONG = np.dtype([("high", "<u8"), ("low", "<u4")])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -90,8 +90,8 @@ def _strong(words: Words, window: int, at: np.ndarray, buckets: int) -> tuple[np
     out = np.empty(len(at), _STRONG)
     out["high"] = words.rolling(words.a, window, _BASES[0])[at]
     low = words.rolling(words.b, window, _BASES[1])[at]
-    out["low"] = low & ~np.uint64(1)
-    return out, ((low >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
+    out["low"] = (low & np.uint64(0xFFFFFFFE)).astype(np.uint32)
+    return out, ((low >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _texts(table: pa.Table) -> list[str]:
@@ -157,16 +157,16 @@ def repeated_spans(docs: DataFrame, key: list[str], rows, schema: str, window: i
         if not len(starts):
             return _rows(0, ([], []))
         merged = strong[starts]
-        merged["low"] |= (np.diff(np.append(starts, len(strong))) > 1).astype(np.uint64)
+        merged["low"] |= (np.diff(np.append(starts, len(strong))) > 1).astype(np.uint32)
         return _rows(table.column("chunk")[0].as_py(), packed(merged, bucket[starts]))
 
     def plain(x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x), _STRONG)
-        out["high"], out["low"] = x["high"], x["low"] & ~np.uint64(1)
-        return out.view("V16").ravel()
+        out["high"], out["low"] = x["high"], x["low"] & np.uint32(0xFFFFFFFE)
+        return out.view("V12").ravel()
 
     windows = groups.cogroup(anchors.groupBy("chunk")).applyInArrow(extend, _SENT)
-    again = repeated(windows, _STRONG, plain, multi=1)
+    again = repeated(windows, _STRONG, plain, multi=1, answer=lambda x: x["high"])
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*key).schema.fields}
 
     def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -175,11 +175,11 @@ def repeated_spans(docs: DataFrame, key: list[str], rows, schema: str, window: i
         texts = _texts(table)
         words = Words(texts)
         covered = np.zeros(len(words.tokens), bool)
-        known = _found(replies, _STRONG)
+        known = _found(replies, np.dtype("<u8"))
         if known:
             inside = words.inside(window)
             strong, _ = _strong(words, window, inside, buckets)
-            at = inside[np.isin(strong["high"], np.concatenate([c["high"] for c in known.values()]))]
+            at = inside[np.isin(strong["high"], np.concatenate(list(known.values())))]
             edge = np.zeros(len(words.tokens) + 1, np.int32)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + window, -1)
