@@ -4,13 +4,14 @@ Texts are sets of five-word shingles; texts with equal sets are one node.  A set
 MinHash values.  A run picks one coordinate at each step of its path and splits a bucket by the value there, so two
 sets stay together with the probability of their similarity; buckets of at most ``bucket`` sets are compared by brute
 force, larger ones are split again.  Runs repeat until a pair at the threshold is together in some bucket with the
-target recall.  A bucket that no longer gets smaller holds near copies only and is compared in blocks, each with the
-same pivot.
-
-In a bucket, sets are first compared by their sketches; those that can reach the threshold form groups, groups found in
-several runs are one, and in each group every pair is compared exactly on whole shingle sets.  A group keeps a spanning
-forest of its verified links (the most similar first) and each set's number of verified partners: no class is lost and
-no group writes all its pairs.  Classes are the connected components of the links, by randomised contraction.
+target recall.  A bucket that is still large at the last split is dealt into blocks, and every two blocks are compared
+in a cell of their own.
+
+A pair belongs to the first run in which its sets share a bucket, so each pair is looked at and counted once.  In a
+cell, sets are first compared by their sketches; those that can reach the threshold form groups, and in each group
+every pair of that cell is compared exactly on whole shingle sets.  A group keeps a spanning forest of its verified
+links (the most similar first) and each set's number of verified partners, which add up over the groups: no class is
+lost and no group writes all its pairs.  Classes are the connected components of the links, by randomised contraction.
 """
 
 from __future__ import annotations
@@ -131,39 +132,69 @@ def _roots(n: int, pairs) -> list[int]:
     return [root(x) for x in range(n)]
 
 
-def _alike(sketches: np.ndarray, least: int) -> np.ndarray:
-    """Pairs (rows a < b) that agree in at least ``least`` places."""
+def _alike(sketches: np.ndarray, least: int, split: int = 0) -> np.ndarray:
+    """Pairs (rows a < b) that agree in at least ``least`` places; with ``split`` only those of a row before it and one from it on."""
     out = []
-    for a in range(len(sketches) - 1):
-        b = np.flatnonzero(np.count_nonzero(sketches[a + 1 :] == sketches[a], axis=1) >= least)
-        out.append(np.stack([np.full(len(b), a), b + a + 1], 1))
+    for a in range(split or len(sketches) - 1):
+        first = max(a + 1, split)
+        b = np.flatnonzero(np.count_nonzero(sketches[first:] == sketches[a], axis=1) >= least)
+        out.append(np.stack([np.full(len(b), a), b + first], 1))
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
+def _met(paths: list[list[int | None]], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each set in the runs before ``run``, and where it was alone in that run."""
+    own = [[x or 0 for x in p[:run]] for p in paths]
+    alone = np.array([[x is None for x in p[:run]] for p in paths], bool).reshape(len(paths), run)
+    return np.array(own, np.int64).reshape(len(paths), run), alone
+
+
+def _new(met: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows ``a``, ``b`` shared no bucket in an earlier run."""
+    buckets, alone = met
+    out = np.ones(len(a), bool)
+    for r in range(buckets.shape[1]):
+        out &= (buckets[a, r] != buckets[b, r]) | alone[a, r] | alone[b, r]
+    return out
+
+
+_MEMBERS = "name binary, k binary, run int, block int, path array<long>"
+
+
 def _groups(least: int):
-    """In every bucket the groups of two or more that may hold links, as sorted keys."""
+    """In every cell the groups of two or more that may hold new links, one row for each member."""
 
     def run(batches):
-        out, seen = [], set()
-        for g in _grouped(batches, "node"):
-            own = dict(zip(g["k"], g["sketch"]))
-            if len(own) < 2:
+        out: list[tuple] = []
+
+        def table():
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["name", "k", "run", "block", "path"])
+
+        for g in _grouped(batches, "cell"):
+            n = len(g["k"])
+            if n < 2:
                 continue
-            keys = sorted(own)
-            pairs = _alike(np.frombuffer(b"".join(own[k] for k in keys), np.uint8).reshape(-1, SKETCH), least)
+            order = sorted(range(n), key=lambda i: (g["block"][i], g["k"][i]))
+            split = sum(b == g["block"][order[0]] for b in g["block"]) % n
+            if not split and g["block"][0] != g["other"][0]:
+                continue
+            pairs = _alike(np.frombuffer(b"".join(g["sketch"][i] for i in order), np.uint8).reshape(-1, SKETCH), least, split)
+            if len(pairs) and g["run"][0]:
+                pairs = pairs[_new(_met([g["path"][i] for i in order], g["run"][0]), pairs[:, 0], pairs[:, 1])]
             if not len(pairs):
                 continue
-            member: dict[int, list[bytes]] = {}
-            for k, r in zip(keys, _roots(len(keys), pairs.tolist())):
-                member.setdefault(r, []).append(k)
+            member: dict[int, list[int]] = {}
+            for i, r in zip(order, _roots(n, pairs.tolist())):
+                member.setdefault(r, []).append(i)
             for m in member.values():
-                if len(m) > 1 and (name := hashlib.blake2b(b"".join(m), digest_size=16).digest()) not in seen:
-                    seen.add(name)
-                    out.append((name, m))
-            if len(out) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.binary()))], names=["name", "keys"])
+                if len(m) > 1:
+                    name = hashlib.blake2b(b"%d" % g["cell"][0] + b"".join(g["k"][i] for i in m), digest_size=16).digest()
+                    out += [(name, g["k"][i], g["run"][i], g["block"][i], g["path"][i]) for i in m]
+            if len(out) >= 4000:
+                yield table()
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.binary()))], names=["name", "keys"])
+        yield table()
 
     return run
 
@@ -191,18 +222,26 @@ def similarities(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(threshold: float):
-    """In every group the verified links of a spanning forest, and each member's number of verified partners."""
+    """In every group the verified links of a spanning forest, and each member's number of verified partners.
+
+    Only the pairs that belong to the group's cell: new in its run and, between two blocks, one set of each.
+    """
 
     def run(batches):
         for g in _grouped(batches, "name"):
-            own = dict(zip(g["k"], g["own"]))
+            own = {k: i for i, k in enumerate(g["k"])}
             keys = sorted(own)
             if len(keys) < 2:
                 continue
-            s = similarities([np.frombuffer(own[k], np.uint64) for k in keys])
+            s = similarities([np.frombuffer(g["own"][own[k]], np.uint64) for k in keys])
             near = np.triu(s >= threshold - 1e-6, 1)
-            partners = (near | near.T).sum(1)
+            block = np.array([g["block"][own[k]] for k in keys])
+            if (block != block[0]).any():
+                near &= block[:, None] != block[None, :]
             a, b = np.nonzero(near)
+            new = _new(_met([g["path"][own[k]] for k in keys], g["run"][0]), a, b)
+            a, b = a[new], b[new]
+            partners = np.bincount(a, minlength=len(keys)) + np.bincount(b, minlength=len(keys))
             order = np.argsort(-s[a, b], kind="stable")
             parent = list(range(len(keys)))
             tree = []
@@ -248,41 +287,52 @@ def contracted(links: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, sketches: DataFrame, bucket: int, depth: int) -> DataFrame:
-    """``node, k`` of all final buckets: at most ``bucket`` sets each, singles left out."""
+    """``run, node, k, n`` of all final buckets of ``n`` sets, singles left out: over ``bucket`` only after ``depth`` splits."""
     done = None
     for level in range(1, depth + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("pivot")).where(F.col("n") > 1)
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
         nodes = checkpointed(nodes.join(sizes, "node"))
-        small = nodes.where(F.col("n") <= bucket).select("node", "k")
+        small = (nodes.where(F.col("n") <= bucket) if level < depth else nodes).select("run", "node", "k", "n")
         done = small if done is None else done.unionByName(small)
         large = nodes.where(F.col("n") > bucket)
-        if large.isEmpty():
+        if level == depth or large.isEmpty():
             return done
-        if level == depth:
-            block = F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / (bucket - 1)))
-            blocks = large.withColumn("node", F.xxhash64("node", block))
-            return done.unionByName(blocks.select("node", "k")).unionByName(blocks.select("node", F.col("pivot").alias("k")).distinct()).distinct()
         at = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(SKETCH)).cast("int") + 1
-        nodes = large.join(sketches, "k").select(F.xxhash64("node", at, F.expr("substring(sketch, cast(pmod(xxhash64(node, %d), %d) as int) + 1, 1)" % (level, SKETCH))).alias("node"), "k")
+        nodes = large.join(sketches, "k").select("run", F.xxhash64("node", at, F.expr("substring(sketch, cast(pmod(xxhash64(node, %d), %d) as int) + 1, 1)" % (level, SKETCH))).alias("node"), "k")
     return done
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = 0.999, bucket: int = BUCKET, depth: int = 10) -> tuple[DataFrame, DataFrame]:
+def _cells(final: DataFrame, sketches: DataFrame, runs: int, bucket: int) -> DataFrame:
+    """The rows of every cell: ``cell, k, run, block, other, path, sketch``.
+
+    A bucket of at most ``bucket`` sets is one cell.  A larger one is dealt into blocks of about half of that by a hash of
+    the set, and each two blocks, and each block with itself, are a cell.  ``path`` has a set's bucket in every run.
+    """
+    path = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("by_run", r)["node"])
+    paths = final.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("run", F.struct("node", "n")))).alias("by_run")).join(sketches, "k")
+    each = paths.select("k", "sketch", path.alias("path"), F.explode("by_run").alias("run", "at")).select("k", "sketch", "path", "run", "at.*")
+    blocks = F.when(F.col("n") > bucket, F.ceil(2 * F.col("n") / bucket)).otherwise(1).cast("int")
+    each = each.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "k", "run", "block", "other", "path", "sketch")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = 0.999, bucket: int = BUCKET, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """``id, k`` for every row, and the classes ``k, first, copies, links, class_k, class_id`` of the distinct sets.
 
     ``k`` is null for texts without words (null, empty): such rows are in no class.  Rows with equal shingle sets are
-    copies.  ``first`` is a set's least id (null ids last), ``links`` the most verified partners that one group shows
-    (all of them, where a class fits a bucket), ``class_id`` the least id of the class.
+    copies.  ``first`` is a set's least id (null ids last), ``links`` the number of its distinct verified partners,
+    ``class_id`` the least id of the class.
     """
-    rows = checkpointed(sketched(docs, runs_for(recall, threshold), text, doc_id))
+    runs = runs_for(recall, threshold)
+    rows = checkpointed(sketched(docs, runs, text, doc_id))
     full = rows.where(F.col("k").isNotNull())
     nodes = checkpointed(full.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")))
     sketches = nodes.select("k", "sketch")
-    final = _buckets(nodes.select(F.explode("nodes").alias("node"), "k"), sketches, bucket, depth)
-    least = math.floor(SKETCH * (threshold - 3.3 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
-    held = final.join(sketches, "k").repartition("node").sortWithinPartitions("node")
-    groups = held.mapInArrow(_groups(least), "name binary, keys array<binary>").groupBy("name").agg(F.first("keys").alias("keys"))
-    members = checkpointed(groups.select("name", F.explode("keys").alias("k")))
+    final = _buckets(nodes.select(F.posexplode("nodes").alias("run", "node"), "k"), sketches, bucket, depth)
+    least = math.floor(SKETCH * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+    held = _cells(final, sketches, runs, bucket).repartition("cell").sortWithinPartitions("cell")
+    members = checkpointed(held.mapInArrow(_groups(least), _MEMBERS))
     wanted = members.select("k").distinct().join(nodes.select("k", "first"), "k").withColumnRenamed("first", "id")
 
     def own_sets(batches):
@@ -298,7 +348,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     linked = members.join(sets, "k").repartition("name").sortWithinPartitions("name").mapInArrow(_links(threshold), "k binary, n long, `to` array<binary>")
     linked = checkpointed(linked)
     labels = contracted(linked.select(F.col("k").alias("a"), F.explode("to").alias("b")))
-    counts = linked.groupBy("k").agg(F.max("n").alias("links"))
+    counts = linked.groupBy("k").agg(F.sum("n").alias("links"))
     classes = nodes.select("k", "first", "copies").join(labels.withColumnRenamed("v", "k"), "k", "left").join(counts, "k", "left")
     classes = classes.select("k", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "k").alias("label"))
     heads = classes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "k")).alias("h"))

@@ -139,6 +139,28 @@ def test_large_buckets_are_split(spark):
     assert classes.select("class_id").distinct().count() == 1
 
 
+def variants(n, edits, size=300):
+    """Near copies of one text, the same in every run of the tests, and each one's number of links."""
+    rnd = random.Random(7)
+    base = [rnd.choice(VOCABULARY) for _ in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in rnd.sample(range(size), edits):
+            w[k] = f"edit{i}"
+        out.append(" ".join(w))
+    sets = [shingles(t) for t in out]
+    return list(enumerate(out)), {i: sum(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+
+
+@pytest.mark.parametrize("bucket", [1024, 16])
+def test_links_are_distinct_partners_of_all_runs(spark, bucket):
+    """Whether buckets are compared whole or block by block."""
+    rows, expected = variants(60, 2)
+    _, classes = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=bucket)
+    assert {r.first: r.links for r in classes.select("first", "links").collect()} == expected
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(300)] + [(b"x", b"y")], "a binary, b binary")
     labels = ngram_join.contracted(links)
