@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     copies.  ``first`` is a set's least id (null ids last), ``links`` the number of its distinct verified partners,
     ``class_id`` the least id of the class.
     """
-    runs = runs_for(recall, threshold)
+    runs = runs_for(recall, threshold, depth)
     rows = checkpointed(sketched(docs, runs, text, doc_id))
     full = rows.where(F.col("k").isNotNull())
     nodes = checkpointed(full.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")))

@@ -161,6 +161,12 @@ def test_links_are_distinct_partners_of_all_runs(spark, bucket):
     assert {r.first: r.links for r in classes.select("first", "links").collect()} == expected
 
 
+def test_recall_holds_at_the_depth_reached(spark):
+    rows, expected = variants(60, 2)
+    _, classes = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=4, depth=5)
+    assert {r.first: r.links for r in classes.select("first", "links").collect()} == expected
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(300)] + [(b"x", b"y")], "a binary, b binary")
     labels = ngram_join.contracted(links)
