@@ -83,14 +83,12 @@ def line_fails(line: str, max_symbol_ratio: float = 0.2, menu_items: int = 3, me
         return None
     dense = len(body) - sum(body.count(c) for c in BLANKS)
     symbols = sum(body.count(c) for c in SYMBOLS)
-    if symbols:
+    if _SEPARATORS.search(body):
         parts = [_WORD.findall(p) for p in _SEPARATORS.split(body)]
         parts = [p for p in parts if p]
         if len(parts) >= menu_items and sum(map(len, parts)) <= menu_words * len(parts):
             return "navigation"
-        if symbols > max_symbol_ratio * dense:
-            return "punctuation"
-    if not any(map(str.isalnum, body)):
+    if symbols > max_symbol_ratio * dense or not any(map(str.isalnum, body)):
         return "punctuation"
     return None
 

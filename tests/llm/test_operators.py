@@ -239,6 +239,13 @@ def test_quality(spark, empty):
         assert quality.repeated_words(w) == len(hit)
 
 
+def test_every_separator_makes_a_menu():
+    for sign in "|<>•·»›":
+        assert quality.line_fails(f"Home {sign} Products {sign} Contact {sign} Login") == "navigation"
+        assert quality.line_fails(f"a longer line of running words {sign} and what comes after that sign") is None
+    assert quality.judged(words(30) + "\nStart › Shop › Cart")["lost_chars"] == len("Start›Shop›Cart")
+
+
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
