@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ STEM_LETTERS = 5
 PREDICTED = 0.3
 #: Fixed word list: verbs and nouns that introduce what someone else has said.
 REPORTING = frozenset("said says wrote writes quote quoted quotes reported called sagte schrieb zitat zitierte dit écrit cité citation dijo escribió cita citó".split())
-_QUOTES = "\"'“”„«»‘’‹›"
+#: The signs that close a quotation which a sign opens; a straight sign and, in some languages, others go both ways.
+_CLOSING = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", "›": "‹"}
+_SIGNS = re.compile(f"[{''.join(_CLOSING)}’\\n]")
 
 
 class Lexicon:
@@ -118,11 +121,28 @@ class Lexicon:
         return weight, fuzzy
 
 
-def quoted(text: str, start: int, end: int, reach: int = 60) -> bool:
-    """Whether the window around ``text[start:end]`` shows it as someone else's words."""
-    left, right = text[max(0, start - reach) : start], text[end : end + reach]
-    opened = any(q in left for q in _QUOTES[:1] + _QUOTES[2:]) and any(q in right for q in _QUOTES[:1] + _QUOTES[2:])
-    return opened or any(w in REPORTING for w in WORD.findall(left.lower())[-4:])
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations open and close, in order of the openings; a sign between two letters is an apostrophe, and none goes past its line."""
+    out, opened = [], []
+    for m in _SIGNS.finditer(text):
+        q, at = m.group(), m.start()
+        if q == "\n":
+            opened = []
+        elif not (text[at - 1 : at].isalpha() and text[at + 1 : at + 2].isalpha()):
+            closes = next((k for k in range(len(opened) - 1, -1, -1) if q in _CLOSING[opened[k][0]]), None)
+            if closes is not None:
+                out.append((opened[closes][1], at))
+                del opened[closes:]
+            elif q in _CLOSING:
+                opened.append((q, at))
+    return sorted(out)
+
+
+def quoted(text: str, start: int, end: int, reach: int = 60, pairs: list[tuple[int, int]] | None = None) -> bool:
+    """Whether the window around ``text[start:end]`` shows it as someone else's words; ``pairs`` are the text's quotations."""
+    pairs = quotations(text) if pairs is None else pairs
+    near = pairs[bisect_left(pairs, (start - reach, 0)) : bisect_left(pairs, (start, 0))]
+    return any(end <= close < end + reach for _, close in near) or any(w in REPORTING for w in WORD.findall(text[max(0, start - reach) : start].lower())[-4:])
 
 
 class Scorer:
@@ -144,10 +164,10 @@ class Scorer:
         hits = {w for w in set(words) if self.seen[w]}
         if not hits:
             return 0.0
-        rest = 1.0
+        rest, pairs = 1.0, quotations(lower)
         for m in WORD.finditer(lower):
             if m.group() in hits:
-                weight = self.seen[m.group()] * (self.quotation if quoted(lower, m.start(), m.end()) else 1.0)
+                weight = self.seen[m.group()] * (self.quotation if quoted(lower, m.start(), m.end(), pairs=pairs) else 1.0)
                 rest *= 1 - min(weight, 0.99)
         return 1 - rest
 

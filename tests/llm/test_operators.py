@@ -347,6 +347,14 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs, none, ["doc_id"]).where("score > 0").count() == 0
 
 
+def test_quotation_encloses_the_hit():
+    quoted = lambda t: toxicity.quoted(t, t.index("vermin"), t.index("vermin") + 6)
+    for t in ("you’re vermin, don’t come back", "c’est vermin, l’autre", 'a "fine" day, vermin, a "good" one', "«a» vermin «b»", "“a” vermin “b”", '"' + "long " * 20 + '" vermin "b"', "vermin “b”"):
+        assert not quoted(t), t
+    for t in ('see "such vermin here" now', "see “that’s vermin here” now", "„so vermin“ x", "« le vermin »", "‘the vermin’ x"):
+        assert quoted(t), t
+
+
 def test_sql_counterparts(spark, docs, table):
     """The SQL gives the same as the queries on the odd table too (rows with ids, each once)."""
     duckdb = pytest.importorskip("duckdb")
