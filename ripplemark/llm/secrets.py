@@ -29,6 +29,13 @@ ADDED = {
 _VALUE = {"assign": 1}
 #: A match counts only if its value has so many characters (``{n,}`` in the other patterns says the same: their matches are whole runs).
 _LEAST = {"assign": 12}
+#: What is read in a text where that is more than the kind's pattern, which finds the texts: a whole key block, or what
+#: there is of one (header lines, then base64 lines) where its end is missing.
+#: Loops over groups are bounded, as Java recurs there.
+_BREAK = r"(?:\s|\\[rn])"
+_WHOLE = {"private": rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{{1,4}}+(?!-)[^-]*+){{0,64}}+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++[A-Za-z-]+: [^\n]*+){{0,20}}+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+){{1,1000}}+(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[^\S\n]*(?:\n|$)))?)?"}
+#: What counts as the same value: the body of a key without its lines' ends.
+_NOT_BODY = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\[rn]|\s+"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -37,6 +44,7 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
 
     The pieces between the matches and the matches themselves alternate, so running lengths give the places.
     """
+    has, pattern = text.rlike(pattern), _WHOLE.get(kind, pattern)
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
@@ -44,12 +52,13 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         start = acc["at"] + F.length(pair["between"])
         end = start + F.coalesce(F.length(pair["found"]), F.lit(0))
         value = F.regexp_extract(pair["found"], pattern, _VALUE[kind]) if kind in _VALUE else pair["found"]
+        value = F.coalesce(F.nullif(F.regexp_replace(value, _NOT_BODY, ""), F.lit("")), value) if kind == "private" else value
         span = F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
         keep = pair["found"].isNotNull() & (F.length(value) >= _LEAST.get(kind, 1))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     merged = F.aggregate(F.arrays_zip(between.alias("between"), found.alias("found")), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), merged).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(has, merged).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def candidates(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:

@@ -268,6 +268,16 @@ def test_secrets(spark, empty):
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty, ["doc_id"]).count() == 0
 
 
+def test_private_keys_are_whole_blocks(spark):
+    """Other keys under the same header are other values, and no part of a key stays."""
+    body = lambda c: "\n".join([c * 60] * 3 + [c * 20 + "=="])
+    block = lambda c: f"-----BEGIN RSA PRIVATE KEY-----\n{body(c)}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN RSA PRIVATE KEY-----\n{body('e')}"
+    rows = [(0, f"x {block('G')} y", "a"), (1, f"x {block('H')} y", "b"), (2, block("K"), "a"), (3, block("K").replace("\n", "\r\n"), "b"), (4, f"{block('L')} {block('M')}", "c"), (5, cut, "c"), (6, cut.replace("e" * 20, "f" * 20) + " " + "word - " * 30_000, "c"), (7, block("N").replace("\n", "\\n"), "c")]
+    masked = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert masked == {0: "x [SECRET] y", 1: "x [SECRET] y", 2: rows[2][1], 3: rows[3][1], 4: "[SECRET] [SECRET]", 5: "[SECRET]", 6: "[SECRET] " + "word - " * 30_000, 7: "[SECRET]"}
+
+
 def test_licenses(spark, empty):
     mit = licenses.TEMPLATES["MIT-text"].split()
     changed = [w if i % 40 else "other" for i, w in enumerate(mit)]
