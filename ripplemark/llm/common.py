@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def map_texts(docs: DataFrame, columns: list[str], schema: str, rows, text: str = "text", slice_rows: int = 1500) -> DataFrame:
+def slices(batch: pa.RecordBatch, column: str, most_rows: int, most_bytes: int):
+    """``batch`` in runs of at most ``most_rows`` rows and ``most_bytes`` bytes of text; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(np.cumsum(sizes[at : at + most_rows], dtype=np.int64), most_bytes, "right"))
+        yield batch.slice(at, max(1, fit))
+        at += max(1, fit)
+
+
+def map_texts(docs: DataFrame, columns: list[str], schema: str, rows, text: str = "text", slice_rows: int = 1500, slice_bytes: int = 8_000_000) -> DataFrame:
     """``rows(texts) -> dict of columns`` over whole texts, in slices of a batch, beside the ``columns`` passed through.
 
-    One output row for each input row, in the same partition: no shuffle.
+    One output row for each input row, in the same partition: no shuffle.  A slice is bounded in rows and in bytes.
     """
     names = [c for c in columns if c != text]
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*names).schema.fields}
@@ -53,14 +64,33 @@ def map_texts(docs: DataFrame, columns: list[str], schema: str, rows, text: str
     def run(batches):
         run_rows = rows()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):  # bounds the memory of a worker
-                part = batch.slice(at, slice_rows)
+            for part in slices(batch, text, slice_rows, slice_bytes):  # bounds the memory of a worker
                 out = run_rows(texts_of(part, text))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())], names=[*names, *out])
 
     return docs.select(*names, text).mapInArrow(run, full)
 
 
+#: A key with more than one row in so many is hot; there are fewer than this many of them, whatever the data.
+HOT_SHARE = 4096
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``facts``, one row for each ``key``, whose column ``count`` is the key's number of rows.
+
+    Keys that hold over ``total / HOT_SHARE`` of all ``total`` rows are fewer than ``HOT_SHARE``, so their facts are
+    broadcast; the rows of these keys are dealt evenly, the others meet their facts in a shuffle.  ``rows`` may have no
+    column ``_deal``.
+    """
+    names = [c for c in facts.columns if c != key]
+    hot = facts.where(F.col(count) * HOT_SHARE > total).select(key, F.struct(*names).alias("_hot"))
+    cold = facts.where(F.col(count) * HOT_SHARE <= total).select(key, F.struct(*names).alias("_cold"), F.lit(0).alias("_deal"))
+    rows = rows.join(F.broadcast(hot), key, "left")
+    deal = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*[c for c in rows.columns if c != "_hot"]), F.lit(HOT_SHARE)).cast("int"))
+    rows = rows.withColumn("_deal", deal).join(cold, [key, "_deal"], "left")
+    return rows.withColumns({n: F.coalesce(F.col("_hot")[n], F.col("_cold")[n]) for n in names}).drop("_hot", "_cold", "_deal")
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit over the output."""
     h = h ^ (h >> np.uint64(32))

@@ -23,14 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ripplemark.llm.common import checkpointed, mixed
+from ripplemark.llm.common import checkpointed, join_facts, mixed, slices
 from ripplemark.llm.substrings import _BASES, Words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 SKETCH = 128
 BUCKET = 1024
+#: So many shingles count as one more set where a bucket is measured, so a bucket is bounded in bytes too.
+LONG = 16_384
+SLICE_ROWS, SLICE_BYTES = 1000, 8_000_000
 _RANDOM = np.random.default_rng(20240101)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
@@ -72,13 +76,13 @@ def _minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, runs: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id``, ``k`` (identity of the shingle set, null if it is empty), first ``nodes`` of every run, ``sketch``."""
+    """``id``, ``h`` (hash of the text), ``k`` (identity of the shingle set, null if it is empty), ``weight`` (1, and 1 more
+    for each ``LONG`` shingles), first ``nodes`` of every run, ``sketch``."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+            for part in slices(batch, "t", SLICE_ROWS, SLICE_BYTES):
+                sets = shingle_sets([t or "" for t in part.column(2).to_pylist()])
                 full = [s for s in sets if len(s)]
                 minima = _minima(full) if full else np.empty((0, SKETCH), np.uint64)
                 nodes = mixed(minima[:, :runs] + np.arange(runs, dtype=np.uint64) * np.uint64(_BASES[0])).astype(np.int64)
@@ -86,12 +90,12 @@ def sketched(docs: DataFrame, runs: int, text: str = "text", doc_id: str = "doc_
                 rows = iter(range(len(full)))
                 which = [next(rows) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([_key(s) for s in sets], pa.binary()), pa.array([None if i is None else nodes[i] for i in which], pa.list_(pa.int64())), pa.array([None if i is None else small[i].tobytes() for i in which], pa.binary())],
-                    names=["id", "k", "nodes", "sketch"],
+                    [part.column(0), part.column(1), pa.array([_key(s) for s in sets], pa.binary()), pa.array([1 + len(s) // LONG for s in sets], pa.int64()), pa.array([None if i is None else nodes[i] for i in which], pa.list_(pa.int64())), pa.array([None if i is None else small[i].tobytes() for i in which], pa.binary())],
+                    names=["id", "h", "k", "weight", "nodes", "sketch"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, k binary, nodes array<long>, sketch binary")
+    return docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, h long, k binary, weight long, nodes array<long>, sketch binary")
 
 
 def _grouped(batches, key: str):
@@ -117,19 +121,18 @@ def _grouped(batches, key: str):
         yield joined(held)
 
 
-def _roots(n: int, pairs) -> list[int]:
-    """The component of each of ``n`` things that ``pairs`` link."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        parent[root(a)] = root(b)
-    return [root(x) for x in range(n)]
+def _roots(n: int, pairs: np.ndarray) -> list[int]:
+    """The component of each of ``n`` things that ``pairs`` link, by its least member."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, label[pairs[:, 0]], least)
+        np.minimum.at(new, label[pairs[:, 1]], least)
+        new = new[new]
+        if (new == label).all():
+            return label.tolist()
+        label = new
 
 
 def _alike(sketches: np.ndarray, least: int, split: int = 0) -> np.ndarray:
@@ -185,7 +188,7 @@ def _groups(least: int):
             if not len(pairs):
                 continue
             member: dict[int, list[int]] = {}
-            for i, r in zip(order, _roots(n, pairs.tolist())):
+            for i, r in zip(order, _roots(n, pairs)):
                 member.setdefault(r, []).append(i)
             for m in member.values():
                 if len(m) > 1:
@@ -287,25 +290,30 @@ def contracted(links: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, sketches: DataFrame, bucket: int, depth: int) -> DataFrame:
-    """``run, node, k, n`` of all final buckets of ``n`` sets, singles left out: over ``bucket`` only after ``depth`` splits."""
+    """``run, node, k, n`` of all final buckets of weight ``n``, singles left out: over ``bucket`` only after ``depth`` splits.
+
+    What is known of a bucket reaches its rows without bringing them together (see :func:`common.join_facts`).
+    """
     done = None
     for level in range(1, depth + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        nodes = checkpointed(nodes.join(sizes, "node"))
+        sizes = checkpointed(nodes.groupBy("node").agg(F.count("*").alias("rows"), F.sum("weight").alias("n")).where(F.col("rows") > 1))
+        total = sizes.agg(F.sum("rows")).first()[0] or 0
+        nodes = checkpointed(join_facts(nodes, sizes, "node", "rows", total).where(F.col("n").isNotNull()))
         small = (nodes.where(F.col("n") <= bucket) if level < depth else nodes).select("run", "node", "k", "n")
         done = small if done is None else done.unionByName(small)
         large = nodes.where(F.col("n") > bucket)
         if level == depth or large.isEmpty():
             return done
         at = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(SKETCH)).cast("int") + 1
-        nodes = large.join(sketches, "k").select("run", F.xxhash64("node", at, F.expr("substring(sketch, cast(pmod(xxhash64(node, %d), %d) as int) + 1, 1)" % (level, SKETCH))).alias("node"), "k")
+        value = F.expr(f"substring(sketch, cast(pmod(xxhash64(node, {level}), {SKETCH}) as int) + 1, 1)")
+        nodes = large.join(sketches, "k").select("run", F.xxhash64("node", at, value).alias("node"), "k", "weight")
     return done
 
 
 def _cells(final: DataFrame, sketches: DataFrame, runs: int, bucket: int) -> DataFrame:
     """The rows of every cell: ``cell, k, run, block, other, path, sketch``.
 
-    A bucket of at most ``bucket`` sets is one cell.  A larger one is dealt into blocks of about half of that by a hash of
+    A bucket of a weight of at most ``bucket`` is one cell.  A larger one is dealt into blocks of about half of that by a hash of
     the set, and each two blocks, and each block with itself, are a cell.  ``path`` has a set's bucket in every run.
     """
     path = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.element_at("by_run", r)["node"])
@@ -322,29 +330,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``k`` is null for texts without words (null, empty): such rows are in no class.  Rows with equal shingle sets are
     copies.  ``first`` is a set's least id (null ids last), ``links`` the number of its distinct verified partners,
-    ``class_id`` the least id of the class.
+    ``class_id`` the least id of the class.  Very long texts are taken whole.  An empty table gives two empty results;
+    only the two named columns are read, so others may have any name.
+
+    ``recall`` is the least probability with which a pair at the threshold shares a bucket in some run after ``depth``
+    splits; buckets that are still large are compared whole, block by block, so their size does not lower it.
     """
     runs = runs_for(recall, threshold, depth)
     rows = checkpointed(sketched(docs, runs, text, doc_id))
     full = rows.where(F.col("k").isNotNull())
-    nodes = checkpointed(full.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")))
+    least_row = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"))).alias("row")
+    nodes = full.groupBy("k").agg(least_row, F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
+    nodes = checkpointed(nodes.select("k", F.col("row.id").alias("first"), F.col("row.h").alias("h"), "copies", "weight", "nodes", "sketch"))
     sketches = nodes.select("k", "sketch")
-    final = _buckets(nodes.select(F.posexplode("nodes").alias("run", "node"), "k"), sketches, bucket, depth)
+    final = _buckets(nodes.select(F.posexplode("nodes").alias("run", "node"), "k", "weight"), sketches, bucket, depth)
     least = math.floor(SKETCH * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
     held = _cells(final, sketches, runs, bucket).repartition("cell").sortWithinPartitions("cell")
     members = checkpointed(held.mapInArrow(_groups(least), _MEMBERS))
-    wanted = members.select("k").distinct().join(nodes.select("k", "first"), "k").withColumnRenamed("first", "id")
+    wanted = members.select("k").distinct().join(nodes.select("k", "first", "h"), "k").withColumnRenamed("first", "id")
 
     def own_sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, "t", SLICE_ROWS, SLICE_BYTES):
                 sets = shingle_sets(part.column(1).to_pylist())
                 keep = [(k, s.tobytes()) for k, s in zip(part.column(0).to_pylist(), sets) if k == _key(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.binary()), pa.array([s for _, s in keep], pa.binary())], names=["k", "own"])
 
-    texts = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    sets = wanted.join(texts, F.col("id").eqNullSafe(F.col("own_id"))).select("k", "t").mapInArrow(own_sets, "k binary, own binary")
+    # One text of each wanted set: that of its least row, by id and hash, as ids may be null or repeat.
+    texts = docs.select(F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_h"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    same_row = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))
+    sets = wanted.join(texts, same_row).select("k", "t").dropDuplicates(["k"]).mapInArrow(own_sets, "k binary, own binary")
     linked = members.join(sets, "k").repartition("name").sortWithinPartitions("name").mapInArrow(_links(threshold), "k binary, n long, `to` array<binary>")
     linked = checkpointed(linked)
     labels = contracted(linked.select(F.col("k").alias("a"), F.explode("to").alias("b")))
@@ -352,7 +367,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = nodes.select("k", "first", "copies").join(labels.withColumnRenamed("v", "k"), "k", "left").join(counts, "k", "left")
     classes = classes.select("k", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "k").alias("label"))
     heads = classes.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "k")).alias("h"))
-    classes = classes.join(heads, "label").select("k", "first", "copies", "links", F.col("h.k").alias("class_k"), F.col("h.first").alias("class_id"))
+    heads = heads.select("label", F.col("h.k").alias("class_k"), F.col("h.first").alias("class_id"))
+    classes = classes.join(heads, "label").select("k", "first", "copies", "links", "class_k", "class_id")
     return rows.select("id", "k"), checkpointed(classes)
 
 
@@ -367,7 +383,11 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one document of each class: its row of the least id.  Rows without words all stay."""
+    """``docs`` with one document of each class: its row of the least id.  Rows without words all stay.
+
+    Of several rows of one id and one set the one of the least hash stays; wholly equal rows are one.  The columns are
+    those of ``docs``, which may not be named ``_shingle_set``, ``_place`` or ``_row_hash``.
+    """
     _, classes = near_duplicates(docs, text, doc_id, **how)
     losers = classes.where(F.col("k") != F.col("class_k")).select("k")
     key = "_shingle_set"
@@ -375,14 +395,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
 
     def with_key(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, text, SLICE_ROWS, SLICE_BYTES):
                 keys = [_key(s) for s in shingle_sets([t or "" for t in part.column(text).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=[*part.schema.names, key])
 
-    keyed = docs.mapInArrow(with_key, schema)
-    first = Window.partitionBy(key).orderBy(F.col(doc_id).asc_nulls_last())
-    full = keyed.where(F.col(key).isNotNull()).withColumn("_place", F.row_number().over(first)).where(F.col("_place") == 1).drop("_place")
+    worded = F.coalesce(F.col(f"`{text}`").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    keyed = docs.where(worded).mapInArrow(with_key, schema).withColumn("_row_hash", F.xxhash64(*hashed))
+    first = Window.partitionBy(key).orderBy(F.col(f"`{doc_id}`").asc_nulls_last(), "_row_hash")
+    full = keyed.withColumn("_place", F.row_number().over(first)).where(F.col("_place") == 1)
     full = full.join(losers.withColumnRenamed("k", key), key, "left_anti")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return full.select(*names).unionByName(keyed.where(F.col(key).isNull()).select(*names))
+    return full.select(*names).unionByName(docs.where(~worded).select(*names))

@@ -383,3 +383,31 @@ def test_sql_counterparts(spark, docs, table):
 
 def texts_once(table):
     return [t for i, t in table if i is not None][:48]
+
+
+def test_recall_in_a_family_far_over_the_bucket(spark):
+    """1,000 texts from one template, alike by 0.75, with 125 pairs at 0.805 among them, in buckets of 64."""
+    rnd = random.Random(3)
+    names = [f"v{i}" for i in range(5000)]
+    template = [rnd.choice(names) for _ in range(258)]
+    tails = [[rnd.choice(names) for _ in range(42)] for _ in range(875)]
+    tails += [[rnd.choice(names) for _ in range(28)] + tails[j][28:] for j in range(125)]
+    rows = [(i, " ".join(template + t)) for i, t in enumerate(tails)]
+    own = [shingles(t) for _, t in rows]
+    assert all(len(own[j] & own[875 + j]) >= 0.8 * len(own[j] | own[875 + j]) for j in range(125))
+    _, classes = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=64)
+    got = {r.first: (r.class_id, r.links) for r in classes.select("first", "class_id", "links").collect()}
+    found = sum(got[j] == got[875 + j] == (j, 1) for j in range(125))
+    assert found >= 124 and all(got[i] == (i, 0) for i in range(125, 875))
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    """Rows of one id, or of none, meet their own texts only, and ties have a defined row."""
+    same = words(40)
+    rows = [(None, words(30)) for _ in range(50)] + [(7, words(30)) for _ in range(50)] + [(None, same), (None, same), (7, same + " tail"), (7, same + " tail")]
+    rows = [(i, t, t and t[:5], t and t[5:9]) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, own_id string, t string")
+    got, classes = ngram_join.near_duplicates(docs)
+    assert got.count() == 104 and classes.where("links = 1").count() == 2
+    kept = ngram_join.one_of_each(docs).collect()
+    assert len(kept) == 101 and sum(r.text == same + " tail" for r in kept) == 1
