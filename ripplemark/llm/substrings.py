@@ -6,8 +6,9 @@ of its places, so the block meets the other place's rolling window: both places
 looking at every ``window``-word string around it; those that start in two places join up to the maximal exact repeats.
 
 Blocks and windows meet as codes (see :mod:`repeats`): documents are dealt into chunks once, 4 bytes a word go out for
-the anchors and 12 bytes for each distinct window around an anchor; answers take 8.  Windows are compared by 95 bits of
-two independent polynomial hashes of the words' 128-bit digests, within buckets dealt by other bits.
+the anchors and 12 bytes for each distinct window around an anchor, and as many come back.  Windows are compared by 95
+bits of two independent polynomial hashes of the words' 128-bit digests and by the bucket, which other bits give; all of
+these bits are compared in the buckets and again where the answers are applied.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ripplemark.llm.common import mixed
-from ripplemark.llm.repeats import bucket_count, chunked, packed, repeated
+from ripplemark.llm.repeats import bucket_count, chunked, member, packed, repeated
 
 WINDOW = 35
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -166,7 +167,7 @@ def repeated_spans(docs: DataFrame, key: list[str], rows, schema: str, window: i
         return out.view("V12").ravel()
 
     windows = groups.cogroup(anchors.groupBy("chunk")).applyInArrow(extend, _SENT)
-    again = repeated(windows, _STRONG, plain, multi=1, answer=lambda x: x["high"])
+    again = repeated(windows, _STRONG, plain, multi=1)
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*key).schema.fields}
 
     def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -175,11 +176,13 @@ def repeated_spans(docs: DataFrame, key: list[str], rows, schema: str, window: i
         texts = _texts(table)
         words = Words(texts)
         covered = np.zeros(len(words.tokens), bool)
-        known = _found(replies, np.dtype("<u8"))
+        known = _found(replies, _STRONG)
         if known:
             inside = words.inside(window)
-            strong, _ = _strong(words, window, inside, buckets)
-            at = inside[np.isin(strong["high"], np.concatenate(list(known.values())))]
+            strong, bucket = _strong(words, window, inside, buckets)
+            full = lambda low, b: (low & np.uint32(0xFFFFFFFE)).astype(np.uint64) | (np.asarray(b).astype(np.uint64) << np.uint64(32))
+            lows = np.concatenate([full(x["low"], np.full(len(x), b)) for b, x in known.items()])
+            at = inside[member(strong["high"], full(strong["low"], bucket), np.concatenate([x["high"] for x in known.values()]), lows)]
             edge = np.zeros(len(words.tokens) + 1, np.int32)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + window, -1)
@@ -194,7 +197,12 @@ def repeated_spans(docs: DataFrame, key: list[str], rows, schema: str, window: i
 
 
 def dedup_substrings(docs: DataFrame, key: list[str], window: int = WINDOW, text: str = "text", kept_text: bool = False) -> DataFrame:
-    """``key`` columns with ``n_words``, ``n_removed``, the hash of the kept words joined by a blank, and they if asked."""
+    """``key`` columns with ``n_words``, ``n_removed``, the hash of the kept words joined by a blank, and they if asked.
+
+    Null and empty texts have no words; texts of any length are taken whole; wholly repeated rows repeat each other, so
+    all their windows go.  An empty table gives an empty result.  Only ``key`` and ``text`` are read; ``key`` columns may
+    not be named ``chunk`` or as the new columns.
+    """
 
     def rows(texts, tokens, flags):
         kept = [b" ".join([w for w, f in zip(t, g.tolist()) if not f]) if g.any() else b" ".join(t) for t, g in zip(tokens, flags)]
