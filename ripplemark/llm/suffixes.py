@@ -13,7 +13,10 @@ segment of a chunk to the bucket of its core, where identical segments are one a
 into a suffix array: strings that start twice are neighbours there, and neighbours are compared byte by byte.
 
 The core keeps buckets small where many near copies share an anchor: copies that differ inside the core part ways, and
-copies that agree around it too are one segment.
+copies that agree around it too are one segment.  A core of over ``MOST`` places (a passage that a large part of the
+corpus holds, in other surroundings each time) does not go into one array: its strings are dealt by two hashes of their
+own and meet as 16-byte codes, once a chunk each.  Equal segments are settled by counting; the array orders different
+segments of one core, so it decides the repeats at the ends of shared passages.
 """
 
 from __future__ import annotations
@@ -25,14 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ripplemark.llm.common import mixed
-from ripplemark.llm.repeats import bucket_count, chunked, packed, repeated
+from ripplemark.llm.repeats import MANY, bucket_count, chunked, member, packed, repeated
 
 LENGTH = 400
 GRAM = 64
 #: Not in any UTF-8 text.
 PARTING = b"\xff"
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_OTHER_BASE = 0xC2B2AE3D27D4EB4F
+#: Places of a core up to which its segments are compared in one suffix array (at most 170 kB at the default length).
+MOST = 256
+_STRING = np.dtype([("high", "<u8"), ("low", "<u8")])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    power = np.full(n, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    power[0] = 1
+    return np.cumprod(power, out=power)
 
 
 def suffix_array(s: bytes) -> list[int]:
@@ -143,14 +155,7 @@ class Segments:
         if not len(at):
             return
         n, width = len(self.data), length - gram + 1
-        power = np.full(n, _BASE, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(np.frombuffer(self.data, np.uint8) * power, out=total[1:])
-        power = np.full(n, _INVERSE, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
+        total, power = self._sums(_BASE)
         grams = mixed((total[gram:] - total[:-gram]) * power[: n - gram + 1])
         keys = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
         del grams
@@ -170,20 +175,36 @@ class Segments:
         core = anchor[first] - side[first] * half  # inside every string of the segment
         self.core = mixed((total[core + length - half + 1] - total[core]) * power[core] + side[first].astype(np.uint64))
 
+    def _sums(self, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the bytes times growing powers of ``base`` the sums up to each place, and the inverse powers."""
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(np.frombuffer(self.data, np.uint8) * _powers(base, len(self.data)), out=total[1:])
+        return total, _powers(pow(base, -1, 1 << 64), len(self.data))
+
+    def hashes(self, at: np.ndarray, length: int, base: int) -> np.ndarray:
+        """The hash of the ``length``-byte string at each place."""
+        total, power = self._sums(base)
+        return mixed((total[at + length] - total[at]) * power[at])
+
+    def strings(self, which: np.ndarray, length: int) -> np.ndarray:
+        """The places of the strings of the segments ``which``."""
+        count = self.end[which] - self.begin[which] - length + 1
+        return np.repeat(self.begin[which] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
+
     def text(self, k: int) -> bytes:
         return self.data[self.begin[k] : self.end[k]]
 
 
 def _digest(segment: bytes) -> bytes:
-    return hashlib.blake2b(segment, digest_size=8).digest()
+    return hashlib.blake2b(segment, digest_size=16).digest()
 
 
 _SENT = "chunk int, bucket int, codes binary"
-_TEXTS = "chunk int, bucket int, cores binary, multi binary, segments array<binary>"
-_REPLY = "chunk int, cores binary, digests binary, ranges binary"
+_TEXTS = "chunk int, bucket int, cores binary, multi binary, segments array<binary>, strings binary"
+_REPLY = "chunk int, bucket int, cores binary, digests binary, ranges binary, strings binary"
 
 
-def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: int = LENGTH, gram: int = GRAM, text: str = "text", chunk_bytes: int = 3_000_000) -> DataFrame:
+def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: int = LENGTH, gram: int = GRAM, text: str = "text", chunk_bytes: int = 3_000_000, most: int = MOST) -> DataFrame:
     """``rows(texts, flags)`` for every chunk, beside the ``key`` columns.
 
     ``texts`` are UTF-8 and ``flags`` tell which bytes lie in a ``length``-byte string that also starts anywhere else,
@@ -199,7 +220,7 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
         return texts, Segments(texts, length, gram)
 
     def coded(core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (core >> np.uint64(34)).astype(np.uint32) << np.uint32(1), ((core & np.uint64(0x3FFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
+        return (core >> np.uint64(34)).astype(np.uint32) << np.uint32(2), ((core & np.uint64(0x3FFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
 
     def cores(table: pa.Table) -> pa.Table:
         code, bucket = coded(segments(table)[1].core.astype(np.uint64))
@@ -208,33 +229,74 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
         first = np.ones(len(code), bool)
         first[1:] = (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])
         starts = np.flatnonzero(first)
-        merged = code[starts] | (np.diff(np.append(starts, len(code))) > 1).astype(np.uint32)
+        places = np.diff(np.append(starts, len(code)))
+        merged = code[starts] | (places > 1).astype(np.uint32) | ((places >= MANY).astype(np.uint32) << np.uint32(1))
         numbers, codes = packed(merged, bucket[starts])
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(numbers), pa.int32()), "bucket": pa.array(numbers, pa.int32()), "codes": pa.array(codes, pa.binary())})
 
-    known = repeated(groups.applyInArrow(cores, _SENT), np.dtype("<u4"), lambda x: x & np.uint32(0xFFFFFFFE), multi=1)
+    known = repeated(groups.applyInArrow(cores, _SENT), np.dtype("<u4"), lambda x: x & np.uint32(0xFFFFFFFC), multi=1, many=2, most=most)
+
+    def dealt_strings(own: Segments, which: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """The codes of the strings of hot cores, once each: the lowest bit tells that the chunk has two."""
+        at = own.strings(which, length)
+        codes = np.empty(len(at), _STRING)
+        codes["high"], codes["low"] = own.hashes(at, length, _BASE), own.hashes(at, length, _OTHER_BASE) & ~np.uint64(1)
+        bucket = (codes["low"] >> np.uint64(1)) % np.uint64(buckets)
+        order = np.lexsort((codes["low"], codes["high"], bucket))
+        codes, bucket = codes[order], bucket[order].astype(np.int32)
+        first = np.ones(len(codes), bool)
+        first[1:] = codes[1:] != codes[:-1]
+        starts = np.flatnonzero(first)
+        merged = codes[starts]
+        merged["low"] |= (np.diff(np.append(starts, len(codes))) > 1).astype(np.uint64)
+        return packed(merged, bucket[starts])
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         by_bucket: dict[int, dict[tuple[int, bytes], bool]] = {}
+        numbers: list[int] = []
+        strings: list[bytes] = []
         if table.num_rows and replies.num_rows:
             _, own = segments(table)
             core = own.core.astype(np.uint64)
             code, bucket = coded(core)
-            full = np.concatenate([(np.uint64(b) << np.uint64(32)) | (np.frombuffer(c, "<u4") & np.uint32(0xFFFFFFFE)).astype(np.uint64) for b, c in zip(replies.column("bucket").to_pylist(), replies.column("codes").to_pylist())])
-            hits = np.flatnonzero(np.isin((bucket.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64), full))
+            full = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(c, "<u4").astype(np.uint64) for b, c in zip(replies.column("bucket").to_pylist(), replies.column("codes").to_pylist())])
+            asked = (bucket.astype(np.uint64) << np.uint64(32)) | code.astype(np.uint64)
+            hot = np.isin(asked | np.uint64(2), full)
+            if hot.any():
+                numbers, strings = dealt_strings(own, np.flatnonzero(hot))
+            hits = np.flatnonzero(np.isin(asked, full))
             for k, c, b in zip(hits.tolist(), core[hits].tolist(), bucket[hits].tolist()):
                 at = by_bucket.setdefault(b, {})
                 it = (c, own.text(k))
                 at[it] = it in at
         chunk = table.column("chunk")[0].as_py() if table.num_rows else 0
+        none = [b""] * len(numbers)
         return pa.table({
-            "chunk": pa.array([chunk] * len(by_bucket), pa.int32()),
-            "bucket": pa.array(list(by_bucket), pa.int32()),
-            "cores": pa.array([np.array([c for c, _ in x], np.uint64).tobytes() for x in by_bucket.values()], pa.binary()),
-            "multi": pa.array([bytes(x.values()) for x in by_bucket.values()], pa.binary()),
-            "segments": pa.array([[s for _, s in x] for x in by_bucket.values()], pa.list_(pa.binary())),
+            "chunk": pa.array([chunk] * (len(by_bucket) + len(numbers)), pa.int32()),
+            "bucket": pa.array([*by_bucket, *numbers], pa.int32()),
+            "cores": pa.array([*(np.array([c for c, _ in x], np.uint64).tobytes() for x in by_bucket.values()), *none], pa.binary()),
+            "multi": pa.array([*(bytes(x.values()) for x in by_bucket.values()), *none], pa.binary()),
+            "segments": pa.array([*([s for _, s in x] for x in by_bucket.values()), *([] for _ in numbers)], pa.list_(pa.binary())),
+            "strings": pa.array([*(b"" for _ in by_bucket), *strings], pa.binary()),
         })
 
+    def repeated_strings(chunks: list[int], sent: list[bytes]) -> list[tuple[int, bytes]]:
+        """For each chunk its codes that are found in two places."""
+        parts = [(c, np.frombuffer(x, _STRING)) for c, x in zip(chunks, sent) if x]
+        if not parts:
+            return []
+        every = np.concatenate([p for _, p in parts])
+        low = every["low"] & ~np.uint64(1)
+        order = np.lexsort((low, every["high"]))
+        new = np.ones(len(every), bool)
+        new[1:] = (every["high"][order][1:] != every["high"][order][:-1]) | (low[order][1:] != low[order][:-1])
+        starts = np.flatnonzero(new)
+        places = np.diff(np.append(starts, len(every)))
+        keep = np.empty(len(every), bool)
+        keep[order] = np.repeat((places > 1) | (np.bitwise_or.reduceat(every["low"][order] & np.uint64(1), starts) > 0), places)
+        ends = np.cumsum([len(p) for _, p in parts]).tolist()
+        return [(c, p[k].tobytes()) for (c, p), e in zip(parts, ends) if (k := keep[e - len(p) : e]).any()]
+
     def compare(table: pa.Table) -> pa.Table:
         by_core: dict[int, dict[bytes, list]] = {}
         for chunk, c, multi, parts in zip(*(table.column(n).to_pylist() for n in ("chunk", "cores", "multi", "segments"))):
@@ -253,11 +315,15 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
                 digest = _digest(s) if found else b""
                 for c in chunks if found else ():
                     out.setdefault(c, []).extend((core, digest, a, b) for a, b in found)
+        strings = repeated_strings(table.column("chunk").to_pylist(), table.column("strings").to_pylist())
+        none = [b""] * len(strings)
         return pa.table({
-            "chunk": pa.array(list(out), pa.int32()),
-            "cores": pa.array([np.array([x[0] for x in v], np.uint64).tobytes() for v in out.values()], pa.binary()),
-            "digests": pa.array([b"".join(x[1] for x in v) for v in out.values()], pa.binary()),
-            "ranges": pa.array([np.array([x[2:] for x in v], np.uint16).tobytes() for v in out.values()], pa.binary()),
+            "chunk": pa.array([*out, *(c for c, _ in strings)], pa.int32()),
+            "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(out) + len(strings)), pa.int32()),
+            "cores": pa.array([*(np.array([x[0] for x in v], np.uint64).tobytes() for v in out.values()), *none], pa.binary()),
+            "digests": pa.array([*(b"".join(x[1] for x in v) for v in out.values()), *none], pa.binary()),
+            "ranges": pa.array([*(np.array([x[2:] for x in v], np.uint32).tobytes() for v in out.values()), *none], pa.binary()),
+            "strings": pa.array([*(b"" for _ in out), *(x for _, x in strings)], pa.binary()),
         })
 
     sent = groups.cogroup(known.groupBy("chunk")).applyInArrow(send, _TEXTS)
@@ -275,14 +341,23 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
             core = own.core.astype(np.uint64)
             answers: dict[bytes, list[tuple[int, int]]] = {}
             for d, r in zip(replies.column("digests").to_pylist(), replies.column("ranges").to_pylist()):
-                for k, (a, b) in enumerate(np.frombuffer(r, np.uint16).reshape(-1, 2).tolist()):
-                    answers.setdefault(d[8 * k : 8 * k + 8], []).append((a, b))
+                for k, (a, b) in enumerate(np.frombuffer(r, np.uint32).reshape(-1, 2).tolist()):
+                    answers.setdefault(d[16 * k : 16 * k + 16], []).append((a, b))
             asked = np.concatenate([np.frombuffer(c, np.uint64) for c in replies.column("cores").to_pylist()])
             edge = np.zeros(len(covered) + 1, np.int32)
             for k in np.flatnonzero(np.isin(core, asked)).tolist():
                 for a, b in answers.get(_digest(own.text(k)), ()):
                     edge[own.begin[k] + a] += 1
                     edge[own.begin[k] + b - 1 + length] -= 1
+            known = np.concatenate([np.frombuffer(x, _STRING) for x in replies.column("strings").to_pylist()])
+            if len(known):
+                at = own.strings(np.arange(len(own.begin)), length)
+                high = own.hashes(at, length, _BASE)
+                some = np.isin(high, known["high"])
+                at, high = at[some], high[some]
+                at = at[member(high, own.hashes(at, length, _OTHER_BASE) & ~np.uint64(1), known["high"], known["low"] & ~np.uint64(1))]
+                edge[at] += 1  # places are distinct
+                edge[at + length] -= 1
             covered = np.cumsum(edge[:-1]) > 0
         flags = [covered[a:b] for a, b in zip(starts.tolist(), starts[1:].tolist())]
         return pa.table({k: table.column(k) for k in key} | rows(texts, flags))
@@ -292,7 +367,12 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
 
 
 def dedup_suffixes(docs: DataFrame, key: list[str], length: int = LENGTH, text: str = "text", kept_bytes: bool = False) -> DataFrame:
-    """``key`` columns with ``n_bytes``, ``n_removed``, ``n_spans`` and the hash of the kept bytes, and they if asked."""
+    """``key`` columns with ``n_bytes``, ``n_removed``, ``n_spans`` and the hash of the kept bytes, and they if asked.
+
+    Null and empty texts have no bytes; texts of any length are taken whole; wholly repeated rows repeat each other, so
+    all their strings go.  An empty table gives an empty result.  Only ``key`` and ``text`` are read; ``key`` columns may
+    not be named ``chunk`` or as the new columns.
+    """
 
     def rows(texts, flags):
         kept = [np.frombuffer(t, np.uint8)[~f].tobytes() if f.any() else t for t, f in zip(texts, flags)]

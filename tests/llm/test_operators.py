@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,8 @@ def test_suffixes(docs, table, empty):
         spans = len([x for x in bytes(flags).split(b"\0") if x])
         expected.append((i, len(b), sum(flags), spans, hashlib.sha256(bytes(x for x, f in zip(b, flags) if not f)).hexdigest()))
     assert counted(suffixes.dedup_suffixes(docs, ["doc_id"]).collect()) == counted(expected)
+    found = suffixes.repeated_bytes(docs, ["doc_id"], lambda t, f: {"n": pa.array([int(x.sum()) for x in f], pa.int64())}, "n long", most=1)
+    assert counted(found.collect()) == counted((e[0], e[2]) for e in expected)  # every core is hot
     assert suffixes.dedup_suffixes(empty, ["doc_id"]).count() == 0
 
 
