@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import checkpointed
+from ripplemark.llm.common import checkpointed, let
 
 WORDS = 5
 BANDS = 4
@@ -40,14 +40,24 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
+    "CC-BY-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-text": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain.",
 }
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once for a row, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _range(start: Column | int, end: Column, step: int = 1) -> Column:
     start = F.lit(start) if isinstance(start, int) else start
     return F.when(end >= start, F.sequence(start, F.greatest(start, end), F.lit(step))).otherwise(F.array().cast("array<int>"))
@@ -107,13 +117,20 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+def templates_from(spark: SparkSession, folder: str) -> DataFrame:
+    """One template for each text file of ``folder`` (a list of whole licenses, say), named by its file without the suffix."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("f"), F.col("value").alias("text"))
+    return files.select(F.regexp_replace("f", r"(?<=.)\.[^.]*$", "").alias("template_id"), "text")
+
+
 def scan(docs: DataFrame, templates: DataFrame, columns: list[str], text: str = "text", containment: float = 0.8, keys_per_pass: int = 4000) -> DataFrame:
     """``columns`` with ``licenses``: ``template_id``, ``containment`` and ``at`` (first shingle near it), by id.
 
     A template counts if the text has at least ``containment`` of its distinct shingles around one window.  Null and
     empty texts and texts of under five words have none; so have templates of under five words or with a null id.
-    Templates with one id are one template with several texts.  Repeated rows each get theirs.  One pass over the texts
-    for each ``keys_per_pass`` band values of the templates.
+    Templates with one id are one template with several texts.  Repeated rows each get theirs; an empty table gives an
+    empty result.  ``columns`` may have any names.  One pass over the texts for each ``keys_per_pass`` band values of the
+    templates.
     """
     own = templates.where(F.col("template_id").isNotNull()).select(F.col("template_id").cast("string").alias("template_id"), shingles(F.col("text")).alias("own"))
     own = checkpointed(own.where(F.size("own") > 0).withColumn("n", F.size("own")))
