@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import checkpointed
+from ripplemark.llm.common import checkpointed, join_facts, let
 
 #: Fixed patterns.  Base kinds first, in the order in which spans of one start are listed.
 BASE = {
@@ -39,6 +39,18 @@ _NOT_BODY = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\[rn]|\s+"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
+def _blocks(items: Column, size: int = 256) -> Column:
+    """``items`` in runs: what is built up step by step stays short, so the work grows with the items and not with their square."""
+    last = F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * size + 1, size))
+
+
+def _along(blocks: Column, over) -> Column:
+    """A number before each block: 0, then ``over(number, block)`` of the one before."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(blocks, zero, lambda acc, b: F.struct(over(acc["at"], b).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """All leftmost non-overlapping matches as ``kind, start, end, value``; code points, end exclusive.
 
@@ -46,7 +58,6 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     """
     has, pattern = text.rlike(pattern), _WHOLE.get(kind, pattern)
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["between"])
@@ -57,7 +68,14 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         keep = pair["found"].isNotNull() & (F.length(value) >= _LEAST.get(kind, 1))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    merged = F.aggregate(F.arrays_zip(between.alias("between"), found.alias("found")), zero, step, lambda acc: acc["out"])
+    def size(pair: Column) -> Column:
+        return F.length(pair["between"]) + F.coalesce(F.length(pair["found"]), F.lit(0))
+
+    def spans(blocks: Column) -> Column:
+        starts = _along(blocks, lambda at, b: F.aggregate(b, at, lambda n, pair: n + size(pair)))
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda acc: acc["out"])))
+
+    merged = let(F.arrays_zip(between.alias("between"), found.alias("found")), lambda pairs: let(_blocks(pairs), spans))
     return F.when(has, merged).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -75,29 +93,32 @@ def candidates(docs: DataFrame, columns: list[str], text: str = "text") -> DataF
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
-    """``h`` (hash of a value), ``repositories`` and ``owners`` that hold it; rows are pre-aggregated before each shuffle.
+    """``h`` (hash of a value), ``rows``, ``repositories`` and ``owners`` that hold it; pre-aggregated before each shuffle.
 
     A null repository or owner counts as one unknown repository or owner.
     """
     none = F.lit("")
     rows = found.select(F.coalesce(F.col(repository).cast("string"), none).alias("r"), F.coalesce(F.col(owner).cast("string"), none).alias("o"), F.explode("spans").alias("s"))
-    rows = rows.groupBy(F.sha2(F.col("s.value"), 256).alias("h"), "r", "o").agg(F.lit(1).alias("one"))
-    return rows.groupBy("h").agg(F.count_distinct("r").alias("repositories"), F.count_distinct("o").alias("owners"))
+    rows = rows.groupBy(F.sha2(F.col("s.value"), 256).alias("h"), "r", "o").agg(F.count("*").alias("n"))
+    return rows.groupBy("h").agg(F.sum("n").alias("rows"), F.count_distinct("r").alias("repositories"), F.count_distinct("o").alias("owners"))
 
 
 def scan(docs: DataFrame, columns: list[str], repository: str = "source", owner: str = "source", text: str = "text", max_owners: int = 1, max_repositories: int = 3, name: str = "spans") -> DataFrame:
     """``columns`` with ``spans`` (or another ``name``): base matches, and added matches whose value looks live, each with ``live``.
 
-    Live-looking: held by at most ``max_owners`` owners and ``max_repositories`` repositories in the whole corpus.  A
-    null or empty text has no spans; repeated rows each get theirs; an empty table gives none.  Texts are not shuffled:
-    spans are gathered beside the row's place in a checkpoint, and only values and hashes move.
+    Live-looking: held by at most ``max_owners`` owners and ``max_repositories`` repositories in the whole corpus (two
+    columns, which may be one where a table knows no difference).  A null or empty text has no spans; very long texts
+    are read whole; repeated rows each get theirs, and count once as holders; an empty table gives none.  ``columns``
+    may have any names.  Texts are not shuffled: spans are gathered beside the row's place in a checkpoint, and only
+    values and hashes move.  A value that a large part of all candidates share does not meet in one task.
     """
     names = [f"_c{i}" for i in range(len(columns))]
-    own = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.col(repository).alias("_r"), F.col(owner).alias("_o"), F.col(text).alias("_t"))
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], F.col(f"`{repository}`").alias("_r"), F.col(f"`{owner}`").alias("_o"), F.col(f"`{text}`").alias("_t"))
     found = checkpointed(candidates(own, [*names, "_r", "_o"], "_t")).withColumn("_id", F.monotonically_increasing_id())
-    shared = ownership(found, "_r", "_o").where((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)).select("h")
+    total = found.agg(F.sum(F.size("spans"))).first()[0] or 0
+    shared = ownership(found, "_r", "_o").where((F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)).select("h", "rows", F.lit(True).alias("shared"))
     each = found.select("_id", F.posexplode("spans").alias("k", "s")).withColumn("h", F.sha2(F.col("s.value"), 256))
-    each = each.join(shared.withColumn("shared", F.lit(True)), "h", "left")
+    each = join_facts(each, checkpointed(shared), "h", "rows", total)
     each = each.where(F.col("shared").isNull() | F.col("s.kind").isin(*BASE))
     item = F.struct("k", F.struct(F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("shared").isNull().alias("live")).alias("s"))
     kept = each.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("_s"))
@@ -111,27 +132,44 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def masked(own: Column, spans: Column, mask: str) -> Column:
+    """``own`` with its ordered ``spans`` replaced; the text is cut into the stretches of blocks of spans first."""
+
+    def reach(at: Column, block: Column) -> Column:
+        return F.aggregate(block, at, lambda n, s: F.greatest(n, s["end"]))
+
+    def stretch(block: Column, at: Column) -> Column:
+        def step(local: Column):
+            def one(acc: Column, s: Column) -> Column:
+                out = F.concat(acc["out"], local.substr(acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mask))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(block, F.struct(at.alias("at"), F.lit("").alias("out")), one, lambda acc: acc["out"])
+
+        return let(own.substr(at + 1, reach(at, block) - at), step)
+
+    def whole(blocks: Column) -> Column:
+        parts = F.zip_with(blocks, _along(blocks, reach), stretch)
+        return F.concat(F.array_join(parts, ""), own.substr(reach(F.lit(0), F.flatten(blocks)) + 1, F.length(own)))
+
+    return let(_blocks(spans), whole)
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **how) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mask`` (overlapping spans by one).
 
-    Texts without a match of any pattern, nulls included, pass through as they are and are not moved.
+    Texts without a match of any pattern, nulls and empty ones included, pass through as they are and are not moved.
+    Repeated rows are masked alike; an empty table stays empty.  The columns are those of ``docs``, none of which may
+    be named ``_secret_spans``.
     """
     marked = F.coalesce(F.col(f"`{text}`").rlike("|".join(f"(?:{p})" for p in (BASE | ADDED).values())), F.lit(False))
     found = scan(docs.where(marked), docs.columns, text=text, name="_secret_spans", **how)
-    own = F.col(f"`{text}`")
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(own.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_secret_spans", zero, step, lambda acc: F.concat(acc["out"], own.substr(acc["at"] + 1, F.length(own))))
-    return docs.where(~marked).unionByName(found.withColumn(text, masked).select(*[f"`{c}`" for c in docs.columns]))
+    clean = masked(F.col(f"`{text}`"), F.col("_secret_spans"), mask)
+    return docs.where(~marked).unionByName(found.withColumn(text, clean).select(*[f"`{c}`" for c in docs.columns]))
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
-    """Contract query 8 over all documents; a source is a repository and its owner."""
+    """Contract query 8 over all documents; the table has one column, the source, for a repository and its owner."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
