@@ -6,18 +6,19 @@ how far a search may jump when it has just seen a two-word block, the suffix tab
 block whose shift is 0, and comparing the words directly confirms an occurrence.  A block that no window holds lets the
 search jump almost a whole window, so most words of a clean text are never looked at.
 
-Windows are taken to the executors in blocks of at most ``patterns_per_pass`` windows, so what is broadcast has a fixed
-bound however large the benchmark is; every block passes over all documents.
+Windows are taken to the executors in blocks of about ``windows_per_pass``, a window of two items being two, so what is
+broadcast has a fixed bound however large the benchmark is; every block passes over all documents.
 """
 
 from __future__ import annotations
 
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ripplemark.llm.common import checkpointed, slices
+
 WINDOW = 10
 #: A to Z in lower case, other ASCII that is neither digit nor letter as a blank; bytes over 127 stay.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -62,10 +63,7 @@ class WuManber:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``pattern`` (words joined by a blank, as binary), ``n`` words and ``items`` of every window, once each.
-
-    Rows with a null id are left out: an occurrence could not be reported under any id.
-    """
+    """``pattern`` (words joined by a blank, as binary), ``n`` words and ``item`` of every window, once each (the id may be null)."""
 
     def split(batches):
         for batch in batches:
@@ -77,28 +75,31 @@ def windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id"
                     pattern.append(b" ".join(part)), n.append(len(part)), item.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.binary()), pa.array(n, pa.int32()), pa.array(item, pa.string())], names=["pattern", "n", "item"])
 
-    rows = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
-    return rows.mapInArrow(split, "pattern binary, n int, item string").groupBy("pattern", "n").agg(F.collect_set("item").alias("items"))
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
+    return rows.mapInArrow(split, "pattern binary, n int, item string").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, patterns_per_pass: int = 200_000, item_id: str = "item_id", text: str = "text", prefix: str = "") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, windows_per_pass: int = 200_000, item_id: str = "item_id", text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the columns ``n_words``, ``hits`` (word spans ``start, end``, merged) and ``items`` (sorted ids).
 
-    Each new name gets ``prefix``.  Null or empty text: no words, no hits.  Empty benchmark: no hits anywhere.  Repeated
-    items share their windows and are all reported.  No shuffle of documents; one pass over them for each block of
-    ``patterns_per_pass`` windows, each adding to the spans and items of the one before.
+    Each new name gets ``prefix``; no column of ``docs`` may have one of them.  Null or empty text: no words, no hits;
+    very long texts are searched whole.  Empty tables: no rows, or no hits anywhere.  Repeated items share their windows
+    and are all reported; an item without an id counts as hits but can be named nowhere, so it is in no ``items``.  No
+    shuffle of documents; one pass over them for each block of about ``windows_per_pass`` windows (of one item each),
+    adding to the spans and items of the one before.
     """
     spark = docs.sparkSession
-    found = windows(benchmark, window, item_id)
-    blocks = -(-found.count() // patterns_per_pass)
+    found = checkpointed(windows(benchmark, window, item_id))
+    blocks = max(1, -(-found.count() // windows_per_pass))
     names = [f"{prefix}{c}" for c in ("n_words", "hits", "items")]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = docs.withColumns({names[0]: F.lit(None).cast("long"), names[1]: F.array().cast(span), names[2]: F.array().cast("array<string>")})
-    for block in range(max(1, blocks)):
-        part = found.where(F.pmod(F.xxhash64("pattern"), F.lit(max(1, blocks))) == block).collect()
+    for block in range(blocks):
+        part = found.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks)) == block).collect()
         tables: dict[int, dict] = {}
         for r in part:
-            tables.setdefault(r.n, {})[tuple(bytes(r.pattern).split(b" "))] = set(r["items"])
+            own = tables.setdefault(r.n, {}).setdefault(tuple(bytes(r.pattern).split(b" ")), set())
+            own.update([r["item"]] if r["item"] is not None else [])
         shared = spark.sparkContext.broadcast(tables)
         out = _search(out, shared, names, text)
     return out
@@ -109,7 +110,7 @@ def _search(docs: DataFrame, shared, names: list[str], text: str) -> DataFrame:
 
     def run(batches):
         searchers = [WuManber(n, p) for n, p in shared.value.items()]
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text, 1500, 8_000_000)):
             old = [batch.column(n).to_pylist() for n in names[1:]]
             count, hits, items = [], [], []
             for t, h, i in zip(batch.column(text).to_pylist(), *old, strict=True):

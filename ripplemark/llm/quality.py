@@ -1,9 +1,11 @@
 """Quality rules, lines first.
 
-Every line is judged on its own by three rules: punctuation (few letters against symbols and separators), navigation
-(menu-like lists of short items between separators) and boilerplate (a line that repeats an earlier one of its
-document).  Failing lines are removed, then a document is rejected if it has lost too much of its text.  The base
-metrics of the document as a whole (length and repeated 8-word windows) reject before that.
+Every line is judged on its own by three rules: punctuation (few letters against symbols and separators, or an end in
+an ellipsis, as teasers have), navigation (menu-like lists of short items between separators) and boilerplate (a short
+line with a stock phrase of web pages, or a line that repeats an earlier one of its document).  Failing lines are
+removed, then a document is rejected if it has lost too much of its text.  The base metrics of the document as a whole
+(length and repeated 8-word windows) reject before that.  Lines are not judged by how many documents hold them: that
+would empty every one of a group of copies, of which the near-duplicate stage is to keep one.
 
 All of it is one pass over whole texts without a shuffle.  The work on a text is linear in its length: byte splitting
 is ASCII white space splitting, and windows are compared through hashes whose equal neighbours are checked word by word.
@@ -24,6 +26,10 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 #: Signs that part the entries of a menu.
 _SEPARATORS = re.compile(r"[|<>•·»›]")
+#: Fixed phrases of notices on web pages; a line of at most ``STOCK_WORDS`` words with one is boilerplate.
+STOCK = ("all rights reserved", "privacy policy", "cookie policy", "we use cookies", "terms of use", "terms of service", "enable javascript", "javascript is disabled", "lorem ipsum", "skip to content", "subscribe to our newsletter")
+STOCK_WORDS = 12
+_STOCK = re.compile("|".join(STOCK))
 _WORD = re.compile(r"[^ \t\n\v\f\r]+")
 
 
@@ -74,9 +80,9 @@ def repeated_words(tokens: list[bytes], window: int = WINDOW) -> int:
 def line_fails(line: str, max_symbol_ratio: float = 0.2, menu_items: int = 3, menu_words: float = 2.5) -> str | None:
     """The rule that a line fails, if any.
 
-    ``punctuation``: more than ``max_symbol_ratio`` of the characters of its words are symbols or the line has no
-    letter or digit.  ``navigation``: at least ``menu_items`` entries between separators, of ``menu_words`` words on
-    average at most.
+    ``punctuation``: more than ``max_symbol_ratio`` of the characters of its words are symbols, or the line has no
+    letter or digit, or it ends in an ellipsis.  ``navigation``: at least ``menu_items`` entries between separators, of
+    ``menu_words`` words on average at most.  ``boilerplate``: a stock phrase in a short line.
     """
     body = line.strip(BLANKS)
     if not body:
@@ -88,8 +94,10 @@ def line_fails(line: str, max_symbol_ratio: float = 0.2, menu_items: int = 3, me
         parts = [p for p in parts if p]
         if len(parts) >= menu_items and sum(map(len, parts)) <= menu_words * len(parts):
             return "navigation"
-    if symbols > max_symbol_ratio * dense or not any(map(str.isalnum, body)):
+    if symbols > max_symbol_ratio * dense or body.endswith(("...", "…")) or not any(map(str.isalnum, body)):
         return "punctuation"
+    if _STOCK.search(body.lower()) and len(_WORD.findall(body)) <= STOCK_WORDS:
+        return "boilerplate"
     return None
 
 
@@ -134,9 +142,10 @@ _KINDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_l
 def quality(docs: DataFrame, columns: list[str], text: str = "text", clean_text: bool = False, prefix: str = "", **limits) -> DataFrame:
     """``columns`` of ``docs`` with the metrics and verdict of every whole text (see :func:`judged` for ``limits``).
 
-    ``clean_text`` adds the text without its failing lines; ``prefix`` goes before every new name.  A null or empty text has no words, so it fails the base
-    rules and is not kept.  Rows are judged one by one: repeated rows get the same verdict, and an empty table gives
-    an empty result.
+    ``clean_text`` adds the text without its failing lines; ``prefix`` goes before every new name, which no column of
+    ``columns`` may have.  A null or empty text has no words, so it fails the base rules and is not kept.  Very long
+    texts are judged whole.  Rows are judged one by one: repeated rows get the same verdict, and an empty table gives an
+    empty result.
     """
     names = [n for n in _KINDS if clean_text or n != "clean_text"]
     arrow = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}

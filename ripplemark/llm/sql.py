@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ripplemark.llm.licenses import TEMPLATES
+from ripplemark.llm.quality import STOCK, STOCK_WORDS
 from ripplemark.llm.secrets import ADDED, BASE
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -36,6 +37,8 @@ f AS (SELECT doc_id, template_id, count(*) / CAST(any_value(size) AS DOUBLE) AS
 g AS (SELECT doc_id, count(*) AS n, string_agg(template_id, ',' ORDER BY template_id) AS ids, round(min(part), 6) AS least FROM f GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(ids, '') AS licenses, coalesce(least, 0e0) AS min_containment FROM documents LEFT JOIN g USING (doc_id)"""
 
+_STOCK = "|".join(STOCK)
+
 OP4 = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 r AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS h, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8),
@@ -45,7 +48,7 @@ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, l
 m AS (SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS size, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS signs, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
  list_filter(list_transform(string_split_regex(line, '[|<>•·»›]'), lambda p: len(list_filter(string_split_regex(p, '[\x20\x09-\x0D]+'), lambda x: x <> ''))), lambda x: x > 0) AS parts FROM l),
 f AS (SELECT doc_id, CAST(coalesce(sum(CASE WHEN size > 0 AND again THEN 1 ELSE 0 END), 0) AS BIGINT) AS dups,
- sum(CASE WHEN size > 0 AND (again OR (signs > 0 AND len(parts) >= 3 AND list_sum(parts) <= 25e-1 * len(parts)) OR signs > 2e-1 * size OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]')) THEN size ELSE 0 END) AS lost FROM m GROUP BY 1),
+ sum(CASE WHEN size > 0 AND (again OR (len(parts) >= 3 AND list_sum(parts) <= 25e-1 * len(parts)) OR signs > 2e-1 * size OR regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$') OR (regexp_matches(lower(line), '{_STOCK}') AND len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) <= {STOCK_WORDS}) OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]')) THEN size ELSE 0 END) AS lost FROM m GROUP BY 1),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, dups AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, CAST(lost AS BIGINT) AS lost_chars FROM w LEFT JOIN rn USING (doc_id) LEFT JOIN f USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 5e-1 * word_chars AS kept FROM b"""
 
@@ -60,13 +63,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP6 = rf"""
-WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS w FROM benchmark),
 p AS (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS pat FROM b WHERE len(w) > 0),
 d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
 x AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS pat, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
 h AS (SELECT doc_id, i, p.n, item FROM x JOIN p ON x.n = p.n AND x.pat = p.pat),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, range(10) AS o(k) WHERE k < n GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 

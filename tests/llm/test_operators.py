@@ -183,9 +183,9 @@ def test_decontamination(spark, docs, table, empty):
     windows = {}
     for i, t in items:
         w = fold(t)
-        if i is not None and w:
+        if w:
             for k in range(max(1, len(w) - 9)):
-                windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+                windows.setdefault(tuple(w[k : k + 10]), set()).update([] if i is None else [str(i)])
     expected = []
     for i, t in table:
         w, hit, ids = fold(t), set(), set()
@@ -196,7 +196,7 @@ def test_decontamination(spark, docs, table, empty):
                     ids |= own
         expected.append((i, len(w), len(hit), ",".join(sorted(ids))))
     for block in (200_000, 7):
-        found = decontaminate.contamination(docs, bench, patterns_per_pass=block, prefix="_")
+        found = decontaminate.contamination(docs, bench, windows_per_pass=block, prefix="_")
         size = F.aggregate("_hits", F.lit(0), lambda s, x: s + x["end"] - x["start"])
         assert counted(found.select("doc_id", "_n_words", size, F.array_join("_items", ",")).collect()) == counted(expected)
     assert decontaminate.contamination(empty, bench, prefix="_").count() == 0
