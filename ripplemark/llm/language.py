@@ -60,8 +60,11 @@ def suffix_automaton(text: str) -> dict:
     return states[0]
 
 
-def phrases(text: str, root: dict) -> int:
-    """How many longest matches a greedy parse of ``text`` needs; a character that the reference lacks is one."""
+def phrases(text: str, root: dict, most: float = math.inf) -> int:
+    """How many longest matches a greedy parse of ``text`` needs; a character that the reference lacks is one.
+
+    Stops with what it has once that is over ``most``.
+    """
     n, state = 0, root
     for c in text:
         step = state.get(c)
@@ -72,29 +75,34 @@ def phrases(text: str, root: dict) -> int:
             if step is None:
                 n += 1
                 step = root
+            if n > most:
+                return n
         state = step
     return n + (state is not root)
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_docs: int = 80, sample_chars: int = 60_000, longest: int = 10_000, languages: int = 64) -> dict[str, str]:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_docs: int = 80, sample_chars: int = 60_000, longest: int = 10_000, total_chars: int = 6_000_000) -> dict[str, str]:
     """Reference text of each language, of equal length, from rows that are not held out.
 
-    The sample is bounded: of each of the ``languages`` most frequent labels ``sample_docs`` whole texts of at most
-    ``longest`` characters, in hash order, up to ``sample_chars`` characters.  A language with few rows gives less; a
-    label without any such text is not learned.
+    Every label with any text is learned.  The sample is bounded: of each label ``sample_docs`` texts in hash order, of
+    each the first ``longest`` characters, up to ``sample_chars`` characters a label or, with very many labels,
+    ``total_chars`` among them all.  A language with few rows gives less.
     """
-    rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.length(text).between(1, longest)).select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("text"))
-    counts = sorted(((r["count"], r["lang"]) for r in rows.groupBy("lang").count().collect()), key=lambda x: (-x[0], x[1]))[:languages]
+    rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), F.left(F.col(text), F.lit(longest)).alias("text"))
+    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     if not counts:
         return {}
-    per_million = F.create_map(*[F.lit(x) for n, name in counts for x in (name, min(1_000_000, math.ceil(3_000_000 * sample_docs / n)))])
+    most = max(200, min(sample_chars, total_chars // len(counts)))
+    some_docs = max(2, min(sample_docs, sample_docs * 4 * most // sample_chars))
+    per_million = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1_000_000, math.ceil(3_000_000 * some_docs / n)))])
     some = rows.where(F.pmod("h", F.lit(1_000_000)) < F.coalesce(per_million[F.col("lang")], F.lit(-1)))
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample_docs)
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= some_docs)
+    some = some.select("lang", "k", F.left("text", F.lit(most)).alias("text"))
     found: dict[str, list[str]] = {}
     for r in sorted(some.collect(), key=lambda r: r["k"]):
         found.setdefault(r["lang"], []).append(letters(r["text"]))
     joined = {name: "\n".join(t) for name, t in found.items()}
-    size = min(sample_chars, max(map(len, joined.values())))
+    size = min(most, max(map(len, joined.values())))
     return {name: joined[name][:size] for name in sorted(joined)}
 
 
@@ -113,22 +121,27 @@ def _automata(references: dict[str, str]) -> list[tuple[str, dict, float]]:
     return _LOADED[key]
 
 
-def predict(text: str, automata: list[tuple[str, dict, float]]) -> tuple[str, float]:
+def predict(text: str, automata: list[tuple[str, dict, float]], first: str | None = None) -> tuple[str, float]:
     """The language and a score from 0 to 1: by how much the runner-up needs more bits.
 
-    ``und`` with score 0 if the text has no letter or nothing was learned.  On a tie the name that sorts first.
+    ``und`` with score 0 if the text has no letter or nothing was learned.  On a tie the name that sorts first.  A
+    language is given up once it needs more bits than the two best so far; ``first`` is tried before the others.
     """
     if not automata or not any(map(str.isalpha, text)):
         return "und", 0.0
     text = letters(text)
-    bits = sorted((phrases(text, root) * log, name) for name, root, log in automata)
-    return bits[0][1], 1.0 if len(bits) == 1 else max(0.0, 1 - bits[0][0] / bits[1][0])
+    best: list[tuple[float, str]] = []
+    for name, root, log in sorted(automata, key=lambda a: a[0] != first):
+        most = best[1][0] / log if len(best) > 1 else math.inf
+        best = sorted([*best, (phrases(text, root, most) * log, name)])[:2]
+    return best[0][1], 1.0 if len(best) == 1 else max(0.0, 1 - best[0][0] / best[1][0])
 
 
 def identify(docs: DataFrame, references: dict[str, str], columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with ``lang_pred`` and ``score`` of every whole text; one pass, no shuffle.
 
-    The broadcast reference texts are bounded by :func:`fit`.  Null texts are ``und``; repeated rows agree.
+    The broadcast reference texts are bounded by :func:`fit`.  Null and empty texts are ``und``; very long ones are parsed
+    whole; repeated rows agree; an empty table gives an empty result.  ``columns`` may not have the new names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(references)
 
@@ -136,7 +149,10 @@ def identify(docs: DataFrame, references: dict[str, str], columns: list[str], te
         automata = _automata(shared.value)
 
         def run(texts):
-            found = [predict(t, automata) for t in texts]
+            found, last = [], None
+            for t in texts:  # neighbours are often of one language
+                found.append(predict(t, automata, last))
+                last = found[-1][0]
             return {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())}
 
         return run
