@@ -172,12 +172,13 @@ class Scorer:
         return 1 - rest
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_contexts: int = 5, purity: float = 0.9, max_terms: int = 4000, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_contexts: int = 5, purity: float = 0.9, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> dict:
     """Terms, stems and known words with their weights, from labelled rows that are not held out.
 
     The sample is bounded: about ``sample_rows`` labelled ids by hash, broadcast to the documents.  A term needs
     ``min_contexts`` different pairs of neighbours in toxic texts (so copies of one text count once) and a ``purity``.
-    Labels that are null are left out; of contradicting labels the highest counts.
+    Labels that are null are left out; of contradicting labels the highest counts.  Every term, stem and near word of the
+    sample that passes its test is learned: their number is bounded by the sample's.
     """
     ids = labels.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("toxic"))
     n = ids.count()
@@ -202,11 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_conte
         return (F.col("pos") >= min_contexts) & (share >= purity) & (every * divergence >= math.log(tests / doubt))
 
     weight = (F.col("pos") + 0.2) / (F.col("pos") + F.col("neg") + 1)
-    terms = {r.w: r.weight for r in table.where(marks(0.01)).orderBy(F.desc("pos"), "w").limit(max_terms).select("w", weight.alias("weight")).collect()}
+    terms = {r.w: r.weight for r in table.where(marks(0.01)).select("w", weight.alias("weight")).collect()}
     prefixes = table.select(F.explode(F.sequence(F.lit(STEM_LETTERS), F.greatest(F.lit(STEM_LETTERS), F.length("w")))).alias("k"), "w", "pos", "neg").where(F.length("w") >= F.col("k"))
     prefixes = prefixes.groupBy(F.expr("left(w, k)").alias("stem")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") > 0).cast("int")).alias("words"))
     stems: dict[str, float] = {}
-    for r in prefixes.where(marks(0.0001) & (F.col("words") >= 3)).orderBy(F.desc("pos"), "stem").limit(max_terms).select("stem", weight.alias("weight")).collect():
+    for r in prefixes.where(marks(0.0001) & (F.col("words") >= 3)).select("stem", weight.alias("weight")).collect():
         stems[r.stem] = r.weight
     stems = {s: w for s, w in stems.items() if not any(s[:k] in stems for k in range(STEM_LETTERS, len(s)))}
     near: list = []
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_conte
             for b in batches:
                 yield b.filter(pa.array([lexicon.read(w)[1] for w in b.column(0).to_pylist()], pa.bool_()))
 
-        near = table.where(F.length("w") >= FUZZY_LETTERS - 1).mapInArrow(close, table.schema).orderBy(F.desc(F.col("pos") + F.col("neg")), "w").limit(max_terms).collect()
+        near = table.where(F.length("w") >= FUZZY_LETTERS - 1).mapInArrow(close, table.schema).collect()
     toxic = sum(r.pos > r.neg for r in near)
     return {"terms": terms, "stems": stems, "known": {r.w: (r.pos + 0.2) / (r.pos + r.neg + 1) for r in near if r.neg or r.pos > 1}, "fuzzy": (toxic + 0.5) / (len(near) + 1)}
 
@@ -226,7 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_conte
 def score(docs: DataFrame, model: dict, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with the toxicity ``score`` of every whole text; one pass, no shuffle.
 
-    The broadcast model is bounded by :func:`fit`.  Null and empty texts score 0; so does all with nothing learned.
+    The broadcast model is bounded by :func:`fit`.  Null and empty texts score 0; so does all with nothing learned.  Very
+    long texts are scored whole; repeated rows score alike (ties keep no order); an empty table gives an empty result.
+    ``columns`` may have no column ``score``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
