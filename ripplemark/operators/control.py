@@ -11,44 +11,71 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ripplemark.operators.store import Store
+from ripplemark.schemas import TABLES
 
 STALE_SECONDS, STALE_JOB_SECONDS = 60, 1800
 
 
+class _Refused(Exception):
+    """A lock is not ours; ``held`` is who has it."""
+
+    def __init__(self, held):
+        super().__init__()
+        self.held = held
+
+
 class Locks:
-    """Locks of files by agents; expired ones do not count.  ``now`` is a clock, for tests."""
+    """Locks of files by agents; expired ones do not count.  ``now`` is a clock, for tests.
+
+    What a change rests on is checked on the version that it replaces, so of two agents one gets the lock.
+    """
 
     def __init__(self, store: Store, now: Callable[[], float] = time.time):
         self.store, self.now = store, now
 
-    def _active(self):
-        return self.store.read("file_locks").where(F.col("expires_at") >= self.now())
+    def _active(self, rows=None):
+        return (self.store.read("file_locks") if rows is None else rows).where(F.col("expires_at") >= self.now())
 
-    def _one(self, path: str):
-        return self._active().where(F.col("file_path") == path).first()
+    def _one(self, path: str, rows=None):
+        return self._active(rows).where(F.col("file_path") == path).first()
 
-    def acquire(self, path: str, agent: str, ttl: int = 300, purpose: str | None = None) -> dict:
-        held = self._one(path)
-        if held and held.agent_id != agent:
-            return {"status": "held", "file_path": path, "held_by": held.agent_id, "expires_at": held.expires_at}
+    def _put(self, path: str, agent: str, ttl: int, purpose: str | None, own_only: bool) -> dict:
         now = self.now()
-        row = [(path, agent, held.acquired_at if held else now, now + ttl, purpose)]
-        rows = self._active().where(F.col("file_path") != path).unionByName(self.store.spark.createDataFrame(row, self.store.read("file_locks").schema))
-        self.store.write("file_locks", rows)
+
+        def taken(rows):
+            held = self._one(path, rows)
+            if held.agent_id != agent if held else own_only:
+                raise _Refused(held)
+            row = [(path, agent, held.acquired_at if held else now, now + ttl, held.purpose if held and purpose is None else purpose)]
+            return self._active(rows).where(F.col("file_path") != path).unionByName(self.store.spark.createDataFrame(row, rows.schema))
+
+        self.store.change("file_locks", taken)
         return {"status": "acquired", "file_path": path, "agent_id": agent, "expires_at": now + ttl}
 
+    def acquire(self, path: str, agent: str, ttl: int = 300, purpose: str | None = None) -> dict:
+        try:
+            return self._put(path, agent, ttl, purpose, False)
+        except _Refused as e:
+            return {"status": "held", "file_path": path, "held_by": e.held.agent_id, "expires_at": e.held.expires_at}
+
     def release(self, path: str, agent: str) -> dict:
-        held = self._one(path)
-        mine = bool(held) and held.agent_id == agent
-        if mine:
-            self.store.write("file_locks", self._active().where(F.col("file_path") != path))
-        return {"status": "released" if mine else "not_held", "file_path": path}
+        def freed(rows):
+            held = self._one(path, rows)
+            if not held or held.agent_id != agent:
+                raise _Refused(held)
+            return self._active(rows).where(F.col("file_path") != path)
+
+        try:
+            self.store.change("file_locks", freed)
+            return {"status": "released", "file_path": path}
+        except _Refused:
+            return {"status": "not_held", "file_path": path}
 
     def refresh(self, path: str, agent: str, ttl: int = 300) -> dict:
-        held = self._one(path)
-        if not held or held.agent_id != agent:
+        try:
+            return self._put(path, agent, ttl, None, True) | {"status": "refreshed"}
+        except _Refused:
             return {"status": "not_held", "file_path": path}
-        return self.acquire(path, agent, ttl, held.purpose) | {"status": "refreshed"}
 
     def check(self, path: str) -> dict:
         held = self._one(path)
@@ -81,9 +108,8 @@ class Jobs:
 
     def event(self, job_id: str, kind: str, payload: dict | None = None) -> None:
         with self._lock:
-            table = self.store.read("job_events")
-            n = table.count()
-            self.store.append("job_events", self.store.spark.createDataFrame([(n + 1, job_id, kind, json.dumps(payload or {}), str(self.now()))], table.schema))
+            row = [(time.time_ns(), job_id, kind, json.dumps(payload or {}), str(self.now()))]
+            self.store.append("job_events", self.store.spark.createDataFrame(row, TABLES["job_events"]))
 
     def start(self, kind: str, work: Callable[[Callable[[], bool]], dict]) -> dict:
         """Runs ``work(cancelled)``; one job at a time, else ``busy``."""
@@ -93,12 +119,14 @@ class Jobs:
             return {"status": "busy", "job_id": running.id}
         job = uuid.uuid4().hex
         self._put(id=job, kind=kind, status="running", created_at=str(self.now()), started_at=str(self.now()), progress_pct=0)
+        self.event(job, "started", {"kind": kind})
 
         def run() -> None:
             self.store.spark.sparkContext.setJobGroup(job, kind, True)
             try:
                 result = work(lambda: self.cancelled(job))
                 self._put(id=job, status="cancelled" if self.cancelled(job) else "completed", result_json=json.dumps(result, default=str), progress_pct=100)
+                self.event(job, "finished")
             except Exception as e:
                 self._put(id=job, status="cancelled" if self.cancelled(job) else "failed", error_message=str(e)[:2000])
 

@@ -15,6 +15,8 @@ HARD = 1.0
 HOP_DECAY = 0.88
 MAX_HOPS = 32
 LEAST_DECAY = 0.01
+#: So many checkpointed rounds are read as they are before they are written as one.
+ROUNDS = 6
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
@@ -40,15 +42,16 @@ def hops(edges: DataFrame, sources: DataFrame, scope: DataFrame | None = None, m
     if scope is not None:
         pairs = pairs.join(scope.select(F.col("file_path").alias("b")).distinct(), "b", "left_semi")
     pairs = cut(pairs)
-    seen = cut(sources.select("file_path").distinct().withColumn("hops", F.lit(0)))
-    frontier, step = seen, 0
+    frontier = cut(sources.select("file_path").distinct().withColumn("hops", F.lit(0)))
+    seen, step = frontier, 0
     while most is None or step < most:
         step += 1
         ahead = frontier.join(pairs, F.col("file_path") == F.col("a")).select(F.col("b").alias("file_path")).distinct()
-        frontier = cut(ahead.join(seen, "file_path", "left_anti").withColumn("hops", F.lit(step)))
-        if frontier.isEmpty():
+        frontier = cut(ahead.join(seen.select("file_path"), "file_path", "left_anti").withColumn("hops", F.lit(step)))
+        if step != most and frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # all parts are checkpoints
+        seen = cut(seen) if step % ROUNDS == 0 else seen
     return seen
 
 
@@ -68,7 +71,8 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = MAX_HOPS, decay: fl
         frontier = cut(ahead.join(known, ["start", "file_path"], "left").where(F.col("known").isNull() | (F.col("decay") > F.col("known"))).drop("known"))
         if frontier.isEmpty():
             break
-        best = cut(best.join(frontier.select("start", "file_path"), ["start", "file_path"], "left_anti").unionByName(frontier))
+        best = best.join(frontier.select("start", "file_path"), ["start", "file_path"], "left_anti").unionByName(frontier)
+        best = cut(best) if step % 2 == 0 else best
     return best.where(F.col("start") != F.col("file_path"))
 
 

@@ -17,8 +17,8 @@ BROADCAST_FILES = 10_000
 RANKS = {"direct": 0, "co_change": 1, "import_graph": 2, "static_require": 3, "hybrid": 4, "fallback": 5, "working_tree": 6}
 
 
-def _rows(df: DataFrame, source: str, score, reason) -> DataFrame:
-    return df.select("test_id", F.col("test_file").alias("file_path"), F.col("test_name").alias("name"), score.alias("score"), reason.alias("reason"), F.lit(source).alias("source"))
+def _rows(df: DataFrame, source: str, score, reason, causes) -> DataFrame:
+    return df.select("test_id", F.col("test_file").alias("file_path"), F.col("test_name").alias("name"), score.alias("score"), reason.alias("reason"), F.lit(source).alias("source"), causes.alias("causes"))
 
 
 def best_per_test(rows: DataFrame) -> DataFrame:
@@ -33,27 +33,31 @@ def cochange_impact(units: DataFrame, edges: DataFrame, tests: DataFrame, pairs:
     near = partners(pairs, changed, min_count).select(F.col("partner").alias("file_path"), F.col("file_path").alias("cause"), "co_commit_count")
     found = direct_impact(units, edges, tests, near.select("file_path").distinct())
     rows = found.join(near, "file_path")
-    return _rows(rows, "co_change", F.col("score") * COCHANGE_WEIGHT, F.concat(F.lit("co-change with "), F.col("cause"), F.lit(" via "), F.col("file_path")))
+    return _rows(rows, "co_change", F.col("score") * COCHANGE_WEIGHT, F.concat(F.lit("co-change with "), F.col("cause"), F.lit(" via "), F.col("file_path")), F.array("cause"))
 
 
 def closure_impact(units: DataFrame, edges: DataFrame, tests: DataFrame, import_edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Tests of files near a changed file in the import graph, weighed by hop decay and confidence."""
-    near = closure(import_edges, changed).groupBy("file_path").agg(F.max("decay").alias("decay"))
+    near = closure(import_edges, changed).groupBy("file_path").agg(F.max("decay").alias("decay"), F.collect_set("start").alias("causes"))
     rows = direct_impact(units, edges, tests, near.select("file_path")).join(near, "file_path")
-    return _rows(rows, "import_graph", F.col("score") * F.col("decay") * CLOSURE_WEIGHT, F.concat(F.lit("import graph via "), F.col("file_path")))
+    return _rows(rows, "import_graph", F.col("score") * F.col("decay") * CLOSURE_WEIGHT, F.concat(F.lit("import graph via "), F.col("file_path")), F.col("causes"))
 
 
-def impact(units: DataFrame, edges: DataFrame, tests: DataFrame, pairs: DataFrame, import_edges: DataFrame, changed: DataFrame, untracked: DataFrame | None = None, min_count: int = 3) -> DataFrame:
-    """All tests that a change can affect, one row each with its best score, source and reason.
+def impact_rows(units: DataFrame, edges: DataFrame, tests: DataFrame, pairs: DataFrame, import_edges: DataFrame, changed: DataFrame, untracked: DataFrame | None = None, min_count: int = 3) -> DataFrame:
+    """Every way in which a change can affect a test, each with ``causes``, the changed files that it comes from.
 
     ``untracked`` files count as changed whole, and their imports are not followed.
     """
     whole = changed if untracked is None else changed.unionByName(untracked.select("file_path"), allowMissingColumns=True)
     direct = direct_impact(units, edges, tests, whole)
-    rows = _rows(direct, "direct", F.col("score"), F.concat(F.lit("direct edge ("), F.col("edge_type"), F.lit(") to "), F.col("file_path"), F.lit(":"), F.col("unit_name")))
+    rows = _rows(direct, "direct", F.col("score"), F.concat(F.lit("direct edge ("), F.col("edge_type"), F.lit(") to "), F.col("file_path"), F.lit(":"), F.col("unit_name")), F.array("file_path"))
     rows = rows.unionByName(cochange_impact(units, edges, tests, pairs, whole, min_count))
-    rows = rows.unionByName(closure_impact(units, edges, tests, import_edges, changed))
-    return best_per_test(rows)
+    return rows.unionByName(closure_impact(units, edges, tests, import_edges, changed))
+
+
+def impact(*tables: DataFrame, **how) -> DataFrame:
+    """All tests that a change can affect, one row each with its best score, source and reason (see :func:`impact_rows`)."""
+    return best_per_test(impact_rows(*tables, **how)).drop("causes")
 
 
 def static_tests(static: DataFrame, files: DataFrame) -> DataFrame:
@@ -76,15 +80,14 @@ def hybrid(impacted: DataFrame, static: DataFrame) -> DataFrame:
 def fallback(files: DataFrame, tests: DataFrame) -> DataFrame:
     """Every test of every file of a (small, given) list, ranked by how the names of the two files compare.
 
-    Test names are first gathered by file, so the product is of files and test files; it is broadcast only while the
+    The answer is the product of the list and the tests; where only good matches count, use :func:`name_matches`.  Test names are first gathered by file, so the product is of files and test files; it is broadcast only while the
     list is short.
     """
-    stem = lambda p: F.regexp_replace(basename(p), r"(?<=.)\.[^.]*$", "")
     last = lambda p: basename(directory(p))
     own = files.select(F.col("file_path").alias("source_file")).distinct()
     by_file = tests.groupBy(F.col("file_path")).agg(F.array_sort(F.collect_list("name")).alias("names"))
     rows = by_file.join(F.broadcast(own) if own.count() <= BROADCAST_FILES else own)
-    a, b = stem("source_file"), stem("file_path")
+    a, b = _stem("source_file"), _stem("file_path")
     base = F.when(a == b, 1.0).when(F.contains(b, a) | F.contains(a, b), 0.5).otherwise(0.1)
     near = (directory("source_file") != "") & (directory("file_path") != "") & (last("source_file") == last("file_path"))
     score = F.when(near, F.least(F.lit(1.0), base + 0.3)).otherwise(base)
@@ -92,6 +95,28 @@ def fallback(files: DataFrame, tests: DataFrame) -> DataFrame:
     return out.select("source_file", F.concat_ws(":", "file_path", "name").alias("test_id"), "file_path", "name", "relevance", F.lit("fallback").alias("source"))
 
 
+def _stem(path):
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def name_matches(files: DataFrame, tests: DataFrame) -> DataFrame:
+    """What :func:`fallback` gives at a relevance of 0.5 and more, without its product.
+
+    One of the two stems is then a part of the other, so the parts of every stem meet the whole stems by equality.
+    """
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
+    own = files.select(F.col("file_path").alias("source_file")).distinct().withColumn("a", _stem("source_file"))
+    by_file = tests.select("file_path").distinct().withColumn("b", _stem("file_path"))
+    inside = own.join(by_file.select("file_path", "b", F.explode(parts(F.col("b"))).alias("a")), "a")
+    around = own.select("source_file", "a", F.explode(parts(F.col("a"))).alias("b")).join(by_file, "b")
+    rows = inside.select("source_file", "file_path", "a", "b").union(around.select("source_file", "file_path", "a", "b")).distinct()
+    near = (directory("source_file") != "") & (directory("file_path") != "") & (basename(directory("source_file")) == basename(directory("file_path")))
+    base = F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.5)
+    rows = rows.select("source_file", "file_path", F.when(near, F.least(F.lit(1.0), base + 0.3)).otherwise(base).alias("relevance"))
+    rows = rows.join(tests.select("file_path", "name"), "file_path")
+    return rows.select("source_file", F.concat_ws(":", "file_path", "name").alias("test_id"), "file_path", "name", "relevance", F.lit("fallback").alias("source"))
+
+
 def suggest(impacted: DataFrame, static: DataFrame, rates: DataFrame) -> DataFrame:
     """Impact and static imports merged, and raised for tests that fail often."""
     rows = hybrid(impacted, static).join(rates.select("test_id", "failure_rate"), "test_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.functions.scalars import hidden_risk, in_directory, proximity_adjusted, quantized
+from ripplemark.session import cut
 
 # The weight of each component.
 WEIGHTS = {"churn": 0.35, "coupling": 0.25, "coverage_gap": 0.15, "coverage_depth": 0.10, "author_concentration": 0.10, "test_instability": 0.05}
@@ -97,7 +98,9 @@ def new_weights(found: dict) -> dict[str, float] | None:
 
 def reweighted(risks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``risks`` with scores from the weights of varying components; boosts do not count then."""
-    weights = weights or new_weights(uniformity(risks))
+    if weights is None:
+        risks = cut(risks)  # read twice: for what varies, and for the scores
+        weights = new_weights(uniformity(risks))
     return risks if weights is None else risks.withColumn("risk_score", F.round(score(weights), 4))
 
 

@@ -1,12 +1,16 @@
 """Keyed tables on plain Parquet: upserts, deletes, change detection and an atomic switch to a new version.
 
-A table is a folder of versions and a pointer file; a write makes a new version from the old one and moves the pointer,
-so what is being read is never overwritten and a failed write leaves the old version in place.
+A table is a folder of versions and numbered pointers; a write makes a new version from the old one and sets the next
+pointer, so what is being read is never overwritten and a failed write leaves the old version in place.  A number is
+claimed by creating a file that must not exist yet: of two writers that started from one version the second one sees
+that it has lost and starts again from the new version, so no change is lost and checks made on what was read hold.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,39 +70,97 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> str | None:
+    def _names(self, table: str) -> list[str]:
         fs, p = self._fs(f"{self.folder}/{table}")
-        if not fs.exists(p):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        marks = sorted(n for n in names if n.startswith("_current-"))
-        return f"{self.folder}/{table}/{marks[-1].split('-', 2)[2]}" if marks else None
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _pointer(self, table: str) -> tuple[int, str | None]:
+        """The number and folder of the current version."""
+        marks = sorted(n for n in self._names(table) if n.startswith("_current-"))
+        return (int(marks[-1].split("-")[1]), f"{self.folder}/{table}/{marks[-1].split('-', 2)[2]}") if marks else (-1, None)
+
+    def _current(self, table: str) -> str | None:
+        return self._pointer(table)[1]
+
+    def _create(self, path: str) -> bool:
+        """Makes an empty file; False if there is one."""
+        fs, p = self._fs(path)
+        jvm = self.spark.sparkContext._jvm
+        fs.mkdirs(p.getParent())
+        if fs.getUri().getScheme() == "file":
+            return jvm.java.io.File(p.toUri().getPath()).createNewFile()
+        try:
+            fs.create(p, False).close()
+            return True
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+
+    def _point(self, table: str, number: int, version: str) -> bool:
+        """Sets pointer ``number``; False if another writer has claimed it.
+
+        A claim whose writer died is one without a pointer; after a minute the number counts as passed over.
+        """
+        claim = f"{self.folder}/{table}/_claim-{number:012d}"
+        if not self._create(claim):
+            fs, p = self._fs(claim)
+            if not fs.exists(p) or self._pointer(table)[0] >= number or time.time() * 1000 - fs.getFileStatus(p).getModificationTime() < 60_000:
+                return False
+            return self._point(table, number + 1, version)
+        self._create(f"{self.folder}/{table}/_current-{number:012d}-{version}")
+        return True
 
     def read(self, table: str) -> DataFrame:
-        path = self._current(table)
+        return self._version(table, self._current(table))
+
+    def _version(self, table: str, path: str | None) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[table]) if path is None else self.spark.read.schema(TABLES[table]).parquet(path)
 
+    def _typed(self, table: str, rows: DataFrame) -> DataFrame:
+        schema = self.spark.createDataFrame([], TABLES[table]).schema
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    def change(self, table: str, new: Callable[[DataFrame], DataFrame], tries: int = 20) -> DataFrame:
+        """The next version is ``new(current rows)``, made again from what is there if another writer was faster."""
+        for k in range(tries):
+            number, path = self._pointer(table)
+            version = uuid.uuid4().hex
+            self._typed(table, new(self._version(table, path))).write.parquet(f"{self.folder}/{table}/{version}")
+            if self._point(table, number + 1, version):
+                return self.read(table)
+            fs, p = self._fs(f"{self.folder}/{table}/{version}")
+            fs.delete(p, True)
+            time.sleep(0.05 * 2 ** min(k, 5))
+        raise RuntimeError(f"{table}: other writers were always faster")
+
     def write(self, table: str, rows: DataFrame) -> DataFrame:
         """``rows`` as the new version of the table."""
-        schema = self.spark.createDataFrame([], TABLES[table]).schema
-        rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/{table}/{version}")
-        fs, p = self._fs(f"{self.folder}/{table}")
-        marks = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("_current-"))
-        number = int(marks[-1].split("-")[1]) + 1 if marks else 0
-        jvm = self.spark.sparkContext._jvm
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/_current-{number:012d}-{version}")).close()
-        return self.read(table)
+        return self.change(table, lambda _: rows)
 
     def upsert(self, table: str, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
-        return self.write(table, upserted(self.read(table), rows, KEYS[table], order))
+        return self.change(table, lambda old: upserted(old, rows, KEYS[table], order))
+
+    def append(self, table: str, rows: DataFrame, tries: int = 20) -> DataFrame:
+        """More rows, as new files of the current version; nothing is read or written again.
 
-    def append(self, table: str, rows: DataFrame) -> DataFrame:
-        return self.write(table, self.read(table).unionByName(rows, allowMissingColumns=True))
+        The pointer's number moves on, so a writer that has read the version without these rows starts again.
+        """
+        written = None
+        for k in range(tries):
+            number, path = self._pointer(table)
+            if path is None:
+                return self.change(table, lambda old: old.unionByName(self._typed(table, rows)))
+            if written != path:
+                self._typed(table, rows).write.mode("append").parquet(path)
+                written = path
+            if self._point(table, number + 1, path.rsplit("/", 1)[1]):
+                return self.read(table)
+            time.sleep(0.05 * 2 ** min(k, 5))
+        raise RuntimeError(f"{table}: other writers were always faster")
 
     def delete(self, table: str, keys: DataFrame) -> DataFrame:
-        return self.write(table, deleted(self.read(table), keys))
+        return self.change(table, lambda old: deleted(old, keys))
 
     def get_meta(self, key: str, default: str | None = None) -> str | None:
         row = self.read("meta").where(F.col("key") == key).first()
@@ -117,14 +179,14 @@ class Store:
                 continue
             fs, p = self._fs(path)
             size = fs.getContentSummary(p).getLength()
-            self.write(table, self.read(table).coalesce(max(1, size // (target_mb << 20))))
-            kept, _, top = self._current(table), *self._fs(f"{self.folder}/{table}")
+            self.change(table, lambda old: old.coalesce(max(1, size // (target_mb << 20))))  # noqa: B023
+            (number, kept), (_, top) = self._pointer(table), self._fs(f"{self.folder}/{table}")
             freed[table] = 0
             for s in fs.listStatus(top):
                 name = s.getPath().getName()
                 if s.isDirectory() and not kept.endswith(name):
                     freed[table] += fs.getContentSummary(s.getPath()).getLength()
                     fs.delete(s.getPath(), True)
-                elif name.startswith("_current-") and not kept.endswith(name.split("-", 2)[2]):
+                elif name.startswith("_current-") and int(name.split("-")[1]) < number or name.startswith("_claim-") and int(name.split("-")[1]) < number:
                     fs.delete(s.getPath(), False)
         return freed

@@ -177,10 +177,11 @@ class Project:
         if not missing.isEmpty():
             return {"status": "stale_db", "missing_files": [r.file_path for r in missing.limit(20).collect()], "hint": "run update"}
         edits = self.spark.createDataFrame(named, "file_path string, functions array<string>")
-        rows = impact.impact(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), edits, fresh, self._least())
-        every = fresh.unionByName(changed)
-        hit = every.join(rows.select("reason"), F.contains("reason", F.col("file_path")), "left_semi")
-        near = impact.fallback(every.join(hit, "file_path", "left_anti"), self.t("test_units")).where(F.col("relevance") >= impact.STEM_LEAST)
+        rows = cut(impact.impact_rows(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), edits, fresh, self._least()))
+        hit = rows.select(F.explode("causes").alias("file_path")).distinct()
+        rows = impact.best_per_test(rows).drop("causes")
+        every = fresh.unionByName(changed).distinct()
+        near = impact.name_matches(every.join(hit, "file_path", "left_anti"), self.t("test_units"))
         near = near.select("test_id", "file_path", "name", (F.col("relevance") * impact.STEM_WEIGHT).alias("score"), F.concat(F.lit("name like "), F.col("source_file")).alias("reason"), F.lit("fallback").alias("source"))
         return self._rows(impact.best_per_test(rows.unionByName(near)).orderBy(F.desc("score"), "test_id"), limit)
 
