@@ -14,7 +14,8 @@ from ripplemark.operators import impact as I
 from ripplemark.operators import results as R
 from ripplemark.operators import risk as K
 from ripplemark.operators import store as S
-from ripplemark.plans.views import AS_OF, code_file, view, with_views
+from ripplemark.plans.views import AS_OF, BRANCH_SINCE, code_file, view, with_views
+from ripplemark.session import cut
 from ripplemark.streaming import streams as T
 
 FLAGSHIP = "risk_map"
@@ -37,13 +38,15 @@ def query(sql: str | None = None):
 
 
 class Views:
-    """The views of one folder as attributes."""
+    """The views of one folder as attributes.  ``kept`` ones are written once and read from there by every part of a plan."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._of = lambda name: view(spark, sf_dir, name)
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: tuple[str, ...] = ()):
+        self._of, self._kept = lambda name: view(spark, sf_dir, name), kept
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._of(name)
+        made = cut(self._of(name)) if name in self._kept else self._of(name)
+        setattr(self, name, made)
+        return made
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,9 +114,9 @@ def cochange_partners(spark, sf_dir):
     return H.partners(H.co_changes(v.commits, v.commit_files, MIN_COUNT).drop("last_co_commit"), target, MIN_COUNT)
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS n, CASE WHEN o_orderkey <= 0 THEN 2 ELSE greatest(2, CAST(floor(log2(o_orderkey) / 2) AS INT) + 1) END AS threshold FROM orders WHERE o_orderkey < 100000")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS n, CASE WHEN o_orderkey <= 0 THEN 2 ELSE greatest(2, CAST(floor(log2(o_orderkey) / 2) AS INT) + 1) END AS threshold FROM orders")
 def coupling_threshold(spark, sf_dir):
-    n = _table(spark, sf_dir, "orders").where("o_orderkey < 100000").select(F.col("o_orderkey").alias("n"))
+    n = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
     return n.select("n", X.coupling_threshold(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("threshold"))
 
 
@@ -127,9 +130,8 @@ COUPLING = f"""WITH p AS ({_pairs('commits', MIN_COUNT)}), q AS ({_pairs('branch
 
 
 def _coupled(v: Views) -> DataFrame:
-    pairs = H.co_changes(v.commits, v.commit_files, MIN_COUNT)
-    branch = H.co_changes(v.branch_commits, v.commit_files, 1)
-    return K.coupling(v.files, pairs, branch, G.neighbors(v.import_edges), MIN_COUNT)
+    both = cut(H.co_changes_with_branch(v.commits, v.commit_files, F.col("date") >= F.lit(BRANCH_SINCE).cast("timestamp_ntz")))
+    return K.coupling(v.files, both, both.where("branch_count >= 1"), G.neighbors(v.import_edges), MIN_COUNT)
 
 
 @query(COUPLING + " SELECT * FROM coupled")
@@ -223,15 +225,15 @@ def impacted_direct(spark, sf_dir):
 
 
 GAPS = """SELECT id, u.file_path, u.name, unit_type, line_start, line_end, coalesce(c.churn_score, 0e0) AS churn_score, coalesce(c.commit_count, 0) AS commit_count FROM code_units u
- LEFT JOIN (SELECT CAST(l_partkey AS STRING) AS part, count(*) AS commit_count, round(sum(l_tax), 6) AS churn_score FROM lineitem WHERE l_quantity < 3 GROUP BY 1) c ON c.part = u.id
+ LEFT JOIN (SELECT CAST(l_partkey AS STRING) AS part, count(*) AS commit_count, round(sum(l_tax), 6) AS churn_score FROM lineitem GROUP BY 1) c ON c.part = u.id
  WHERE NOT EXISTS (SELECT 1 FROM test_edges e WHERE e.code_id = u.id) AND NOT EXISTS (SELECT 1 FROM test_units t WHERE t.file_path = u.file_path)"""
 
 
-def _untested(spark, sf_dir) -> DataFrame:
-    v = Views(spark, sf_dir)
+def _untested(spark, sf_dir, v: Views | None = None) -> DataFrame:
+    v = v or Views(spark, sf_dir)
     units = v.code_units.withColumn("name", F.concat_ws("#", "name", "id"))
     ids = v.code_units.select("id", "file_path", F.col("name").alias("unit_name"))
-    rows = _table(spark, sf_dir, "lineitem").where("l_quantity < 3").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").alias("commit_count"), F.round(F.sum("l_tax"), 6).alias("churn_score"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").alias("commit_count"), F.round(F.sum("l_tax"), 6).alias("churn_score"))
     churned = rows.join(ids, "id").select("file_path", F.concat_ws("#", "unit_name", "id").alias("unit_name"), "commit_count", "churn_score")
     return C.untested_units(units, v.test_edges, v.test_units, churned).withColumn("name", F.substring_index("name", "#", 1))
 
@@ -304,19 +306,24 @@ def import_edges_max_conf(spark, sf_dir):
 
 
 SOURCES = "SELECT file_path FROM files WHERE file_path LIKE 'src/d3/%'"
-HOPS = f"h AS (SELECT file_path, 0 AS hops FROM ({SOURCES}) UNION SELECT u.b, h.hops + 1 FROM h JOIN (SELECT a, b FROM ({UNDIRECTED}) WHERE confidence >= 1) u ON u.a = h.file_path WHERE h.hops < 6)"
+#: Recursion by key keeps the best row of each file, so it ends without a bound on the depth.
+HOPS = f"""near AS (SELECT a, b FROM ({UNDIRECTED}) WHERE confidence >= 1), {{name}}(file_path, hops) USING KEY (file_path) AS (SELECT DISTINCT file_path, 0 FROM ({{sources}}) UNION
+ SELECT near.b, min({{name}}.hops + 1) FROM {{name}} JOIN near ON near.a = {{name}}.file_path LEFT JOIN recurring.{{name}} AS known ON known.file_path = near.b WHERE known.file_path IS NULL GROUP BY near.b)"""
+CLOSURE = f"""und AS ({UNDIRECTED}), c(file_path, decay, step) USING KEY (file_path) AS (SELECT '{TARGET}', 1e0, 0 UNION SELECT und.b, max(c.decay * 88e-2 * und.confidence), any_value(c.step) + 1 FROM c JOIN und ON und.a = c.file_path
+ LEFT JOIN recurring.c AS known ON known.file_path = und.b WHERE c.step < 32 AND c.decay >= 1e-2 AND (known.decay IS NULL OR c.decay * 88e-2 * und.confidence > known.decay) GROUP BY und.b),
+ best AS (SELECT file_path, decay FROM c WHERE file_path <> '{TARGET}')"""
 
 
-@query(f"WITH RECURSIVE {HOPS} SELECT file_path, min(hops) AS hops FROM h GROUP BY 1")
+@query(f"WITH RECURSIVE {HOPS.format(name='h', sources=SOURCES)} SELECT * FROM h")
 def bfs_hops(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return G.hops(v.import_edges, v.files.where("file_path like 'src/d3/%'"), most=6)
+    return G.hops(v.import_edges, v.files.where("file_path like 'src/d3/%'"))
 
 
-@query(f"WITH RECURSIVE und AS ({UNDIRECTED}), p AS (SELECT '{TARGET}' AS file_path, 1e0 AS decay, 0 AS step UNION SELECT und.b, p.decay * 88e-2 * und.confidence, p.step + 1 FROM p JOIN und ON und.a = p.file_path WHERE p.step < 4 AND p.decay >= 1e-2) SELECT file_path, round(max(decay), 9) AS decay FROM p WHERE file_path <> '{TARGET}' GROUP BY 1")
+@query(f"WITH RECURSIVE {CLOSURE} SELECT file_path, round(decay, 9) AS decay FROM best")
 def import_closure(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET), most=4).select("file_path", F.round("decay", 9).alias("decay"))
+    return G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET)).select("file_path", F.round("decay", 9).alias("decay"))
 
 
 @query("WITH RECURSIVE e AS (SELECT importer_file AS a, imported_file AS b FROM import_edges WHERE confidence >= 1), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS file_path, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT file_path, min(other) AS component FROM m GROUP BY 1")
@@ -338,11 +345,10 @@ def impacted_cochange(spark, sf_dir):
     return rows.groupBy("test_id").agg(F.max("score").alias("score"))
 
 
-@query(f"""WITH RECURSIVE und AS ({UNDIRECTED}), c AS (SELECT '{TARGET}' AS file_path, 1e0 AS decay, 0 AS step UNION SELECT und.b, c.decay * 88e-2 * und.confidence, c.step + 1 FROM c JOIN und ON und.a = c.file_path WHERE c.step < 5 AND c.decay >= 1e-2),
- best AS (SELECT file_path, max(decay) AS decay FROM c WHERE file_path <> '{TARGET}' GROUP BY 1) SELECT test_id, round(max(score * decay * 45e-2), 6) AS score FROM ({DIRECT}) d JOIN best USING (file_path) GROUP BY 1""")
+@query(f"WITH RECURSIVE {CLOSURE} SELECT test_id, round(max(score * decay * 45e-2), 6) AS score FROM ({DIRECT}) d JOIN best USING (file_path) GROUP BY 1")
 def impacted_closure(spark, sf_dir):
     v = Views(spark, sf_dir)
-    near = G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET), most=5)
+    near = G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET))
     near = near.groupBy("file_path").agg(F.max("decay").alias("decay"))
     rows = C.direct_impact(v.code_units, v.test_edges, v.test_units, near.select("file_path")).join(near, "file_path")
     return rows.groupBy("test_id").agg(F.round(F.max(F.col("score") * F.col("decay") * I.CLOSURE_WEIGHT), 6).alias("score"))
@@ -394,8 +400,7 @@ def fallback_suggest(spark, sf_dir):
     return I.fallback(v.files.where(F.col("file_path").isin(TARGET, "src/d1/f1.py")), v.test_units).select("source_file", "test_id", "relevance")
 
 
-@query(f"""WITH RECURSIVE p AS ({_pairs('commits', 5)}), near AS ({NEAR}), und AS ({UNDIRECTED}), c AS (SELECT '{TARGET}' AS file_path, 1e0 AS decay, 0 AS step UNION SELECT und.b, c.decay * 88e-2 * und.confidence, c.step + 1 FROM c JOIN und ON und.a = c.file_path WHERE c.step < 32 AND c.decay >= 1e-2),
- best AS (SELECT file_path, max(decay) AS decay FROM c WHERE file_path <> '{TARGET}' GROUP BY 1), r AS (SELECT test_id, score, 'direct' AS source, 0 AS rank FROM ({DIRECT}) WHERE file_path = '{TARGET}'
+@query(f"""WITH RECURSIVE p AS ({_pairs('commits', 5)}), near AS ({NEAR}), {CLOSURE}, r AS (SELECT test_id, score, 'direct' AS source, 0 AS rank FROM ({DIRECT}) WHERE file_path = '{TARGET}'
  UNION ALL SELECT test_id, score * 5e-1, 'co_change', 1 FROM ({DIRECT}) d JOIN near ON near.f = d.file_path UNION ALL SELECT test_id, score * decay * 45e-2, 'import_graph', 2 FROM ({DIRECT}) d JOIN best USING (file_path))
  SELECT test_id, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY score DESC, rank) AS k FROM r) WHERE k = 1""")
 def impacted_all(spark, sf_dir):
@@ -409,7 +414,7 @@ def impacted_all(spark, sf_dir):
 
 TESTED = f"SELECT file_path FROM ({COVERAGE}) WHERE tested_units > 0"
 RISK = f"""{COUPLING.replace('WITH p', 'WITH RECURSIVE p')}, churned AS ({CHURN}), cov AS (SELECT c.*, tested_lines / CAST(lines AS DOUBLE) AS coverage, coalesce(n, 0) AS covering_tests FROM ({COVERAGE}) c LEFT JOIN (SELECT file_path, count(*) AS n FROM ({COVERING}) GROUP BY 1) USING (file_path)),
- und AS ({UNDIRECTED}), hop AS (SELECT file_path, 0 AS hops FROM ({TESTED}) UNION SELECT und.b, hop.hops + 1 FROM hop JOIN und ON und.a = hop.file_path WHERE und.confidence >= 1 AND hop.hops < 4), hp AS (SELECT file_path, min(hops) AS hops FROM hop GROUP BY 1),
+ {HOPS.format(name='hp', sources=TESTED)},
  raw AS (SELECT ch.file_path, least(ch.churn_score / 5e0, 1e0) AS churn, coalesce(cp.coupling, 0e0) AS coupling, coalesce(cov.coverage, 0e0) AS coverage, coalesce(covering_tests, 0) AS covering_tests, coalesce(edges, 0) AS edges, coalesce(n_call, 0) AS n_call, coalesce(n_dynamic_import, 0) AS n_dyn, coalesce(hh.author_concentration, 1e0) AS author_concentration, coalesce(ins.test_instability, 0e0) AS ti, coalesce(hp.hops, 0) AS hops
   FROM churned ch LEFT JOIN coupled cp USING (file_path) LEFT JOIN cov USING (file_path) LEFT JOIN ({HHI}) hh USING (file_path) LEFT JOIN ({INSTABILITY}) ins USING (file_path) LEFT JOIN hp USING (file_path)
   WHERE ch.file_path NOT IN (SELECT file_path FROM test_units)),
@@ -420,14 +425,18 @@ RISK = f"""{COUPLING.replace('WITH p', 'WITH RECURSIVE p')}, churned AS ({CHURN}
  risks AS (SELECT file_path, risk_score, round(churn, 4) AS churn, round(coupling, 4) AS coupling, round(coverage_gap, 4) AS coverage_gap, coverage_depth, round(author_concentration, 4) AS author_concentration, round(test_instability, 4) AS test_instability, coverage_fraction, edge_type_quality, shadow_edge_count, dynamic_edge_count, round(hidden_risk, 4) AS hidden_risk, new_file_boost FROM risk)"""
 
 
+RISK_VIEWS = ("commit_files", "test_edges", "import_edges", "code_units", "test_units")
+
+
 def _risks(v: Views) -> DataFrame:
+    """Hops are looked for without a bound, as in the SQL, though a score changes up to the fourth only."""
     tested = C.files_with_edges(v.code_units, v.test_edges)
-    return K.components(_churn(v), _coupled(v), C.file_coverage(v.code_units, v.test_edges), H.author_concentration(v.blame), _instability(v), G.hops(v.import_edges, tested, most=4), v.test_units)
+    return K.components(_churn(v), _coupled(v), C.file_coverage(v.code_units, v.test_edges), H.author_concentration(v.blame), _instability(v), G.hops(v.import_edges, tested), v.test_units)
 
 
 @query(RISK + " SELECT * FROM risks")
 def risk_components(spark, sf_dir):
-    return _risks(Views(spark, sf_dir))
+    return _risks(Views(spark, sf_dir, RISK_VIEWS))
 
 
 _SHARES = ", ".join(f"count(DISTINCT {c}) AS n_{c}, min({c}) AS min_{c}" for c in K.WEIGHTS)
@@ -440,23 +449,24 @@ _NEW = " + ".join(f"(1 - {u}) * ({K.WEIGHTS[c]}e0 + ({_DEAD}) * {K.WEIGHTS[c]}e0
 
 @query(RISK + f", s AS (SELECT count(*) AS files, {_SHARES} FROM risks) SELECT file_path, CASE WHEN files > 1 AND {_COUNT} < 6 AND ({_COUNT} >= 2 OR {_ZERO} > 0) THEN round({_NEW}, 4) ELSE risk_score END AS risk_score FROM risks, s")
 def risk_map_reweighted(spark, sf_dir):
-    return K.reweighted(_risks(Views(spark, sf_dir))).select("file_path", "risk_score")
+    return K.reweighted(_risks(Views(spark, sf_dir, RISK_VIEWS))).select("file_path", "risk_score")
 
 
-@query(RISK + " SELECT file_path, risk_score, churn, coupling, coverage_gap, author_concentration FROM risks ORDER BY risk_score DESC, file_path LIMIT 1000")
+@query(RISK + " SELECT file_path, risk_score, churn, coupling, coverage_gap, author_concentration FROM risks ORDER BY risk_score DESC, file_path")
 def risk_map(spark, sf_dir):
-    return _risks(Views(spark, sf_dir)).select("file_path", "risk_score", "churn", "coupling", "coverage_gap", "author_concentration").orderBy(F.desc("risk_score"), "file_path").limit(1000)
+    return _risks(Views(spark, sf_dir, RISK_VIEWS)).select("file_path", "risk_score", "churn", "coupling", "coverage_gap", "author_concentration").orderBy(F.desc("risk_score"), "file_path")
 
 
 @query(RISK + " SELECT round(risk_score, 4) AS risk_score, count(*) AS n FROM risks GROUP BY 1 HAVING count(*) >= 3")
 def risk_meta_groups(spark, sf_dir):
-    return K.equal_groups(_risks(Views(spark, sf_dir)))
+    return K.equal_groups(_risks(Views(spark, sf_dir, RISK_VIEWS)))
 
 
 @query(RISK + f", top AS (SELECT file_path, risk_score FROM risks ORDER BY risk_score DESC, file_path LIMIT 10), g AS (SELECT file_path, count(*) AS gaps FROM ({GAPS}) GROUP BY 1) SELECT file_path, risk_score, coalesce(gaps, 0) AS gaps FROM top LEFT JOIN g USING (file_path)")
 def triage(spark, sf_dir):
-    top = _risks(Views(spark, sf_dir)).select("file_path", "risk_score").orderBy(F.desc("risk_score"), "file_path").limit(10)
-    gaps = _untested(spark, sf_dir).join(top.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("gaps"))
+    v = Views(spark, sf_dir, RISK_VIEWS)
+    top = cut(_risks(v).select("file_path", "risk_score").orderBy(F.desc("risk_score"), "file_path").limit(10))
+    gaps = _untested(spark, sf_dir, v).join(top.select("file_path"), "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("gaps"))
     return top.join(gaps, "file_path", "left").fillna(0, ["gaps"])
 
 
@@ -504,10 +514,11 @@ def test_stem(spark, sf_dir):
     return _paths(spark, sf_dir).select("path", X.test_stem("path").alias("stem"))
 
 
-@query("SELECT a / 60e0 AS gap, least(1e0, round_even(a / 60e0 * 20, 0) / 20) AS quantized FROM (SELECT CAST(p_partkey AS INT) AS a FROM part WHERE p_partkey <= 60)")
+@query("SELECT a / n AS gap, least(1e0, round_even(a / n * 20, 0) / 20) AS quantized FROM (SELECT CAST(p_partkey AS DOUBLE) AS a, CAST(max(p_partkey) OVER () AS DOUBLE) AS n FROM part)")
 def quantize_gap(spark, sf_dir):
-    gap = F.col("p_partkey") / F.lit(60.0)
-    return _table(spark, sf_dir, "part").where("p_partkey <= 60").select(gap.alias("gap"), X.quantized(gap).alias("quantized"))
+    part = _table(spark, sf_dir, "part")
+    gap = F.col("p_partkey").cast("double") / F.col("n")
+    return part.crossJoin(part.agg(F.max("p_partkey").cast("double").alias("n"))).select(gap.alias("gap"), X.quantized(gap).alias("quantized"))
 
 
 _SHARDS = ["src", "src/d1", "src/d3", "lib"]

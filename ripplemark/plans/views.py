@@ -22,16 +22,19 @@ def test_file(key: str) -> str:
     return f"concat('src/d', CAST({key} % 7 AS STRING), '/test_f', CAST({key} AS STRING), '.py')"
 
 
+#: Each view says which rows of the star schema are rows of the table: a test edge, an import and a static import are lines
+#: of a given quantity, discount or return, which leaves files without tests and a sparse import graph.
 VIEWS: dict[str, str] = {
     "commits": "SELECT o_orderkey AS hash, o_custkey AS author, o_orderdate AS date, o_orderpriority AS message FROM orders",
     "branch_commits": f"SELECT o_orderkey AS hash, o_custkey AS author, o_orderdate AS date FROM orders WHERE o_orderdate >= TIMESTAMP '{BRANCH_SINCE}'",
     "commit_files": f"SELECT l_orderkey AS commit_hash, {code_file('l_suppkey')} AS file_path, CAST(sum(l_quantity) AS BIGINT) AS insertions, CAST(sum(l_linenumber) AS BIGINT) AS deletions FROM lineitem GROUP BY 1, 2",
+    "unit_commits": f"SELECT l_orderkey AS commit_hash, {code_file('l_suppkey')} AS file_path, concat('u', CAST(l_partkey % 3 AS STRING)) AS unit_name, CAST(sum(l_quantity) AS BIGINT) AS insertions, CAST(sum(l_linenumber) AS BIGINT) AS deletions FROM lineitem GROUP BY 1, 2, 3",
     "files": f"SELECT {code_file('s_suppkey')} AS file_path FROM supplier",
     "code_units": f"SELECT CAST(p_partkey AS STRING) AS id, {code_file(f'(p_partkey % {N})')} AS file_path, p_name AS name, p_type AS unit_type, 1 AS line_start, p_size AS line_end FROM part",
     "test_units": f"SELECT CAST(c_custkey AS STRING) AS id, {test_file('c_nationkey')} AS file_path, c_name AS name, c_mktsegment AS framework FROM customer",
     "test_edges": "SELECT CAST(o_custkey AS STRING) AS test_id, CAST(l_partkey AS STRING) AS code_id, CASE l_returnflag WHEN 'R' THEN 'call' WHEN 'A' THEN 'import' ELSE 'dynamic_import' END AS edge_type, max(1 - l_discount) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45 GROUP BY 1, 2, 3",
     "test_results": "SELECT CAST(user_id AS STRING) AS test_id, event_type <> 'error' AS passed, value AS duration_ms, ts AS recorded_at, event_id FROM events",
-    "blame": f"SELECT {code_file('l_suppkey')} AS file_path, CAST(l_partkey % 20 AS STRING) AS author, concat(CAST(l_partkey % 20 AS STRING), '@x') AS author_email, 1 AS line_start, CAST(l_quantity AS INT) AS line_end FROM lineitem WHERE l_linenumber = 1",
+    "blame": f"SELECT {code_file('l_suppkey')} AS file_path, CAST(l_partkey % 20 AS STRING) AS author, concat(CAST(l_partkey % 20 AS STRING), '@x') AS author_email, 1 AS line_start, CAST(l_quantity AS INT) AS line_end FROM lineitem",
     "import_edges": f"SELECT {code_file('l_suppkey')} AS importer_file, {code_file(f'(l_partkey % {N})')} AS imported_file, max(CASE WHEN l_linestatus = 'F' THEN 1e0 ELSE 3e-1 END) AS confidence FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R' AND l_suppkey <> l_partkey % {N} GROUP BY 1, 2",
     "static_imports": f"SELECT {test_file('c_nationkey')} AS test_file_path, c_name AS test_unit_name, {code_file(f'(l_partkey % {N})')} AS target_file_path, true AS gap_eligible, max(1 - l_tax) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 9e-2 AND l_quantity >= 40 GROUP BY 1, 2, 3, 4",
 }
