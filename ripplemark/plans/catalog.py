@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplemark.functions import extract as E
 from ripplemark.functions import scalars as X
 from ripplemark.operators import coverage as C
 from ripplemark.operators import graph as G
@@ -49,7 +48,7 @@ class Views:
         return made
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,7 +77,7 @@ def churn_last_changed(spark, sf_dir):
 @query(f"WITH c AS ({CHURN}), f AS (SELECT file_path FROM files UNION SELECT {code_file('(1000000 + r_regionkey)')} FROM region) SELECT f.file_path, coalesce(commit_count, 0) AS commit_count, coalesce(distinct_authors, 0) AS distinct_authors, coalesce(total_insertions, 0) AS total_insertions, coalesce(total_deletions, 0) AS total_deletions, coalesce(churn_score, 0e0) AS churn_score FROM f LEFT JOIN c USING (file_path)")
 def churn_all_files_left(spark, sf_dir):
     v = Views(spark, sf_dir)
-    more = _table(spark, sf_dir, "region").select(F.expr(code_file("(1000000 + r_regionkey)")).alias("file_path"))
+    more = table(spark, sf_dir, "region").select(F.expr(code_file("(1000000 + r_regionkey)")).alias("file_path"))
     return H.churn_all_files(v.files.union(more), _churn(v))
 
 
@@ -116,7 +115,7 @@ def cochange_partners(spark, sf_dir):
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS n, CASE WHEN o_orderkey <= 0 THEN 2 ELSE greatest(2, CAST(floor(log2(o_orderkey) / 2) AS INT) + 1) END AS threshold FROM orders")
 def coupling_threshold(spark, sf_dir):
-    n = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
     return n.select("n", X.coupling_threshold(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("threshold"))
 
 
@@ -156,7 +155,7 @@ def history(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS j FROM events)
  SELECT user_id, event_type, min(k) AS first_place, max(k) AS last_place, count(*) AS length FROM e GROUP BY user_id, event_type, k - j""")
 def line_merge_islands(spark, sf_dir):
-    return H.line_blocks(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return H.line_blocks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
 # --- test results ------------------------------------------------------------------------------------------------
@@ -233,7 +232,7 @@ def _untested(spark, sf_dir, v: Views | None = None) -> DataFrame:
     v = v or Views(spark, sf_dir)
     units = v.code_units.withColumn("name", F.concat_ws("#", "name", "id"))
     ids = v.code_units.select("id", "file_path", F.col("name").alias("unit_name"))
-    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").alias("commit_count"), F.round(F.sum("l_tax"), 6).alias("churn_score"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("id")).agg(F.count("*").alias("commit_count"), F.round(F.sum("l_tax"), 6).alias("churn_score"))
     churned = rows.join(ids, "id").select("file_path", F.concat_ws("#", "unit_name", "id").alias("unit_name"), "commit_count", "churn_score")
     return C.untested_units(units, v.test_edges, v.test_units, churned).withColumn("name", F.substring_index("name", "#", 1))
 
@@ -479,7 +478,7 @@ PATHS = f"SELECT p_partkey, {_PATHS.format(ext=_PICK)} AS path FROM part"
 
 
 def _paths(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "part").select("p_partkey", F.expr(_PATHS.format(ext=_PICK)).alias("path"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_PATHS.format(ext=_PICK)).alias("path"))
 
 
 @query(f"SELECT path, CASE regexp_extract(path, '\\.([^.]*)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'rb' THEN 'ruby' END AS language FROM ({PATHS})")
@@ -516,7 +515,7 @@ def test_stem(spark, sf_dir):
 
 @query("SELECT a / n AS gap, least(1e0, round_even(a / n * 20, 0) / 20) AS quantized FROM (SELECT CAST(p_partkey AS DOUBLE) AS a, CAST(max(p_partkey) OVER () AS DOUBLE) AS n FROM part)")
 def quantize_gap(spark, sf_dir):
-    part = _table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     gap = F.col("p_partkey").cast("double") / F.col("n")
     return part.crossJoin(part.agg(F.max("p_partkey").cast("double").alias("n"))).select(gap.alias("gap"), X.quantized(gap).alias("quantized"))
 
@@ -531,19 +530,19 @@ def longest_prefix_shard(spark, sf_dir):
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
 def extract_hrefs(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
 
 
 @query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) SELECT href, min(page_id) AS page_id FROM h GROUP BY href HAVING count(DISTINCT page_id) = 1")
 def resolve_unique_names(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages")
     hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
     return hrefs.groupBy("href").agg(F.count_distinct("page_id").alias("n"), F.min("page_id").alias("page_id")).where("n = 1").select("href", "page_id")
 
 
 @query("SELECT name, dep_type, module_path FROM (SELECT event_type AS name, CAST(user_id AS STRING) AS dep_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS module_path, row_number() OVER (PARTITION BY event_type, user_id ORDER BY (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), ts, event_id) AS k FROM events) WHERE k = 1")
 def deps_dedupe(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("dep_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("module_path"), "ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("dep_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("module_path"), "ts", "event_id")
     none = F.col("module_path").isNull().cast("int")
     return S.last_of_each(rows, ["name", "dep_type"], [none.asc(), F.col("ts").asc(), F.col("event_id").asc()]).select("name", "dep_type", "module_path")
 
@@ -553,57 +552,24 @@ def deps_dedupe(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0")
 def cdc_changed_files(spark, sf_dir):
-    now = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), X.sha256("text").alias("content_hash"))
+    now = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), X.sha256("text").alias("content_hash"))
     before = now.where("cast(file_path as bigint) % 10 <> 0").withColumn("content_hash", F.when(F.expr("cast(file_path as bigint) % 7 = 0"), "other").otherwise(F.col("content_hash")))
     return S.changed_files(now, before).select(F.col("file_path").cast("bigint").alias("doc_id"))
 
 
 @query("SELECT user_id, coalesce(n.event_id, -1) AS event_id, coalesce(n.event_type, 'none') AS event_type FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value > 50) WHERE k = 1) n USING (user_id)")
 def upsert_last_wins(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     old = events.select("user_id").distinct().select("user_id", F.lit(-1).cast("bigint").alias("event_id"), F.lit("none").alias("event_type"), F.lit(None).cast("timestamp_ntz").alias("ts"))
     return S.upserted(old, events.where("value > 50").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT file_path, max(n) AS n FROM (SELECT l_suppkey AS file_path, max(l_quantity) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 UNION ALL SELECT l_suppkey, max(l_quantity) FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) GROUP BY 1")
 def upsert_max(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_path"), F.col("l_quantity").alias("n"), "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_path"), F.col("l_quantity").alias("n"), "l_returnflag")
     return S.upserted_max(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["file_path"], "n")
 
 
-# Source text for the extraction functions, one file for each part.
-_PY_SOURCE = "concat('import os\\nfrom pkg.m', CAST(p_partkey % 5 AS STRING), ' import f', CAST(p_partkey AS STRING), '\\n\\nclass C', CAST(p_partkey AS STRING), ':\\n    def go(self):\\n        return f', CAST(p_partkey AS STRING), '(1)\\n\\ndef top', CAST(p_partkey AS STRING), '():\\n    return 1\\n')"
-_JS_SOURCE = "concat('import { a as b } from \"./m', CAST(p_partkey % 5 AS STRING), '\";\\nconst P = \"./x\";\\nrequire(P);\\nexport function f', CAST(p_partkey AS STRING), '(x) {\\n  if (x) { return \"}\"; }\\n}\\nclass K', CAST(p_partkey AS STRING), ' {\\n}\\n')"
-
-
-def _sources(spark, sf_dir, text: str, ext: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(F.concat(F.lit("s/f"), F.col("p_partkey").cast("string"), F.lit(ext)).alias("file_path"), F.expr(text).alias("content"))
-
-
-_UNIT = "SELECT concat('s/f', CAST(p_partkey AS STRING), '{ext}') AS file_path, concat('{head}', {key}, '{tail}') AS name, '{kind}' AS unit_type, {a} AS line_start, {b} AS line_end FROM part"
-_KEY = "CAST(p_partkey AS STRING)"
-
-
-@query(" UNION ALL ".join([_UNIT.format(ext=".py", head="C", key=_KEY, tail="", kind="class", a=4, b=6), _UNIT.format(ext=".py", head="C", key=_KEY, tail=".go", kind="function", a=5, b=6), _UNIT.format(ext=".py", head="top", key=_KEY, tail="", kind="function", a=8, b=9)]))
-def extract_units_py(spark, sf_dir):
-    return E.code_units(_sources(spark, sf_dir, _PY_SOURCE, ".py")).drop("id")
-
-
-@query(" UNION ALL ".join([_UNIT.format(ext=".js", head="f", key=_KEY, tail="", kind="function", a=4, b=6), _UNIT.format(ext=".js", head="K", key=_KEY, tail="", kind="class", a=7, b=8)]))
-def extract_units_js(spark, sf_dir):
-    return E.code_units(_sources(spark, sf_dir, _JS_SOURCE, ".js")).drop("id")
-
-
-@query()
-def extract_deps_js(spark, sf_dir):
-    return E.dependencies(_sources(spark, sf_dir, _JS_SOURCE, ".js"))
-
-
-@query(" UNION ALL ".join(f"SELECT concat('s/f', {_KEY}, '.py') AS file_path, {n} AS name, '{t}' AS dep_type, {m} AS module_path FROM part" for n, t, m in (("'os'", "import", "'os'"), (f"concat('f', {_KEY})", "import", "concat('pkg.m', CAST(p_partkey % 5 AS STRING))"), (f"concat('f', {_KEY})", "call", "CAST(NULL AS STRING)"))))
-def extract_deps_py(spark, sf_dir):
-    return E.dependencies(_sources(spark, sf_dir, _PY_SOURCE, ".py")).select("file_path", "name", "dep_type", "module_path")
-
-
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
@@ -615,7 +581,7 @@ def _stream(spark, df: DataFrame, name: str, mode: str) -> DataFrame:
 
 
 def _result_stream(spark, sf_dir) -> DataFrame:
-    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
     return events.select(F.col("user_id").cast("string").alias("test_id"), (F.col("event_type") != "error").alias("passed"), F.col("value").alias("duration_ms"), F.col("ts").cast("timestamp").alias("recorded_at"))
 
 
@@ -626,13 +592,16 @@ def stream_failure_rates(spark, sf_dir):
 
 @query()
 def stream_activity(spark, sf_dir):
-    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
     rows = T.activity(events.withColumn("ts", F.col("ts").cast("timestamp")))
     return _stream(spark, rows, "stream_activity", "append").select("window.start", "event_type", "n", "total")
 
 
 @query()
 def lock_ttl(spark, sf_dir):
-    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
     requests = events.select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("file_path"), F.col("user_id").cast("string").alias("agent_id"), F.when(F.col("event_type") == "view", "release").otherwise("acquire").alias("action"), F.lit(3_600_000).cast("bigint").alias("ttl_ms"), F.col("ts").cast("timestamp").alias("at"))
     return _stream(spark, T.locks(requests), "lock_ttl", "append")
+
+
+from ripplemark.plans import catalog_text  # noqa: E402, F401 - registers its queries here

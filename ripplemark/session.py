@@ -24,9 +24,15 @@ def local_session(cores: int | str = "*", name: str = "ripplemark", memory: str
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -47,14 +47,18 @@ def pytest_results(lines: DataFrame, recorded_at=None) -> DataFrame:
 JEST = "testResults array<struct<name:string,assertionResults:array<struct<fullName:string,title:string,status:string,duration:double>>>>"
 
 
-def jest_results(spark: SparkSession, path: str, project: str = "", recorded_at=None) -> DataFrame:
-    """The same of a JSON report of test suites."""
-    rows = spark.read.schema(JEST).option("multiLine", True).json(path).select(F.inline("testResults")).select("name", F.inline("assertionResults"))
+def jest_rows(reports: DataFrame, project: str = "", recorded_at=None) -> DataFrame:
+    """The same of reports of test suites, one a row, read with the schema ``JEST``."""
+    rows = reports.select(F.inline("testResults")).select("name", F.inline("assertionResults"))
     file = F.regexp_replace("name", f"^{project.rstrip('/')}/", "") if project else F.col("name")
     when = F.current_timestamp() if recorded_at is None else recorded_at
     return rows.select(F.concat_ws(":", file, F.coalesce("title", "fullName")).alias("test_id"), (F.col("status") == "passed").alias("passed"), F.round("duration").cast("bigint").alias("duration_ms"), when.alias("recorded_at"))
 
 
+def jest_results(spark: SparkSession, path: str, project: str = "", recorded_at=None) -> DataFrame:
+    return jest_rows(spark.read.schema(JEST).option("multiLine", True).json(path), project, recorded_at)
+
+
 def results_of(spark: SparkSession, framework: str, lines: DataFrame | None = None, report: str | None = None, project: str = "") -> DataFrame | None:
     """The results by framework; None for those without a machine-readable report."""
     if framework == "pytest" and lines is not None:
