@@ -200,8 +200,8 @@ def _digest(segment: bytes) -> bytes:
 
 
 _SENT = "chunk int, bucket int, codes binary"
-_TEXTS = "chunk int, bucket int, cores binary, multi binary, segments array<binary>, strings binary"
-_REPLY = "chunk int, bucket int, cores binary, digests binary, ranges binary, strings binary"
+_TEXTS = "chunk int, bucket int, cores binary, multi binary, segments array<binary>, strings binary, hot binary"
+_REPLY = "chunk int, bucket int, cores binary, digests binary, ranges binary, strings binary, hot binary"
 
 
 def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: int = LENGTH, gram: int = GRAM, text: str = "text", chunk_bytes: int = 3_000_000, most: int = MOST) -> DataFrame:
@@ -255,6 +255,7 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
         by_bucket: dict[int, dict[tuple[int, bytes], bool]] = {}
         numbers: list[int] = []
         strings: list[bytes] = []
+        marks: list[bytes] = []  # the hot cores themselves, which come back to the chunk beside the answers
         if table.num_rows and replies.num_rows:
             _, own = segments(table)
             core = own.core.astype(np.uint64)
@@ -264,6 +265,7 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
             hot = np.isin(asked | np.uint64(2), full)
             if hot.any():
                 numbers, strings = dealt_strings(own, np.flatnonzero(hot))
+                numbers, strings, marks = [*numbers, table.column("chunk")[0].as_py() % buckets], [*strings, b""], [b""] * len(strings) + [np.unique(core[hot]).tobytes()]
             hits = np.flatnonzero(np.isin(asked, full))
             for k, c, b in zip(hits.tolist(), core[hits].tolist(), bucket[hits].tolist()):
                 at = by_bucket.setdefault(b, {})
@@ -278,6 +280,7 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
             "multi": pa.array([*(bytes(x.values()) for x in by_bucket.values()), *none], pa.binary()),
             "segments": pa.array([*([s for _, s in x] for x in by_bucket.values()), *([] for _ in numbers)], pa.list_(pa.binary())),
             "strings": pa.array([*(b"" for _ in by_bucket), *strings], pa.binary()),
+            "hot": pa.array([*(b"" for _ in by_bucket), *marks], pa.binary()),
         })
 
     def repeated_strings(chunks: list[int], sent: list[bytes]) -> list[tuple[int, bytes]]:
@@ -315,15 +318,17 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
                 digest = _digest(s) if found else b""
                 for c in chunks if found else ():
                     out.setdefault(c, []).extend((core, digest, a, b) for a, b in found)
-        strings = repeated_strings(table.column("chunk").to_pylist(), table.column("strings").to_pylist())
+        strings = [(c, x, b"") for c, x in repeated_strings(table.column("chunk").to_pylist(), table.column("strings").to_pylist())]
+        strings += [(c, b"", h) for c, h in zip(table.column("chunk").to_pylist(), table.column("hot").to_pylist()) if h]
         none = [b""] * len(strings)
         return pa.table({
-            "chunk": pa.array([*out, *(c for c, _ in strings)], pa.int32()),
+            "chunk": pa.array([*out, *(c for c, _, _ in strings)], pa.int32()),
             "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(out) + len(strings)), pa.int32()),
             "cores": pa.array([*(np.array([x[0] for x in v], np.uint64).tobytes() for v in out.values()), *none], pa.binary()),
             "digests": pa.array([*(b"".join(x[1] for x in v) for v in out.values()), *none], pa.binary()),
             "ranges": pa.array([*(np.array([x[2:] for x in v], np.uint32).tobytes() for v in out.values()), *none], pa.binary()),
-            "strings": pa.array([*(b"" for _ in out), *(x for _, x in strings)], pa.binary()),
+            "strings": pa.array([*(b"" for _ in out), *(x for _, x, _ in strings)], pa.binary()),
+            "hot": pa.array([*(b"" for _ in out), *(h for _, _, h in strings)], pa.binary()),
         })
 
     sent = groups.cogroup(known.groupBy("chunk")).applyInArrow(send, _TEXTS)
@@ -351,7 +356,8 @@ def repeated_bytes(docs: DataFrame, key: list[str], rows, schema: str, length: i
                     edge[own.begin[k] + b - 1 + length] -= 1
             known = np.concatenate([np.frombuffer(x, _STRING) for x in replies.column("strings").to_pylist()])
             if len(known):
-                at = own.strings(np.arange(len(own.begin)), length)
+                hot = np.concatenate([np.frombuffer(x, np.uint64) for x in replies.column("hot").to_pylist()])
+                at = own.strings(np.flatnonzero(np.isin(core, hot)), length)
                 high = own.hashes(at, length, _BASE)
                 some = np.isin(high, known["high"])
                 at, high = at[some], high[some]
