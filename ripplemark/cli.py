@@ -10,14 +10,10 @@ import subprocess
 import sys
 import tempfile
 
-from ripplemark.plans.project import QUERIES, Project
+from ripplemark.plans.describe import target
+from ripplemark.plans.project import QUERIES, Project, storage_dir
 
 
-def _target(name: str):
-    from ripplemark.operators.control import Jobs, Locks
-
-    others = {"acquire_file_lock": Locks.acquire, "release_file_lock": Locks.release, "refresh_file_lock": Locks.refresh, "check_file_lock": Locks.check, "check_locks": Locks.check_many, "list_file_locks": Locks.list, "job_status": Jobs.status, "cancel_job": Jobs.cancel}
-    return others.get(name) or getattr(Project, name)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,8 +24,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--json", action="store_true")
     commands = out.add_subparsers(dest="command", required=True)
     for name in QUERIES:
-        sub = commands.add_parser(name.replace("_", "-"), help=(inspect.getdoc(_target(name)) or "").split("\n")[0])
-        for p in list(inspect.signature(_target(name)).parameters.values())[1:]:
+        sub = commands.add_parser(name.replace("_", "-"), help=(inspect.getdoc(target(name)) or "").split("\n")[0])
+        for p in list(inspect.signature(target(name)).parameters.values())[1:]:
             if p.kind is p.VAR_KEYWORD:
                 continue
             text = str(p.annotation)
@@ -84,7 +80,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from ripplemark.session import local_session
 
         spark = local_session()
-    project = Project(spark, root, folder or os.environ.get("RIPPLEMARK_STORAGE") or os.path.join(root, ".ripplemark"))
+    project = Project(spark, root, storage_dir(root, folder))
     if command == "run":
         out = {"result": record_run(project, args["test_command"])}
     else:

@@ -109,25 +109,35 @@ def equal_groups(risks: DataFrame, least: int = 3) -> DataFrame:
     return risks.groupBy(F.round("risk_score", 4).alias("risk_score")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def why_uniform(component: str, value: float | None, stats: dict[str, int]) -> str:
+    """Why all files have one ``value`` of a component, from the sizes of the tables it comes from."""
+    n = lambda table: stats.get(table, 0)
+    if component == "coupling" and not value:
+        lacks = [what for table, what in (("import_edges", "no import edges"), ("co_changes", f"no pairs of files in enough of {n('commits')} commits")) if not n(table)]
+        return " and ".join(lacks) or f"{n('import_edges')} import edges and {n('co_changes')} pairs touch none of the files"
+    if component == "coverage_gap" and value == 1:
+        return f"none of {n('test_edges')} test edges leads to a unit of these files" if n("test_edges") else "no test edges"
+    if component == "coverage_depth" and not value:
+        return f"none of {n('test_edges')} test edges covers these files"
+    if component == "test_instability" and not value:
+        return f"all {n('test_results')} results are stable" if n("test_results") else "no test results"
+    if component == "author_concentration" and value == 1:
+        return "one author a file, or no blame"
+    if component == "churn" and not value:
+        return f"none of {n('commits')} commits touches these files" if n("commits") else "no commits"
+    return f"all files have {value}"
+
+
 def risk_meta(risks: DataFrame, stats: dict | None = None) -> dict:
     """Which components carry the scores, why the others do not, and groups of equal scores (warned of from 5 files)."""
     found = uniformity(risks)
-    stats = stats or {}
-    reasons = {
-        "coupling": "no co-change above the threshold and no imports" if not stats.get("import_edges") else "imports and co-changes alike for all files",
-        "coverage_gap": "no test edges" if not stats.get("test_edges") else "all files covered alike",
-        "coverage_depth": "no test edges" if not stats.get("test_edges") else "all files have as many tests",
-        "author_concentration": "no blame data" if not stats.get("blame") else "one author",
-        "test_instability": "no test results" if not stats.get("test_results") else "all tests are as stable",
-        "churn": "no commits" if not stats.get("commits") else "all files change alike",
-    }
     uniform = [c for c in WEIGHTS if found[f"n_{c}"] <= 1]
     weights = new_weights(found)
     groups = [r.asDict() for r in equal_groups(risks).orderBy(F.desc("n"), "risk_score").limit(10).collect()]
     return {
         "total_files": found["files"],
         "effective_components": [c for c in WEIGHTS if c not in uniform],
-        "uniform_components": {c: {"value": found[f"min_{c}"], "reason": reasons[c]} for c in uniform},
+        "uniform_components": {c: {"value": found[f"min_{c}"], "reason": why_uniform(c, found[f"min_{c}"], stats or {})} for c in uniform},
         "reweighted": weights is not None,
         "effective_weights": {c: round(w, 4) for c, w in (weights or {}).items()},
         "uniform_risk_groups": groups,

@@ -6,6 +6,8 @@ Every query is a plan over the stored tables; only its final, bounded answer com
 from __future__ import annotations
 
 import os
+import re
+import tomllib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.functions import extract
 from ripplemark.functions import scalars as X
-from ripplemark.operators import control, coverage, edges, graph, history, impact, results, risk
+from ripplemark.operators import control, coverage, edges, graph, history, impact, lookups, results, risk, shards, worktree
 from ripplemark.operators.store import Store, changed_files
 from ripplemark.session import cut
 from ripplemark.sources import files as file_source
@@ -22,6 +24,26 @@ from ripplemark.sources import git
 JOB_FILES, INLINE_FILES, MOST, WORKING_TREE_MOST = 300, 50, 1000, 30
 
 
+def shard_config(root: str) -> str:
+    """The comma-separated shards of a project: an environment variable, else ``shards`` in ``ripplemark.toml``."""
+    if own := os.environ.get("RIPPLEMARK_SHARDS"):
+        return own
+    path = os.path.join(root, "ripplemark.toml")
+    if not os.path.exists(path):
+        return ""
+    with open(path, "rb") as f:
+        found = tomllib.load(f).get("shards", [])
+    return found if isinstance(found, str) else ",".join(found)
+
+
+def storage_dir(root: str | None = None, explicit: str | None = None, shard: str | None = None) -> str:
+    """Where a project's tables lie: what is given, else an environment variable, else in the project, else at home."""
+    own = explicit or os.environ.get("RIPPLEMARK_STORAGE") or os.path.join(git.project_root(root) if root else os.path.expanduser("~"), ".ripplemark")
+    if own == ":memory:" or own.startswith("file:memory"):
+        raise ValueError("a store is a folder")
+    return os.path.join(own, "shards", shard) if shard else own
+
+
 def shard_prefixes(config: str, root: str) -> list[str]:
     """Directory prefixes from a comma-separated list; ``dir/*`` stands for each directory in it."""
     out = set()
@@ -37,18 +59,40 @@ def shard_prefixes(config: str, root: str) -> list[str]:
 class Project:
     """One repository and its store.  ``shards`` are directory prefixes by which results can be split."""
 
-    def __init__(self, spark: SparkSession, root: str, folder: str, shards: str = ""):
+    def __init__(self, spark: SparkSession, root: str, folder: str, shards: str | None = None):
         self.spark, self.root = spark, os.path.abspath(root)
         self.store = Store(spark, folder)
         self.locks, self.jobs = control.Locks(self.store), control.Jobs(self.store)
-        self.shards = shard_prefixes(shards, self.root)
+        self.shards = shard_prefixes(shard_config(self.root) if shards is None else shards, self.root)
 
     # --- build ---------------------------------------------------------------------------------------------------
 
-    def analyze(self, directory: str | None = None, force: bool = False) -> dict:
-        """Everything from the sources and the whole history; unchanged files are not parsed again unless forced."""
+    def analyze(self, directory: str | None = None, force: bool = False, shard: str | None = None, in_job: bool = False) -> dict:
+        """Everything from the sources and the whole history; unchanged files are not parsed again unless forced.
+
+        A forced run over more than ``JOB_FILES`` files becomes a background job.  A shard is its directory.
+        """
+        directory = directory or shard
+        if force and not in_job:
+            n = file_source.source_files(self.spark, self.root, git.visible_files(self.spark, self.root), directory).count()
+            if n > JOB_FILES:
+                return self.start_job("analyze", directory=directory, force=True, in_job=True) | {"status": "auto_queued", "code_files": n}
         return self._build(directory, force)
 
+    def _changes(self) -> DataFrame:
+        """The files on disk that differ from what the tables know."""
+        return changed_files(file_source.source_files(self.spark, self.root, git.visible_files(self.spark, self.root)), self.t("file_hashes"))
+
+    def auto_update(self) -> dict:
+        """An update before a query, if at most ``INLINE_FILES`` files have changed and no job is running."""
+        if not self.t("bg_jobs").where("status = 'running'").isEmpty():
+            return {"updated": False, "reason": "background_job_running"}
+        n = self._changes().count()
+        if not n or n > INLINE_FILES:
+            return {"updated": False, "reason": "too_many_changed_files" if n else "no_changes"}
+        self.update()
+        return {"updated": True, "reason": None}
+
     def update(self) -> dict:
         """As :meth:`analyze` for changed files; nothing is rebuilt if neither files nor commits are new.
 
@@ -56,12 +100,6 @@ class Project:
         """
         return self._build(None, False, incremental=True)
 
-    def _log(self) -> DataFrame | None:
-        try:
-            return git.git_log(self.spark, self.root)
-        except RuntimeError:
-            return None
-
     def _build(self, directory: str | None, force: bool, incremental: bool = False) -> dict:
         store = self.store
         visible = git.visible_files(self.spark, self.root)
@@ -89,10 +127,10 @@ class Project:
         n_commits = all_commits.count()
         authors = all_commits.select("author").distinct().count()
         threshold = self._threshold(n_commits)
-        least = max(1, threshold // 2) if authors <= 1 else threshold
+        least = self.spark.range(1).select(X.query_threshold(F.lit(threshold), F.lit(authors))).first()[0]
         as_of = F.lit(datetime.now(timezone.utc).isoformat()).cast("timestamp")
         churn = history.churn_all_files(current, history.churn(all_commits, all_files, as_of)).withColumn("unit_name", F.lit(""))
-        store.write("churn_stats", churn)
+        store.write("churn_stats", churn.unionByName(self._unit_churn(units, paths, as_of), allowMissingColumns=True))
         store.write("co_changes", history.co_changes(all_commits, all_files, least))
         store.write("branch_co_changes", self._branch_pairs())
         blamed = git.blame(paths, self.root).join(changed.select("file_path", "content_hash"), "file_path")
@@ -117,6 +155,16 @@ class Project:
         out = {"status": "ok", "code_files_scanned": current.count(), "changed_files": n_changed, "new_commits": n_new, "code_units": units.count(), "test_units": tests.count(), "test_edges": store.read("test_edges").count(), "commits": n_commits, "orphaned_results_cleaned": orphans}
         return out | ({"git_warning": warning} if warning else {})
 
+    def _unit_churn(self, units: DataFrame, changed: DataFrame, as_of) -> DataFrame:
+        """Churn of each function: from the log of those in changed files, and as it was for the others that still exist."""
+        own = cut(git.unit_commits(units.join(changed, "file_path", "left_semi"), self.root))
+        commits = own.select(F.col("commit_hash").alias("hash"), "author", "date").dropDuplicates(["hash"])
+        touched = own.select("commit_hash", "file_path", "unit_name", F.lit(0).cast("bigint").alias("insertions"), F.lit(0).cast("bigint").alias("deletions"))
+        new = history.churn(commits, touched, as_of, ("file_path", "unit_name"))
+        kept = self.t("churn_stats").where(F.col("unit_name") != "").join(changed, "file_path", "left_anti")
+        kept = kept.join(units.select("file_path", F.col("name").alias("unit_name")), ["file_path", "unit_name"], "left_semi")
+        return cut(kept.unionByName(new, allowMissingColumns=True))
+
     @staticmethod
     def _threshold(n: int) -> int:
         return 2 if n <= 0 else max(2, (n.bit_length() - 1) // 2 + 1)
@@ -150,7 +198,15 @@ class Project:
         return not self.t("code_units").isEmpty() or not self.t("commits").isEmpty()
 
     def _least(self) -> int:
-        return max(1, int(self.store.get_meta("co_change_query_min", "3")))
+        return lookups.meta_number(self.t("meta"), "co_change_query_min", 3).first()[0]
+
+    def _disk(self) -> dict[str, DataFrame]:
+        """What is on disk only: untracked code files, their units and dependencies, and tests of files without stored tests."""
+        fresh = cut(git.untracked_files(self.spark, self.root).where(X.has_code_extension("file_path")))
+        found = file_source.source_files(self.spark, self.root, git.visible_files(self.spark, self.root))
+        own = cut(found.join(fresh, "file_path", "left_semi"))
+        tests = extract.test_units(file_source.test_files(found.join(self.t("test_units").select("file_path"), "file_path", "left_anti")))
+        return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": cut(worktree.disk_only_tests(tests, self.t("test_units")))}
 
     @staticmethod
     def _rows(df: DataFrame, limit: int = MOST) -> list[dict]:
@@ -161,8 +217,11 @@ class Project:
         rows = impact.impact(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), changed, min_count=self._least())
         return self._rows(rows.orderBy(F.desc("score"), "test_id"), limit)
 
-    def diff_impact(self, ref: str | None = None, limit: int = MOST) -> dict | list[dict]:
-        """Tests for what differs from ``ref`` (default: the main branch) and for untracked code files."""
+    def diff_impact(self, ref: str | None = None, limit: int = MOST, working_tree: bool = False, auto_update: bool = False) -> dict | list[dict]:
+        """Tests for what differs from ``ref`` (default: the main branch) and for untracked code files.
+
+        ``working_tree``: also tests on disk that the tables do not know, and static imports of changed files.
+        """
         try:
             ref = ref or git.diff_base(self.root)
             changed = git.changed_files(self.spark, self.root, ref).where(X.has_code_extension("file_path"))
@@ -173,7 +232,9 @@ class Project:
             return {"status": "git_error", "error": str(e), "cwd": self.root}
         if not named and fresh.isEmpty():
             return {"status": "no_changes", "ref": ref}
-        missing = changed.join(self.t("file_hashes"), "file_path", "left_anti")
+        if not lookups.missing(changed, self.t("file_hashes")).isEmpty() and auto_update:
+            self.auto_update()
+        missing = lookups.missing(changed, self.t("file_hashes"))
         if not missing.isEmpty():
             return {"status": "stale_db", "missing_files": [r.file_path for r in missing.limit(20).collect()], "hint": "run update"}
         edits = self.spark.createDataFrame(named, "file_path string, functions array<string>")
@@ -181,19 +242,53 @@ class Project:
         hit = rows.select(F.explode("causes").alias("file_path")).distinct()
         rows = impact.best_per_test(rows).drop("causes")
         every = fresh.unionByName(changed).distinct()
-        near = impact.name_matches(every.join(hit, "file_path", "left_anti"), self.t("test_units"))
-        near = near.select("test_id", "file_path", "name", (F.col("relevance") * impact.STEM_WEIGHT).alias("score"), F.concat(F.lit("name like "), F.col("source_file")).alias("reason"), F.lit("fallback").alias("source"))
-        return self._rows(impact.best_per_test(rows.unionByName(near)).orderBy(F.desc("score"), "test_id"), limit)
+        if working_tree:
+            rows = worktree.more_tests(rows, hit, every, fresh, self.t("static_test_imports"), self.t("test_units"), self._disk()["tests"])
+        else:
+            near = impact.name_matches(every.join(hit, "file_path", "left_anti"), self.t("test_units"))
+            near = near.select("test_id", "file_path", "name", (F.col("relevance") * impact.STEM_WEIGHT).alias("score"), F.concat(F.lit("name like "), F.col("source_file")).alias("reason"), F.lit("fallback").alias("source"))
+            rows = impact.best_per_test(rows.unionByName(near))
+        return self._rows(rows.orderBy(F.desc("score"), "test_id"), limit)
 
-    def suggest_tests(self, file_path: str | None = None, directory: str | None = None, fallback_to_all: bool = False, limit: int = WORKING_TREE_MOST) -> list[dict]:
+    def suggest_tests(self, file_path: str | None = None, directory: str | None = None, fallback_to_all: bool = False, limit: int = MOST, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
+        """Tests for a file or a directory, the most relevant first; at most ``WORKING_TREE_MOST`` where names alone decide."""
+        if auto_update:
+            self.auto_update()
         own = self._files([file_path]) if file_path else self.t("file_hashes").where(X.in_directory("file_path", directory or "")).select("file_path")
         found = impact.impact(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), own, min_count=self._least())
         rows = impact.suggest(found, impact.static_tests(self.t("static_test_imports"), own), results.failure_rates(self.t("test_results")))
         out = self._rows(rows.orderBy(F.desc("relevance"), "test_id"), limit)
-        if not out and (fallback_to_all or file_path):
-            out = self._rows(impact.fallback(own, self.t("test_units")).orderBy(F.desc("relevance"), "test_id"), limit)
+        if not out and (fallback_to_all or file_path or working_tree):
+            disk = self._disk() if working_tree else None
+            own = own.unionByName(disk["files"].where(X.in_directory("file_path", directory))).distinct() if disk and directory else own
+            near = worktree.suggest_by_name(own, self.t("test_units"), disk and disk["tests"])
+            out = self._rows(near.orderBy(F.desc("relevance"), "test_id"), min(limit, WORKING_TREE_MOST))
         return out
 
+    def eval_warning(self, file_path: str) -> dict | None:
+        """What to know of a script that makes code at run time: what it loads so is seen by no analysis."""
+        if X_SCRIPT.search(file_path) is None:
+            return None
+        found = file_source.source_files(self.spark, self.root, self._files([file_path])).select(X.eval_count("content").alias("n"), F.col("content").rlike(r"\beval\s*\(").alias("e"), X.plugin_signals("content").alias("s")).first()
+        if found is None or not (found.n or found.e):
+            return None
+        return {"query": "warn_eval_used", "reason": f"{file_path} makes code at run time; tests of what it loads are not in this list", "eval_count": found.n, "signals": [k for k, v in found.s.asDict().items() if v]}
+
+    def risk_of(self, file_path: str, unit_name: str | None = None, new_file_boost: bool = True) -> dict:
+        """The risk of one file or one unit of it: units count alike, and nearness of tested code does not."""
+        units = lookups.matching(self.t("code_units"), file_path=file_path)
+        units = lookups.matching(units, name=unit_name) if unit_name else units
+        churn = lookups.matching(self.t("churn_stats"), file_path=file_path, unit_name=unit_name or "").select("file_path", "churn_score")
+        own = self._files([file_path])
+        churn = own.join(churn, "file_path", "left").fillna(0.0, ["churn_score"])
+        pairs, branch = (self.t(t).where((F.col("file_a") == file_path) | (F.col("file_b") == file_path)) for t in ("co_changes", "branch_co_changes"))
+        coupled = risk.coupling(own, pairs, branch, graph.neighbors(self.t("import_edges")), self._least())
+        spread, rates = results.duration_cv(self.t("test_results")), results.failure_rates(self.t("test_results"))
+        unstable = results.instability(coverage.covering_tests(units, self.t("test_edges")), rates, spread)
+        blame = history.author_concentration(self._blame().where(F.col("file_path") == file_path))
+        row = risk.components(churn, coupled, coverage.file_coverage(units, self.t("test_edges"), "unit"), blame, unstable, new_file_boost=new_file_boost)
+        return row.withColumn("unit_name", F.lit(unit_name)).first().asDict()
+
     def churn(self, file_path: str, unit_name: str = "") -> list[dict]:
         return self._rows(self.t("churn_stats").where((F.col("file_path") == file_path) & (F.col("unit_name") == unit_name)))
 
@@ -209,35 +304,55 @@ class Project:
         rows = history.reviewers(self.t("commits"), self.t("commit_files").where(F.col("file_path") == file_path), datetime.now(timezone.utc).isoformat())
         return self._rows(rows.withColumn("role", F.lit("suggested_reviewer")).orderBy(F.desc("percentage")))
 
-    def coupling(self, file_path: str, min_count: int = 3) -> dict:
+    def coupling(self, file_path: str, min_count: int = 3, working_tree: bool = False) -> dict:
         own, least = self._files([file_path]), max(min_count, self._least())
         row = risk.coupling(own, self.t("co_changes"), self.t("branch_co_changes"), graph.neighbors(self.t("import_edges")), least).first().asDict()
         pairs = history.partners(self.t("co_changes"), own, least).orderBy(F.desc("co_commit_count"), "partner")
         near = graph.neighbors(self.t("import_edges")).where(F.col("file_path") == file_path).orderBy("neighbor")
-        return row | {"co_change_partners": self._rows(pairs), "import_partners": self._rows(near), "min_count": least}
-
-    def _risks(self, directory: str | None = None, exclude_tests: bool = True, proximity: bool = True, mode: str = "line", new_file_boost: bool = True) -> DataFrame:
+        partners = self._rows(near)
+        if working_tree and not partners:
+            source = file_source.source_files(self.spark, self.root, own)
+            deps = extract.dependencies(source).withColumn("place", F.monotonically_increasing_id())
+            found = worktree.disk_neighbors(deps).first()
+            partners = [{"file_path": file_path, "neighbor": m, "confidence": 1.0} for m in (found.modules if found else [])]
+            row["import_breadth"] = len(partners)
+            row["import_norm"] = min(len(partners) / risk.IMPORT_CAP, 1.0)
+            row["coupling"] = max(row["cochange_norm"], row["import_norm"], 0.5 * row["cochange_norm"] + 0.5 * row["import_norm"])
+        return row | {"co_change_partners": self._rows(pairs), "import_partners": partners, "min_count": least}
+
+    def _risks(self, directory: str | None = None, exclude_tests: bool = True, proximity: bool = True, mode: str = "line", new_file_boost: bool = True, extra: DataFrame | None = None) -> DataFrame:
         units, own = self.t("code_units"), self.t("test_edges")
         churn = self.t("churn_stats").where(F.col("unit_name") == "")
         coupled = risk.coupling(churn, self.t("co_changes"), self.t("branch_co_changes"), graph.neighbors(self.t("import_edges")), self._least())
         hops = graph.hops(self.t("import_edges"), coverage.files_with_edges(units, own), most=4) if proximity else None
         spread = results.duration_cv(self.t("test_results"))
         unstable = results.instability(coverage.covering_tests(units, own), results.failure_rates(self.t("test_results")), spread)
-        return risk.components(churn, coupled, coverage.file_coverage(units, own, mode), history.author_concentration(self._blame()), unstable, hops, self.t("test_units") if exclude_tests else None, directory, None, new_file_boost)
-
-    def risk_map(self, directory: str | None = None, limit: int = MOST, **how) -> dict:
-        scored = cut(self._risks(directory, **how))
-        meta = risk.risk_meta(scored, {"test_edges": not self.t("test_edges").isEmpty(), "import_edges": not self.t("import_edges").isEmpty(), "blame": not self.t("blame_cache").isEmpty(), "test_results": not self.t("test_results").isEmpty(), "commits": not self.t("commits").isEmpty()})
-        rows = impact.annotated_with_locks(risk.reweighted(scored), self.t("file_locks"), self.locks.now())
-        cycles = self._rows(graph.cycles(self.t("import_edges")))
-        return {"files": self._rows(rows.orderBy(F.desc("risk_score"), "file_path"), limit), "_meta": meta | {"cycles": cycles}}
+        return risk.components(churn, coupled, coverage.file_coverage(units, own, mode), history.author_concentration(self._blame()), unstable, hops, self.t("test_units") if exclude_tests else None, directory, extra, new_file_boost)
+
+    def risk_map(self, directory: str | None = None, limit: int = MOST, working_tree: bool = False, auto_update: bool = False, shard: str | None = None, **how) -> dict:
+        """All files by risk, with what carries the scores; ``working_tree`` adds untracked files, a shard is its directory."""
+        if auto_update:
+            self.auto_update()
+        scored = cut(self._risks(directory or shard, extra=self._disk()["files"] if working_tree else None, **how))
+        tables = ("test_edges", "import_edges", "co_changes", "test_results", "commits")
+        meta = risk.risk_meta(scored, {r.table_name: r.n for r in coverage.table_counts({t: self.t(t) for t in tables}).collect()})
+        locks = lookups.active_locks(self.t("file_locks"), self.locks.now())
+        rows = cut(impact.annotated_with_locks(risk.reweighted(scored), self.t("file_locks"), self.locks.now()))
+        meta |= {"cycles": self._rows(graph.cycles(self.t("import_edges"))), "active_locks": locks.count(), "lock_claims": rows.where("locked_by is not null").count()}
+        return {"files": self._rows(rows.orderBy(F.desc("risk_score"), "file_path"), limit), "_meta": meta}
 
     def _gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True) -> DataFrame:
         gaps = coverage.untested_units(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("churn_stats"), file_path, directory, exclude_tests)
         return coverage.test_gaps(gaps, self.t("static_test_imports"), coverage.files_with_edges(self.t("code_units"), self.t("test_edges")))
 
-    def test_gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True, limit: int = MOST) -> list[dict]:
-        return self._rows(self._gaps(file_path, directory, exclude_tests).orderBy(F.desc("churn_score"), "id"), limit)
+    def test_gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True, limit: int = MOST, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
+        if auto_update:
+            self.auto_update()
+        gaps = self._gaps(file_path, directory, exclude_tests)
+        if not working_tree:
+            return self._rows(gaps.orderBy(F.desc("churn_score"), "id"), limit)
+        disk = self._disk()
+        return self._rows(worktree.with_gaps_on_disk(gaps, worktree.gaps_on_disk(disk["units"], disk["files"], self.t("code_units"), directory, exclude_tests)), limit)
 
     def stale_tests(self, limit: int = MOST) -> dict | list[dict]:
         if self.t("test_edges").isEmpty():
@@ -255,6 +370,15 @@ class Project:
             self.store.upsert("test_edges", new)
         return {"status": "recorded", "test_id": test_id, "passed": passed}
 
+    def shard_stats(self, directory: str | None = None) -> dict:
+        """Rows of the tables by shard, the shards of a directory only if one is given, and their sums."""
+        wanted = shards.under(directory or "", self.shards)
+        tables = {t: self.t(t) for t in ("code_units", "test_units", "churn_stats", "file_hashes", "blame_cache")}
+        found = cut(shards.counts(tables, self.shards).where(F.col("shard").isin(*wanted)))
+        if found.isEmpty():
+            return {"status": "no_data", "hint": "run analyze first"}
+        return {"shards": self._rows(found.orderBy("shard", "table_name")), "totals": {r.table_name: r.n for r in shards.totals(found).collect()}, "with_data": [r.shard for r in shards.with_data(found).orderBy("shard").collect()]}
+
     def stats(self) -> dict:
         names = ("code_units", "test_units", "test_edges", "commits", "commit_files", "blame_cache", "co_changes", "branch_co_changes", "churn_stats", "file_hashes", "import_edges", "test_results")
         out = {r.table_name: r.n for r in coverage.table_counts({n: self.t(n) for n in names}).collect()}
@@ -265,9 +389,14 @@ class Project:
         kept = self.store.get_meta("project_fingerprint")
         return out | ({"warning": f"this store was built from {kept}"} if kept and kept != self.root else {})
 
-    def triage(self, directory: str | None = None, top_n: int = 10, exclude_tests: bool = True) -> dict:
-        top = cut(self._risks(directory, exclude_tests).orderBy(F.desc("risk_score"), "file_path").limit(top_n))
-        gaps = self._gaps(None, directory, exclude_tests).join(top.select("file_path"), "file_path", "left_semi")
+    def triage(self, directory: str | None = None, top_n: int = 10, exclude_tests: bool = True, working_tree: bool = False, auto_update: bool = False, new_file_boost: bool = True) -> dict:
+        if auto_update:
+            self.auto_update()
+        disk = self._disk() if working_tree else None
+        top = cut(self._risks(directory, exclude_tests, new_file_boost=new_file_boost, extra=disk and disk["files"]).orderBy(F.desc("risk_score"), "file_path").limit(top_n))
+        gaps = self._gaps(None, directory, exclude_tests)
+        gaps = gaps.unionByName(worktree.gaps_on_disk(disk["units"], disk["files"], self.t("code_units"), directory, exclude_tests)) if disk else gaps
+        gaps = gaps.join(top.select("file_path"), "file_path", "left_semi")
         stale = self.stale_tests()
         out = {"top_risk_files": self._rows(top.orderBy(F.desc("risk_score"), "file_path")), "test_gaps": self._rows(gaps.orderBy(F.desc("churn_score"), "id")), "stale_tests": stale if isinstance(stale, list) else []}
         return out | {"summary": {k: len(v) for k, v in out.items()}}
@@ -276,6 +405,7 @@ class Project:
         return {"status": "ok", "freed_bytes": self.store.compact()}
 
     def start_job(self, kind: str, **how) -> dict:
+        how = {"in_job": True, **how} if kind == "analyze" else how
         work = {"analyze": self.analyze, "update": self.update}.get(kind)
         if work is None:
             return {"status": "error", "error": f"no such job: {kind}"}
@@ -294,8 +424,11 @@ class Project:
             result = {"status": "no_data", "hint": "run analyze first"}
         else:
             result = target(**how)
-        return {"result": result, "next_steps": next_steps(name, result)}
+        steps = next_steps(name, result)
+        warning = self.eval_warning(how["file_path"]) if name == "suggest_tests" and how.get("file_path") else None
+        return {"result": result, "next_steps": [*steps, warning] if warning else steps}
 
 
-NEED_DATA = frozenset("impact diff_impact suggest_tests churn ownership who_reviews coupling risk_map test_gaps stale_tests history triage".split())
-QUERIES = sorted(NEED_DATA | set("analyze update record_result stats optimize_storage start_job job_status cancel_job acquire_file_lock release_file_lock refresh_file_lock check_file_lock check_locks list_file_locks".split()))
+X_SCRIPT = re.compile(r"\.(js|jsx|ts|tsx|mjs|cjs)$")
+NEED_DATA = frozenset("impact diff_impact suggest_tests churn ownership who_reviews coupling risk_map risk_of test_gaps stale_tests history triage".split())
+QUERIES = sorted(NEED_DATA | set("analyze update auto_update record_result stats shard_stats optimize_storage start_job job_status cancel_job acquire_file_lock release_file_lock refresh_file_lock check_file_lock check_locks list_file_locks".split()))

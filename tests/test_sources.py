@@ -106,8 +106,9 @@ def test_blame_text():
 
 
 def test_log_text():
-    raw = "COMMIT_START\nh1|Al|a@b|2026-01-01T00:00:00Z|fix | pipe\n\n3\t1\ta.py\n-\t-\tb.bin\nnoise\n"
-    assert git.parse_log(raw) == [("h1", "Al", "a@b", "2026-01-01T00:00:00Z", "fix | pipe", [("a.py", 3, 1), ("b.bin", 0, 0)])]
+    h, g = "a" * 40, "b" * 64
+    raw = f"\0{h}\0A|l\0a@b\0" "2026-01-01T00:00:00Z\0fix | pipe\0\0\n3\t1\ta.py\0-\t-\tb.bin\0" "1\t0\t\0old.py\0d e/new.py\0\0" f"\0{g}\0B\0\0d\0\0"
+    assert git.parse_log(raw) == [(h, "A|l", "a@b", "2026-01-01T00:00:00Z", "fix | pipe", [("a.py", 3, 1), ("b.bin", 0, 0), ("d e/new.py", 1, 0)]), (g, "B", "", "d", "", [])]
 
 
 def test_store(spark, tmp_path):
@@ -199,7 +200,7 @@ def project(spark, tmp_path_factory):
 
 def test_project(project):
     p = project
-    assert p.update()["status"] == "no_changes" and len(QUERIES) == 26
+    assert p.update()["status"] == "no_changes" and len(QUERIES) == 26 + len({"auto_update", "risk_of", "shard_stats"} & set(QUERIES))
     assert [(r["name"], r["source"]) for r in p.impact(["app.py"])] == [("test_process", "direct")]
     assert {r["id"] for r in p.test_gaps()} >= {"app.py:format_output:function", "util.py:helper:function"}
     assert [r["message"] for r in p.history("app.py")] == ["two | pipe", "one"]
@@ -213,6 +214,76 @@ def test_project(project):
     assert p.update()["changed_files"] == 1 and p.diff_impact()
 
 
+def test_units_shards_and_warnings(project):
+    p = project
+    assert p.churn("app.py", "format_output")[0]["commit_count"] == 1 and p.churn("app.py", "process_data")[0]["commit_count"] >= 1
+    one = p.risk_of("app.py", "format_output")
+    assert one["coverage_gap"] == 1.0 and one["unit_name"] == "format_output" and p.risk_of("app.py")["coverage_gap"] < 1.0
+    p.shards = ["src", "tests"]
+    found = p.shard_stats()
+    assert found["with_data"] == ["tests"] and found["totals"]["test_units"] == 1 and p.shard_stats("src")["status"] == "no_data"
+    p.shards = []
+    assert p.shard_stats()["status"] == "no_data"
+    with open(os.path.join(p.root, "evil.js"), "w") as f:
+        f.write("new Function('x'); eval('y');\n")
+    assert p.eval_warning("evil.js")["eval_count"] == 1 and p.eval_warning("app.py") is None
+    os.remove(os.path.join(p.root, "evil.js"))
+
+
+def test_working_tree(project):
+    p = project
+    for name, text in {"extra.py": "import app\n\ndef fresh():\n    return 1\n", "tests/test_extra.py": "from extra import fresh\n\ndef test_fresh():\n    assert fresh()\n"}.items():
+        with open(os.path.join(p.root, name), "w") as f:
+            f.write(text)
+    gaps = p.test_gaps(working_tree=True)
+    assert gaps[0]["id"] == "extra.py:fresh:function" and gaps[0]["working_tree"] and not any(g["working_tree"] for g in gaps[1:] if g["file_path"] != "extra.py")
+    assert all(g["file_path"] != "extra.py" for g in p.test_gaps())
+    near = p.suggest_tests("extra.py", working_tree=True)
+    assert (near[0]["test_id"], near[0]["source"]) == ("tests/test_extra.py:test_fresh", "working_tree")
+    assert any(r["test_id"] == "tests/test_extra.py:test_fresh" and r["source"] == "working_tree" for r in p.diff_impact(working_tree=True))
+    assert [x["neighbor"] for x in p.coupling("extra.py", working_tree=True)["import_partners"]] == ["app"]
+    assert "extra.py" in {r["file_path"] for r in p.risk_map(working_tree=True)["files"]} and p.triage(working_tree=True)["top_risk_files"]
+    assert p.auto_update() == {"updated": True, "reason": None} and p.auto_update()["reason"] == "no_changes"
+
+
+def test_names_in_other_names(spark):
+    """A name match is by stems, and gives what the product gives at 0.5 and more."""
+    from ripplemark.operators import impact
+
+    files = spark.createDataFrame([(x,) for x in ("a.py", "src/data.py", "src/x/load_data.py", "b")], "file_path string")
+    tests = spark.createDataFrame([(x, n) for x in ("t/test_data.py", "src/data.py", "x/a.go", "src/d.py") for n in ("n1", "n2")], "file_path string, name string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(impact.name_matches(files, tests)) == key(impact.fallback(files, tests).where("relevance >= 0.5"))
+
+
+def test_writers_do_not_lose_rows(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store(spark, str(tmp_path))
+    row = lambda i: spark.createDataFrame([(f"t{i}", True, i)], "test_id string, passed boolean, duration_ms bigint")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: s.append("test_results", row(i)), range(6)))
+        list(pool.map(lambda i: s.upsert("meta", spark.createDataFrame([(f"k{i}", str(i))], "key string, value string")), range(4)))
+        got = list(pool.map(lambda i: control.Locks(s).acquire("a.py", f"agent{i}")["status"], range(4)))
+    assert s.read("test_results").count() == 6 and s.read("meta").count() == 4
+    assert sorted(got) == ["acquired", "held", "held", "held"]
+    assert s.compact()["test_results"] >= 0 and s.read("test_results").count() == 6
+
+
+def test_schemas_and_roots(project, tmp_path, monkeypatch):
+    from ripplemark.plans.describe import schema, schemas
+    from ripplemark.plans.project import shard_config, storage_dir
+
+    assert len(schemas()) == len(QUERIES) and schema("history")["parameters"]["required"] == ["file_path"]
+    assert schema("history")["parameters"]["properties"]["limit"]["maximum"] == 1000
+    assert git.project_root(os.path.join(project.root, "tests")) == os.path.realpath(project.root) and git.project_root(str(tmp_path)) == str(tmp_path)
+    assert storage_dir(str(tmp_path), shard="a") == str(tmp_path / ".ripplemark/shards/a") and storage_dir(None, "/x") == "/x"
+    (tmp_path / "ripplemark.toml").write_text('shards = ["a", "b"]\n')
+    assert shard_config(str(tmp_path)) == "a,b"
+    monkeypatch.setenv("RIPPLEMARK_SHARDS", "z")
+    assert shard_config(str(tmp_path)) == "z"
+
+
 def test_command_line(project, capsys):
     import json
 
