@@ -16,6 +16,12 @@ from ripplemark.schemas import TABLES
 STALE_SECONDS, STALE_JOB_SECONDS = 60, 1800
 
 
+def swept(jobs, now: float):
+    """``jobs`` with running ones that have no start, or started over half an hour ago, as failed."""
+    late = (F.col("status") == "running") & (F.col("started_at").isNull() | (F.col("started_at").cast("double") < now - STALE_JOB_SECONDS))
+    return jobs.withColumn("status", F.when(late, "failed").otherwise(F.col("status")))
+
+
 class _Refused(Exception):
     """A lock is not ours; ``held`` is who has it."""
 
@@ -159,6 +165,6 @@ class Jobs:
     def sweep(self) -> None:
         """Running jobs without a start, or that started over half an hour ago, have failed."""
         table = self.store.read("bg_jobs")
-        late = table.where((F.col("status") == "running") & (F.col("started_at").isNull() | (F.col("started_at").cast("double") < self.now() - STALE_JOB_SECONDS)))
+        late = swept(table.where("status = 'running'"), self.now()).where("status = 'failed'")
         for r in late.collect():
             self._put(id=r.id, status="failed", error_message="stale")

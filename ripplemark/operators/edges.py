@@ -6,10 +6,11 @@ suffixes, relative modules by the folded path, Go packages by directory, names b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.functions import scalars as X
+from ripplemark.session import cut
 
 FANOUT_CAP = 50
 HARD, SOFT = ("import", "tainted_import"), ("dynamic_import",)
@@ -42,6 +43,23 @@ def _package_matches(deps: DataFrame, files: DataFrame, go_module: str | None) -
     return own.withColumn("key", X.resolve_go(F.lit(go_module), "module_path")).where(F.col("key").isNotNull()).join(keys, "key").drop("key")
 
 
+def scope(deps: DataFrame, units: DataFrame, go_module: str | None = None) -> DataFrame:
+    """``file_path, code_file``: the code files that the modules of each file lead to."""
+    parts = _module_matches(deps, units), _relative_matches(deps, units), _package_matches(deps, units, go_module)
+    rows = None
+    for p in parts:
+        p = p.select("file_path", "code_file")
+        rows = p if rows is None else rows.unionByName(p)
+    return rows.distinct()
+
+
+def rebuilt_import_edges(stored: DataFrame, deps: DataFrame, files: DataFrame, changed: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """``stored`` with the edges of ``changed`` importers made anew from their dependencies."""
+    own = changed.select("file_path").distinct()
+    kept = stored.join(own.withColumnRenamed("file_path", "importer_file"), "importer_file", "left_anti")
+    return kept.unionByName(import_edges(deps.join(own, "file_path", "left_semi"), files, tests))
+
+
 def test_edges(tests: DataFrame, deps: DataFrame, units: DataFrame, go_module: str | None = None) -> DataFrame:
     """Edges from tests to the code units that their file depends on.
 
@@ -52,22 +70,22 @@ def test_edges(tests: DataFrame, deps: DataFrame, units: DataFrame, go_module: s
     """
     deps = deps.select("file_path", F.col("name").alias("dep"), "dep_type", "module_path", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
     own = units.select(F.col("id").alias("code_id"), F.col("file_path").alias("code_file"), F.col("name").alias("unit"))
-    named = _module_matches(deps, units)
-    relative = _relative_matches(deps, units)
-    package = _package_matches(deps, units, go_module)
-    scope = named.unionByName(relative).unionByName(package).select("file_path", "code_file").distinct()
-    scoped = scope.select("file_path").distinct().withColumn("scoped", F.lit(True))
+    files = units.select("file_path").distinct()
+    led = None
+    for k, part in enumerate((_module_matches(deps, files), _relative_matches(deps, files), _package_matches(deps, files, go_module))):
+        part = part.select(*deps.columns, "code_file", F.lit(k).alias("tier"))
+        led = part if led is None else led.unionByName(part)
+    led = cut(led)  # the first three tiers, and what the fourth is looked for in
+    own_scope = led.select("file_path", "code_file").distinct()
+    scoped = own_scope.select("file_path").distinct().withColumn("scoped", F.lit(True))
     any_unit = deps.join(own, F.col("dep") == F.col("unit")).join(scoped, "file_path", "left")
-    any_unit = any_unit.join(scope.withColumn("inside", F.lit(True)), ["file_path", "code_file"], "left")
+    any_unit = any_unit.join(own_scope.withColumn("inside", F.lit(True)), ["file_path", "code_file"], "left")
     any_unit = any_unit.where(F.col("module_path").isNotNull() | F.col("scoped").isNull() | F.col("inside").isNotNull()).drop("scoped", "inside")
-    tiers = [named.join(own, "code_file").where(F.col("unit") == F.col("dep")), relative.join(own, "code_file"), package.join(own, "code_file"), any_unit]
-    rows = None
-    for k, t in enumerate(tiers):
-        t = t.select("file_path", "dep", "dep_type", "module_path", "confidence", "code_id", "code_file", F.lit(k).alias("tier"))
-        rows = t if rows is None else rows.unionByName(t)
-    first = rows.groupBy("file_path", "dep", "dep_type", "module_path").agg(F.min("tier").alias("tier"))
-    same = (F.col("r.file_path") == F.col("f.file_path")) & (F.col("r.dep") == F.col("f.dep")) & (F.col("r.dep_type") == F.col("f.dep_type")) & F.col("r.module_path").eqNullSafe(F.col("f.module_path")) & (F.col("r.tier") == F.col("f.tier"))
-    rows = rows.alias("r").join(first.alias("f"), same).select("r.*")
+    first_three = led.join(own, "code_file").where((F.col("tier") > 0) | (F.col("unit") == F.col("dep")))
+    columns = ["file_path", "dep", "dep_type", "module_path", "confidence", "code_id", "code_file", "tier"]
+    rows = first_three.select(*columns).unionByName(any_unit.withColumn("tier", F.lit(3)).select(*columns))
+    least = F.min("tier").over(Window.partitionBy("file_path", "dep", "dep_type", "module_path"))
+    rows = rows.withColumn("least", least).where(F.col("tier") == F.col("least"))
     weight = X.proximity_weight("file_path", "code_file") * F.sqrt("confidence")
     by_file = rows.groupBy("file_path", "code_id", "dep_type").agg(F.max(weight).alias("weight"))
     return tests.select(F.col("id").alias("test_id"), "file_path").join(by_file, "file_path").select("test_id", "code_id", F.col("dep_type").alias("edge_type"), "weight").distinct()

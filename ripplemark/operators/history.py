@@ -74,6 +74,11 @@ def _pairs(commits: DataFrame, commit_files: DataFrame, max_files: int) -> DataF
     return sets.select(*[c for c in commits.columns if c != "commit_hash"], F.inline(pairs))
 
 
+def file_level(churn: DataFrame) -> DataFrame:
+    """Churn rows with the unit name of a whole file: empty, never null, so that it can be a key."""
+    return churn.fillna("", ["unit_name"])
+
+
 def canonical(pairs: DataFrame) -> DataFrame:
     """``file_a`` and ``file_b`` in order."""
     return pairs.withColumns({"file_a": F.least("file_a", "file_b"), "file_b": F.greatest("file_a", "file_b")})
@@ -92,6 +97,12 @@ def partners(pairs: DataFrame, files: DataFrame | None = None, min_count: int =
     return rows if files is None else rows.join(files.select("file_path").distinct(), "file_path", "left_semi")
 
 
+def top_partners(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """The ``most`` strongest partners of every file, with their place ``k``."""
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("co_commit_count"), "partner"))
+    return both_ways(pairs).withColumn("k", place).where(F.col("k") <= most)
+
+
 def ownership(blame: DataFrame) -> DataFrame:
     """Lines and share of each author of each file, with the e-mail of the author's last block."""
     n = F.col("line_end") - F.col("line_start") + 1

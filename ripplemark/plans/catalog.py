@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ripplemark.operators import impact as I
 from ripplemark.operators import results as R
 from ripplemark.operators import risk as K
 from ripplemark.operators import store as S
-from ripplemark.plans.views import AS_OF, BRANCH_SINCE, code_file, view, with_views
-from ripplemark.session import cut
+from ripplemark.plans.views import AS_OF, BRANCH_SINCE, code_file, spark_sql, view, with_views
+from ripplemark.session import cut, shared_dir
 from ripplemark.streaming import streams as T
 
 FLAGSHIP = "risk_map"
@@ -41,6 +43,11 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str, kept: tuple[str, ...] = ()):
         self._of, self._kept = lambda name: view(spark, sf_dir, name), kept
+        self._spark, self._folder = spark, sf_dir
+
+    def sql(self, text: str) -> DataFrame:
+        """A query over the views and tables that its text names."""
+        return spark_sql(self._spark, self._folder, text)
 
     def __getattr__(self, name: str) -> DataFrame:
         made = cut(self._of(name)) if name in self._kept else self._of(name)
@@ -282,13 +289,6 @@ def resolvable_paths(spark, sf_dir):
     return C.resolvable_paths(v.code_units, v.commit_files)
 
 
-@query("SELECT file_path FROM test_units EXCEPT SELECT file_path FROM test_units WHERE file_path LIKE 'src/d3/%'")
-def working_tree_diff(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    known = v.test_units.where("file_path like 'src/d3/%'").select("file_path")
-    return v.test_units.select("file_path").distinct().join(known, "file_path", "left_anti")
-
-
 # --- import graph ------------------------------------------------------------------------------------------------
 
 UNDIRECTED = "SELECT a, b, max(confidence) AS confidence FROM (SELECT importer_file AS a, imported_file AS b, confidence FROM import_edges UNION ALL SELECT imported_file, importer_file, confidence FROM import_edges) GROUP BY 1, 2"
@@ -528,18 +528,6 @@ def longest_prefix_shard(spark, sf_dir):
     return _paths(spark, sf_dir).select("path", X.shard_of("path", _SHARDS).alias("shard"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
-def extract_hrefs(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
-
-
-@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) SELECT href, min(page_id) AS page_id FROM h GROUP BY href HAVING count(DISTINCT page_id) = 1")
-def resolve_unique_names(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    hrefs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
-    return hrefs.groupBy("href").agg(F.count_distinct("page_id").alias("n"), F.min("page_id").alias("page_id")).where("n = 1").select("href", "page_id")
-
-
 @query("SELECT name, dep_type, module_path FROM (SELECT event_type AS name, CAST(user_id AS STRING) AS dep_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS module_path, row_number() OVER (PARTITION BY event_type, user_id ORDER BY (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), ts, event_id) AS k FROM events) WHERE k = 1")
 def deps_dedupe(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("dep_type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string")).alias("module_path"), "ts", "event_id")
@@ -573,35 +561,59 @@ def upsert_max(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, df: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream has written once all its input is read."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def _stream(spark, df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has written to the shared folder once all its input is read."""
+    return T.written(df, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", mode)
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _result_stream(spark, sf_dir) -> DataFrame:
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
-    return events.select(F.col("user_id").cast("string").alias("test_id"), (F.col("event_type") != "error").alias("passed"), F.col("value").alias("duration_ms"), F.col("ts").cast("timestamp").alias("recorded_at"))
+    return _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("test_id"), (F.col("event_type") != "error").alias("passed"), F.col("value").alias("duration_ms"), F.col("ts").alias("recorded_at"), "event_id")
 
 
 @query(RATES)
 def stream_failure_rates(spark, sf_dir):
-    return _stream(spark, T.failure_rates(_result_stream(spark, sf_dir)), "stream_failure_rates", "complete")
+    return _stream(spark, T.failure_rates(_result_stream(spark, sf_dir)), "complete")
+
+
+@query(f"SELECT test_id, round(duration_cv, 6) AS duration_cv FROM ({CV})")
+def stream_duration_spread(spark, sf_dir):
+    """The latest 20 durations of each test, kept in the state; with one batch of input there is one row for each test."""
+    rows = _stream(spark, T.duration_spread(_result_stream(spark, sf_dir)), "update")
+    return rows.where("duration_cv is not null").select("test_id", F.round("duration_cv", 6).alias("duration_cv"))
 
 
-@query()
+@query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+ SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, total FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def stream_activity(spark, sf_dir):
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
-    rows = T.activity(events.withColumn("ts", F.col("ts").cast("timestamp")))
-    return _stream(spark, rows, "stream_activity", "append").select("window.start", "event_type", "n", "total")
+    rows = _stream(spark, T.activity(_event_stream(spark, sf_dir)))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT DISTINCT l_orderkey AS hash FROM lineitem")
+def stream_new_commits(spark, sf_dir):
+    """Lines as pages of a log that name a commit again and again."""
+    lines = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    rows = lines.select(F.col("l_orderkey").alias("hash"), F.col("l_shipdate").cast("timestamp").alias("committed_at"))
+    return _stream(spark, T.new_commits(rows, "10000 days")).select("hash")
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT {code_file('user_id')} AS file_path, concat('a', CAST(event_id % 3 AS STRING)) AS who, CASE WHEN event_type = 'view' THEN 'release' ELSE 'acquire' END AS action, epoch_us(ts) // 1000 AS t FROM events),
+ q AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY t, who, action) AS k FROM r WHERE t <= (SELECT max(t) FROM r) - 10000),
+ s AS (SELECT DISTINCT file_path, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS agent, CAST(0 AS BIGINT) AS until, CAST(0 AS BIGINT) AS t, '' AS who, '' AS status FROM q UNION ALL
+  SELECT file_path, k, CASE WHEN action = 'release' THEN CASE WHEN held = who THEN NULL ELSE held END WHEN held IS NULL OR held = who THEN who ELSE held END, CASE WHEN action = 'acquire' AND (held IS NULL OR held = who) THEN t + 86400000 ELSE until END, t, who,
+   CASE WHEN action = 'release' THEN CASE WHEN held = who THEN 'released' ELSE 'not_held' END WHEN held IS NULL OR held = who THEN 'acquired' ELSE 'held' END
+  FROM (SELECT q.*, s.until, CASE WHEN s.until < q.t THEN NULL ELSE s.agent END AS held FROM s JOIN q ON q.file_path = s.file_path AND q.k = s.k + 1))
+ SELECT file_path, t AS at_ms, who AS agent_id, status FROM s WHERE k > 0""")
 def lock_ttl(spark, sf_dir):
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
-    requests = events.select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("file_path"), F.col("user_id").cast("string").alias("agent_id"), F.when(F.col("event_type") == "view", "release").otherwise("acquire").alias("action"), F.lit(3_600_000).cast("bigint").alias("ttl_ms"), F.col("ts").cast("timestamp").alias("at"))
-    return _stream(spark, T.locks(requests), "lock_ttl", "append")
+    """Every user's file, for which three agents ask; a lock lasts a day."""
+    events = _event_stream(spark, sf_dir)
+    requests = events.select(F.expr(code_file("user_id")).alias("file_path"), F.concat(F.lit("a"), (F.col("event_id") % 3).cast("string")).alias("agent_id"), F.when(F.col("event_type") == "view", "release").otherwise("acquire").alias("action"), F.lit(86_400_000).cast("bigint").alias("ttl_ms"), F.col("ts").alias("at"))
+    return _stream(spark, T.locks(requests))
 
 
-from ripplemark.plans import catalog_text  # noqa: E402, F401 - registers its queries here
+from ripplemark.plans import catalog_edges, catalog_tables, catalog_text  # noqa: E402, F401 - they register their queries here

@@ -46,13 +46,21 @@ def used_tables(sql: str) -> list[str]:
     return [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = VIEWS[name]
+def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     tables = used_tables(sql)
     braced = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in tables else m[0], sql)
     return spark.sql(braced, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _run(spark, sf_dir, VIEWS[name])
+
+
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``sql`` over the views and tables that it names."""
+    return _run(spark, sf_dir, with_views(sql))
+
+
 def with_views(sql: str) -> str:
     """``sql`` with the views that it names as common table expressions (``WITH RECURSIVE`` texts continue the list)."""
     needed = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]

@@ -56,37 +56,57 @@ def activity(events: DataFrame, length: str = "1 day", delay: str = "2 days") ->
 
 
 def _lock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    path = key[0]
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame({"file_path": [path], "agent_id": [None], "status": ["expired"]})
-        return
-    agent, until = state.get if state.exists else (None, 0)
-    out = []
+    """Requests wait in the state until the watermark has passed them, so they are answered in the order of event time."""
+    path, mark = key[0], state.getCurrentWatermarkMs()
+    agent, until, *lists = state.get if state.exists else (None, 0, [], [], [], [])
+    waiting = list(zip(*lists))
     for b in batches:
-        for r in b.sort_values("at_ms").itertuples():
-            if agent and until < r.at_ms:
-                agent = None
-            if r.action == "release":
-                if agent == r.agent_id:
-                    agent = None
-                    out.append((path, r.agent_id, "released"))
-                else:
-                    out.append((path, r.agent_id, "not_held"))
-            elif agent in (None, r.agent_id):
-                agent, until = r.agent_id, int(r.at_ms + r.ttl_ms)
-                out.append((path, agent, "acquired"))
-            else:
-                out.append((path, r.agent_id, "held"))
-    if agent:
-        state.update((agent, until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        waiting += zip(b["at_ms"].tolist(), b["agent_id"].tolist(), b["action"].tolist(), b["ttl_ms"].tolist())
+    waiting.sort()
+    due = [w for w in waiting if w[0] <= mark]
+    waiting = waiting[len(due) :]
+    out = []
+    for at, who, action, ttl in due:
+        if agent and until < at:
+            agent = None
+        if action == "release":
+            out.append((path, at, who, "released" if agent == who else "not_held"))
+            agent = None if agent == who else agent
+        elif agent in (None, who):
+            agent, until = who, int(at + ttl)
+            out.append((path, at, who, "acquired"))
+        else:
+            out.append((path, at, who, "held"))
+    if agent and not waiting and until < mark:
+        agent = None
+    if agent or waiting:
+        state.update((agent, until, *(list(x) for x in (zip(*waiting) if waiting else ([], [], [], [])))))
+        state.setTimeoutTimestamp(max(waiting[0][0] if waiting else until, mark + 1))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(out, columns=["file_path", "agent_id", "status"])
+    yield pd.DataFrame(out, columns=["file_path", "at_ms", "agent_id", "status"])
+
+
+def locks(requests: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Lock requests (``file_path, agent_id, action, ttl_ms, at``) to what became of them, once no earlier ones can come.
+
+    Locks expire in event time.  Requests of one time are answered in the order of their agents and actions.
+    """
+    rows = requests.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
+    state = "agent_id string, until bigint, at array<bigint>, who array<string>, what array<string>, ttl array<bigint>"
+    return rows.groupBy("file_path").applyInPandasWithState(_lock, "file_path string, at_ms bigint, agent_id string, status string", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def written(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream has written to ``folder`` once all its input is read; in ``complete`` mode its last result.
+
+    Every batch goes to files from the executors; nothing passes through the driver.
+    """
+    kept = "overwrite" if mode == "complete" else "append"
 
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode(kept).parquet(f"{folder}/rows")
 
-def locks(requests: DataFrame) -> DataFrame:
-    """Lock requests (``file_path, agent_id, action, ttl_ms, at``) to what became of them; locks expire in event time."""
-    rows = requests.withWatermark("at", "10 seconds").withColumn("at_ms", F.unix_millis("at"))
-    return rows.groupBy("file_path").applyInPandasWithState(_lock, "file_path string, agent_id string, status string", "agent_id string, until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
