@@ -42,6 +42,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while any(c == name.lower() or c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplemark.llm.common import checkpointed, join_facts, mixed, slices
+from ripplemark.llm.common import checkpointed, free, join_facts, mixed, slices
 from ripplemark.llm.substrings import _BASES, Words
 
 SHINGLE = 5
@@ -385,13 +385,13 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one document of each class: its row of the least id.  Rows without words all stay.
 
-    Of several rows of one id and one set the one of the least hash stays; wholly equal rows are one.  The columns are
-    those of ``docs``, which may not be named ``_shingle_set``, ``_place`` or ``_row_hash``.
+    Of several rows of one id and one set the one of the least hash stays; wholly equal rows are one.  Null ids come
+    after all others.  The columns are those of ``docs``, whatever their names; an empty table stays empty.
     """
     _, classes = near_duplicates(docs, text, doc_id, **how)
-    losers = classes.where(F.col("k") != F.col("class_k")).select("k")
-    key = "_shingle_set"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{key} binary"])
+    key, place, row = (free(n, docs.columns) for n in ("_shingle_set", "_place", "_row_hash"))
+    losers = classes.where(F.col("k") != F.col("class_k")).select(F.col("k").alias(key))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{key}` binary"])
 
     def with_key(batches):
         for batch in batches:
@@ -401,9 +401,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
 
     worded = F.coalesce(F.col(f"`{text}`").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
-    keyed = docs.where(worded).mapInArrow(with_key, schema).withColumn("_row_hash", F.xxhash64(*hashed))
-    first = Window.partitionBy(key).orderBy(F.col(f"`{doc_id}`").asc_nulls_last(), "_row_hash")
-    full = keyed.withColumn("_place", F.row_number().over(first)).where(F.col("_place") == 1)
-    full = full.join(losers.withColumnRenamed("k", key), key, "left_anti")
+    keyed = docs.where(worded).mapInArrow(with_key, schema).withColumn(row, F.xxhash64(*hashed))
+    first = Window.partitionBy(key).orderBy(F.col(f"`{doc_id}`").asc_nulls_last(), row)
+    full = keyed.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    full = full.join(losers, key, "left_anti")
     names = [F.col(f"`{c}`") for c in docs.columns]
     return full.select(*names).unionByName(docs.where(~worded).select(*names))

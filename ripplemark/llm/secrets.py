@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import checkpointed, join_facts, let
+from ripplemark.llm.common import checkpointed, free, join_facts, let
 
 #: Fixed patterns.  Base kinds first, in the order in which spans of one start are listed.
 BASE = {
@@ -159,12 +159,12 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **how) -
     """``docs`` with every reported span of ``text`` replaced by ``mask`` (overlapping spans by one).
 
     Texts without a match of any pattern, nulls and empty ones included, pass through as they are and are not moved.
-    Repeated rows are masked alike; an empty table stays empty.  The columns are those of ``docs``, none of which may
-    be named ``_secret_spans``.
+    Repeated rows are masked alike; an empty table stays empty.  The columns are those of ``docs``, whatever their names.
     """
     marked = F.coalesce(F.col(f"`{text}`").rlike("|".join(f"(?:{p})" for p in (BASE | ADDED).values())), F.lit(False))
-    found = scan(docs.where(marked), docs.columns, text=text, name="_secret_spans", **how)
-    clean = masked(F.col(f"`{text}`"), F.col("_secret_spans"), mask)
+    spans = free("_secret_spans", docs.columns)
+    found = scan(docs.where(marked), docs.columns, text=text, name=spans, **how)
+    clean = masked(F.col(f"`{text}`"), F.col(spans), mask)
     return docs.where(~marked).unionByName(found.withColumn(text, clean).select(*[f"`{c}`" for c in docs.columns]))
 
 

@@ -48,3 +48,15 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, words(30))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["_shingle_set", "_place", "_row_hash", "_secret_spans", "_quality_kept", "_benchmark_hits", "_c0", "_t", "_id", "k", "h", "label", "n_words", "hits", "items", "spans", "chunk", "cell", "node", "clean_text"]
+    rows = [(i, t, "s", *names) for i, t in ((1, words(60)), (2, words(60) + " secret = abcdefghijklmnop1 x"), (None, None), (3, ""))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert all(list(r)[3:] == names for r in out.collect()) and out.count() >= 2, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 4
