@@ -47,31 +47,42 @@ def co_changes(commits: DataFrame, commit_files: DataFrame, min_count: int = 3,
     commit yields at most ``max_files ** 2 / 2`` pairs.  Pairs are made inside the grouped row, without a self-join:
     one shuffle by commit, one by pair with partial counts before it.
     """
-    rows = _pairs(commits.select(F.col("hash").alias("commit_hash"), "date"), commit_files, max_files)
-    return rows.groupBy("file_a", "file_b").agg(F.count("*").alias("co_commit_count"), _latest().alias("last_co_commit")).where(F.col("co_commit_count") >= min_count)
+    found = _pairs(commits, commit_files, max_files).groupBy("file_a", "file_b").agg(F.count("*").alias("co_commit_count"), F.max("us").alias("us"))
+    return _dated(found.where(F.col("co_commit_count") >= min_count), commits, "last_co_commit")
 
 
 def co_changes_with_branch(commits: DataFrame, commit_files: DataFrame, on_branch: Column, max_files: int = MAX_FILES_PER_COMMIT) -> DataFrame:
     """Pairs as :func:`co_changes` finds them, of all commits, with ``branch_count``: the commits for which ``on_branch`` holds."""
-    rows = _pairs(commits.select(F.col("hash").alias("commit_hash"), "date", on_branch.alias("_branch")), commit_files, max_files)
-    return rows.groupBy("file_a", "file_b").agg(F.count("*").alias("co_commit_count"), F.count_if("_branch").alias("branch_count"), _latest().alias("last_co_commit"))
+    rows = _pairs(commits, commit_files, max_files, on_branch).groupBy("file_a", "file_b")
+    return _dated(rows.agg(F.count("*").alias("co_commit_count"), F.sum("branch").alias("branch_count"), F.max("us").alias("us")), commits, "last_co_commit")
 
 
-def _latest() -> Column:
-    return F.max_by(F.col("date").cast("string"), F.coalesce(timestamp("date"), F.lit("0001-01-01").cast("timestamp")))
+def _micros(date: Column | str) -> Column:
+    """A date as a number that grows with time; dates that cannot be read come before all others."""
+    return F.coalesce(F.unix_micros(timestamp(date)), F.lit(-(1 << 62)))
 
 
-def _pairs(commits: DataFrame, commit_files: DataFrame, max_files: int) -> DataFrame:
-    """A row for each pair of files of each commit of at most ``max_files``, beside the columns of ``commits``.
+def _dated(rows: DataFrame, commits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the date of their ``us`` as it was written (of several writings of one moment the greatest).
+
+    Numbers are aggregated in the hash tables of whole-stage code, which texts are not; so texts are joined afterwards.
+    """
+    written = commits.groupBy(_micros("date").alias("us")).agg(F.max(F.col("date").cast("string")).alias(name))
+    return rows.join(written, "us", "left").drop("us")
+
+
+def _pairs(commits: DataFrame, commit_files: DataFrame, max_files: int, on_branch: Column | None = None) -> DataFrame:
+    """``file_a, file_b, us, branch``: a row for each pair of files of each commit of at most ``max_files``.
 
     No row ever holds the files of a larger commit: of each only the first ``max_files + 1`` are sent to be gathered.
     """
+    own = commits.select(F.col("hash").alias("commit_hash"), _micros("date").alias("us"), (F.lit(False) if on_branch is None else on_branch).cast("long").alias("branch"))
     place = F.dense_rank().over(Window.partitionBy("commit_hash").orderBy("file_path"))
     few = commit_files.select("commit_hash", "file_path", place.alias("_k")).where(F.col("_k") <= max_files + 1)
     sets = few.groupBy("commit_hash").agg(F.array_sort(F.collect_set("file_path")).alias("files"))
-    sets = sets.where(F.size("files").between(2, max_files)).join(commits, "commit_hash")
-    pairs = F.flatten(F.transform("files", lambda a, i: F.transform(F.slice("files", i + 2, F.lit(max_files)), lambda b: F.struct(a.alias("file_a"), b.alias("file_b")))))
-    return sets.select(*[c for c in commits.columns if c != "commit_hash"], F.inline(pairs))
+    sets = sets.where(F.size("files").between(2, max_files)).join(own, "commit_hash")
+    firsts = sets.select("us", "branch", "files", F.posexplode("files").alias("i", "file_a"))
+    return firsts.select("us", "branch", "file_a", F.explode(F.slice("files", F.col("i") + 2, F.lit(max_files))).alias("file_b"))
 
 
 def file_level(churn: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ COUPLING = f"""WITH p AS ({_pairs('commits', MIN_COUNT)}), q AS ({_pairs('branch
 
 
 def _coupled(v: Views) -> DataFrame:
-    both = cut(H.co_changes_with_branch(v.commits, v.commit_files, F.col("date") >= F.lit(BRANCH_SINCE).cast("timestamp_ntz")))
+    both = cut(H.co_changes_with_branch(v.commits, v.commit_files, F.col("date") >= F.lit(BRANCH_SINCE).cast("timestamp_ntz")).drop("last_co_commit"))
     return K.coupling(v.files, both, both.where("branch_count >= 1"), G.neighbors(v.import_edges), MIN_COUNT)
 
 

@@ -5,6 +5,7 @@ from ripplemark.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(2, "tests", "4g")
+    session = local_session(4, "tests", "6g")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
