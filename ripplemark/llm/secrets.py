@@ -35,7 +35,7 @@ _LEAST = {"assign": 12}
 _BREAK = r"(?:\s|\\[rn])"
 _WHOLE = {"private": rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{{1,4}}+(?!-)[^-]*+){{0,64}}+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++[A-Za-z-]+: [^\n]*+){{0,20}}+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+){{1,1000}}+(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[^\S\n]*(?:\n|$)))?)?"}
 #: What counts as the same value: the body of a key without its lines' ends.
-_NOT_BODY = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\[rn]|\s+"
+NOT_BODY = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----|\\[rn]|\s+"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -63,7 +63,7 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         start = acc["at"] + F.length(pair["between"])
         end = start + F.coalesce(F.length(pair["found"]), F.lit(0))
         value = F.regexp_extract(pair["found"], pattern, _VALUE[kind]) if kind in _VALUE else pair["found"]
-        value = F.coalesce(F.nullif(F.regexp_replace(value, _NOT_BODY, ""), F.lit("")), value) if kind == "private" else value
+        value = F.coalesce(F.nullif(F.regexp_replace(value, NOT_BODY, ""), F.lit("")), value) if kind == "private" else value
         span = F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
         keep = pair["found"].isNotNull() & (F.length(value) >= _LEAST.get(kind, 1))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))

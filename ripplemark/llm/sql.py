@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ripplemark.llm.licenses import TEMPLATES
 from ripplemark.llm.quality import STOCK, STOCK_WORDS
-from ripplemark.llm.secrets import ADDED, BASE
+from ripplemark.llm.secrets import ADDED, BASE, NOT_BODY
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -74,9 +74,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+#: Whole key blocks, as far as a pattern without looking around can tell them: a body without dashes, then the end.
+_WHOLE = {"private": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"}
+
+
 def _kind(rank: int, kind: str, pattern: str) -> str:
-    p = _quoted(pattern)
+    p = _quoted(_WHOLE.get(kind, pattern))
     value = f"regexp_extract(m[i], {p}, 1)" if kind == "assign" else "m[i]"
+    if kind == "private":
+        value = f"coalesce(nullif(regexp_replace(m[i], {_quoted(NOT_BODY)}, '', 'g'), ''), m[i])"
     start = "coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
     rows = f"SELECT doc_id, source, string_split_regex(coalesce(text, ''), {p}) AS b, regexp_extract_all(coalesce(text, ''), {p}, 0) AS m FROM documents"
     return f"SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, CAST({start} AS BIGINT) AS s, length(m[i]) AS size, {value} AS value FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({rows}) WHERE len(m) > 0)"

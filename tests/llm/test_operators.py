@@ -376,13 +376,17 @@ def test_sql_counterparts(spark, docs, table):
     duckdb = pytest.importorskip("duckdb")
     from ripplemark.llm import sql
 
-    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts_once(table))]
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{0}\n{0}\n-----END RSA PRIVATE KEY-----"
+    more = [f"a {block.format('Q' * 60)} b", f"{block.format('Q' * 60)}", f"x {block.format('R' * 60)} {block.format('S' * 60)}", "-----BEGIN PRIVATE KEY----- alone", "Home • Shop › Cart » Login", "more of it ...", "All rights reserved.\nx", "token=abcdefghijklmnop AKIAABCDEFGHIJKLMN0 " + "f" * 20]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate([*texts_once(table), *more])]
     own = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     con = duckdb.connect()
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     got = substrings.dedup_substrings(own, ["doc_id"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert counted(got.collect()) == counted(con.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({sql.OP5})").fetchall())
+    spans = con.sql(f"SELECT doc_id, spans FROM ({sql.OP8})").fetchall()
+    assert counted(secrets.scan(own, ["doc_id"]).select("doc_id", secrets.joined(F.col("spans"))).collect()) == counted(spans) and "private" in str(spans)
     names = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept"
     assert counted(quality.quality(own, ["doc_id"]).select(*names.split(", ")).collect()) == counted(con.sql(f"SELECT {names} FROM ({sql.OP4})").fetchall())
 
