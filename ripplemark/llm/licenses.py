@@ -146,7 +146,7 @@ def scan(docs: DataFrame, templates: DataFrame, columns: list[str], text: str =
     bands = checkpointed(bands)
     passes = max(1, math.ceil(bands.count() / keys_per_pass))
     names = [f"_c{i}" for i in range(len(columns))]
-    base = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.col(text).alias("_t"))
+    base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], shingles(F.col(f"`{text}`")).alias("_s"))
     parts = []
     for k in range(passes):
         block = bands.where(F.pmod(F.xxhash64("template_id"), F.lit(passes)) == k)
@@ -156,7 +156,7 @@ def scan(docs: DataFrame, templates: DataFrame, columns: list[str], text: str =
             sets.setdefault((r["size"], r["band"]), []).append(r["key"])
             reach[r["size"]] = max(reach.get(r["size"], 0), r["n"])
 
-        parts.append((block, let(shingles(F.col("_t")), _hits(sets, reach))))
+        parts.append((block, let(F.col("_s"), _hits(sets, reach))))
     found = checkpointed(base.select(*names, *[p.alias(f"_h{k}") for k, (_, p) in enumerate(parts)])).withColumn("_id", F.monotonically_increasing_id())
     rows = None
     for k, (block, _) in enumerate(parts):
