@@ -95,3 +95,44 @@ o AS (SELECT value, count(DISTINCT source) > 1 AS shared FROM f GROUP BY 1),
 k AS (SELECT doc_id, rank, kind, s, concat(kind, ':', s, ':', s + size) AS x, shared FROM f JOIN o USING (value) WHERE rank < 3 OR NOT shared),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(x, ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank) AS spans, count(*) FILTER (WHERE NOT shared) AS n_live FROM k GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+def _round(vectors: str, centroids: str) -> str:
+    return f"SELECT r, vec_id, v, d.c, d.far FROM (SELECT r, vec_id, v, list_min(list_transform(c.all, lambda x: {{'far': list_sum(list_transform(range(1, 65), lambda i: (v[i] - x.v[i]) * (v[i] - x.v[i]))), 'c': x.c}})) AS d FROM {vectors}, (SELECT list({{'c': c, 'v': v}} ORDER BY c) AS all FROM {centroids}) AS c)"
+
+
+def _moved(assigned: str, centroids: str) -> str:
+    sums = f"SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM {assigned}) GROUP BY c, i"
+    means = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM ({sums}) GROUP BY c"
+    return f"SELECT o.c, coalesce(m.v, o.v) AS v FROM {centroids} AS o LEFT JOIN ({means}) AS m USING (c)"
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('1:', vec_id)), v) - 1 AS c, v FROM kept ORDER BY sha256(concat('1:', vec_id)), v LIMIT 16),
+a1 AS MATERIALIZED ({_round("kept", "c0")}), c1 AS MATERIALIZED ({_moved("a1", "c0")}),
+a2 AS MATERIALIZED ({_round("kept", "c1")}), c2 AS MATERIALIZED ({_moved("a2", "c1")}),
+a3 AS MATERIALIZED ({_round("kept", "c2")}), c3 AS MATERIALIZED ({_moved("a3", "c2")}),
+a4 AS MATERIALIZED ({_round("kept", "c3")})
+SELECT vec_id, CAST(a4.c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance, CAST(sum(far) OVER (PARTITION BY a4.c) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a4 JOIN c3 ON a4.c = c3.c"""
+
+OP11 = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM f a JOIN f b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 93e-2),
+w AS (SELECT r AS a, r AS b FROM f UNION SELECT w.a, p.b FROM w JOIN p ON w.b = p.a),
+c AS (SELECT w.a AS r, min(e.vec_id) AS component FROM w JOIN e ON e.r = w.b GROUP BY 1), n AS (SELECT a AS r, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM e LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
+
+_ASKED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ASKED} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, item_id, w FROM (SELECT DISTINCT item_id, {_ASKED} AS w, text FROM benchmark)),
+s AS (SELECT count(*) AS big_n, sum(len(w)) AS big_l FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), q AS (SELECT k, item_id, unnest(w) AS term FROM i),
+x AS (SELECT k, item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * big_n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + CAST((75 * n * big_n) // big_l AS BIGINT))))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10"""

@@ -22,7 +22,7 @@ def texts(spark, folder):
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got, expected = QUERIES[name](spark, SMALL).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
