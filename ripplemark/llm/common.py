@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables in the shared folder for the steps of a loop; they go when the block ends.
+
+    Unlike a checkpoint, whose estimated size is that of its plan and multiplies with every join, a table has the size of
+    its files: after a dozen rounds of joins the estimate alone has millions of digits and planning takes minutes.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        self.tables += 1
+        df.write.parquet(path := f"{self.folder}/{self.tables}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

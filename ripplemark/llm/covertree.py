@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import checkpointed, join_facts
+from ripplemark.llm.common import Scratch, checkpointed, join_facts
 from ripplemark.llm.ngram_join import _grouped, _roots, contracted
 
 #: Least cosine of a link.
@@ -285,11 +285,11 @@ def _close(kind, t: float):
     return run
 
 
-def _cells(nodes: DataFrame, kind, threshold: float, block: int, fan: int, deepest: int) -> tuple[DataFrame, DataFrame]:
+def _cells(scratch: Scratch, nodes: DataFrame, kind, threshold: float, block: int, fan: int, deepest: int) -> tuple[DataFrame, DataFrame]:
     """``k, v, copies, cell`` of all nodes in cells of at most about ``block``, and the pairs ``a, b`` of cells that links may join."""
     t = math.sqrt(2 - 2 * threshold)
     held = nodes.select("k", "v", "copies", F.col("space").alias("cell"), F.lit(0.0).alias("far"))
-    facts = checkpointed(held.groupBy("cell").agg(F.count("*").alias("n")).select("cell", "cell", "n", F.lit(None).cast("binary").alias("centre"), F.lit(2.0).alias("radius")).toDF("parent", "cell", "n", "centre", "radius"))
+    facts = scratch.keep(held.groupBy("cell").agg(F.count("*").alias("n")).select("cell", "cell", "n", F.lit(None).cast("binary").alias("centre"), F.lit(2.0).alias("radius")).toDF("parent", "cell", "n", "centre", "radius"))
     pairs = facts.select(F.col("cell").alias("a"), F.col("cell").alias("b"), (F.col("n") <= block).alias("done"))
     leaves = facts.where(F.col("n") <= block)
     total = None
@@ -307,16 +307,16 @@ def _cells(nodes: DataFrame, kind, threshold: float, block: int, fan: int, deepe
             wanted = rows.select("cell", "k", "v").withColumn("place", F.row_number().over(first)).where(F.col("place") <= fan)
             pivots = wanted.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("p"))
             pivots = large.select("cell", "n").join(pivots, "cell").select("cell", "n", F.slice("p.v", F.lit(1), F.least(F.lit(fan), F.ceil(2 * F.col("n") / block)).cast("int")).alias("pivots"))
-            pivots = checkpointed(pivots)
-            held = checkpointed(join_facts(rows, pivots, "cell", "n", total).select("k", "v", "copies", "cell", "pivots").mapInArrow(_split(kind), "k binary, v binary, copies bigint, cell string, far double"))
+            pivots = scratch.keep(pivots)
+            held = scratch.keep(join_facts(rows, pivots, "cell", "n", total).select("k", "v", "copies", "cell", "pivots").mapInArrow(_split(kind), "k binary, v binary, copies bigint, cell string, far double"))
             centres = pivots.select(F.col("cell").alias("parent"), F.posexplode("pivots").alias("at", "centre")).withColumn("cell", F.concat_ws("/", "parent", F.col("at").cast("string")))
         else:  # these no longer get smaller: parts by hash, each as wide as the whole
             parts = large.select("cell", "n", F.ceil(2 * F.col("n") / block).cast("int").alias("parts"), "centre")
             rows = join_facts(rows, parts, "cell", "n", total)
-            held = checkpointed(rows.select("k", "v", "copies", F.concat_ws("/", "cell", F.pmod(F.xxhash64("k", F.lit("part")), F.col("parts")).cast("string")).alias("cell"), "far"))
+            held = scratch.keep(rows.select("k", "v", "copies", F.concat_ws("/", "cell", F.pmod(F.xxhash64("k", F.lit("part")), F.col("parts")).cast("string")).alias("cell"), "far"))
             centres = parts.select(F.col("cell").alias("parent"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at"), "centre").withColumn("cell", F.concat_ws("/", "parent", F.col("at").cast("string")))
         sizes = held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-        facts = checkpointed(centres.join(sizes, "cell").select("parent", "cell", "n", "centre", "radius"))
+        facts = scratch.keep(centres.join(sizes, "cell").select("parent", "cell", "n", "centre", "radius"))
         small = (F.col("n") <= block) | F.lit(level == deepest)
         kids = facts.withColumn("leaf", small).unionByName(leaves.withColumn("parent", F.col("cell")).withColumn("leaf", F.lit(True)))
         leaves = leaves.unionByName(facts.where(small))
@@ -324,7 +324,7 @@ def _cells(nodes: DataFrame, kind, threshold: float, block: int, fan: int, deepe
         side = lambda s: kids.select(F.col("parent").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("cell", "centre", "radius", "leaf")])
         grown = pairs.where(~F.col("done")).join(side("a"), "a").join(side("b"), "b").where((F.col("a") != F.col("b")) | (F.col("cell_a") <= F.col("cell_b")))
         grown = grown.select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b"), (F.col("leaf_a") & F.col("leaf_b")).alias("done"), "centre_a", "centre_b", "radius_a", "radius_b")
-        pairs = checkpointed(grown.mapInArrow(_close(kind, t), "a string, b string, done boolean"))
+        pairs = scratch.keep(grown.mapInArrow(_close(kind, t), "a string, b string, done boolean"))
     rows = held.select("k", "v", "copies", "cell")
     for part in done_rows:
         rows = rows.unionByName(part)
@@ -362,23 +362,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(space, pa.string()), pa.array(k, pa.binary()), pa.array(raw, pa.binary())], names=["id", "space", "k", "v"])
 
     worded = rows.where("fit").select("id", "l", "v", F.size("v").alias("size")).mapInArrow(keyed, f"id {id_kind}, space string, k binary, v binary")
-    nodes = worded.groupBy("k").agg(F.first("space").alias("space"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("first"))
-    nodes = checkpointed(nodes)
-    held, pairs = _cells(nodes, np_kind, threshold, block, fan, deepest)
-    finest = math.sqrt(2 - 2 * threshold) / 64
-    trees = checkpointed(held.repartition("cell").sortWithinPartitions("cell", "k").mapInArrow(_built(np_kind, finest), _TREE))
-    out = "k binary, n bigint, `to` binary"
-    met = trees.mapInArrow(_met(np_kind, threshold, True), out)
-    two = pairs.where(F.col("a") != F.col("b")).join(trees.withColumnRenamed("cell", "a"), "a")
-    two = two.join(trees.select(*[F.col(c).alias("b" if c == "cell" else f"{c}_b") for c in trees.columns]), "b")
-    found = checkpointed(met.unionByName(two.mapInArrow(_met(np_kind, threshold, False), out)))
-    labels = contracted(found.where(F.col("to").isNotNull()).select(F.col("k").alias("a"), F.col("to").alias("b")))
-    counts = found.groupBy("k").agg(F.sum("n").alias("links"))
-    classes = nodes.select("k", "first", "copies").join(counts, "k", "left").join(labels.withColumnRenamed("v", "k"), "k", "left")
-    classes = checkpointed(classes.select("k", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("label", "k").alias("label")))
-    heads = classes.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("nodes"))
-    classes = join_facts(classes, heads, "label", "nodes", classes.count()).select("k", "copies", "links", "component")
-    linked = join_facts(worded.select("id", "k"), checkpointed(classes), "k", "copies", classes.agg(F.sum("copies")).first()[0] or 0)
+    with Scratch(vectors.sparkSession) as scratch:
+        nodes = worded.groupBy("k").agg(F.first("space").alias("space"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("first"))
+        nodes = scratch.keep(nodes)
+        held, pairs = _cells(scratch, nodes, np_kind, threshold, block, fan, deepest)
+        finest = math.sqrt(2 - 2 * threshold) / 64
+        trees = scratch.keep(held.repartition("cell").sortWithinPartitions("cell", "k").mapInArrow(_built(np_kind, finest), _TREE))
+        out = "k binary, n bigint, `to` binary"
+        met = trees.mapInArrow(_met(np_kind, threshold, True), out)
+        two = pairs.where(F.col("a") != F.col("b")).join(trees.withColumnRenamed("cell", "a"), "a")
+        two = two.join(trees.select(*[F.col(c).alias("b" if c == "cell" else f"{c}_b") for c in trees.columns]), "b")
+        found = scratch.keep(met.unionByName(two.mapInArrow(_met(np_kind, threshold, False), out)))
+        labels = contracted(found.where(F.col("to").isNotNull()).select(F.col("k").alias("a"), F.col("to").alias("b")))
+        counts = found.groupBy("k").agg(F.sum("n").alias("links"))
+        classes = nodes.select("k", "first", "copies").join(counts, "k", "left").join(labels.withColumnRenamed("v", "k"), "k", "left")
+        classes = scratch.keep(classes.select("k", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("label", "k").alias("label")))
+        heads = classes.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("nodes"))
+        classes = checkpointed(join_facts(classes, heads, "label", "nodes", classes.count()).select("k", "copies", "links", "component"))
+    linked = join_facts(worded.select("id", "k"), classes, "k", "copies", classes.agg(F.sum("copies")).first()[0] or 0)
     alone = rows.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.select("id", F.col("links").alias("n_links"), F.coalesce("component", "id").alias("component_id")).unionByName(alone)
 

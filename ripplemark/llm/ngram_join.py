@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ripplemark.llm.common import checkpointed, free, join_facts, mixed, slices
+from ripplemark.llm.common import Scratch, checkpointed, free, join_facts, mixed, slices
 from ripplemark.llm.substrings import _BASES, Words
 
 SHINGLE = 5
@@ -273,20 +273,21 @@ def contracted(links: DataFrame) -> DataFrame:
     Every vertex joins its neighbour (or itself) of the least hash, the links between joined vertices go on; a constant
     share of the vertices is expected to vanish each round, whatever the shape of the graph.
     """
-    links = checkpointed(links.where(F.col("a") != F.col("b")).distinct())
-    labels = links.select(F.col("a").alias("v")).union(links.select("b")).distinct().withColumn("label", F.col("v"))
-    step = 0
-    while not links.isEmpty():
-        both = links.union(links.select("b", "a"))
-        best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b"))).alias("m"))
-        mine = F.struct(F.xxhash64("a", F.lit(step)).alias("h"), F.col("a").alias("b"))
-        move = checkpointed(best.select(F.col("a").alias("v"), F.least("m", mine)["b"].alias("w")))
-        labels = labels.join(move.select(F.col("v").alias("label"), "w"), "label", "left").select("v", F.coalesce("w", "label").alias("label"))
-        links = links.join(move.select(F.col("v").alias("a"), F.col("w").alias("x")), "a").join(move.select(F.col("v").alias("b"), F.col("w").alias("y")), "b")
-        links = checkpointed(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(F.col("a") != F.col("b")).distinct())
-        labels = checkpointed(labels)
-        step += 1
-    return labels
+    with Scratch(links.sparkSession) as scratch:
+        links = scratch.keep(links.where(F.col("a") != F.col("b")).distinct())
+        labels = links.select(F.col("a").alias("v")).union(links.select("b")).distinct().withColumn("label", F.col("v"))
+        step = 0
+        while not links.isEmpty():
+            both = links.union(links.select("b", "a"))
+            best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b"))).alias("m"))
+            mine = F.struct(F.xxhash64("a", F.lit(step)).alias("h"), F.col("a").alias("b"))
+            move = scratch.keep(best.select(F.col("a").alias("v"), F.least("m", mine)["b"].alias("w")))
+            labels = labels.join(move.select(F.col("v").alias("label"), "w"), "label", "left").select("v", F.coalesce("w", "label").alias("label"))
+            links = links.join(move.select(F.col("v").alias("a"), F.col("w").alias("x")), "a").join(move.select(F.col("v").alias("b"), F.col("w").alias("y")), "b")
+            links = scratch.keep(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(F.col("a") != F.col("b")).distinct())
+            labels = scratch.keep(labels)
+            step += 1
+        return checkpointed(labels)
 
 
 def _buckets(nodes: DataFrame, sketches: DataFrame, bucket: int, depth: int) -> DataFrame:
