@@ -99,6 +99,10 @@ class Locks:
         return [r.asDict() for r in rows.orderBy(F.desc("acquired_at")).collect()]
 
 
+class Cancelled(Exception):
+    """A job that was asked to end has ended before the phase that this names."""
+
+
 class Jobs:
     """Background jobs as threads whose Spark work is one job group each, so that cancelling stops it."""
 
@@ -117,20 +121,41 @@ class Jobs:
             row = [(time.time_ns(), job_id, kind, json.dumps(payload or {}), str(self.now()))]
             self.store.append("job_events", self.store.spark.createDataFrame(row, TABLES["job_events"]))
 
-    def start(self, kind: str, work: Callable[[Callable[[], bool]], dict]) -> dict:
-        """Runs ``work(cancelled)``; one job at a time, else ``busy``."""
+    def step(self, job_id: str, phase: str, percent: int) -> None:
+        """Notes that a job has come to a phase; a job that is to be cancelled ends here."""
+        if self.cancelled(job_id):
+            raise Cancelled(phase)
+        self._put(id=job_id, progress_pct=percent)
+        self.event(job_id, "phase_start", {"phase": phase})
+
+    def start(self, kind: str, work: Callable[[Callable], dict]) -> dict:
+        """Runs ``work(step)``; one job at a time, else ``busy``.
+
+        ``step(phase, percent)`` notes how far the work is and ends it if the job is to be cancelled; ``step()`` only
+        says whether it is.
+        """
         self.sweep()
-        running = self.store.read("bg_jobs").where(F.col("status") == "running").first()
-        if running:
-            return {"status": "busy", "job_id": running.id}
-        job = uuid.uuid4().hex
-        self._put(id=job, kind=kind, status="running", created_at=str(self.now()), started_at=str(self.now()), progress_pct=0)
+        job, other = uuid.uuid4().hex, None
+        now = str(self.now())
+        new = dict(id=job, kind=kind, status="running", created_at=now, started_at=now, updated_at=now, progress_pct=0)
+
+        def add(old):
+            """Checked on the very version that this row is added to: of two starts at a time one is refused."""
+            nonlocal other
+            running = old.where(F.col("status") == "running").first()
+            other = running and running.id
+            return old if running else old.unionByName(self.store.spark.createDataFrame([tuple(new.get(c) for c in old.columns)], old.schema))
+
+        with self._lock:
+            self.store.change("bg_jobs", add)
+        if other:
+            return {"status": "busy", "job_id": other}
         self.event(job, "started", {"kind": kind})
 
         def run() -> None:
             self.store.spark.sparkContext.setJobGroup(job, kind, True)
             try:
-                result = work(lambda: self.cancelled(job))
+                result = work(lambda phase=None, percent=0: self.cancelled(job) if phase is None else self.step(job, phase, percent))
                 self._put(id=job, status="cancelled" if self.cancelled(job) else "completed", result_json=json.dumps(result, default=str), progress_pct=100)
                 self.event(job, "finished")
             except Exception as e:

@@ -4,6 +4,7 @@ A table is a folder of versions and numbered pointers; a write makes a new versi
 pointer, so what is being read is never overwritten and a failed write leaves the old version in place.  A number is
 claimed by creating a file that must not exist yet: of two writers that started from one version the second one sees
 that it has lost and starts again from the new version, so no change is lost and checks made on what was read hold.
+Appended rows are a folder beside their version's, named after it, and are part of it once a pointer names them.
 """
 
 from __future__ import annotations
@@ -77,7 +78,13 @@ class Store:
     def _pointer(self, table: str) -> tuple[int, str | None]:
         """The number and folder of the current version."""
         marks = sorted(n for n in self._names(table) if n.startswith("_current-"))
-        return (int(marks[-1].split("-")[1]), f"{self.folder}/{table}/{marks[-1].split('-', 2)[2]}") if marks else (-1, None)
+        return (int(marks[-1].split("-")[1]), f"{self.folder}/{table}/{marks[-1].split('-', 2)[2].split('~')[0]}") if marks else (-1, None)
+
+    def _folders(self, table: str, path: str) -> list[str]:
+        """The folder of a version and those appended to it that a pointer names."""
+        own = path.rsplit("/", 1)[1]
+        named = (n.split("-", 2)[2] for n in self._names(table) if n.startswith("_current-"))
+        return [path, *sorted(f"{self.folder}/{table}/{n}" for n in named if n.startswith(f"{own}~"))]
 
     def _current(self, table: str) -> str | None:
         return self._pointer(table)[1]
@@ -115,7 +122,7 @@ class Store:
         return self._version(table, self._current(table))
 
     def _version(self, table: str, path: str | None) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[table]) if path is None else self.spark.read.schema(TABLES[table]).parquet(path)
+        return self.spark.createDataFrame([], TABLES[table]) if path is None else self.spark.read.schema(TABLES[table]).parquet(*self._folders(table, path))
 
     def _typed(self, table: str, rows: DataFrame) -> DataFrame:
         schema = self.spark.createDataFrame([], TABLES[table]).schema
@@ -142,20 +149,21 @@ class Store:
         return self.change(table, lambda old: upserted(old, rows, KEYS[table], order))
 
     def append(self, table: str, rows: DataFrame, tries: int = 20) -> DataFrame:
-        """More rows, as new files of the current version; nothing is read or written again.
+        """More rows, as files beside those of the current version; nothing is read or written again.
 
-        The pointer's number moves on, so a writer that has read the version without these rows starts again.
+        They are part of it from the moment that the pointer moves on, so a writer that has read the version without
+        these rows starts again, and none sees rows of an append that goes on.
         """
-        written = None
         for k in range(tries):
             number, path = self._pointer(table)
             if path is None:
                 return self.change(table, lambda old: old.unionByName(self._typed(table, rows)))
-            if written != path:
-                self._typed(table, rows).write.mode("append").parquet(path)
-                written = path
-            if self._point(table, number + 1, path.rsplit("/", 1)[1]):
+            more = f"{path}~{uuid.uuid4().hex}"
+            self._typed(table, rows).write.parquet(more)
+            if self._point(table, number + 1, more.rsplit("/", 1)[1]):
                 return self.read(table)
+            fs, p = self._fs(more)
+            fs.delete(p, True)
             time.sleep(0.05 * 2 ** min(k, 5))
         raise RuntimeError(f"{table}: other writers were always faster")
 
@@ -177,14 +185,15 @@ class Store:
             path = self._current(table)
             if path is None:
                 continue
-            fs, p = self._fs(path)
-            size = fs.getContentSummary(p).getLength()
+            sizes = [fs.getContentSummary(p).getLength() for fs, p in map(self._fs, self._folders(table, path))]
+            size = sum(sizes)
             self.change(table, lambda old: old.coalesce(max(1, size // (target_mb << 20))))  # noqa: B023
-            (number, kept), (_, top) = self._pointer(table), self._fs(f"{self.folder}/{table}")
+            (number, kept), (fs, top) = self._pointer(table), self._fs(f"{self.folder}/{table}")
+            kept = kept.rsplit("/", 1)[1]
             freed[table] = 0
             for s in fs.listStatus(top):
                 name = s.getPath().getName()
-                if s.isDirectory() and not kept.endswith(name):
+                if s.isDirectory() and not name.startswith(kept):
                     freed[table] += fs.getContentSummary(s.getPath()).getLength()
                     fs.delete(s.getPath(), True)
                 elif name.startswith("_current-") and int(name.split("-")[1]) < number or name.startswith("_claim-") and int(name.split("-")[1]) < number:

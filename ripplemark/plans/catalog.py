@@ -561,9 +561,9 @@ def upsert_max(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
-def _stream(spark, df: DataFrame, mode: str = "append") -> DataFrame:
+def _stream(spark, df: DataFrame, mode: str = "append", key: list[str] | None = None) -> DataFrame:
     """What a stream has written to the shared folder once all its input is read."""
-    return T.written(df, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", mode)
+    return T.written(df, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", mode, key)
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
@@ -582,8 +582,8 @@ def stream_failure_rates(spark, sf_dir):
 
 @query(f"SELECT test_id, round(duration_cv, 6) AS duration_cv FROM ({CV})")
 def stream_duration_spread(spark, sf_dir):
-    """The latest 20 durations of each test, kept in the state; with one batch of input there is one row for each test."""
-    rows = _stream(spark, T.duration_spread(_result_stream(spark, sf_dir)), "update")
+    """The latest 20 durations of each test, kept in the state; the last row of each test counts."""
+    rows = _stream(spark, T.duration_spread(_result_stream(spark, sf_dir)), "update", ["test_id"])
     return rows.where("duration_cv is not null").select("test_id", F.round("duration_cv", 6).alias("duration_cv"))
 
 

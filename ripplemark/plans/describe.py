@@ -5,9 +5,11 @@ from __future__ import annotations
 import inspect
 
 from ripplemark.operators.control import Jobs, Locks
-from ripplemark.plans.project import MOST, QUERIES, Project
+from ripplemark.plans.project import QUERIES, Project
 
 _OTHERS = {"acquire_file_lock": Locks.acquire, "release_file_lock": Locks.release, "refresh_file_lock": Locks.refresh, "check_file_lock": Locks.check, "check_locks": Locks.check_many, "list_file_locks": Locks.list, "job_status": Jobs.status, "cancel_job": Jobs.cancel}
+#: The largest limit that front ends take; without a limit answers are whole.
+MOST = 1000
 _KINDS = {"int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object"}
 
 
@@ -17,10 +19,10 @@ def target(name: str):
 
 
 def schema(name: str) -> dict:
-    """Name, description and parameters of a query; those without a default are required, and a limit has its bound."""
+    """Name, description and parameters of a query; those without a default are required, and a limit that is given has its bound."""
     properties, required = {}, []
     for p in list(inspect.signature(target(name)).parameters.values())[1:]:
-        if p.kind is p.VAR_KEYWORD:
+        if p.kind is p.VAR_KEYWORD or p.name == "step":
             continue
         text = str(p.annotation)
         kind = _KINDS.get(text.split("[")[0].split(" ")[0], "string")

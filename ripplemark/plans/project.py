@@ -21,7 +21,7 @@ from ripplemark.session import cut
 from ripplemark.sources import files as file_source
 from ripplemark.sources import git
 
-JOB_FILES, INLINE_FILES, MOST, WORKING_TREE_MOST = 300, 50, 1000, 30
+JOB_FILES, INLINE_FILES, WORKING_TREE_MOST = 300, 50, 30
 
 
 def shard_config(root: str) -> str:
@@ -67,7 +67,7 @@ class Project:
 
     # --- build ---------------------------------------------------------------------------------------------------
 
-    def analyze(self, directory: str | None = None, force: bool = False, shard: str | None = None, in_job: bool = False) -> dict:
+    def analyze(self, directory: str | None = None, force: bool = False, shard: str | None = None, in_job: bool = False, step=None) -> dict:
         """Everything from the sources and the whole history; unchanged files are not parsed again unless forced.
 
         A forced run over more than ``JOB_FILES`` files becomes a background job.  A shard is its directory.
@@ -77,7 +77,7 @@ class Project:
             n = file_source.source_files(self.spark, self.root, git.visible_files(self.spark, self.root), directory).count()
             if n > JOB_FILES:
                 return self.start_job("analyze", directory=directory, force=True, in_job=True) | {"status": "auto_queued", "code_files": n}
-        return self._build(directory, force)
+        return self._build(directory, force, step=step)
 
     def _changes(self) -> DataFrame:
         """The files on disk that differ from what the tables know."""
@@ -93,36 +93,47 @@ class Project:
         self.update()
         return {"updated": True, "reason": None}
 
-    def update(self) -> dict:
+    def update(self, step=None) -> dict:
         """As :meth:`analyze` for changed files; nothing is rebuilt if neither files nor commits are new.
 
+        Only the commits after the one read last are read, or all if the branch no longer goes back to it.
         Churn and co-change come from the whole stored history, not from the new commits alone.
         """
-        return self._build(None, False, incremental=True)
+        return self._build(None, False, incremental=True, step=step)
 
-    def _build(self, directory: str | None, force: bool, incremental: bool = False) -> dict:
-        store = self.store
+    def _build(self, directory: str | None, force: bool, incremental: bool = False, step=None) -> dict:
+        """``step(phase, percent)`` is called as the work goes on; it may raise to end it there."""
+        store, step = self.store, step or (lambda phase, percent: None)
+        step("scan_files", 0)
         visible = git.visible_files(self.spark, self.root)
         current = cut(file_source.source_files(self.spark, self.root, visible, directory))
         changed = cut(changed_files(current, store.read("file_hashes"), force))
         n_changed = changed.count()
-        warning = None
+        warning, last_head = None, None
         try:
-            nested = cut(git.git_log(self.spark, self.root))
-            commits, commit_files = history.flatten_commits(nested)
-        except Exception as e:  # no repository, or one without commits
+            last_head = git.head(self.root)
+        except git.GitError as e:  # no repository, or one without commits
             warning = str(e).split("\n")[0]
-            commits, commit_files = store.read("commits"), store.read("commit_files")
+        step("read_history", 15)
+        if last_head:
+            nested = cut(git.git_log(self.spark, self.root, last_head, after=store.get_meta("last_head") if incremental else None))
+            commits, commit_files = history.flatten_commits(nested)
+            n_read = nested.count()
+        else:
+            commits, commit_files, n_read = store.read("commits"), store.read("commit_files"), 0
         known = store.read("commits").select("hash")
         n_new = commits.join(known, "hash", "left_anti").count()
         if incremental and not n_changed and not n_new:
-            return {"status": "no_changes", "changed_files": 0, "new_commits": 0}
+            store.set_meta(last_head=last_head)
+            return {"status": "no_changes", "changed_files": 0, "new_commits": 0, "commits_read": n_read}
+        step("parse_units", 30)
         paths = changed.select("file_path")
         kept = store.read("code_units").join(paths, "file_path", "left_anti")
         units = extract.code_units(changed).join(changed.select("file_path", "content_hash"), "file_path").dropDuplicates(["id"]).withColumn("updated_at", F.current_timestamp())
         units = store.write("code_units", kept.unionByName(units, allowMissingColumns=True))
         store.upsert("commits", commits)
         store.upsert("commit_files", commit_files.select("commit_hash", "file_path", "insertions", "deletions"))
+        step("churn_and_coupling", 40)
         all_commits, all_files = store.read("commits"), store.read("commit_files")
         n_commits = all_commits.count()
         authors = all_commits.select("author").distinct().count()
@@ -133,8 +144,10 @@ class Project:
         store.write("churn_stats", churn.unionByName(self._unit_churn(units, paths, as_of), allowMissingColumns=True))
         store.write("co_changes", history.co_changes(all_commits, all_files, least))
         store.write("branch_co_changes", self._branch_pairs())
+        step("blame", 55)
         blamed = git.blame(paths, self.root).join(changed.select("file_path", "content_hash"), "file_path")
         store.write("blame_cache", store.read("blame_cache").join(paths, "file_path", "left_anti").unionByName(blamed, allowMissingColumns=True))
+        step("discover_and_build_edges", 65)
         tested = file_source.test_files(current)
         tests = store.write("test_units", extract.test_units(tested).join(current.select("file_path", "content_hash"), "file_path"))
         deps = cut(extract.dependencies(current))
@@ -144,6 +157,7 @@ class Project:
         store.write("test_edges", own.unionByName(impact.heuristic_edges(code, own, tests)))
         store.write("import_edges", edges.import_edges(deps, current, tests))
         store.write("static_test_imports", edges.static_test_imports(tests, deps, current))
+        step("clean_results", 90)
         alive, gone = results.without_orphans(store.read("test_results"), tests)
         orphans = gone.count()
         if orphans:
@@ -151,8 +165,8 @@ class Project:
         hashes = changed.select("file_path", "content_hash", F.current_timestamp().alias("updated_at"), "mtime", "size")
         store.upsert("file_hashes", hashes)
         last = all_commits.agg(F.max_by("date", X.timestamp("date"))).first()[0]
-        store.set_meta(last_commit_date=last, co_change_query_min=least, distinct_authors=authors, project_fingerprint=self.root)
-        out = {"status": "ok", "code_files_scanned": current.count(), "changed_files": n_changed, "new_commits": n_new, "code_units": units.count(), "test_units": tests.count(), "test_edges": store.read("test_edges").count(), "commits": n_commits, "orphaned_results_cleaned": orphans}
+        store.set_meta(last_head=last_head, last_commit_date=last, co_change_query_min=least, distinct_authors=authors, project_fingerprint=self.root)
+        out = {"status": "ok", "code_files_scanned": current.count(), "changed_files": n_changed, "new_commits": n_new, "commits_read": n_read, "code_units": units.count(), "test_units": tests.count(), "test_edges": store.read("test_edges").count(), "commits": n_commits, "orphaned_results_cleaned": orphans}
         return out | ({"git_warning": warning} if warning else {})
 
     def _unit_churn(self, units: DataFrame, changed: DataFrame, as_of) -> DataFrame:
@@ -209,15 +223,15 @@ class Project:
         return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": cut(worktree.disk_only_tests(tests, self.t("test_units")))}
 
     @staticmethod
-    def _rows(df: DataFrame, limit: int = MOST) -> list[dict]:
-        return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+    def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
+        return [r.asDict(recursive=True) for r in (df if limit is None else df.limit(limit)).collect()]
 
-    def impact(self, files: list[str], functions: list[str] | None = None, limit: int = MOST) -> list[dict]:
+    def impact(self, files: list[str], functions: list[str] | None = None, limit: int | None = None) -> list[dict]:
         changed = self.spark.createDataFrame([(f, functions) for f in files], "file_path string, functions array<string>")
         rows = impact.impact(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), changed, min_count=self._least())
         return self._rows(rows.orderBy(F.desc("score"), "test_id"), limit)
 
-    def diff_impact(self, ref: str | None = None, limit: int = MOST, working_tree: bool = False, auto_update: bool = False) -> dict | list[dict]:
+    def diff_impact(self, ref: str | None = None, limit: int | None = None, working_tree: bool = False, auto_update: bool = False) -> dict | list[dict]:
         """Tests for what differs from ``ref`` (default: the main branch) and for untracked code files.
 
         ``working_tree``: also tests on disk that the tables do not know, and static imports of changed files.
@@ -250,7 +264,7 @@ class Project:
             rows = impact.best_per_test(rows.unionByName(near))
         return self._rows(rows.orderBy(F.desc("score"), "test_id"), limit)
 
-    def suggest_tests(self, file_path: str | None = None, directory: str | None = None, fallback_to_all: bool = False, limit: int = MOST, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
+    def suggest_tests(self, file_path: str | None = None, directory: str | None = None, fallback_to_all: bool = False, limit: int | None = None, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
         """Tests for a file or a directory, the most relevant first; at most ``WORKING_TREE_MOST`` where names alone decide."""
         if auto_update:
             self.auto_update()
@@ -262,7 +276,7 @@ class Project:
             disk = self._disk() if working_tree else None
             own = own.unionByName(disk["files"].where(X.in_directory("file_path", directory))).distinct() if disk and directory else own
             near = worktree.suggest_by_name(own, self.t("test_units"), disk and disk["tests"])
-            out = self._rows(near.orderBy(F.desc("relevance"), "test_id"), min(limit, WORKING_TREE_MOST))
+            out = self._rows(near.orderBy(F.desc("relevance"), "test_id"), WORKING_TREE_MOST if limit is None else min(limit, WORKING_TREE_MOST))
         return out
 
     def eval_warning(self, file_path: str) -> dict | None:
@@ -329,7 +343,7 @@ class Project:
         unstable = results.instability(coverage.covering_tests(units, own), results.failure_rates(self.t("test_results")), spread)
         return risk.components(churn, coupled, coverage.file_coverage(units, own, mode), history.author_concentration(self._blame()), unstable, hops, self.t("test_units") if exclude_tests else None, directory, extra, new_file_boost)
 
-    def risk_map(self, directory: str | None = None, limit: int = MOST, working_tree: bool = False, auto_update: bool = False, shard: str | None = None, **how) -> dict:
+    def risk_map(self, directory: str | None = None, limit: int | None = None, working_tree: bool = False, auto_update: bool = False, shard: str | None = None, **how) -> dict:
         """All files by risk, with what carries the scores; ``working_tree`` adds untracked files, a shard is its directory."""
         if auto_update:
             self.auto_update()
@@ -345,7 +359,7 @@ class Project:
         gaps = coverage.untested_units(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("churn_stats"), file_path, directory, exclude_tests)
         return coverage.test_gaps(gaps, self.t("static_test_imports"), coverage.files_with_edges(self.t("code_units"), self.t("test_edges")))
 
-    def test_gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True, limit: int = MOST, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
+    def test_gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True, limit: int | None = None, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
         if auto_update:
             self.auto_update()
         gaps = self._gaps(file_path, directory, exclude_tests)
@@ -354,12 +368,12 @@ class Project:
         disk = self._disk()
         return self._rows(worktree.with_gaps_on_disk(gaps, worktree.gaps_on_disk(disk["units"], disk["files"], self.t("code_units"), directory, exclude_tests)), limit)
 
-    def stale_tests(self, limit: int = MOST) -> dict | list[dict]:
+    def stale_tests(self, limit: int | None = None) -> dict | list[dict]:
         if self.t("test_edges").isEmpty():
             return {"status": "no_edges"}
         return self._rows(coverage.stale_edges(self.t("code_units"), self.t("test_edges"), self.t("test_units")).orderBy("test_id", "code_id"), limit)
 
-    def history(self, file_path: str, limit: int = MOST) -> list[dict]:
+    def history(self, file_path: str, limit: int | None = None) -> list[dict]:
         return self._rows(history.history(self.t("commits"), self.t("commit_files"), self._files([file_path])).orderBy(F.desc("date"), "commit_hash"), limit)
 
     def record_result(self, test_id: str, passed: bool, duration_ms: int | None = None) -> dict:
@@ -409,7 +423,7 @@ class Project:
         work = {"analyze": self.analyze, "update": self.update}.get(kind)
         if work is None:
             return {"status": "error", "error": f"no such job: {kind}"}
-        started = self.jobs.start(kind, lambda cancelled: work(**how))
+        started = self.jobs.start(kind, lambda step: work(**how, step=step))
         started.pop("thread", None)
         return started
 

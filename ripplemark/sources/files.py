@@ -6,27 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.functions.scalars import has_code_extension, in_directory, is_test_file, sha256
-
-# Directories that hold no sources of the project.
-SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".tox", "target", ".mypy_cache", ".pytest_cache")
-
+from ripplemark.sources import tree
 
 def source_files(spark: SparkSession, root: str, visible: DataFrame | None = None, directory: str | None = None) -> DataFrame:
     """``file_path, content, content_hash, mtime, size`` of all code files under ``root``.
 
-    Skipped directories go by path before content is read on; with ``visible`` only those paths stay.
+    Directories that hold no sources are not entered, nor anything beside ``directory``; with ``visible`` only those
+    paths stay.  Only then are files opened, whatever their names begin with.
     """
-    base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.substring_index("path", f"{base.split(':', 1)[-1].lstrip('/')}/", -1)
-    rows = rows.select(path.alias("file_path"), "content", F.unix_micros("modificationTime").alias("us"), F.col("length").alias("size"))
-    skipped = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"
-    rows = rows.where(has_code_extension("file_path") & ~F.col("file_path").rlike(skipped))
+    rows = tree.listing(spark, root, directory).where(has_code_extension("file_path"))
     if directory:
         rows = rows.where(in_directory("file_path", directory))
     if visible is not None:
-        rows = rows.join(F.broadcast(visible.select("file_path")), "file_path", "left_semi") if visible.count() <= 200_000 else rows.join(visible.select("file_path"), "file_path", "left_semi")
-    return rows.select("file_path", F.col("content").cast("string").alias("content"), sha256("content").alias("content_hash"), (F.col("us") / 1e6).alias("mtime"), "size")
+        rows = rows.join(visible.select("file_path"), "file_path", "left_semi")
+    rows = tree.with_content(rows, root)
+    return rows.select("file_path", F.col("content").cast("string").alias("content"), sha256("content").alias("content_hash"), "mtime", "size")
 
 
 def test_files(files: DataFrame) -> DataFrame:

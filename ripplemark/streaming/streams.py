@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ripplemark.operators.store import Store
+from ripplemark.operators.store import Store, last_of_each
 
 
 def failure_rates(results: DataFrame) -> DataFrame:
@@ -19,20 +20,20 @@ def failure_rates(results: DataFrame) -> DataFrame:
 
 
 def _latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = list(state.get[0]) if state.exists else []
+    rows = list(zip(*state.get)) if state.exists else []
     for b in batches:
-        rows += [[int(t.value), float(d)] for t, d in zip(pd.to_datetime(b["recorded_at"]), b["duration_ms"]) if pd.notna(d)]
-    rows = sorted(rows)[-20:]
-    state.update((rows,))
+        b = b[b["duration_ms"].notna()]
+        rows = sorted(rows + [(int(t.value), float(d)) for t, d in zip(pd.to_datetime(b["recorded_at"]), b["duration_ms"])])[-20:]
+    state.update(([t for t, _ in rows], [d for _, d in rows]))
     values = pd.Series([d for _, d in rows], dtype="float64")
     known = len(values) >= 3 and values.mean() > 0
     yield pd.DataFrame({"test_id": [key[0]], "duration_cv": [min(1.0, values.std(ddof=0) / values.mean()) if known else None], "runs": [len(values)]})
 
 
 def duration_spread(results: DataFrame) -> DataFrame:
-    """The spread of the latest 20 durations of each test; the state of a test is those 20 and no more."""
+    """The spread of the latest 20 durations of each test; its state is those 20, and no more are held beside an Arrow batch."""
     rows = results.select("test_id", "recorded_at", "duration_ms")
-    return rows.groupBy("test_id").applyInPandasWithState(_latest, "test_id string, duration_cv double, runs int", "latest array<array<double>>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("test_id").applyInPandasWithState(_latest, "test_id string, duration_cv double, runs int", "at array<bigint>, duration array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def new_commits(commits: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -40,12 +41,21 @@ def new_commits(commits: DataFrame, delay: str = "30 days") -> DataFrame:
     return commits.withWatermark("committed_at", delay).dropDuplicatesWithinWatermark(["hash"])
 
 
-def upsert_into(store: Store, table: str, order: list[str] | None = None):
-    """For ``foreachBatch``: each batch into a keyed table; empty batches write nothing."""
+def upsert_into(store: Store, table: str, order: list[str] | None = None, stream: str | None = None):
+    """For ``foreachBatch``: each batch into a keyed table; empty batches write nothing.
 
-    def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.upsert(table, batch, order)
+    A batch that is run again after a failure sets the same rows again.  With the name of a ``stream`` its last batch is
+    noted in the store, and one that has been written is passed over, so it does not undo what others have set since.
+    """
+    key = f"stream:{stream}:{table}"
+
+    def run(batch: DataFrame, number: int) -> None:
+        done = store.get_meta(key) if stream else None
+        if batch.isEmpty() or done is not None and int(done) >= number:
+            return
+        store.upsert(table, batch, order)
+        if stream:
+            store.set_meta(**{key: number})
 
     return run
 
@@ -97,16 +107,35 @@ def locks(requests: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return rows.groupBy("file_path").applyInPandasWithState(_lock, "file_path string, at_ms bigint, agent_id string, status string", state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def written(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """What a stream has written to ``folder`` once all its input is read; in ``complete`` mode its last result.
+def batch_writer(folder: str):
+    """For ``foreachBatch``: the rows of each batch in a folder of its own; a batch that is run again replaces its rows."""
 
-    Every batch goes to files from the executors; nothing passes through the driver.
-    """
-    kept = "overwrite" if mode == "complete" else "append"
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/stream_batch={number}")
+
+    return run
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode(kept).parquet(f"{folder}/rows")
 
-    query = rows.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+def batches(spark: SparkSession, folder: str, schema: StructType, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """What :func:`batch_writer` has written: all rows; in ``complete`` mode the last result, in ``update`` mode the last row of each ``key``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("stream_batch", LongType())])).parquet(folder)
+    if mode == "complete":
+        last = rows.agg(F.max("stream_batch")).first()[0]
+        rows = rows.where(F.col("stream_batch") == (-1 if last is None else last))
+    elif mode == "update":
+        rows = last_of_each(rows, key, ["stream_batch"])
+    return rows.select(*[f"`{f.name}`" for f in schema.fields])
+
+
+def written(rows: DataFrame, folder: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+    """What a stream has written to ``folder`` once all its input is read; in ``complete`` mode its last result, in ``update`` mode the last row of each ``key``.
+
+    Every batch goes to files of its own from the executors; nothing passes through the driver, and a batch that is run
+    again after a failure is there once.
+    """
+    query = rows.writeStream.foreachBatch(batch_writer(f"{folder}/rows")).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return batches(rows.sparkSession, f"{folder}/rows", rows.schema, mode, key)
