@@ -78,9 +78,12 @@ def test_edges(tests: DataFrame, deps: DataFrame, units: DataFrame, go_module: s
     led = cut(led)  # the first three tiers, and what the fourth is looked for in
     own_scope = led.select("file_path", "code_file").distinct()
     scoped = own_scope.select("file_path").distinct().withColumn("scoped", F.lit(True))
-    any_unit = deps.join(own, F.col("dep") == F.col("unit")).join(scoped, "file_path", "left")
-    any_unit = any_unit.join(own_scope.withColumn("inside", F.lit(True)), ["file_path", "code_file"], "left")
-    any_unit = any_unit.where(F.col("module_path").isNotNull() | F.col("scoped").isNull() | F.col("inside").isNotNull()).drop("scoped", "inside")
+    told = deps.join(scoped, "file_path", "left").withColumn("free", F.col("module_path").isNotNull() | F.col("scoped").isNull()).drop("scoped")
+    # A bare name in a file that imports something means units of what it imports: met by file and name, so a name
+    # that thousands of files define stays small.  Only the others are looked for by name alone.
+    near = own_scope.join(own, "code_file").withColumnRenamed("file_path", "scope_file")
+    inside = told.where(~F.col("free")).join(near, (F.col("file_path") == F.col("scope_file")) & (F.col("dep") == F.col("unit"))).drop("scope_file")
+    any_unit = told.where("free").join(own, F.col("dep") == F.col("unit")).unionByName(inside).drop("free")
     first_three = led.join(own, "code_file").where((F.col("tier") > 0) | (F.col("unit") == F.col("dep")))
     columns = ["file_path", "dep", "dep_type", "module_path", "confidence", "code_id", "code_file", "tier"]
     rows = first_three.select(*columns).unionByName(any_unit.withColumn("tier", F.lit(3)).select(*columns))

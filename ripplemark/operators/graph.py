@@ -1,7 +1,7 @@
 """Graph operators over import edges: neighbours, hops, decay closure, cycles.
 
-Each is a loop of joins over the edge table with a frontier that shrinks; a round's result is checkpointed, so neither
-the plan nor a lost executor's recomputation grows with the number of rounds.
+Each is a loop of joins over the edge table with a frontier that shrinks; a round's result is written, so neither the
+plan nor a lost executor's recomputation grows with the number of rounds.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.session import cut
+from ripplemark.session import Scratch, cut
 
 HARD = 1.0
 HOP_DECAY = 0.88
@@ -60,44 +60,44 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = MAX_HOPS, decay: fl
 
     Paths stop at ``most`` hops, and no path goes on from a product under ``least``.  The start itself is not a row.
     """
-    pairs = cut(undirected(edges).where(F.col("confidence") > 0))
-    best = cut(starts.select(F.col("file_path").alias("start")).distinct().select("start", F.col("start").alias("file_path"), F.lit(1.0).alias("decay"), F.lit(0).alias("hops")))
-    frontier = best
-    for step in range(1, most + 1):
-        ahead = frontier.where(F.col("decay") >= least).join(pairs, F.col("file_path") == F.col("a"))
-        ahead = ahead.select("start", F.col("b").alias("file_path"), (F.col("decay") * F.lit(decay) * F.col("confidence")).alias("decay"))
-        ahead = ahead.groupBy("start", "file_path").agg(F.max("decay").alias("decay")).withColumn("hops", F.lit(step))
-        known = best.select("start", "file_path", F.col("decay").alias("known"))
-        frontier = cut(ahead.join(known, ["start", "file_path"], "left").where(F.col("known").isNull() | (F.col("decay") > F.col("known"))).drop("known"))
-        if frontier.isEmpty():
-            break
-        best = best.join(frontier.select("start", "file_path"), ["start", "file_path"], "left_anti").unionByName(frontier)
-        best = cut(best) if step % 2 == 0 else best
-    return best.where(F.col("start") != F.col("file_path"))
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
+    with Scratch(edges.sparkSession) as scratch:
+        pairs = scratch.keep(undirected(edges).where(F.col("confidence") > 0))
+        best = scratch.keep(starts.select(F.col("file_path").alias("start")).distinct().select("start", F.col("start").alias("file_path"), F.lit(1.0).alias("decay"), F.lit(0).alias("hops")))
+        frontier = best
+        for step in range(1, most + 1):
+            ahead = frontier.where(F.col("decay") >= least).join(pairs, F.col("file_path") == F.col("a"))
+            ahead = ahead.select("start", F.col("b").alias("file_path"), (F.col("decay") * F.lit(decay) * F.col("confidence")).alias("decay"))
+            ahead = ahead.groupBy("start", "file_path").agg(F.max("decay").alias("decay")).withColumn("hops", F.lit(step))
+            known = best.select("start", "file_path", F.col("decay").alias("known"))
+            frontier = scratch.keep(ahead.join(known, ["start", "file_path"], "left").where(F.col("known").isNull() | (F.col("decay") > F.col("known"))).drop("known"))
+            if frontier.isEmpty():
+                break
+            best = scratch.keep(best.join(frontier.select("start", "file_path"), ["start", "file_path"], "left_anti").unionByName(frontier))
+        return cut(best.where(F.col("start") != F.col("file_path")))
+
+
+def _trimmed(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges between vertices that have both an edge in and an edge out, again and again."""
     n = -1
     while True:
         inner = edges.select(F.col("a").alias("v")).intersect(edges.select(F.col("b").alias("v")))
-        edges = cut(edges.join(inner.withColumnRenamed("v", "a"), "a", "left_semi").join(inner.withColumnRenamed("v", "b"), "b", "left_semi"))
+        edges = scratch.keep(edges.join(inner.withColumnRenamed("v", "a"), "a", "left_semi").join(inner.withColumnRenamed("v", "b"), "b", "left_semi"))
         count = edges.count()
         if count == n or not count:
             return edges
         n = count
 
 
-def _reach(edges: DataFrame, values: DataFrame) -> DataFrame:
+def _reach(edges: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
     """The greatest value that reaches each vertex along edges: ``v, value`` until nothing changes."""
-    values = cut(values)
+    values = scratch.keep(values)
     changed = values
     while True:
         ahead = changed.join(edges, F.col("v") == F.col("a")).groupBy("b").agg(F.max("value").alias("new")).withColumnRenamed("b", "v")
-        changed = cut(values.join(ahead, "v").where(F.col("new") > F.col("value")).select("v", F.col("new").alias("value")))
+        changed = scratch.keep(values.join(ahead, "v").where(F.col("new") > F.col("value")).select("v", F.col("new").alias("value")))
         if changed.isEmpty():
             return values
-        values = cut(values.join(changed, "v", "left_anti").unionByName(changed))
+        values = scratch.keep(values.join(changed, "v", "left_anti").unionByName(changed))
 
 
 def components(edges: DataFrame, least: float = HARD) -> DataFrame:
@@ -107,22 +107,23 @@ def components(edges: DataFrame, least: float = HARD) -> DataFrame:
     inside its colour is one component.  Found components go, and the rest is coloured again.
     """
     own = edges.where((F.col("confidence") >= least) & (F.col("importer_file") != F.col("imported_file")))
-    own = _trimmed(own.select(F.col("importer_file").alias("a"), F.col("imported_file").alias("b")).distinct())
-    found = None
-    while not own.isEmpty():
-        vertices = own.select(F.col("a").alias("v")).distinct()
-        colour = _reach(own, vertices.withColumn("value", F.col("v")))
-        inside = own.join(colour.select(F.col("v").alias("a"), F.col("value").alias("x")), "a").join(colour.select(F.col("v").alias("b"), F.col("value").alias("y")), "b").where(F.col("x") == F.col("y"))
-        back = cut(inside.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        marked = _reach(back, colour.select("v", F.when(F.col("v") == F.col("value"), 1).otherwise(0).alias("value"))).where(F.col("value") == 1)
-        part = cut(marked.select("v").join(colour, "v").select(F.col("v").alias("file_path"), F.col("value").alias("component")))
-        found = part if found is None else found.unionByName(part)
-        gone = part.select(F.col("file_path").alias("v"))
-        own = _trimmed(own.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti"))
-    if found is None:
-        return edges.select(F.col("importer_file").alias("file_path"), F.col("importer_file").alias("component")).limit(0)
-    many = found.groupBy("component").agg(F.count("*").alias("n"), F.min("file_path").alias("name")).where(F.col("n") > 1)
-    return found.join(many, "component").select("file_path", F.col("name").alias("component"))
+    with Scratch(edges.sparkSession) as scratch:
+        own = _trimmed(own.select(F.col("importer_file").alias("a"), F.col("imported_file").alias("b")).distinct(), scratch)
+        found = None
+        while not own.isEmpty():
+            vertices = own.select(F.col("a").alias("v")).distinct()
+            colour = _reach(own, vertices.withColumn("value", F.col("v")), scratch)
+            inside = own.join(colour.select(F.col("v").alias("a"), F.col("value").alias("x")), "a").join(colour.select(F.col("v").alias("b"), F.col("value").alias("y")), "b").where(F.col("x") == F.col("y"))
+            back = scratch.keep(inside.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            marked = _reach(back, colour.select("v", F.when(F.col("v") == F.col("value"), 1).otherwise(0).alias("value")), scratch).where(F.col("value") == 1)
+            part = scratch.keep(marked.select("v").join(colour, "v").select(F.col("v").alias("file_path"), F.col("value").alias("component")))
+            found = part if found is None else found.unionByName(part)
+            gone = part.select(F.col("file_path").alias("v"))
+            own = _trimmed(own.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti"), scratch)
+        if found is None:
+            return edges.select(F.col("importer_file").alias("file_path"), F.col("importer_file").alias("component")).limit(0)
+        many = found.groupBy("component").agg(F.count("*").alias("n"), F.min("file_path").alias("name")).where(F.col("n") > 1)
+        return cut(found.join(many, "component").select("file_path", F.col("name").alias("component")))
 
 
 def cycles(edges: DataFrame, most: int = 3) -> DataFrame:

@@ -9,6 +9,8 @@ from ripplemark.functions.scalars import hidden_risk, in_directory, proximity_ad
 from ripplemark.session import cut
 
 # The weight of each component.
+#: The last number of hops from tested files that changes a score.
+NEAR_HOPS = 4
 WEIGHTS = {"churn": 0.35, "coupling": 0.25, "coverage_gap": 0.15, "coverage_depth": 0.10, "author_concentration": 0.10, "test_instability": 0.05}
 NEW_FILE_BOOST = 0.5
 CHURN_CAP, COCHANGE_CAP, IMPORT_CAP, DEPTH_CAP = 5.0, 10.0, 8.0, 5.0

@@ -428,9 +428,9 @@ RISK_VIEWS = ("commit_files", "test_edges", "import_edges", "code_units", "test_
 
 
 def _risks(v: Views) -> DataFrame:
-    """Hops are looked for without a bound, as in the SQL, though a score changes up to the fourth only."""
+    """A score changes up to the fourth hop only, so hops are looked for no further; the SQL looks for all, with equal results."""
     tested = C.files_with_edges(v.code_units, v.test_edges)
-    return K.components(_churn(v), _coupled(v), C.file_coverage(v.code_units, v.test_edges), H.author_concentration(v.blame), _instability(v), G.hops(v.import_edges, tested), v.test_units)
+    return K.components(_churn(v), _coupled(v), C.file_coverage(v.code_units, v.test_edges), H.author_concentration(v.blame), _instability(v), G.hops(v.import_edges, tested, most=K.NEAR_HOPS), v.test_units)
 
 
 @query(RISK + " SELECT * FROM risks")

@@ -338,7 +338,7 @@ class Project:
         units, own = self.t("code_units"), self.t("test_edges")
         churn = self.t("churn_stats").where(F.col("unit_name") == "")
         coupled = risk.coupling(churn, self.t("co_changes"), self.t("branch_co_changes"), graph.neighbors(self.t("import_edges")), self._least())
-        hops = graph.hops(self.t("import_edges"), coverage.files_with_edges(units, own), most=4) if proximity else None
+        hops = graph.hops(self.t("import_edges"), coverage.files_with_edges(units, own), most=risk.NEAR_HOPS) if proximity else None
         spread = results.duration_cv(self.t("test_results"))
         unstable = results.instability(coverage.covering_tests(units, own), results.failure_rates(self.t("test_results")), spread)
         return risk.components(churn, coupled, coverage.file_coverage(units, own, mode), history.author_concentration(self._blame()), unstable, hops, self.t("test_units") if exclude_tests else None, directory, extra, new_file_boost)

@@ -276,3 +276,34 @@ def test_two_jobs_do_not_start_at_once(spark, tmp_path):
     assert len(running) == 1 and sorted(g["status"] for g in got) == ["busy", "busy", "running"]
     stores[0].cancel(running[0]["job_id"])
     running[0]["thread"].join(60)
+
+
+# --- names and long chains -----------------------------------------------------------------------------------------
+
+
+def test_a_name_that_every_file_defines(spark):
+    """A bare call in a test that imports one file means that file's unit, though 10,000 files have one of the name."""
+    from ripplemark.operators import edges
+
+    code = spark.range(10_000).select(F.concat(F.lit("src/f"), "id", F.lit(".py:get:function")).alias("id"), F.concat(F.lit("src/f"), "id", F.lit(".py")).alias("file_path"), F.lit("get").alias("name"))
+    tests = spark.range(200).select(F.concat(F.lit("tests/test_"), "id", F.lit(".py:t:function")).alias("id"), F.concat(F.lit("tests/test_"), "id", F.lit(".py")).alias("file_path"))
+    path = F.concat(F.lit("tests/test_"), "id", F.lit(".py"))
+    own = lambda name, kind, module: spark.range(200).select(path.alias("file_path"), name.alias("name"), F.lit(kind).alias("dep_type"), module.cast("string").alias("module_path"), F.lit(1.0).alias("confidence"))
+    deps = own(F.concat(F.lit("f"), "id"), "import", F.concat(F.lit("src.f"), "id")).unionByName(own(F.lit("get"), "call", F.lit(None)))
+    deps = deps.unionByName(spark.createDataFrame([("tests/free.py", "get", "call", None, 1.0)], deps.schema))
+    tests = tests.unionByName(spark.createDataFrame([("tests/free.py:t:function", "tests/free.py")], tests.schema))
+    found = edges.test_edges(tests, deps, code)
+    calls = found.where("edge_type = 'call'").groupBy(F.col("test_id").startswith("tests/free").alias("free")).count().collect()
+    assert {r["free"]: r["count"] for r in calls} == {False: 200, True: 10_000}
+    assert found.where("edge_type = 'call' and test_id = 'tests/test_7.py:t:function'").first().code_id == "src/f7.py:get:function"
+
+
+def test_long_chains(spark):
+    """Thirty-two steps along a chain, and one cycle of twelve files: planning does not grow with the steps."""
+    from ripplemark.operators import graph
+
+    chain = spark.range(50).select(F.concat(F.lit("f"), "id").alias("importer_file"), F.concat(F.lit("f"), F.col("id") + 1).alias("imported_file"), F.lit(1.0).alias("confidence"))
+    rows = graph.closure(chain, spark.createDataFrame([("f0",)], "file_path string"), decay=1.0, least=0.0).collect()
+    assert {(r.file_path, r.hops) for r in rows} == {(f"f{i}", i) for i in range(1, 33)}
+    ring = spark.range(12).select(F.concat(F.lit("f"), "id").alias("importer_file"), F.concat(F.lit("f"), (F.col("id") + 1) % 12).alias("imported_file"), F.lit(1.0).alias("confidence"))
+    assert {(r.component, r["n"]) for r in graph.components(ring).groupBy("component").agg(F.count("*").alias("n")).collect()} == {("f0", 12)}
