@@ -86,17 +86,21 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
 
     Every label with any text is learned.  The sample is bounded: of each label ``sample_docs`` texts in hash order, of
     each the first ``longest`` characters, up to ``sample_chars`` characters a label or, with very many labels,
-    ``total_chars`` among them all.  A language with few rows gives less.
+    ``total_chars`` among them all.  A language with few rows gives less.  Repeated rows and texts count once; ties in the
+    hash go by the text that sorts first.  Without labelled rows, or with an empty table, nothing is learned.
     """
-    rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), F.left(F.col(text), F.lit(longest)).alias("text"))
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
+    rows = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.left(F.col(text), F.lit(longest)).alias("text"))
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect())
     if not counts:
         return {}
     most = max(200, min(sample_chars, total_chars // len(counts)))
     some_docs = max(2, min(sample_docs, sample_docs * 4 * most // sample_chars))
-    per_million = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1_000_000, math.ceil(3_000_000 * some_docs / n)))])
-    some = rows.where(F.pmod("h", F.lit(1_000_000)) < F.coalesce(per_million[F.col("lang")], F.lit(-1)))
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= some_docs)
+    # So many texts pass on average that a label with more of them is left without any once in e**46.
+    share = [(name, min(1_000_000, math.ceil(1_000_000 * (3 * some_docs + 40) / n))) for name, n in counts]
+    shares = docs.sparkSession.createDataFrame(share, f"lang {rows.schema['lang'].dataType.simpleString()}, share long")
+    some = rows.join(shares, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))  # texts, not copies
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= some_docs)
     some = some.select("lang", "k", F.left("text", F.lit(most)).alias("text"))
     found: dict[str, list[str]] = {}
     for r in sorted(some.collect(), key=lambda r: r["k"]):

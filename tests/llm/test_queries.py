@@ -64,6 +64,24 @@ def test_more_labels_than_any_list(spark):
     assert len(references) == 101
 
 
+@pytest.mark.parametrize("first", [1, 4, 9])
+def test_labels_of_repeated_rows(spark, first):
+    """A thousand equal rows are one text of their label, whichever id they have and whether or not there are others."""
+    same = [(first, "ein Satz und noch ein Satz", "de")] * 1000
+    more = [(100 + i, f"word number {i} in a line", "en") for i in range(50)]
+    schema = "doc_id bigint, text string, lang string"
+    assert set(language.fit(spark.createDataFrame(same, schema))) == {"de"}
+    found = language.fit(spark.createDataFrame(same + more, schema))
+    assert set(found) == {"de", "en"} and found["de"].count("noch") == 1
+    assert language.fit(spark.createDataFrame(same, schema).limit(0)) == {}
+
+
+def test_thousands_of_labels(spark):
+    rows = spark.range(30_000).selectExpr("id * 4 as doc_id", "concat('text ', id % 12000, ' of label ', id % 5000) as text", "concat('l', id % 5000) as lang")
+    rows = rows.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    assert set(language.fit(rows)) == {r.lang for r in rows.select("lang").distinct().collect()}
+
+
 def test_toxicity(spark):
     """Words are weighed by their edit distance to every term instead of by the automaton."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
