@@ -81,6 +81,10 @@ def phrases(text: str, root: dict, most: float = math.inf) -> int:
     return n + (state is not root)
 
 
+#: Labels with their shares are broadcast up to this size.
+LABEL_BYTES = 4_000_000
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample_docs: int = 80, sample_chars: int = 60_000, longest: int = 10_000, total_chars: int = 6_000_000) -> dict[str, str]:
     """Reference text of each language, of equal length, from rows that are not held out.
 
@@ -98,7 +102,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     # So many texts pass on average that a label with more of them is left without any once in e**46.
     share = [(name, min(1_000_000, math.ceil(1_000_000 * (3 * some_docs + 40) / n))) for name, n in counts]
     shares = docs.sparkSession.createDataFrame(share, f"lang {rows.schema['lang'].dataType.simpleString()}, share long")
-    some = rows.join(shares, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    bounded = sum(len(str(name)) + 16 for name, _ in share) <= LABEL_BYTES  # else there are many labels, and they meet in a shuffle
+    some = rows.join(F.broadcast(shares) if bounded else shares, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
     some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))  # texts, not copies
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= some_docs)
     some = some.select("lang", "k", F.left("text", F.lit(most)).alias("text"))
