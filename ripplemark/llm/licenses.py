@@ -3,11 +3,12 @@
 Templates and texts are turned into shingles of five words.  A window is a run of shingles, of a length that suits the
 template (1, 4 or 16); texts have a window every half length, templates one at every shingle, so a window of a text that
 lies in a copy of a template is one of the template's.  Each window has ``BANDS`` bands of one MinHash value: windows
-of similarity 0.8 share a band with a probability of 1 - 0.2 ** 4 = 0.998, equal ones always.  A template retrieved by a
-band is verified by exact containment: the share of its shingles that the text has around the window.
+of similarity 0.8 share a band with a probability of 1 - 0.2 ** 4 = 0.998, equal ones always.
 
-Band values are looked up in place, before anything is exploded or moved: only hits leave a text's row, each with the
-shingles around it.  Templates are taken in blocks of bounded size, so neither the plan nor the broadcast grows with them.
+A template retrieved by a band is verified once for a text, by exact containment: the share of its distinct shingles that
+the text has.  Up to ``keys_in_place`` band values are looked up inside the row, and only texts with a hit keep their
+shingles, once; more are met in a broadcast join, templates in blocks of bounded size.  Either way hits are positions
+only, so a long template in a long text costs their lengths and not the product of them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ BANDS = 4
 #: Window length in shingles, and the least number of shingles of a template that it serves.
 SIZES = {1: 1, 4: 5, 16: 23}
 
-HIT = "array<struct<size:int,band:int,at:int,key:bigint,around:array<bigint>>>"
+HIT = "array<struct<size:int,band:int,at:int,key:bigint>>"
+#: Shingles of templates that are broadcast at once, as 8 bytes each.
+BLOCK_SHINGLES = 4_000_000
+#: Band values of templates that are broadcast at once.
+BLOCK_KEYS = 1_000_000
 
 #: Fixed texts: notices by which common licenses are granted or named.
 TEMPLATES = {
@@ -96,22 +101,22 @@ def _seeded(own: Column, band: int) -> Column:
     return F.transform(own, lambda x: F.xxhash64(x, F.lit(band)))
 
 
-def _hits(sets: dict[tuple[int, int], list[int]], reach: dict[int, int]):
-    """Of a text's shingles, the windows with a band value in ``sets``, each with the shingles within ``reach``."""
-
-    def around(h: Column, room: int, length: int):
-        return lambda x: F.struct(x["size"].alias("size"), x["band"].alias("band"), x["at"].alias("at"), x["key"].alias("key"), F.slice(h, F.greatest(F.lit(1), x["at"] - room), room * 2 + length).alias("around"))
+def _hits(sets: dict[tuple[int, int], list[int]]):
+    """Of a text's shingles, the windows with a band value in ``sets``."""
 
     def hits(h: Column) -> Column:
         found = [F.array().cast(HIT)]
-        for length, room in reach.items():
-            near = _bands(h, length, max(1, length // 2), lambda band, key, n=length: key.isin(sets.get((n, band), [])))
-            found.append(F.transform(near, around(h, room, length)))
+        for length in sorted({size for size, _ in sets}):
+            found.append(_bands(h, length, max(1, length // 2), lambda band, key, n=length: key.isin(sets.get((n, band), []))))
         return F.concat(*found)
 
     return hits
 
 
+def _every_window(h: Column) -> Column:
+    return F.concat(*[_bands(h, length, max(1, length // 2)) for length in SIZES])
+
+
 def default_templates(spark: SparkSession) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("template_id"), F.lit(v).alias("text")) for k, v in TEMPLATES.items()])
     return spark.range(1).select(F.inline(rows))
@@ -123,47 +128,47 @@ def templates_from(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace("f", r"(?<=.)\.[^.]*$", "").alias("template_id"), "text")
 
 
-def scan(docs: DataFrame, templates: DataFrame, columns: list[str], text: str = "text", containment: float = 0.8, keys_per_pass: int = 4000) -> DataFrame:
-    """``columns`` with ``licenses``: ``template_id``, ``containment`` and ``at`` (first shingle near it), by id.
+def scan(docs: DataFrame, templates: DataFrame, columns: list[str], text: str = "text", containment: float = 0.8, keys_in_place: int = 4000, block_keys: int = BLOCK_KEYS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``columns`` with ``licenses``: ``template_id``, ``containment`` and ``at`` (first shingle of the first window met), by id.
 
-    A template counts if the text has at least ``containment`` of its distinct shingles around one window.  Null and
-    empty texts and texts of under five words have none; so have templates of under five words or with a null id.
-    Templates with one id are one template with several texts.  Repeated rows each get theirs; an empty table gives an
-    empty result.  ``columns`` may have any names.  One pass over the texts for each ``keys_per_pass`` band values of the
-    templates.
+    A template counts if it shares a band with a window of the text and the text has at least ``containment`` of its
+    distinct shingles.  Null and empty texts and texts of under five words have none; so have templates of under five
+    words or with a null id.  Templates with one id are one template with several texts, of which the best counts.
+    Repeated rows each get theirs; an empty table gives an empty result.  ``columns`` may have any names.  The texts are
+    read once, whatever the number of templates.
     """
     own = templates.where(F.col("template_id").isNotNull()).select(F.col("template_id").cast("string").alias("template_id"), shingles(F.col("text")).alias("own"))
-    own = checkpointed(own.where(F.size("own") > 0).withColumn("n", F.size("own")))
+    own = checkpointed(own.where(F.size("own") > 0).distinct()).withColumn("t", F.monotonically_increasing_id()).withColumn("n", F.size("own"))
     size = F.lit(None).cast("int")
     for length, least in SIZES.items():
         size = F.when(F.col("n") >= least, length).otherwise(size)
-    own = own.withColumn("size", size)
     bands = None
     for length in SIZES:
-        part = own.where(F.col("size") == length).select("template_id", "own", F.explode(_bands(F.col("own"), length, 1)).alias("b"))
-        part = part.select("template_id", F.array_distinct("own").alias("own"), F.size("own").alias("n"), "b.size", "b.band", "b.key").distinct()
+        part = own.where(size == length).select("t", F.explode(_bands(F.col("own"), length, 1)).alias("b")).select("t", "b.size", "b.band", "b.key").distinct()
         bands = part if bands is None else bands.unionByName(part)
     bands = checkpointed(bands)
-    passes = max(1, math.ceil(bands.count() / keys_per_pass))
+    keys = bands.select("size", "band", "key").distinct()
+    n_keys, n_shingles = bands.count(), own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     names = [f"_c{i}" for i in range(len(columns))]
     base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], shingles(F.col(f"`{text}`")).alias("_s"))
-    parts = []
-    for k in range(passes):
-        block = bands.where(F.pmod(F.xxhash64("template_id"), F.lit(passes)) == k)
+    in_place = n_keys <= keys_in_place
+    if in_place:
         sets: dict[tuple[int, int], list[int]] = {}
-        reach: dict[int, int] = {}
-        for r in block.select("size", "band", "key", "n").distinct().collect():
+        for r in keys.collect():
             sets.setdefault((r["size"], r["band"]), []).append(r["key"])
-            reach[r["size"]] = max(reach.get(r["size"], 0), r["n"])
-
-        parts.append((block, let(F.col("_s"), _hits(sets, reach))))
-    found = checkpointed(base.select(*names, *[p.alias(f"_h{k}") for k, (_, p) in enumerate(parts)])).withColumn("_id", F.monotonically_increasing_id())
+        base = base.select(*names, let(F.col("_s"), lambda h: let(_hits(sets)(h), lambda x: F.struct(x.alias("h"), F.when(F.size(x) > 0, h).alias("s")))).alias("_f"))
+        base = base.select(*names, F.col("_f.h").alias("_h"), F.col("_f.s").alias("_s"))
+    found = checkpointed(base).withColumn("_id", F.monotonically_increasing_id())
+    hits = found.select("_id", F.explode("_h" if in_place else _every_window(F.col("_s"))).alias("h")).select("_id", "h.*")
+    blocks = max(1, math.ceil(n_keys / block_keys), math.ceil(n_shingles / block_shingles))
     rows = None
-    for k, (block, _) in enumerate(parts):
-        each = found.select("_id", F.explode(f"_h{k}").alias("h")).select("_id", "h.*")
-        each = each.join(F.broadcast(block), ["size", "band", "key"])
-        each = each.select("_id", "template_id", "at", (F.size(F.array_intersect("around", "own")) / F.size("own")).alias("containment"))
-        each = each.where(F.col("containment") >= containment)
+    for k in range(blocks):
+        mine = F.pmod(F.xxhash64("t"), F.lit(blocks)) == k
+        met = hits.join(F.broadcast(bands.where(mine)), ["size", "band", "key"]).groupBy("_id", "t").agg(F.min("at").alias("at"))
+        met = met.groupBy("_id").agg(F.collect_list(F.struct("t", "at")).alias("m"))  # at most the templates of a block
+        each = found.select("_id", "_s").where(F.col("_s").isNotNull()).join(met, "_id").select("_id", "_s", F.inline("m"))
+        each = each.join(F.broadcast(own.where(mine).select("t", "template_id", F.array_distinct("own").alias("own"))), "t")
+        each = each.select("_id", "template_id", "at", (F.size(F.array_intersect("_s", "own")) / F.size("own")).alias("containment")).where(F.col("containment") >= containment)
         rows = each if rows is None else rows.unionByName(each)
     best = rows.groupBy("_id", "template_id").agg(F.max("containment").alias("containment"), F.min("at").alias("at"))
     best = best.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("template_id", "containment", "at"))).alias("_l"))

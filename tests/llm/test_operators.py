@@ -281,6 +281,27 @@ def test_private_keys_are_whole_blocks(spark):
     assert masked == {0: "x [SECRET] y", 1: "x [SECRET] y", 2: rows[2][1], 3: rows[3][1], 4: "[SECRET] [SECRET]", 5: "[SECRET]", 6: "[SECRET] " + "word - " * 30_000, 7: "[SECRET]"}
 
 
+def test_whole_licenses(spark):
+    """Long templates cost their length once for a text, and keys looked up in place or by a join give the same."""
+    long = [" ".join(f"w{(i * 7919 + k * 31) % 100_003}" for i in range(3000)) for k in range(4)]
+    templates = spark.createDataFrame([*((f"L{k}", t) for k, t in enumerate(long)), ("S", "one two three four five six"), ("S", long[1])], "template_id string, text string")
+    cut = lambda t, n: " ".join(t.split()[:n])
+    rows = [(1, f"x {long[0]} y"), (2, cut(long[1], 2500)), (3, cut(long[2], 2000)), (4, f"a one two three four five six b {long[3]}"), (5, None), (6, "")] + [(7, long[0])] * 3
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    want = []
+    for i, text in rows:
+        best = {}
+        for r in templates.collect():
+            share = len(sets(text) & sets(r.text)) / len(sets(r.text))
+            if share >= 0.8:
+                best[r.template_id] = max(share, best.get(r.template_id, 0))
+        want.append((i, sorted(best.items())))
+    for how in ({}, {"keys_in_place": 0}, {"keys_in_place": 0, "block_keys": 2000, "block_shingles": 4000}):
+        found = licenses.scan(docs, templates, ["doc_id"], **how).collect()
+        assert sorted((r.doc_id, [(x.template_id, x.containment) for x in r.licenses]) for r in found) == sorted(want)
+
+
 def test_licenses(spark, empty):
     mit = licenses.TEMPLATES["MIT-text"].split()
     changed = [w if i % 40 else "other" for i, w in enumerate(mit)]
@@ -289,7 +310,7 @@ def test_licenses(spark, empty):
     assert part >= 0.8
     rows = [(0, words(30) + "\nReleased under the MIT License.\n" + words(30)), (1, None), (2, ""), (3, words(50)), (4, words(50) + " " + " ".join(mit) + " " + words(9)), (5, words(77) + " " + " ".join(changed)), (6, " ".join(mit[:20])), (7, "Licensed under the Apache License, Version 2.0.")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, licenses string")
-    got = {r.doc_id: {x.template_id: x.containment for x in r.licenses} for r in licenses.scan(docs, licenses.default_templates(spark), ["doc_id"], keys_per_pass=60).collect()}
+    got = {r.doc_id: {x.template_id: x.containment for x in r.licenses} for r in licenses.scan(docs, licenses.default_templates(spark), ["doc_id"]).collect()}
     assert {i: sorted(v) for i, v in got.items()} == {0: ["MIT"], 1: [], 2: [], 3: [], 4: ["MIT-text"], 5: ["MIT-text"], 6: [], 7: ["Apache-2.0"]}
     assert got[4]["MIT-text"] == 1.0 and abs(got[5]["MIT-text"] - part) < 0.02
     assert licenses.scan(empty, licenses.default_templates(spark), ["doc_id"]).count() == 0
