@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemark.functions import scalars as X
+from ripplemark.operators import edges
 from ripplemark.operators.impact import best_per_test, fallback, name_matches, static_tests
 
 STEM_WEIGHT = 0.4
@@ -22,6 +24,24 @@ def with_disk_tests(stored: DataFrame, disk: DataFrame | None) -> DataFrame:
     return rows if disk is None else rows.unionByName(disk.select("file_path", "name", F.lit(True).alias("on_disk")))
 
 
+def static_overlay(stored: DataFrame, tests: DataFrame, deps: DataFrame, paths: DataFrame) -> DataFrame:
+    """Static imports of the tables and of tests on disk only, the latter resolved against stored and disk ``paths`` alike.
+
+    ``tests`` are :func:`disk_only_tests`, ``deps`` their dependencies.  What the tables still have of the same files is
+    hidden; nothing is rebuilt or written.  Only relative modules of scripts and Go packages close gaps.
+    """
+    files = tests.select("file_path").distinct()
+    own = deps.where("dep_type = 'import'").join(files, "file_path", "left_semi")
+    script = X.detect_language("file_path").isin("javascript", "typescript") & F.col("module_path").startswith(".")
+    package = F.col("file_path").endswith(".go") & (F.col("module_path") != "")
+    closing = edges.import_edges(own.where(script | package), paths).select(F.col("importer_file").alias("test_file_path"), F.col("imported_file").alias("target_file_path"), F.lit(True).alias("closing"))
+    fresh = edges.static_test_imports(tests, own, paths).join(closing, ["test_file_path", "target_file_path"], "left")
+    fresh = fresh.withColumn("gap_eligible", F.coalesce("closing", F.lit(False))).withColumn("on_disk", F.lit(True))
+    kept = stored.join(files.withColumnRenamed("file_path", "test_file_path"), "test_file_path", "left_anti").withColumn("on_disk", F.lit(False))
+    columns = ["test_file_path", "test_unit_name", "target_file_path", "gap_eligible", "score", "on_disk"]
+    return kept.select(*columns).unionByName(fresh.select(*columns)).distinct()
+
+
 def gaps_on_disk(units: DataFrame, untracked: DataFrame, stored_units: DataFrame, directory: str | None = None, exclude_tests: bool = True) -> DataFrame:
     """The units of untracked files that the tables do not know, as gaps without churn.
 

@@ -215,12 +215,15 @@ class Project:
         return lookups.meta_number(self.t("meta"), "co_change_query_min", 3).first()[0]
 
     def _disk(self) -> dict[str, DataFrame]:
-        """What is on disk only: untracked code files, their units and dependencies, and tests of files without stored tests."""
+        """What is on disk only: untracked code files and their units, tests of files without stored tests, and the static imports with theirs."""
         fresh = cut(git.untracked_files(self.spark, self.root).where(X.has_code_extension("file_path")))
         found = file_source.source_files(self.spark, self.root, git.visible_files(self.spark, self.root))
         own = cut(found.join(fresh, "file_path", "left_semi"))
         tests = extract.test_units(file_source.test_files(found.join(self.t("test_units").select("file_path"), "file_path", "left_anti")))
-        return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": cut(worktree.disk_only_tests(tests, self.t("test_units")))}
+        tests = cut(worktree.disk_only_tests(tests, self.t("test_units")))
+        deps = extract.dependencies(found.join(tests.select("file_path"), "file_path", "left_semi"))
+        paths = self.t("file_hashes").select("file_path").union(fresh)
+        return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": tests, "static": worktree.static_overlay(self.t("static_test_imports"), tests, deps, paths)}
 
     @staticmethod
     def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
@@ -257,7 +260,8 @@ class Project:
         rows = impact.best_per_test(rows).drop("causes")
         every = fresh.unionByName(changed).distinct()
         if working_tree:
-            rows = worktree.more_tests(rows, hit, every, fresh, self.t("static_test_imports"), self.t("test_units"), self._disk()["tests"])
+            disk = self._disk()
+            rows = worktree.more_tests(rows, hit, every, fresh, disk["static"], self.t("test_units"), disk["tests"])
         else:
             near = impact.name_matches(every.join(hit, "file_path", "left_anti"), self.t("test_units"))
             near = near.select("test_id", "file_path", "name", (F.col("relevance") * impact.STEM_WEIGHT).alias("score"), F.concat(F.lit("name like "), F.col("source_file")).alias("reason"), F.lit("fallback").alias("source"))
@@ -270,10 +274,11 @@ class Project:
             self.auto_update()
         own = self._files([file_path]) if file_path else self.t("file_hashes").where(X.in_directory("file_path", directory or "")).select("file_path")
         found = impact.impact(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), own, min_count=self._least())
-        rows = impact.suggest(found, impact.static_tests(self.t("static_test_imports"), own), results.failure_rates(self.t("test_results")))
+        disk = self._disk() if working_tree else None
+        static = disk["static"] if disk else self.t("static_test_imports")
+        rows = impact.suggest(found, impact.static_tests(static, own), results.failure_rates(self.t("test_results")))
         out = self._rows(rows.orderBy(F.desc("relevance"), "test_id"), limit)
         if not out and (fallback_to_all or file_path or working_tree):
-            disk = self._disk() if working_tree else None
             own = own.unionByName(disk["files"].where(X.in_directory("file_path", directory))).distinct() if disk and directory else own
             near = worktree.suggest_by_name(own, self.t("test_units"), disk and disk["tests"])
             out = self._rows(near.orderBy(F.desc("relevance"), "test_id"), WORKING_TREE_MOST if limit is None else min(limit, WORKING_TREE_MOST))
@@ -355,17 +360,17 @@ class Project:
         meta |= {"cycles": self._rows(graph.cycles(self.t("import_edges"))), "active_locks": locks.count(), "lock_claims": rows.where("locked_by is not null").count()}
         return {"files": self._rows(rows.orderBy(F.desc("risk_score"), "file_path"), limit), "_meta": meta}
 
-    def _gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True) -> DataFrame:
+    def _gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True, static: DataFrame | None = None) -> DataFrame:
         gaps = coverage.untested_units(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("churn_stats"), file_path, directory, exclude_tests)
-        return coverage.test_gaps(gaps, self.t("static_test_imports"), coverage.files_with_edges(self.t("code_units"), self.t("test_edges")))
+        return coverage.test_gaps(gaps, self.t("static_test_imports") if static is None else static, coverage.files_with_edges(self.t("code_units"), self.t("test_edges")))
 
     def test_gaps(self, file_path: str | None = None, directory: str | None = None, exclude_tests: bool = True, limit: int | None = None, working_tree: bool = False, auto_update: bool = False) -> list[dict]:
         if auto_update:
             self.auto_update()
-        gaps = self._gaps(file_path, directory, exclude_tests)
         if not working_tree:
-            return self._rows(gaps.orderBy(F.desc("churn_score"), "id"), limit)
+            return self._rows(self._gaps(file_path, directory, exclude_tests).orderBy(F.desc("churn_score"), "id"), limit)
         disk = self._disk()
+        gaps = self._gaps(file_path, directory, exclude_tests, disk["static"])
         return self._rows(worktree.with_gaps_on_disk(gaps, worktree.gaps_on_disk(disk["units"], disk["files"], self.t("code_units"), directory, exclude_tests)), limit)
 
     def stale_tests(self, limit: int | None = None) -> dict | list[dict]:

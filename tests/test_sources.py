@@ -61,6 +61,22 @@ def test_dependencies():
     assert names == {"a.go": ["fmt", "util"], "a.rs": ["b", "c"], "a.cs": ["B"], "A.java": ["C"], "a.c": ["y"], "a.swift": ["App"], "a.php": ["B", "y"], "a.rb": ["z"], "a.dart": ["q"]}
 
 
+def test_marked_names(spark):
+    """What an annotation marks: the function that it stands before, past other annotations and modifiers, and nothing else."""
+    rows = [
+        ("junit", "@Test\n@Tag(\"slow\")\npublic <T> List<Map<K, V>> a(T t) {}\n@Test(timeout = 5) void b() {}\n@TestOnly void c() {}\n@Test\nclass D { void e() {} }\n@Before void f() {}", ["a", "b"]),
+        ("junit", "@ParameterizedTest(name = \"x\")\n@MethodSource\nprivate suspend fun each(n: Int) {}\n@RepeatedTest(3)\nfun again() {}", ["each", "again"]),
+        ("xctest", "@Test(\"title\") func adds() async {}\n@Test\nstatic func subs() {}\nfunc plain() {}", ["adds", "subs"]),
+        ("csharp_test", "[Fact]\npublic async Task<int> A() {}\n[Theory]\n[InlineData(1)]\npublic void B(int x) {}\n[TestMethod(\"n\")] internal int[] C() {}\n[Facts]\nvoid D() {}\n[Test]\nint field = f(2);", ["A", "B", "C"]),
+        ("rust", "#[test]\nfn a() {}\n#[tokio::test]\nasync fn b() {}\n#[rstest]\nfn c<T>(x: T) {}\n#[tests]\nfn d() {}", ["a", "b", "c"]),
+        ("pytest", "@Test\ndef a(): pass", []),
+        ("junit", None, None),
+        ("junit", "", []),
+    ]
+    found = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, framework string, content string").select("i", extract.marked_names(F.col("content"), F.col("framework")).alias("m"))
+    assert {r.i: r.m for r in found.collect()} == {i: r[2] for i, r in enumerate(rows)}
+
+
 def test_registry(spark):
     extract.register_unit_extractor("python", lambda path, text: [("custom", "thing", 1, 1)])
     try:
@@ -239,7 +255,8 @@ def test_working_tree(project):
     assert gaps[0]["id"] == "extra.py:fresh:function" and gaps[0]["working_tree"] and not any(g["working_tree"] for g in gaps[1:] if g["file_path"] != "extra.py")
     assert all(g["file_path"] != "extra.py" for g in p.test_gaps())
     near = p.suggest_tests("extra.py", working_tree=True)
-    assert (near[0]["test_id"], near[0]["source"]) == ("tests/test_extra.py:test_fresh", "working_tree")
+    assert (near[0]["test_id"], near[0]["source"]) == ("tests/test_extra.py:test_fresh", "static_require")
+    assert [r["source"] for r in p.suggest_tests("app.py", working_tree=True) if r["file_path"] == "tests/test_extra.py"] == []
     assert any(r["test_id"] == "tests/test_extra.py:test_fresh" and r["source"] == "working_tree" for r in p.diff_impact(working_tree=True))
     assert [x["neighbor"] for x in p.coupling("extra.py", working_tree=True)["import_partners"]] == ["app"]
     assert "extra.py" in {r["file_path"] for r in p.risk_map(working_tree=True)["files"]} and p.triage(working_tree=True)["top_risk_files"]
