@@ -221,9 +221,9 @@ class Project:
         own = cut(found.join(fresh, "file_path", "left_semi"))
         tests = extract.test_units(file_source.test_files(found.join(self.t("test_units").select("file_path"), "file_path", "left_anti")))
         tests = cut(worktree.disk_only_tests(tests, self.t("test_units")))
-        deps = extract.dependencies(found.join(tests.select("file_path"), "file_path", "left_semi"))
+        deps = cut(extract.dependencies(found.join(tests.select("file_path"), "file_path", "left_semi")))
         paths = self.t("file_hashes").select("file_path").union(fresh)
-        return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": tests, "static": worktree.static_overlay(self.t("static_test_imports"), tests, deps, paths)}
+        return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": tests, "static": cut(worktree.static_overlay(self.t("static_test_imports"), tests, deps, paths))}
 
     @staticmethod
     def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
