@@ -608,12 +608,14 @@ def stream_new_commits(spark, sf_dir):
   SELECT file_path, k, CASE WHEN action = 'release' THEN CASE WHEN held = who THEN NULL ELSE held END WHEN held IS NULL OR held = who THEN who ELSE held END, CASE WHEN action = 'acquire' AND (held IS NULL OR held = who) THEN t + 86400000 ELSE until END, t, who,
    CASE WHEN action = 'release' THEN CASE WHEN held = who THEN 'released' ELSE 'not_held' END WHEN held IS NULL OR held = who THEN 'acquired' ELSE 'held' END
   FROM (SELECT q.*, s.until, CASE WHEN s.until < q.t THEN NULL ELSE s.agent END AS held FROM s JOIN q ON q.file_path = s.file_path AND q.k = s.k + 1))
- SELECT file_path, t AS at_ms, who AS agent_id, status FROM s WHERE k > 0""")
+ SELECT file_path, t AS at_ms, who AS agent_id, status FROM s WHERE k > 0 UNION ALL
+ SELECT file_path, until + 1, agent, 'expired' FROM (SELECT *, coalesce(lead(t) OVER (PARTITION BY file_path ORDER BY k), (SELECT max(t) FROM r) - 10000) AS next FROM s WHERE k > 0) WHERE agent IS NOT NULL AND until < next""")
 def lock_ttl(spark, sf_dir):
-    """Every user's file, for which three agents ask; a lock lasts a day."""
+    """Every user's file, for which three agents ask; a lock lasts a day and then expires."""
     events = _event_stream(spark, sf_dir)
     requests = events.select(F.expr(code_file("user_id")).alias("file_path"), F.concat(F.lit("a"), (F.col("event_id") % 3).cast("string")).alias("agent_id"), F.when(F.col("event_type") == "view", "release").otherwise("acquire").alias("action"), F.lit(86_400_000).cast("bigint").alias("ttl_ms"), F.col("ts").alias("at"))
-    return _stream(spark, T.locks(requests))
+    with T.timers(spark):
+        return _stream(spark, T.locks(requests))
 
 
 from ripplemark.plans import catalog_edges, catalog_tables, catalog_text  # noqa: E402, F401 - they register their queries here

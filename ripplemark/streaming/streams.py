@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ripplemark.operators.store import Store, last_of_each
@@ -65,46 +67,99 @@ def activity(events: DataFrame, length: str = "1 day", delay: str = "2 days") ->
     return events.withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def _lock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests wait in the state until the watermark has passed them, so they are answered in the order of event time."""
-    path, mark = key[0], state.getCurrentWatermarkMs()
-    agent, until, *lists = state.get if state.exists else (None, 0, [], [], [], [])
-    waiting = list(zip(*lists))
-    for b in batches:
-        waiting += zip(b["at_ms"].tolist(), b["agent_id"].tolist(), b["action"].tolist(), b["ttl_ms"].tolist())
-    waiting.sort()
-    due = [w for w in waiting if w[0] <= mark]
-    waiting = waiting[len(due) :]
-    out = []
-    for at, who, action, ttl in due:
-        if agent and until < at:
-            agent = None
-        if action == "release":
-            out.append((path, at, who, "released" if agent == who else "not_held"))
-            agent = None if agent == who else agent
-        elif agent in (None, who):
-            agent, until = who, int(at + ttl)
-            out.append((path, at, who, "acquired"))
+class LockRequests(StatefulProcessor):
+    """The requests for one file.  They wait in a map by time until the watermark has passed them.
+
+    One timer a file wakes it: for the earliest request that waits, or for the end of the lock that is held.  Then all
+    requests that are due are answered in the order of event time.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lock = handle.getValueState("lock", "agent_id string, until bigint, wake bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint, agent_id string, action string, ttl bigint", "n bigint")
+
+    def _held(self) -> tuple[str | None, int, int | None]:
+        return self.lock.get() if self.lock.exists() else (None, 0, None)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for b in rows:
+            for request in zip(*(b[c].tolist() for c in ("at_ms", "agent_id", "action", "ttl_ms"))):
+                known = self.waiting.getValue(request)
+                self.waiting.updateValue(request, ((known[0] if known else 0) + 1,))
+                first = request[0] if first is None else min(first, request[0])
+        agent, until, wake = self._held()
+        # A timer fires once the watermark is beyond its time, a request is due once the watermark has reached it.
+        if first is not None and (wake is None or first - 1 < wake):
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first - 1)
+            self.lock.update((agent, until, first - 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        path, mark = key[0], timerValues.getCurrentWatermarkInMs()
+        agent, until, _ = self._held()
+        due, later, out = [], None, []
+        for request, (n,) in self.waiting.iterator():
+            if request[0] <= mark:
+                due.append((*request, n))
+            else:
+                later = request[0] if later is None else min(later, request[0])
+
+        def expire(now: int) -> None:
+            nonlocal agent
+            if agent is not None and until < now:
+                out.append((path, until + 1, agent, "expired"))
+                agent = None
+
+        for at, who, action, ttl, n in sorted(due, key=lambda r: tuple((x is not None, x) for x in r)):
+            self.waiting.removeKey((at, who, action, ttl))
+            for _ in range(n):
+                expire(at)
+                if action == "release":
+                    out.append((path, at, who, "not_held" if agent is None or agent != who else "released"))
+                    agent = None if agent == who else agent
+                elif agent in (None, who):
+                    agent, until = who, at + ttl
+                    out.append((path, at, who, "acquired"))
+                else:
+                    out.append((path, at, who, "held"))
+        expire(mark)
+        times = [*([later - 1] if later is not None else []), *([until] if agent is not None else [])]
+        if times:
+            self.handle.registerTimer(min(times))
+            self.lock.update((agent, until, min(times)))
         else:
-            out.append((path, at, who, "held"))
-    if agent and not waiting and until < mark:
-        agent = None
-    if agent or waiting:
-        state.update((agent, until, *(list(x) for x in (zip(*waiting) if waiting else ([], [], [], [])))))
-        state.setTimeoutTimestamp(max(waiting[0][0] if waiting else until, mark + 1))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["file_path", "at_ms", "agent_id", "status"])
+            self.lock.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["file_path", "at_ms", "agent_id", "status"], dtype=object)
 
 
 def locks(requests: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Lock requests (``file_path, agent_id, action, ttl_ms, at``) to what became of them, once no earlier ones can come.
 
-    Locks expire in event time.  Requests of one time are answered in the order of their agents and actions.
+    Locks expire in event time: a lock that is neither released nor taken again gives a row ``expired`` at the first
+    millisecond that it does not cover, once the watermark or a later request is beyond it.  Requests of one time are
+    answered in the order of their agents and actions, repeated ones one by one.  Requests without a file, a time or an
+    agent are left out; one without a ``ttl_ms`` holds for its own millisecond.  To be started in :func:`timers`.
     """
-    rows = requests.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
-    state = "agent_id string, until bigint, at array<bigint>, who array<string>, what array<string>, ttl array<bigint>"
-    return rows.groupBy("file_path").applyInPandasWithState(_lock, "file_path string, at_ms bigint, agent_id string, status string", state, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = requests.where("file_path is not null and at is not null and agent_id is not null")
+    rows = rows.withWatermark("at", delay).select("file_path", "agent_id", "action", F.coalesce("ttl_ms", F.lit(0)).cast("bigint").alias("ttl_ms"), "at", F.unix_millis("at").alias("at_ms"))
+    return rows.groupBy("file_path").transformWithStateInPandas(LockRequests(), "file_path string, at_ms bigint, agent_id string, status string", "append", "eventTime")
+
+
+@contextmanager
+def timers(spark: SparkSession):
+    """Queries started in this block keep their state in RocksDB, which state with timers and maps needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def batch_writer(folder: str):

@@ -307,3 +307,57 @@ def test_long_chains(spark):
     assert {(r.file_path, r.hops) for r in rows} == {(f"f{i}", i) for i in range(1, 33)}
     ring = spark.range(12).select(F.concat(F.lit("f"), "id").alias("importer_file"), F.concat(F.lit("f"), (F.col("id") + 1) % 12).alias("imported_file"), F.lit(1.0).alias("confidence"))
     assert {(r.component, r["n"]) for r in graph.components(ring).groupBy("component").agg(F.count("*").alias("n")).collect()} == {("f0", 12)}
+
+
+# --- locks in event time -------------------------------------------------------------------------------------------
+
+
+def lock_answers(requests, until):
+    """What becomes of requests by one pass in order of time, and of locks when the watermark ends at ``until``."""
+    out = []
+    for path in sorted({r[0] for r in requests}):
+        agent = end = None
+        for _, who, action, ttl, at in sorted((r for r in requests if r[0] == path and r[4] <= until), key=lambda r: (r[4], r[1], r[2])):
+            if agent and end < at:
+                out.append((path, end + 1, agent, "expired"))
+                agent = None
+            if action == "release":
+                out.append((path, at, who, "released" if agent == who else "not_held"))
+                agent = None if agent == who else agent
+            elif agent in (None, who):
+                agent, end = who, at + ttl
+                out.append((path, at, who, "acquired"))
+            else:
+                out.append((path, at, who, "held"))
+        if agent and end < until:
+            out.append((path, end + 1, agent, "expired"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_locks_expire_by_timers(spark, tmp_path, files):
+    """One batch or six, rows out of order within the delay: the answers are those of event time."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"f{rng.randrange(4)}", f"a{rng.randrange(3)}", rng.choice(["acquire", "acquire", "release"]), rng.choice([0, 500, 2000, 9000]), 1_000_000 + 700 * i + rng.randrange(3000)) for i in range(60)]
+    rows += [rows[3], rows[40]]  # repeated requests are answered one by one
+    edge = max(r[4] for r in rows) + 60_000
+    rows += [("edge", "a0", "acquire", 100, edge - 101), ("due", "a0", "acquire", 10**9, edge), ("later", "a0", "acquire", 1, edge + 1), ("on", "a0", "acquire", 100, edge - 100), ("end", "a9", "acquire", 1, edge + 10_000)]
+    rows.sort(key=lambda r: r[4] // 5000)
+    schema = "file_path string, agent_id string, action string, ttl_ms bigint, at_ms bigint"
+    size = -(-len(rows) // files)
+    for i in range(files):
+        part = spark.createDataFrame(rows[i * size : (i + 1) * size], schema).withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms")
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        os.utime(tmp_path / f"in/{i}", (i, i))
+    stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    extra = spark.createDataFrame([(None, "a", "acquire", 1, None), ("x", None, "acquire", 1, None)], "file_path string, agent_id string, action string, ttl_ms bigint, at timestamp")
+    extra.coalesce(1).write.parquet(str(tmp_path / "in/0/more"))
+    with streams.timers(spark):
+        written = streams.written(streams.locks(stream), str(tmp_path / "out"))
+    found = sorted(tuple(r) for r in written.collect())
+    expected = lock_answers(rows, edge)
+    assert found == expected
+    assert ("edge", edge, "a0", "expired") in found and not any(r[0] == "on" and r[3] == "expired" for r in found) and ("due", edge, "a0", "acquired") in found and not any(r[0] == "later" for r in found)
+    assert {r[3] for r in found} == {"acquired", "held", "released", "not_held", "expired"}
