@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from ripplemark.functions import extract
 from ripplemark.functions import scalars as X
+from ripplemark.functions.bootstrap import load_bootstrap
 from ripplemark.operators import control, coverage, edges, graph, history, impact, lookups, results, risk, shards, worktree
+from ripplemark.operators.disk_index import DiskIndex
 from ripplemark.operators.store import Store, changed_files
 from ripplemark.session import cut
 from ripplemark.sources import files as file_source
-from ripplemark.sources import git
+from ripplemark.sources import git, tree
 
 JOB_FILES, INLINE_FILES, WORKING_TREE_MOST = 300, 50, 30
 
@@ -61,7 +63,9 @@ class Project:
 
     def __init__(self, spark: SparkSession, root: str, folder: str, shards: str | None = None):
         self.spark, self.root = spark, os.path.abspath(root)
+        load_bootstrap(spark)
         self.store = Store(spark, folder)
+        self.disk_index = DiskIndex(self.store)
         self.locks, self.jobs = control.Locks(self.store), control.Jobs(self.store)
         self.shards = shard_prefixes(shard_config(self.root) if shards is None else shards, self.root)
 
@@ -215,15 +219,26 @@ class Project:
         return lookups.meta_number(self.t("meta"), "co_change_query_min", 3).first()[0]
 
     def _disk(self) -> dict[str, DataFrame]:
-        """What is on disk only: untracked code files and their units, tests of files without stored tests, and the static imports with theirs."""
+        """What is on disk only: untracked code files and their units, tests of files without stored tests, and the static imports with theirs.
+
+        Made once for a version of the tables and a state of the tree; while neither changes no source file is opened.
+        """
+        visible = git.visible_files(self.spark, self.root)
+        visible = visible if visible is None else cut(visible)
         fresh = cut(git.untracked_files(self.spark, self.root).where(X.has_code_extension("file_path")))
-        found = file_source.source_files(self.spark, self.root, git.visible_files(self.spark, self.root))
-        own = cut(found.join(fresh, "file_path", "left_semi"))
-        tests = extract.test_units(file_source.test_files(found.join(self.t("test_units").select("file_path"), "file_path", "left_anti")))
-        tests = cut(worktree.disk_only_tests(tests, self.t("test_units")))
-        deps = cut(extract.dependencies(found.join(tests.select("file_path"), "file_path", "left_semi")))
-        paths = self.t("file_hashes").select("file_path").union(fresh)
-        return {"files": fresh, "sources": own, "units": extract.code_units(own), "tests": tests, "static": cut(worktree.static_overlay(self.t("static_test_imports"), tests, deps, paths))}
+        listing = tree.listing(self.spark, self.root).where(X.has_code_extension("file_path"))
+        listing = listing if visible is None else listing.join(visible, "file_path", "left_semi")
+
+        def build() -> dict[str, DataFrame]:
+            found = file_source.source_files(self.spark, self.root, visible)
+            tests = extract.test_units(file_source.test_files(found.join(self.t("test_units").select("file_path"), "file_path", "left_anti")))
+            tests = cut(worktree.disk_only_tests(tests, self.t("test_units")))
+            deps = cut(extract.dependencies(found.join(tests.select("file_path"), "file_path", "left_semi")))
+            paths = self.t("file_hashes").select("file_path").union(fresh)
+            static = worktree.static_overlay(self.t("static_test_imports"), tests, deps, paths)
+            return {"files": fresh, "units": extract.code_units(found.join(fresh, "file_path", "left_semi")), "tests": tests, "static": static}
+
+        return self.disk_index.get(listing, fresh, build)
 
     @staticmethod
     def _rows(df: DataFrame, limit: int | None = None) -> list[dict]:
@@ -243,18 +258,16 @@ class Project:
             ref = ref or git.diff_base(self.root)
             changed = git.changed_files(self.spark, self.root, ref).where(X.has_code_extension("file_path"))
             fresh = git.untracked_files(self.spark, self.root).where(X.has_code_extension("file_path"))
-            paths = [r.file_path for r in changed.collect()]
-            named = [(p, git.changed_functions(self.spark, self.root, p, ref) or None) for p in paths]
         except RuntimeError as e:
             return {"status": "git_error", "error": str(e), "cwd": self.root}
-        if not named and fresh.isEmpty():
+        if changed.isEmpty() and fresh.isEmpty():
             return {"status": "no_changes", "ref": ref}
         if not lookups.missing(changed, self.t("file_hashes")).isEmpty() and auto_update:
             self.auto_update()
         missing = lookups.missing(changed, self.t("file_hashes"))
         if not missing.isEmpty():
             return {"status": "stale_db", "missing_files": [r.file_path for r in missing.limit(20).collect()], "hint": "run update"}
-        edits = self.spark.createDataFrame(named, "file_path string, functions array<string>")
+        edits = cut(git.changed_functions(changed, self.root, ref))
         rows = cut(impact.impact_rows(self.t("code_units"), self.t("test_edges"), self.t("test_units"), self.t("co_changes"), self.t("import_edges"), edits, fresh, self._least()))
         hit = rows.select(F.explode("causes").alias("file_path")).distinct()
         rows = impact.best_per_test(rows).drop("causes")
@@ -421,7 +434,7 @@ class Project:
         return out | {"summary": {k: len(v) for k, v in out.items()}}
 
     def optimize_storage(self) -> dict:
-        return {"status": "ok", "freed_bytes": self.store.compact()}
+        return {"status": "ok", "freed_bytes": self.store.compact() | {"disk_index": self.disk_index.drop()}}
 
     def start_job(self, kind: str, **how) -> dict:
         how = {"in_job": True, **how} if kind == "analyze" else how

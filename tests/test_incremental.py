@@ -361,3 +361,77 @@ def test_locks_expire_by_timers(spark, tmp_path, files):
     assert found == expected
     assert ("edge", edge, "a0", "expired") in found and not any(r[0] == "on" and r[3] == "expired" for r in found) and ("due", edge, "a0", "acquired") in found and not any(r[0] == "later" for r in found)
     assert {r[3] for r in found} == {"acquired", "held", "released", "not_held", "expired"}
+
+
+# --- the working tree ----------------------------------------------------------------------------------------------
+
+
+def test_disk_index_is_made_once(spark, repo, tmp_path):
+    """Two queries on one state of tables and tree open the sources once; an edit, a new file and an update each make it anew."""
+    p = Project(spark, repo.root, str(tmp_path / "store"))
+    p.analyze()
+    write(repo.root, "tests/test_app.py", "from app import f2\n\ndef test_one():\n    f2()\n")
+    tests = lambda q=p: {r["test_id"] for r in q.suggest_tests("app.py", working_tree=True) if r["source"] != "fallback"}
+    assert tests() == {"tests/test_app.py:test_one"} and p.disk_index.built == 1
+    assert p.test_gaps(working_tree=True) and p.diff_impact(working_tree=True) and tests() and p.disk_index.built == 1
+    other = Project(spark, repo.root, str(tmp_path / "store"))
+    assert tests(other) == {"tests/test_app.py:test_one"} and other.disk_index.built == 0
+    write(repo.root, "tests/test_app.py", "from app import f2\n\ndef test_two():\n    assert f2()\n")
+    assert tests() == {"tests/test_app.py:test_two"} and p.disk_index.built == 2
+    write(repo.root, "lib/new.py", "def fresh():\n    return 1\n")
+    assert "lib/new.py" in {g["file_path"] for g in p.test_gaps(working_tree=True)} and p.disk_index.built == 3
+    p.update()
+    assert not any(g["working_tree"] for g in p.test_gaps(working_tree=True) if g["file_path"] == "app.py") and p.disk_index.built == 4
+    assert p.optimize_storage()["freed_bytes"]["disk_index"] > 0 and p.disk_index._names(p.disk_index.folder) == []
+
+
+def test_diffs_of_many_files(spark, repo, tmp_path):
+    """Git names and compares files in tasks: names with blanks, brackets and other letters are themselves, not patterns."""
+    body = "def one():\n    return 1\n\n\n\n\n\ndef two():\n    a = 1\n    b = 2\n    return a + b\n"
+    names = ["plain.py", "odd name é.py", "a[1].py", "a1.py", 'q"uote.py']
+    for n in names:
+        repo.commit(n, body)
+    for n in names[:3]:
+        write(repo.root, n, body.replace("b = 2", "b = 3"))
+    write(repo.root, names[4], "x = 0\n" + body)
+    write(repo.root, "new é.py", "x = 1\n")
+    changed = git.changed_files(spark, repo.root)
+    assert sorted(r.file_path for r in changed.collect()) == sorted([*names[:3], names[4]])
+    assert {r.file_path: r.functions for r in git.changed_functions(changed, repo.root).collect()} == {**dict.fromkeys(names[:3], ["two"]), names[4]: None}
+    assert [r.file_path for r in git.untracked_files(spark, repo.root).collect()] == ["new é.py"]
+    assert git.changed_functions(changed.limit(0), repo.root).count() == 0
+
+
+# --- own extractors ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_bootstrap_reaches_the_workers(spark, tmp_path, monkeypatch, packed):
+    """The module lies where only the driver looks; workers import it all the same, with what lies beside it in a package."""
+    import sys
+
+    from ripplemark.functions import bootstrap, extract
+
+    name = "boot_pack" if packed else "boot_file"
+    text = "from ripplemark.functions import extract\n{}\ndef units(path, content):\n    return [(word(), 'word', 1, 1)]\n\nextract.register_unit_extractor('ruby', units)\n"
+    if packed:
+        write(tmp_path, "boot_pack/__init__.py", text.format("from boot_pack.words import word\n"))
+        write(tmp_path, "boot_pack/words.py", "def word():\n    return 'inside'\n")
+    else:
+        write(tmp_path, "boot_file.py", text.format("def word():\n    return 'alone'\n"))
+    monkeypatch.setattr(sys, "path", [str(tmp_path), *sys.path])
+    monkeypatch.delenv("RIPPLEMARK_BOOTSTRAP", raising=False)
+    files = spark.createDataFrame([(f"{i}.rb", "x") for i in range(20)], "file_path string, content string")
+    assert not bootstrap.load_bootstrap(spark)
+    monkeypatch.setenv("RIPPLEMARK_BOOTSTRAP", name)
+    try:
+        __import__(name)
+        with pytest.raises(Exception, match=f"No module named '{name}'"):
+            extract.code_units(files).collect()
+        assert bootstrap.load_bootstrap(spark)
+        assert {r.name for r in extract.code_units(files).collect()} == {"inside" if packed else "alone"}
+    finally:
+        extract.unregister_unit_extractor("ruby")
+    monkeypatch.setenv("RIPPLEMARK_BOOTSTRAP", "no_such_module")
+    with pytest.raises(ModuleNotFoundError):
+        bootstrap.load_bootstrap(spark)
