@@ -8,10 +8,12 @@ import time
 import uuid
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplemark.operators.store import Store
 from ripplemark.schemas import TABLES
+from ripplemark.session import cut
 
 STALE_SECONDS, STALE_JOB_SECONDS = 60, 1800
 
@@ -22,6 +24,36 @@ def swept(jobs, now: float):
     return jobs.withColumn("status", F.when(late, "failed").otherwise(F.col("status")))
 
 
+def answered(locks: DataFrame, requests: DataFrame, now: float) -> DataFrame:
+    """What becomes of a batch of requests (``file_path, agent_id, action, ttl, purpose``) that come at one moment.
+
+    Releases count first, then refreshes, then acquires, of which the first agent by name gets a free file.  Requests
+    that differ only in time and purpose are one, for the longest time.  Those without a file or an agent, or with
+    another action, have no answer.  Requests for one file are never gathered: the lock of each file follows from
+    aggregates, and meets the requests by the file.  Columns: those of a request, ``status``, ``owner`` after the batch
+    (null: nobody) and ``acquired_at``, ``expires_at`` and ``held_for`` of the lock before it.
+    """
+    asked = requests.where(F.col("file_path").isNotNull() & F.col("agent_id").isNotNull() & F.col("action").isin("acquire", "refresh", "release"))
+    asked = asked.groupBy("file_path", "agent_id", "action").agg(F.coalesce(F.max("ttl"), F.lit(0)).alias("ttl"), F.max("purpose").alias("purpose"))
+    held = locks.where(F.col("expires_at") >= now).select("file_path", F.col("agent_id").alias("holder"), "acquired_at", "expires_at", F.col("purpose").alias("held_for"))
+    rows = asked.join(held, "file_path", "left")
+    own = F.coalesce(F.col("agent_id") == F.col("holder"), F.lit(False))
+    freed = rows.groupBy("file_path").agg(F.bool_or((F.col("action") == "release") & own).alias("freed"), F.min(F.when(F.col("action") == "acquire", F.col("agent_id"))).alias("first"))
+    rows = rows.join(freed, "file_path").withColumn("owner", F.when(F.col("holder").isNotNull() & ~F.col("freed"), F.col("holder")).otherwise(F.col("first")))
+    status = F.when(F.col("action") == "acquire", F.when(F.col("agent_id") == F.col("owner"), "acquired").otherwise("held"))
+    status = status.when(F.col("action") == "release", F.when(own, "released").otherwise("not_held")).otherwise(F.when(own & ~F.col("freed"), "refreshed").otherwise("not_held"))
+    return rows.select("file_path", "agent_id", "action", "ttl", "purpose", status.alias("status"), "owner", "holder", "freed", "acquired_at", "expires_at", "held_for")
+
+
+def after(locks: DataFrame, answers: DataFrame, now: float) -> DataFrame:
+    """The locks that hold once a batch has been answered; who goes on holding a file keeps since when, and why if no reason is given."""
+    granted = answers.where(F.col("status").isin("acquired", "refreshed"))
+    kept = F.coalesce((F.col("holder") == F.col("agent_id")) & ~F.col("freed"), F.lit(False))
+    granted = granted.groupBy("file_path", "agent_id").agg(F.first(F.when(kept, F.col("acquired_at")).otherwise(F.lit(now))).alias("acquired_at"), (F.max("ttl") + now).alias("expires_at"), F.coalesce(F.max("purpose"), F.first(F.when(kept, F.col("held_for")))).alias("purpose"))
+    gone = answers.where(F.col("status").isin("acquired", "refreshed", "released")).select("file_path").distinct()
+    return locks.where(F.col("expires_at") >= now).join(gone, "file_path", "left_anti").unionByName(granted.select(*locks.columns))
+
+
 class _Refused(Exception):
     """A lock is not ours; ``held`` is who has it."""
 
@@ -83,6 +115,17 @@ class Locks:
         except _Refused:
             return {"status": "not_held", "file_path": path}
 
+    def request(self, requests: DataFrame) -> DataFrame:
+        """A batch of requests for any number of files in one change of the table; its answers (see :func:`answered`)."""
+        now, found = self.now(), []
+
+        def changed(rows):
+            found[:] = [cut(answered(rows, requests, now))]
+            return after(rows, found[0], now)
+
+        self.store.change("file_locks", changed)
+        return found[0]
+
     def check(self, path: str) -> dict:
         held = self._one(path)
         if not held:

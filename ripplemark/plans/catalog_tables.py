@@ -211,16 +211,36 @@ def locks_on_files(spark, sf_dir):
     return impact.annotated_with_locks(v.files, locks, 0.0).select("file_path", "locked_by")
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'x', 'acquired'), ('a.py', 'y', 'held'), ('b.py', 'y', 'acquired'), ('a.py', 'x', 'refreshed'), ('b.py', 'x', 'not_held'), ('b.py', 'y', 'released'), ('b.py', 'x', 'acquired'), ('a.py', 'y', 'acquired')) AS t(file_path, agent_id, status)")
+_LOCK_BATCH = """WITH e AS (SELECT CAST(user_id AS STRING) AS file_path, event_type AS agent_id, event_id, epoch(ts) AS t FROM events), moment AS (SELECT max(t) - 86400 AS now FROM e),
+ held AS (SELECT file_path, agent_id AS holder, t AS since, t + 86400 AS until FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY t DESC, event_id DESC) AS k FROM e) WHERE k = 1 AND t + 86400 >= (SELECT now FROM moment)),
+ asked AS (SELECT file_path, agent_id, CASE event_id % 3 WHEN 0 THEN 'acquire' WHEN 1 THEN 'refresh' ELSE 'release' END AS action, max(event_id % 100) AS ttl FROM e GROUP BY 1, 2, 3),
+ j AS (SELECT * FROM asked LEFT JOIN held USING (file_path)), f AS (SELECT file_path, bool_or(action = 'release' AND coalesce(agent_id = holder, false)) AS freed, min(CASE WHEN action = 'acquire' THEN agent_id END) AS first FROM j GROUP BY 1),
+ o AS (SELECT *, CASE WHEN holder IS NOT NULL AND NOT freed THEN holder ELSE first END AS owner FROM j JOIN f USING (file_path)),
+ a AS (SELECT *, CASE action WHEN 'acquire' THEN CASE WHEN agent_id = owner THEN 'acquired' ELSE 'held' END WHEN 'release' THEN CASE WHEN agent_id = holder THEN 'released' ELSE 'not_held' END ELSE CASE WHEN agent_id = holder AND NOT freed THEN 'refreshed' ELSE 'not_held' END END AS status FROM o)"""
+
+
+def _lock_batch(spark, sf_dir):
+    """A table of locks, every user's latest event being one of a day, and every event as a request of a day before the last event."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    rows = rows.select(F.col("user_id").cast("string").alias("file_path"), F.col("event_type").alias("agent_id"), "event_id", "t", F.lit(None).cast("string").alias("purpose"))
+    now = rows.agg(F.max("t")).first()[0] - 86400
+    locks = control.Locks(store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), lambda: now)
+    latest = store.last_of_each(rows, ["file_path"], ["t", "event_id"])
+    locks.store.write("file_locks", latest.select("file_path", "agent_id", F.col("t").alias("acquired_at"), (F.col("t") + 86400).alias("expires_at"), "purpose"))
+    action = F.element_at(F.array(F.lit("acquire"), F.lit("refresh"), F.lit("release")), (F.col("event_id") % 3 + 1).cast("int"))
+    return locks, locks.request(rows.select("file_path", "agent_id", action.alias("action"), (F.col("event_id") % 100).alias("ttl"), "purpose"))
+
+
+@query(f"{_LOCK_BATCH} SELECT file_path, agent_id, action, status, owner FROM a")
 def lock_requests(spark, sf_dir):
-    """Two agents, two files and a clock: what becomes of each request."""
-    now = [0.0]
-    locks = control.Locks(store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), lambda: now[0])
-    out = []
-    for at, call, path, agent in ((0, locks.acquire, "a.py", "x"), (1, locks.acquire, "a.py", "y"), (2, locks.acquire, "b.py", "y"), (3, locks.refresh, "a.py", "x"), (4, locks.release, "b.py", "x"), (5, locks.release, "b.py", "y"), (6, locks.acquire, "b.py", "x"), (900, locks.acquire, "a.py", "y")):
-        now[0] = float(at)
-        out.append((path, agent, call(path, agent)["status"]))
-    return spark.createDataFrame(out, "file_path string, agent_id string, status string")
+    return _lock_batch(spark, sf_dir)[1].select("file_path", "agent_id", "action", "status", "owner")
+
+
+@query(f"""{_LOCK_BATCH}, g AS (SELECT file_path, agent_id, max(CASE WHEN agent_id = holder AND NOT freed THEN since ELSE now END) AS acquired_at, max(ttl) + max(now) AS expires_at FROM a, moment WHERE status IN ('acquired', 'refreshed') GROUP BY 1, 2)
+ SELECT file_path, agent_id, round(acquired_at, 3) AS acquired_at, round(expires_at, 3) AS expires_at FROM (SELECT * FROM g UNION ALL SELECT file_path, holder, since, until FROM held WHERE file_path NOT IN (SELECT file_path FROM a WHERE status IN ('acquired', 'refreshed', 'released')))""")
+def locks_after_requests(spark, sf_dir):
+    rows = _lock_batch(spark, sf_dir)[0].store.read("file_locks")
+    return rows.select("file_path", "agent_id", F.round("acquired_at", 3).alias("acquired_at"), F.round("expires_at", 3).alias("expires_at"))
 
 
 @query("SELECT CAST(event_id AS BIGINT) AS id, event_type FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 50")

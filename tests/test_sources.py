@@ -141,6 +141,28 @@ def test_store(spark, tmp_path):
         Store(spark, ":memory:")
 
 
+def test_batch_of_lock_requests(spark, tmp_path):
+    """Releases, then refreshes, then acquires; expired locks do not count, and a lock that goes on keeps its start and its reason."""
+    locks = control.Locks(Store(spark, str(tmp_path)), lambda: 100.0)
+    held = [("kept", "a", 50.0, 150.0, "why"), ("given", "a", 50.0, 150.0, "why"), ("gone", "a", 1.0, 99.0, None), ("left", "a", 50.0, 100.0, None), ("other", "b", 50.0, 150.0, "x")]
+    locks.store.write("file_locks", spark.createDataFrame(held, "file_path string, agent_id string, acquired_at double, expires_at double, purpose string"))
+    asked = [
+        ("kept", "a", "acquire", 10, None), ("kept", "a", "refresh", 30, None), ("kept", "b", "acquire", 10, "mine"), ("kept", "b", "release", None, None),
+        ("given", "a", "release", None, None), ("given", "a", "refresh", 5, None), ("given", "c", "acquire", 5, "c's"), ("given", "b", "acquire", 7, "b's"), ("given", "b", "acquire", 9, "b's"),
+        ("gone", "a", "refresh", 5, None), ("left", "a", "release", 5, None), ("free", "z", "acquire", None, None),
+        (None, "a", "acquire", 5, None), ("free", None, "acquire", 5, None), ("free", "a", "steal", 5, None),
+    ]
+    answers = locks.request(spark.createDataFrame(asked, "file_path string, agent_id string, action string, ttl bigint, purpose string"))
+    assert {(r.file_path, r.agent_id, r.action): (r.status, r.owner) for r in answers.collect()} == {
+        ("kept", "a", "acquire"): ("acquired", "a"), ("kept", "a", "refresh"): ("refreshed", "a"), ("kept", "b", "acquire"): ("held", "a"), ("kept", "b", "release"): ("not_held", "a"),
+        ("given", "a", "release"): ("released", "b"), ("given", "a", "refresh"): ("not_held", "b"), ("given", "c", "acquire"): ("held", "b"), ("given", "b", "acquire"): ("acquired", "b"),
+        ("gone", "a", "refresh"): ("not_held", None), ("left", "a", "release"): ("released", None), ("free", "z", "acquire"): ("acquired", "z"),
+    }
+    assert sorted(map(tuple, locks.store.read("file_locks").collect())) == [("free", "z", 100.0, 100.0, None), ("given", "b", 100.0, 109.0, "b's"), ("kept", "a", 50.0, 130.0, "why"), ("other", "b", 50.0, 150.0, "x")]
+    none = spark.createDataFrame([], "file_path string, agent_id string, action string, ttl bigint, purpose string")
+    assert locks.request(none).isEmpty() and locks.store.read("file_locks").count() == 4
+
+
 def test_locks(spark, tmp_path):
     clock = [100.0]
     locks = control.Locks(Store(spark, str(tmp_path)), lambda: clock[0])
