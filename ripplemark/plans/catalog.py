@@ -15,7 +15,7 @@ from ripplemark.operators import impact as I
 from ripplemark.operators import results as R
 from ripplemark.operators import risk as K
 from ripplemark.operators import store as S
-from ripplemark.plans.views import AS_OF, BRANCH_SINCE, code_file, spark_sql, view, with_views
+from ripplemark.plans.views import AS_OF, BRANCH_SINCE, WHOLE, code_file, of_all_lines, spark_sql, view, with_views
 from ripplemark.session import cut, shared_dir
 from ripplemark.streaming import streams as T
 
@@ -558,6 +558,41 @@ def upsert_max(spark, sf_dir):
     return S.upserted_max(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["file_path"], "n")
 
 
+# --- all lines ---------------------------------------------------------------------------------------------------
+
+
+class AllLines(Views):
+    """The views with every order line as a test edge, an import and a static import."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return super().__getattr__(f"all_{name}" if name in WHOLE else name)
+
+
+@query(of_all_lines(f"SELECT c.*, tested_lines / CAST(lines AS DOUBLE) AS coverage, coalesce(n, 0) AS covering_tests FROM ({COVERAGE}) c LEFT JOIN (SELECT file_path, count(*) AS n FROM ({COVERING}) GROUP BY 1) USING (file_path)"))
+def file_coverage_all_lines(spark, sf_dir):
+    v = AllLines(spark, sf_dir)
+    return C.file_coverage(v.code_units, v.test_edges).select("file_path", "units", "tested_units", "lines", "tested_lines", "edges", "n_call", "n_dynamic_import", "coverage", "covering_tests")
+
+
+@query("SELECT u.file_path, t.id AS test_id, count(*) AS edges, round(max(weight), 6) AS score FROM code_units u JOIN all_test_edges ON u.id = code_id JOIN test_units t ON t.id = test_id GROUP BY 1, 2")
+def impacted_all_lines(spark, sf_dir):
+    """The tests of every file, were it changed."""
+    v = AllLines(spark, sf_dir)
+    return C.direct_impact(v.code_units, v.test_edges, v.test_units, v.files).groupBy("file_path", "test_id").agg(F.count("*").alias("edges"), F.round(F.max("score"), 6).alias("score"))
+
+
+@query(of_all_lines(f"WITH RECURSIVE {HOPS.format(name='h', sources=SOURCES)} SELECT * FROM h"))
+def bfs_hops_all_lines(spark, sf_dir):
+    v = AllLines(spark, sf_dir)
+    return G.hops(v.import_edges, v.files.where("file_path like 'src/d3/%'"))
+
+
+@query(of_all_lines(f"WITH RECURSIVE {CLOSURE} SELECT file_path, round(decay, 9) AS decay FROM best"))
+def import_closure_all_lines(spark, sf_dir):
+    v = AllLines(spark, sf_dir)
+    return G.closure(v.import_edges, v.files.where(F.col("file_path") == TARGET)).select("file_path", F.round("decay", 9).alias("decay"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

@@ -49,7 +49,7 @@ _sf("commit_by_hash", "SELECT hash, author, message FROM commits WHERE hash = 7"
 _sf("branch_partners", f"WITH q AS ({_pairs('branch_commits', 1)}) SELECT file_a AS file_path, file_b AS partner, co_commit_count FROM q WHERE file_a = '{TARGET}' UNION ALL SELECT file_b, file_a, co_commit_count FROM q WHERE file_b = '{TARGET}'")(
     lambda v: history.partners(history.co_changes(v.branch_commits, v.commit_files, 1), v.files.where(F.col("file_path") == TARGET), 1).drop("last_co_commit")
 )
-_sf("importers", f"SELECT DISTINCT imported_file AS file_path, importer_file FROM import_edges WHERE confidence >= 5e-1 AND imported_file = '{TARGET}'")(lambda v: lookups.importers(v.import_edges, v.files.where(F.col("file_path") == TARGET), 0.5))
+_sf("importers", "SELECT DISTINCT imported_file AS file_path, importer_file FROM import_edges WHERE confidence >= 5e-1 AND imported_file IN (SELECT file_path FROM files)")(lambda v: lookups.importers(v.import_edges, v.files, 0.5))
 _sf("imported_files", f"SELECT importer_file AS file_path, imported_file, max(confidence) AS confidence FROM import_edges WHERE importer_file = '{TARGET}' GROUP BY 1, 2")(lambda v: lookups.imports(v.import_edges, v.files.where(F.col("file_path") == TARGET), 0.0))
 _CHURN_ROWS = "SELECT file_path, unit_name, count(*) AS commit_count, CAST(sum(insertions) AS BIGINT) AS total_insertions FROM unit_commits GROUP BY 1, 2"
 
@@ -280,16 +280,16 @@ def shards_under(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*map(F.lit, found)), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("shards"))
 
 
-_sf("disk_only_tests", "SELECT file_path, name FROM test_units WHERE file_path NOT IN (SELECT file_path FROM test_units WHERE framework = 'BUILDING')")(lambda v: worktree.disk_only_tests(v.test_units.select("file_path", "name"), v.test_units.where("framework = 'BUILDING'")))
+_sf("disk_only_tests", "SELECT file_path, name FROM test_units WHERE file_path NOT IN (SELECT file_path FROM test_units WHERE file_path LIKE '%1.py')")(lambda v: worktree.disk_only_tests(v.test_units.select("file_path", "name"), v.test_units.where("file_path like '%1.py'")))
 _sf("gaps_on_disk", f"SELECT id, file_path, name FROM code_units WHERE file_path {IN_SET} AND file_path NOT IN (SELECT file_path FROM code_units WHERE CAST(id AS BIGINT) % 10 = 3)")(
     lambda v: worktree.gaps_on_disk(v.code_units, _some(v), v.code_units.where("cast(id as bigint) % 10 = 3"), "src").select("id", "file_path", "name")
 )
 _STEM = r"regexp_replace({}, '^.*/|\.[^.]*$', '', 'g')"
 _LAST = r"regexp_extract({}, '([^/]*)/[^/]*$', 1)"
 _NAMES = f"""SELECT f.file_path AS source_file, t.file_path, t.name, t.framework, {_STEM.format('f.file_path')} AS a, {_STEM.format('t.file_path')} AS b, {_LAST.format('f.file_path')} AS x, {_LAST.format('t.file_path')} AS y FROM files f, test_units t WHERE f.file_path {IN_SET}"""
-_sf("suggest_on_disk", f"""WITH n AS ({_NAMES}), r AS (SELECT *, CASE WHEN a = b THEN 1e0 WHEN contains(a, b) OR contains(b, a) THEN 5e-1 ELSE 1e-1 END AS base FROM n), d AS (SELECT DISTINCT file_path FROM test_units EXCEPT SELECT file_path FROM test_units WHERE framework = 'BUILDING')
+_sf("suggest_on_disk", f"""WITH n AS ({_NAMES}), r AS (SELECT *, CASE WHEN a = b THEN 1e0 WHEN contains(a, b) OR contains(b, a) THEN 5e-1 ELSE 1e-1 END AS base FROM n), d AS (SELECT DISTINCT file_path FROM test_units EXCEPT SELECT file_path FROM test_units WHERE file_path LIKE '%1.py')
  SELECT source_file, concat(file_path, ':', name) AS test_id, CASE WHEN x = y THEN least(1e0, base + 3e-1) ELSE base END AS relevance, CASE WHEN file_path IN (SELECT file_path FROM d) THEN 'working_tree' ELSE 'fallback' END AS source FROM r""")(
-    lambda v: worktree.suggest_by_name(_some(v), lookups.of_keys(v.test_units, v.test_units.where("framework = 'BUILDING'").select("file_path")), worktree.disk_only_tests(v.test_units, v.test_units.where("framework = 'BUILDING'"))).select("source_file", "test_id", "relevance", "source")
+    lambda v: worktree.suggest_by_name(_some(v), lookups.of_keys(v.test_units, v.test_units.where("file_path like '%1.py'").select("file_path")), worktree.disk_only_tests(v.test_units, v.test_units.where("file_path like '%1.py'"))).select("source_file", "test_id", "relevance", "source")
 )
 _sf("name_matches", f"WITH n AS ({_NAMES.replace(f' WHERE f.file_path {IN_SET}', '')}) SELECT source_file, concat(file_path, ':', name) AS test_id, CASE WHEN x = y THEN least(1e0, CASE WHEN a = b THEN 1e0 ELSE 5e-1 END + 3e-1) ELSE CASE WHEN a = b THEN 1e0 ELSE 5e-1 END END AS relevance FROM n WHERE contains(a, b) OR contains(b, a)")(
     lambda v: impact.name_matches(v.files, v.test_units).select("source_file", "test_id", "relevance")

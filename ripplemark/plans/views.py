@@ -39,6 +39,20 @@ VIEWS: dict[str, str] = {
     "static_imports": f"SELECT {test_file('c_nationkey')} AS test_file_path, c_name AS test_unit_name, {code_file(f'(l_partkey % {N})')} AS target_file_path, true AS gap_eligible, max(1 - l_tax) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 9e-2 AND l_quantity >= 40 GROUP BY 1, 2, 3, 4",
 }
 
+#: The same tables of all lines: every order line is a test edge, an import and a static import.
+WHOLE = ("test_edges", "import_edges", "static_imports")
+VIEWS |= {
+    "all_test_edges": VIEWS["test_edges"].replace(" WHERE l_quantity >= 45", ""),
+    "all_import_edges": VIEWS["import_edges"].replace("l_quantity >= 50 AND l_returnflag = 'R' AND ", ""),
+    "all_static_imports": VIEWS["static_imports"].replace(" WHERE l_discount >= 9e-2 AND l_quantity >= 40", ""),
+}
+
+
+def of_all_lines(sql: str) -> str:
+    """``sql`` over the views of all lines instead."""
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(WHOLE)})\b", r"\1 all_\2", sql)
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
