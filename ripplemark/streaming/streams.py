@@ -68,7 +68,7 @@ def activity(events: DataFrame, length: str = "1 day", delay: str = "2 days") ->
 
 
 class LockRequests(StatefulProcessor):
-    """The requests for one file.  They wait in a map by time until the watermark has passed them.
+    """The requests for one file.  They wait in a list until the watermark has passed them; a batch is one call of the state.
 
     One timer a file wakes it: for the earliest request that waits, or for the end of the lock that is held.  Then all
     requests that are due are answered in the order of event time.
@@ -77,7 +77,7 @@ class LockRequests(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lock = handle.getValueState("lock", "agent_id string, until bigint, wake bigint")
-        self.waiting = handle.getMapState("waiting", "at bigint, agent_id string, action string, ttl bigint", "n bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, agent_id string, action string, ttl bigint")
 
     def _held(self) -> tuple[str | None, int, int | None]:
         return self.lock.get() if self.lock.exists() else (None, 0, None)
@@ -85,10 +85,10 @@ class LockRequests(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         first = None
         for b in rows:
-            for request in zip(*(b[c].tolist() for c in ("at_ms", "agent_id", "action", "ttl_ms"))):
-                known = self.waiting.getValue(request)
-                self.waiting.updateValue(request, ((known[0] if known else 0) + 1,))
-                first = request[0] if first is None else min(first, request[0])
+            if len(b):
+                self.waiting.appendList(list(zip(*(b[c].tolist() for c in ("at_ms", "agent_id", "action", "ttl_ms")))))
+                least = int(b["at_ms"].min())
+                first = least if first is None else min(first, least)
         agent, until, wake = self._held()
         # A timer fires once the watermark is beyond its time, a request is due once the watermark has reached it.
         if first is not None and (wake is None or first - 1 < wake):
@@ -101,12 +101,9 @@ class LockRequests(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         path, mark = key[0], timerValues.getCurrentWatermarkInMs()
         agent, until, _ = self._held()
-        due, later, out = [], None, []
-        for request, (n,) in self.waiting.iterator():
-            if request[0] <= mark:
-                due.append((*request, n))
-            else:
-                later = request[0] if later is None else min(later, request[0])
+        due, later, out = [], [], []
+        for request in self.waiting.get() if self.waiting.exists() else ():
+            (due if request[0] <= mark else later).append(tuple(request))
 
         def expire(now: int) -> None:
             nonlocal agent
@@ -114,20 +111,22 @@ class LockRequests(StatefulProcessor):
                 out.append((path, until + 1, agent, "expired"))
                 agent = None
 
-        for at, who, action, ttl, n in sorted(due, key=lambda r: tuple((x is not None, x) for x in r)):
-            self.waiting.removeKey((at, who, action, ttl))
-            for _ in range(n):
-                expire(at)
-                if action == "release":
-                    out.append((path, at, who, "not_held" if agent is None or agent != who else "released"))
-                    agent = None if agent == who else agent
-                elif agent in (None, who):
-                    agent, until = who, at + ttl
-                    out.append((path, at, who, "acquired"))
-                else:
-                    out.append((path, at, who, "held"))
+        for at, who, action, ttl in sorted(due, key=lambda r: tuple((x is not None, x) for x in r)):
+            expire(at)
+            if action == "release":
+                out.append((path, at, who, "not_held" if agent is None or agent != who else "released"))
+                agent = None if agent == who else agent
+            elif agent in (None, who):
+                agent, until = who, at + ttl
+                out.append((path, at, who, "acquired"))
+            else:
+                out.append((path, at, who, "held"))
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
         expire(mark)
-        times = [*([later - 1] if later is not None else []), *([until] if agent is not None else [])]
+        times = [*([min(r[0] for r in later) - 1] if later else []), *([until] if agent is not None else [])]
         if times:
             self.handle.registerTimer(min(times))
             self.lock.update((agent, until, min(times)))
