@@ -42,13 +42,19 @@ def _far(dots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
 
 
+def _slack(size: int) -> float:
+    """How far two distances of the same vectors may be apart by rounding: near 0 this is the root of the error of a cosine."""
+    return math.sqrt(4 * (size + 4) * np.finfo(np.float64).eps)
+
+
 class CoverTree:
     """Nested levels over unit vectors: level i has radius 2 / 2**i, its nodes are the first ``sizes[i]`` vectors.
 
     The vectors stand in farthest-first order, so those whose distance to all before them exceeds the radius of a level come first:
     they are further apart than that radius and every vector is within it of one of them.  A node stays a node on all
     lower levels.  A vector hangs on the nearest node of the level above the one it first appears on.  ``radii[i]`` are the
-    largest distances of nodes to what hangs below them.  Levels halve down to ``finest``; the last level has all vectors.
+    largest distances of nodes to what hangs below them, widened by what rounding may take from a distance.  Levels halve
+    down to ``finest``; the last level has all vectors.
     """
 
     def __init__(self, vectors: np.ndarray, weight: np.ndarray, parent: np.ndarray, sizes: list[int], radii: list[np.ndarray]):
@@ -97,7 +103,7 @@ class CoverTree:
             own = np.where(own < s, own, parent[own])
             largest = np.zeros(s)
             np.maximum.at(largest, own, far[np.arange(n), own])
-            radii.append(largest)
+            radii.append(largest + _slack(vectors.shape[1]))
         return order, parent, sizes, radii[::-1]
 
     def level(self, i: int) -> int:
@@ -170,15 +176,15 @@ def links(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.
         else:
             pieces = _expanded(a, b, i, x, y, same)
         la, lb = a.level(i + 1), b.level(i + 1)
+        leaf = i + 1 >= last  # nodes are vectors there, so the cosine itself decides
         next_x, next_y = [], []
         for p, q, dots in pieces:
             twin = (p == q) if same else np.zeros(len(p), bool)
             reach = a.radii[la][p] + b.radii[lb][q]
             far = np.where(twin, 0.0, _far(dots))
-            leaf = (reach == 0) & (i + 1 >= last)
-            inner = ~leaf & (far + reach <= t - ERROR) & ~(twin & (reach == 0))
-            inside = inner | (leaf & ~twin & (dots >= threshold))
-            go = ~inner & ~leaf & (far <= reach + t + ERROR)
+            inner = np.zeros(len(p), bool) if leaf else far + reach <= t - ERROR
+            inside = ~twin & (dots >= threshold) if leaf else inner
+            go = ~inner & (not leaf) & (far <= reach + t + ERROR)
             ip, iq, it = p[inside], q[inside], twin[inside]
             np.add.at(counts[0][la], ip, b.weights[lb][iq])
             np.add.at(counts[1][lb], iq[~it], a.weights[la][ip[~it]])

@@ -90,6 +90,30 @@ def test_levels(spread):
         assert (far[np.arange(300), above] <= radius[above] + 1e-12).all()
 
 
+def test_links_at_the_threshold():
+    """Cosines that miss or exceed the threshold by 1e-8 to 1e-11, in one tree and between two."""
+    rnd = np.random.default_rng(9)
+    for _ in range(60):
+        base = covertree.unit(rnd.normal(size=(1, 8)))[0]
+        rows = [base]
+        for off in (1e-8, 1e-9, 1e-10, 1e-11, -1e-8, -1e-9, -1e-10, -1e-11):
+            side = rnd.normal(size=8)
+            side -= side @ base * base
+            cosine = 0.93 + off
+            rows.append(cosine * base + math.sqrt(1 - cosine * cosine) * side / np.sqrt(side @ side))
+        x = covertree.unit(np.array(rows))
+        near = x @ x.T >= 0.93
+        assert near[0].sum() == 5
+        trees = []
+        for part in (np.arange(9), np.arange(1), np.arange(1, 9)):
+            order, parent, sizes, radii = covertree.CoverTree.order(x[part], 0.01)
+            trees.append((covertree.CoverTree(x[part][order], np.ones(len(part), np.int64), parent, sizes, radii), part[order]))
+        (all_, own), (one, _), (others, rest) = trees
+        assert covertree.links(all_, all_, 0.93, True)[0].tolist() == (near.sum(axis=1) - 1)[own].tolist()
+        left, right, _ = covertree.links(one, others, 0.93, False)
+        assert left.tolist() == [4] and right.tolist() == near[0][rest].astype(int).tolist()
+
+
 def whole(v):
     return [math.floor(Fraction(x) * 64) for x in v]
 
